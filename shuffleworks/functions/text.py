@@ -18,7 +18,7 @@ JAVA_COMMENTS = r"(?s)/\*.*?\*/|//[^\n]*"
 
 def tokens(text: Column) -> Column:
     """Array of the non-empty tokens of ``text``, case kept."""
-    return F.filter(F.split(text, TOKEN_DELIMITERS), lambda t: t != "")
+    return F.array_remove(F.split(text, TOKEN_DELIMITERS), "")
 
 
 def strip_blanks(text: Column) -> Column:

@@ -81,47 +81,56 @@ def classify_role(class_name: Column, extends: Column, implements: Column, impor
     )
 
 
+def _parsed_header(header: Column) -> Column:
+    """Name, parent and interfaces from the text of one class header."""
+    name, parent, interfaces = [F.regexp_extract(header, CLASS_PATTERN, group) for group in (1, 2, 3)]
+    listed = F.array_remove(split_top_level(squeeze_blanks(interfaces)), "")
+    return F.struct(
+        name.alias("class_name"),
+        null_if_empty(squeeze_blanks(parent)).alias("extends"),
+        listed.alias("implements"),
+    )
+
+
+def _with_role(parsed: Column) -> Column:
+    """The role of a parsed class; reads ``imports`` and ``_marks`` of its file."""
+    role = classify_role(
+        parsed["class_name"], parsed["extends"], parsed["implements"], F.col("imports"), F.col("_marks")
+    )
+    return F.struct(
+        parsed["class_name"].alias("class_name"),
+        role.alias("role"),
+        parsed["extends"].alias("extends"),
+        parsed["implements"].alias("implements"),
+    )
+
+
 def extract_classes(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """One row per class declaration, nested ones included.
 
     ``class_name, file_path, class_pos, package, role, imports, extends, implements``.
     Comments are taken out before looking for classes; package, imports and the
     role rules read the raw text. The headers are found in one pass and taken
-    apart afterwards, on the short header text only.
+    apart on the short header text. All of a class is made before the rows are
+    exploded: a later filter on the role then reads a column, where after the
+    explode it would be pushed down as the whole expression and run twice.
     """
     text = F.col(content)
     per_file = files.select(
         F.col(path).alias("file_path"),
         extract_package(text).alias("package"),
         extract_imports(text).alias("imports"),
-        # The two facts the role rules need; the text itself ends here.
+        # The two facts of the text that the role rules need.
         F.concat_ws(
             " ", F.when(text.contains(MAIN_METHOD), MAIN_METHOD), F.when(text.contains("Job"), "Job")
         ).alias("_marks"),
-        F.regexp_extract_all(without_comments(text), F.lit(CLASS_PATTERN), F.lit(0)).alias("_headers"),
-    )
-    headers = per_file.select(
-        "file_path", "package", "imports", "_marks", F.posexplode("_headers").alias("class_pos", "_header")
-    )
-
-    def part(group: int) -> Column:
-        return F.regexp_extract("_header", CLASS_PATTERN, group)
-
-    classes = headers.select(
-        part(1).alias("class_name"),
-        "file_path",
-        "class_pos",
-        "package",
-        "imports",
-        "_marks",
-        null_if_empty(squeeze_blanks(part(2))).alias("extends"),
-        F.filter(split_top_level(squeeze_blanks(part(3))), lambda name: name != "").alias("implements"),
-    )
-    role = classify_role(
-        F.col("class_name"), F.col("extends"), F.col("implements"), F.col("imports"), F.col("_marks")
+        text.alias("_text"),
     )
+    headers = F.regexp_extract_all(without_comments(F.col("_text")), F.lit(CLASS_PATTERN), F.lit(0))
+    found = F.transform(F.transform(headers, _parsed_header), _with_role)
+    classes = per_file.select("file_path", "package", "imports", F.posexplode(found).alias("class_pos", "_c"))
     return classes.select(
-        "class_name", "file_path", "class_pos", "package", role.alias("role"), "imports", "extends", "implements"
+        "_c.class_name", "file_path", "class_pos", "package", "_c.role", "imports", "_c.extends", "_c.implements"
     )
 
 

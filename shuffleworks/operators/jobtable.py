@@ -95,12 +95,23 @@ def graph_summary(df: DataFrame, raw: str = "raw") -> DataFrame:
     )
 
 
-_SLOTS = {
-    "mapper": "setMapperClass",
-    "combiner": "setCombinerClass",
-    "reducer": "setReducerClass",
-    "partitioner": "setPartitionerClass",
-}
+_SLOTS = ["mapper", "combiner", "reducer", "partitioner"]
+_SETTER = r"\.set(Mapper|Combiner|Reducer|Partitioner)Class\s*\(\s*([\w.]+)\.class\b"
+
+
+def _wiring(files: DataFrame, path: str, content: str) -> DataFrame:
+    """``_path, slot, name`` of the classes a file sets; the first call per slot counts."""
+    calls = F.regexp_extract_all(without_comments(F.col(content)), F.lit(_SETTER), F.lit(0))
+    parsed = F.transform(
+        calls,
+        lambda call, at: F.struct(
+            F.lower(F.regexp_extract(call, _SETTER, 1)).alias("slot"),
+            F.substring_index(F.regexp_extract(call, _SETTER, 2), ".", -1).alias("name"),
+            at.alias("at"),
+        ),
+    )
+    each = files.select(F.col(path).alias("_path"), F.explode(parsed).alias("_s")).select("_path", "_s.*")
+    return each.groupBy("_path", "slot").agg(F.min_by("name", "at").alias("name"))
 
 
 def assemble_jobs(files: DataFrame, classes: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
@@ -108,32 +119,21 @@ def assemble_jobs(files: DataFrame, classes: DataFrame, path: str = "path", cont
 
     ``job_name, package, driver, file_path`` and, for mapper, combiner, reducer
     and partitioner, the class the driver names and the file it is declared in
-    (null when unknown). Names are looked up in the driver's package. The slots
-    are looked up in one join; copies of a class count once, by first path.
+    (null when unknown). Names are looked up in the driver's package. All slots
+    go through one join; copies of a class count once, by first path.
     """
-    code = without_comments(F.col(content))
-
-    def named(setter: str) -> Column:
-        found = F.regexp_extract(code, rf"\.{setter}\s*\(\s*([\w.]+)\.class\b", 1)
-        return F.when(found != "", F.substring_index(found, ".", -1))
-
-    wiring = files.select(
-        F.col(path).alias("_path"), *[named(setter).alias(slot) for slot, setter in _SLOTS.items()]
-    ).where(F.coalesce(*_SLOTS).isNotNull())
     drivers = classes.where(F.col("role") == "driver").select(
         F.col("class_name").alias("driver"), "package", "file_path", "class_pos"
     )
-    jobs = drivers.join(wiring, drivers.file_path == wiring._path).drop("_path")
+    wiring = _wiring(files, path, content)
+    named = drivers.join(wiring, drivers.file_path == wiring._path).drop("_path")
     declared = classes.groupBy("package", "class_name").agg(F.min("file_path").alias("_declared_in"))
     declared = declared.select(
         F.col("package").alias("_package"), F.col("class_name").alias("_class"), "_declared_in"
     )
-    slots = F.array(*[F.struct(F.lit(s).alias("slot"), F.col(s).alias("name")) for s in _SLOTS])
-    id_columns = ["driver", "package", "file_path", "class_pos"]
-    long = jobs.select(*id_columns, F.explode(slots).alias("_s")).select(*id_columns, "_s.slot", "_s.name")
-    same = long.package.eqNullSafe(declared._package) & (long.name == declared._class)
-    found = long.join(declared, same, "left")
-    wide = found.groupBy(*id_columns).agg(
+    same = named.package.eqNullSafe(declared._package) & (named.name == declared._class)
+    found = named.join(declared, same, "left")
+    wide = found.groupBy("driver", "package", "file_path", "class_pos").agg(
         *[F.max(F.when(F.col("slot") == s, F.col("name"))).alias(s) for s in _SLOTS],
         *[F.max(F.when(F.col("slot") == s, F.col("_declared_in"))).alias(f"{s}_path") for s in _SLOTS],
     )

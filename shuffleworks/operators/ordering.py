@@ -12,6 +12,7 @@ from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shuffleworks.session import durable
 
@@ -25,6 +26,27 @@ def _columns(names: list[str] | list[Column]) -> list[Column]:
     return [F.col(n) if isinstance(n, str) else n for n in names]
 
 
+def null_free_keys(df: DataFrame, cols: list[str]) -> list[Column]:
+    """Two columns per key, neither ever null: whether it is null, and its value or a stand-in.
+
+    Joins on them match null with null and still count as plain equality, so a
+    partitioning by them serves aggregates, windows and joins alike.
+    """
+    keys = []
+    for name in cols:
+        kind = df.schema[name].dataType
+        if isinstance(kind, T.StringType):
+            stand_in = F.lit("")
+        elif isinstance(kind, T.BooleanType):
+            stand_in = F.lit(False)
+        elif isinstance(kind, T.NumericType):
+            stand_in = F.lit(0).cast(kind)
+        else:
+            stand_in = F.lit("1970-01-01").cast(kind)
+        keys += [F.isnull(name), F.coalesce(name, stand_in)]
+    return keys
+
+
 def total_order(df: DataFrame, cols: list[str]) -> DataFrame:
     """Rows in global order of the composite key; strings compare as UTF-8 bytes."""
     return df.orderBy(*cols)

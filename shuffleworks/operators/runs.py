@@ -20,7 +20,7 @@ from shuffleworks.constants import (
     RUN_NODES,
 )
 from shuffleworks.functions.text import strip_blanks
-from shuffleworks.operators.ordering import HOT_ROWS, group_rank
+from shuffleworks.operators.ordering import HOT_ROWS, group_rank, null_free_keys
 
 # --- merging ----------------------------------------------------------------
 
@@ -128,13 +128,15 @@ def top_k_with_remainder(df: DataFrame, group: list[str], order: list[Column | s
         placed = top.withColumn("place", F.row_number().over(Window.orderBy(*ordering)))  # k rows
         total = df.agg(F.count(F.lit(1))).scalar()
         return placed.withColumn("remaining", F.greatest(total - k, F.lit(0)))
-    window = Window.partitionBy(*group).orderBy(*ordering)
-    top = df.withColumn("place", F.row_number().over(window)).where(F.col("place") <= k)
-    totals = df.groupBy(*[F.col(g).alias(f"_g_{g}") for g in group]).agg(F.count(F.lit(1)).alias("_total"))
-    same = top[group[0]].eqNullSafe(totals[f"_g_{group[0]}"])
-    for g in group[1:]:
-        same = same & top[g].eqNullSafe(totals[f"_g_{g}"])
-    return top.join(totals, same).select(
+    # Null keys are spelled out as plain columns, so that the window, the count
+    # and the join all use one partitioning of the rows.
+    keys = [f"_k{i}" for i in range(2 * len(group))]
+    parts = null_free_keys(df, group)
+    keyed = df.select("*", *[p.alias(k) for p, k in zip(parts, keys)])
+    window = Window.partitionBy(*keys).orderBy(*ordering)
+    top = keyed.withColumn("place", F.row_number().over(window)).where(F.col("place") <= k)
+    totals = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
+    return top.join(totals, keys).select(
         *df.columns, "place", F.greatest(F.col("_total") - k, F.lit(0)).alias("remaining")
     )
 

@@ -79,10 +79,11 @@ def _key_classes_with_fields(classes: DataFrame, files: DataFrame, path: str, co
     keys = classes.where(F.col("role") == "composite_key").select(
         F.col("class_name").alias("source_class"), "file_path"
     )
-    declared = declared_fields(F.col(content))
+    # The first list that is not empty.
+    lists = F.array(declared_fields(F.col(content)), written_fields(F.col(content)))
     per_file = files.select(
         F.col(path).alias("_path"),
-        F.when(F.size(declared) > 0, declared).otherwise(written_fields(F.col(content))).alias("_found"),
+        F.try_element_at(F.filter(lists, lambda fields: F.size(fields) > 0), F.lit(1)).alias("_found"),
     )
     joined = keys.join(per_file, keys.file_path == per_file._path, "left")
     no_path = F.coalesce(F.col("file_path"), F.lit("")) == ""

@@ -35,7 +35,7 @@ _WORD_COUNT = f"SELECT token AS key, CAST(count(*) AS INTEGER) AS value FROM {_T
 
 
 def _ones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mr.emit(mr.tokenize(table(spark, sf_dir, "documents"), "text"), "token", F.lit(1))
+    return mr.emit(mr.tokenize(table(spark, sf_dir, "documents", "text"), "text"), "token", F.lit(1))
 
 
 # --- map --------------------------------------------------------------------
@@ -82,7 +82,7 @@ def small_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register(f"SELECT doc_id, count(*) AS tokens, count(DISTINCT token) AS words FROM {_TOKENS} GROUP BY doc_id")
 def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = mr.tokenize(table(spark, sf_dir, "documents"), "text", keep=("doc_id",))
+    tokens = mr.tokenize(table(spark, sf_dir, "documents", "doc_id", "text"), "text", keep=("doc_id",))
     per_word = mr.reduce_by_key(tokens, ["doc_id", "token"], {"n": F.count(F.lit(1))})
     return mr.reduce_by_key(per_word, ["doc_id"], {"tokens": F.sum("n"), "words": F.count(F.lit(1))})
 
@@ -206,7 +206,7 @@ def totals_by_composite_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 def count_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three chained jobs in one plan: tokens, counts per word, words per count."""
     jobs = [
-        Job("tokens", lambda docs: mr.tokenize(docs, "text"), source=table(spark, sf_dir, "documents")),
+        Job("tokens", lambda docs: mr.tokenize(docs, "text"), source=table(spark, sf_dir, "documents", "text")),
         Job("counts", lambda t: mr.reduce_by_key(t, ["token"], {"n": F.count(F.lit(1))}), chained_after="tokens"),
         Job("histogram", lambda c: mr.reduce_by_key(c, ["n"], {"words": F.count(F.lit(1))}), chained_after="counts"),
     ]

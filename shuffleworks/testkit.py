@@ -10,9 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shuffleworks.sources.formats import spread_small
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+def table(spark: SparkSession, sf_dir: str, name: str, *spread: str) -> DataFrame:
+    """A given table; with columns named, those columns, spread over the cores if the file is small."""
+    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_small(scan.select(*spread)) if spread else scan
 
 
 def _text(*parts: Column | str) -> Column:
@@ -38,7 +42,7 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     method, in a file that is gone (``is_deleted``), or with no fields at all.
     """
     k = F.col("p_partkey")
-    part = table(spark, sf_dir, "part").select(k.alias("k"), F.col("p_name").alias("note"))
+    part = table(spark, sf_dir, "part", "p_partkey", "p_name").select(k.alias("k"), F.col("p_name").alias("note"))
     k, m, v = F.col("k"), F.col("k") % 10, F.col("k") % 3
     block = F.floor(k / 10)
     hadoop = "import org.apache.hadoop.io.{0};\n"
@@ -156,7 +160,9 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
             5: _text("no json in ", F.col("event_type"), " at all"),
         },
     )
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), raw.alias("raw"))
+    return table(spark, sf_dir, "events", "event_id", "event_type", "props").select(
+        F.col("event_id").alias("id"), raw.alias("raw")
+    )
 
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
