@@ -149,7 +149,7 @@ PENDING = "pending"
 LOG_TAIL_CHARS = 2000
 MAX_ERROR_LINES = 20
 MAX_PATCH_RETRIES = 3
-ERROR_LINE_PATTERN = r"(?i)\[ERROR\]|error:|cannot find symbol|not found:|value .* is not a member"
+ERROR_LINE = r"(?i)\[ERROR\]|error:|cannot find symbol|not found:|value .* is not a member"
 REVIEW_TEXT = "Human review required"
 NO_CONFIG_ERROR = "No pipeline config provided."
 NO_REPO_URL_ERROR = "Git mode selected but repo_url is empty."

@@ -1,8 +1,8 @@
 """One canonical text per row, and a 64-bit number from it.
 
 The text does not depend on the engine that wrote the row: null differs from an
-empty string, the separator cannot be forged, doubles are fixed-point, and time
-stamps are microseconds.
+empty string, the separator cannot be forged, doubles are whole numbers of their
+last counted decimal, and time stamps are microseconds.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from shuffleworks.functions.timing import epoch_micros
 
 SEPARATOR = "|"
 NULL_MARK = "\\N"
+_EXACT = 9.0e15  # whole numbers below this have exact doubles
 
 
 def _escaped(text: Column) -> Column:
@@ -27,10 +28,13 @@ def canonical(column: Column, kind: T.DataType, scale: int = 6) -> Column:
     if isinstance(kind, (T.StringType, T.VarcharType, T.CharType)):
         text = _escaped(column)
     elif isinstance(kind, (T.FloatType, T.DoubleType)):
-        # A value too large for the fixed-point form (or NaN) keeps its own text.
-        fixed = column.cast("double").try_cast(f"decimal(38,{scale})")
-        # + 0.0 turns a negative zero into zero.
-        text = F.coalesce(fixed.cast("string"), (column + F.lit(0.0)).cast("string"))
+        # Whole numbers of 10^-scale, halves up: arithmetic that every engine
+        # does alike, and far cheaper than printing a decimal per value. Values
+        # beyond its range keep a decimal text, and NaN its own.
+        value = column.cast("double")
+        scaled = value * F.lit(float(10**scale)) + F.lit(0.5)
+        wide = F.coalesce(value.try_cast(f"decimal(38,{scale})").cast("string"), value.cast("string"))
+        text = F.when(F.abs(scaled) < F.lit(_EXACT), F.floor(scaled).cast("string")).otherwise(wide)
     elif isinstance(kind, T.TimestampNTZType):
         text = epoch_micros(column).cast("string")
     elif isinstance(kind, T.TimestampType):

@@ -55,19 +55,6 @@ def salvage_json(df: DataFrame, raw_col: str, keep: list[str] | None = None) ->
     return df.select(*kept, raw_col).mapInPandas(run, schema)
 
 
-def _entries(document: Column) -> Column:
-    """``files`` as an array of (path, type, content); null when there is no such object."""
-    files = F.from_json(document, "files map<string,variant>")["files"]
-    return F.transform(
-        F.map_entries(files),
-        lambda e: F.struct(
-            e["key"].alias("path"),
-            F.schema_of_variant(e["value"]).alias("kind"),
-            F.try_variant_get(e["value"], "$", "string").alias("content"),
-        ),
-    )
-
-
 def _warning(path: Column) -> Column:
     return F.when(contains_any(path, FORBIDDEN_PATH_PARTS), F.concat(F.lit(BUILD_FILE_WARNING), path)).when(
         ~path.endswith(KEPT_SUFFIX), F.concat(F.lit(OTHER_FILE_WARNING), path)
@@ -75,31 +62,34 @@ def _warning(path: Column) -> Column:
 
 
 def _checked_payloads(df: DataFrame, payload: str) -> DataFrame:
-    """Other columns plus ``_files`` (array of path, content, warning), ``_given``, ``error``."""
+    """Other columns plus ``error``, ``_files`` (path, content, warning, is_text) and ``_given`` warnings.
+
+    One parse gives the files as (path, variant); one pass over them gives type,
+    text and warning.
+    """
     others = [c for c in df.columns if c != payload]
     document = F.col(payload)
     has_files = F.coalesce(F.array_contains(F.json_object_keys(document), "files"), F.lit(False))
-    parsed = df.select(
-        *others,
-        has_files.alias("_has_files"),
-        _entries(document).alias("_entries"),
-        F.from_json(document, "warnings array<string>")["warnings"].alias("_given"),
-    )
-    bad = F.try_element_at(F.filter("_entries", lambda e: e["kind"] != "STRING"), F.lit(1))["path"]
-    error = F.when(~F.col("_has_files"), MISSING_FILES_ERROR).when(
+    parsed = F.from_json(document, "files map<string,variant>, warnings array<string>")
+
+    def checked(entry: Column) -> Column:
+        return F.struct(
+            entry["key"].alias("path"),
+            F.try_variant_get(entry["value"], "$", "string").alias("content"),
+            _warning(entry["key"]).alias("warning"),
+            (F.schema_of_variant(entry["value"]) == "STRING").alias("is_text"),
+        )
+
+    files = F.transform(F.map_entries(F.col("_d.files")), checked)
+    no_strings = F.array().cast("array<string>")
+    bad = F.try_element_at(F.filter("_files", lambda f: ~f["is_text"]), F.lit(1))["path"]
+    error = F.when(F.col("_files").isNull() & ~F.col("_has_files"), MISSING_FILES_ERROR).when(
         bad.isNotNull(), F.concat(F.lit("File content for '"), bad, F.lit("' is not a string"))
     )
-    return parsed.select(*others, "_entries", "_given", error.alias("error")).select(
-        *others,
-        F.when(
-            F.col("error").isNull(),
-            F.transform(
-                "_entries",
-                lambda e: F.struct(e["path"].alias("path"), e["content"].alias("content"), _warning(e["path"]).alias("warning")),
-            ),
-        ).alias("_files"),
-        F.coalesce("_given", F.array().cast("array<string>")).alias("_given"),
-        "error",
+    return (
+        df.select(*others, has_files.alias("_has_files"), parsed.alias("_d"))
+        .select(*others, "_has_files", files.alias("_files"), F.coalesce("_d.warnings", no_strings).alias("_given"))
+        .select(*others, error.alias("error"), "_files", "_given")
     )
 
 
@@ -110,7 +100,8 @@ def filter_generated_files(df: DataFrame, payload: str = "payload") -> DataFrame
     string rejects the whole payload; see ``payload_summary`` for the reasons.
     """
     others = [c for c in df.columns if c != payload]
-    one = _checked_payloads(df, payload).select(*others, F.explode("_files").alias("_f"))
+    accepted = F.when(F.col("error").isNull(), F.col("_files"))
+    one = _checked_payloads(df, payload).select(*others, F.explode(accepted).alias("_f"))
     return one.where(F.col("_f.warning").isNull()).select(*others, "_f.path", "_f.content")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shuffleworks.constants import (
-    ERROR_LINE_PATTERN,
+    ERROR_LINE,
     KEPT_SUFFIX,
     LOG_TAIL_CHARS,
     MAX_ERROR_LINES,
@@ -152,7 +152,7 @@ def error_lines(stdout: Column, stderr: Column) -> Column:
     """
     tail = lambda log: F.right(F.coalesce(log, F.lit("")), F.lit(LOG_TAIL_CHARS))
     text = F.when(tail(stderr) != "", tail(stderr)).otherwise(tail(stdout))
-    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(ERROR_LINE_PATTERN))
+    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(ERROR_LINE))
     return F.slice(F.transform(lines, strip_blanks), 1, MAX_ERROR_LINES)
 
 

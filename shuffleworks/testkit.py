@@ -179,7 +179,7 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         },
     )
     given = F.when(F.col("o_orderstatus") == "F", ', "warnings": ["given"]').otherwise("")
-    return table(spark, sf_dir, "orders").select(
+    return table(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus").select(
         k.alias("id"), _text('{"files": {', files, "}", given, "}").alias("payload")
     )
 
@@ -202,7 +202,8 @@ def code_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         },
     )
     name = F.when(F.col("o_orderstatus") != "P", _text("Job", k))
-    return table(spark, sf_dir, "orders").select(k.alias("id"), name.alias("job_name"), raw.alias("raw"))
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus")
+    return orders.select(k.alias("id"), name.alias("job_name"), raw.alias("raw"))
 
 
 def jobs_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,7 +278,7 @@ def build_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         },
     )
     stdout = F.when(k % 5 == 4, _text("Not Found: type T", k, "\nrest")).otherwise("[ERROR] not looked at")
-    return table(spark, sf_dir, "orders").select(
+    return table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate").select(
         F.col("o_custkey").alias("run_id"),
         k.alias("attempt_id"),
         F.col("o_orderdate").alias("finished_at"),
@@ -321,13 +322,23 @@ def chain_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+LINE_COLUMNS = [
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+    "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
+]
+
+
+def all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem", *LINE_COLUMNS)
+
+
 def changed_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of lineitem as another job might have written it.
 
     Returned lines of one piece are lost, open lines of fifty pieces are there
     twice, and the tax of accepted lines without discount is one higher.
     """
-    lines = table(spark, sf_dir, "lineitem")
+    lines = all_lines(spark, sf_dir)
     lost = (F.col("l_returnflag") == "R") & (F.col("l_quantity") == 1)
     twice = (F.col("l_linestatus") == "O") & (F.col("l_quantity") == 50)
     raised = (F.col("l_returnflag") == "A") & (F.col("l_discount") == 0)

@@ -15,6 +15,7 @@ ROWS = [
     (None, None, None, None),
     ("", 0, -0.0, dt.datetime(1969, 12, 31, 23, 59, 59, 999999)),
     ("a|b\\", 5, float("nan"), None),
+    ("big", -1, -2.5e17, None),
 ]
 
 
@@ -25,14 +26,15 @@ def sums(df, **kw):
 def test_checksum_recipe(spark):
     df = spark.createDataFrame(ROWS, SCHEMA)
     texts = [
-        "x|1|1.500000|1704067200000000",
-        "x|1|1.500000|1704067200000000",
+        "x|1|1500000|1704067200000000",
+        "x|1|1500000|1704067200000000",
         "\\N|\\N|\\N|\\N",
-        "|0|0.000000|-1",
+        "|0|0|-1",
         "a\\pb\\\\|5|NaN|\\N",
+        "big|-1|-250000000000000000.000000|\\N",
     ]
     total = sum(int(hashlib.md5(t.encode()).hexdigest()[:16], 16) for t in texts)
-    assert sums(df) == (5, total)
+    assert sums(df) == (6, total)
 
 
 @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
