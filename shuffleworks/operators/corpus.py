@@ -19,11 +19,11 @@ from shuffleworks.constants import (
     ROLES,
 )
 from shuffleworks.functions.text import (
+    code_only,
     decode_utf8,
     null_if_empty,
     split_top_level,
     squeeze_blanks,
-    without_comments,
 )
 
 UNCLASSIFIED = "unclassified"
@@ -109,8 +109,8 @@ def extract_classes(files: DataFrame, path: str = "path", content: str = "conten
     """One row per class declaration, nested ones included.
 
     ``class_name, file_path, class_pos, package, role, imports, extends, implements``.
-    Comments are taken out before looking for classes; package, imports and the
-    role rules read the raw text. The headers are found in one pass and taken
+    Comments and literals are taken out before looking for classes; package,
+    imports and the role rules read the raw text. The headers are found in one pass and taken
     apart on the short header text. All of a class is made before the rows are
     exploded: a later filter on the role then reads a column, where after the
     explode it would be pushed down as the whole expression and run twice.
@@ -126,7 +126,7 @@ def extract_classes(files: DataFrame, path: str = "path", content: str = "conten
         ).alias("_marks"),
         text.alias("_text"),
     )
-    headers = F.regexp_extract_all(without_comments(F.col("_text")), F.lit(CLASS_PATTERN), F.lit(0))
+    headers = F.regexp_extract_all(code_only(F.col("_text")), F.lit(CLASS_PATTERN), F.lit(0))
     found = F.transform(F.transform(headers, _parsed_header), _with_role)
     classes = per_file.select("file_path", "package", "imports", F.posexplode(found).alias("class_pos", "_c"))
     return classes.select(

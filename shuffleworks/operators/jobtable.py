@@ -15,7 +15,7 @@ from shuffleworks.constants import (
     DEFAULT_OUTPUT_PATHS,
     MISSING_JOBS_ERROR,
 )
-from shuffleworks.functions.text import without_comments
+from shuffleworks.functions.text import code_only
 from shuffleworks.session import durable
 
 _CLASS = "struct<class_name:string,role:string>"
@@ -101,7 +101,7 @@ _SETTER = r"\.set(Mapper|Combiner|Reducer|Partitioner)Class\s*\(\s*([\w.]+)\.cla
 
 def _wiring(files: DataFrame, path: str, content: str) -> DataFrame:
     """``_path, slot, name`` of the classes a file sets; the first call per slot counts."""
-    calls = F.regexp_extract_all(without_comments(F.col(content)), F.lit(_SETTER), F.lit(0))
+    calls = F.regexp_extract_all(code_only(F.col(content)), F.lit(_SETTER), F.lit(0))
     parsed = F.transform(
         calls,
         lambda call, at: F.struct(

@@ -56,31 +56,28 @@ def progress_snapshot(
 ) -> DataFrame:
     """Every node of the list for every run: ``run, node, status``; missing ones are pending.
 
-    ``progress`` has one row per run and node (see ``merge_updates``), so the map
-    that is built per run has at most one entry per listed node. One shuffle, no
-    cross join.
+    ``progress`` has one row per run and node (see ``merge_updates``); two states
+    of one node are an error. The map that is built per run holds listed nodes
+    only, each state once. One shuffle, no cross join.
     """
     names = nodes or RUN_NODES
     entry = F.when(F.col(node).isin(names), F.struct(F.col(node), F.col("status")))
-    known = progress.groupBy(run).agg(F.map_from_entries(F.collect_list(entry)).alias("_known"))
+    known = progress.groupBy(run).agg(F.map_from_entries(F.collect_set(entry)).alias("_known"))
     listed = known.select(run, "_known", F.explode(F.array(*[F.lit(n) for n in names])).alias(node))
     return listed.select(
         run, node, F.coalesce(F.try_element_at("_known", F.col(node)), F.lit(PENDING)).alias("status")
     )
 
 
-def failed_nodes(progress: DataFrame, run: str = "run_id", node: str = "node_name") -> DataFrame:
-    """Per run with failures ``failed`` (names, in order, joined by ", ") and ``errors`` (array).
+def failed_nodes(
+    progress: DataFrame, run: str = "run_id", node: str = "node_name", hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """The failed nodes of each run with their error, by name: ``run, place, node, error``.
 
-    As many entries per run as there are nodes at most; ``progress`` has one row
-    per run and node.
+    Rows, not a list: a run may have any number of nodes.
     """
-    failed = progress.where(F.col("status") == "failed").groupBy(run).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(node).alias("node"), F.col("error").alias("error")))).alias("_f")
-    )
-    return failed.select(
-        run, F.array_join(F.col("_f.node"), ", ").alias("failed"), F.col("_f.error").alias("errors")
-    )
+    failed = progress.where(F.col("status") == "failed").select(run, node, "error")
+    return group_rank(failed, [run], [node], "place", hot_rows)
 
 
 def run_summary(

@@ -171,11 +171,17 @@ def resolve_schemas(
     return parts, unresolved_keys(classes, files, path, content)
 
 
-def to_struct_type(fields: DataFrame, source_class: str) -> T.StructType:
-    """The schema of one class as a Spark type. Collects the fields of that class only."""
-    rows = (
-        fields.where(F.col("source_class") == source_class).orderBy("pos").select("name", "spark_type").collect()
-    )
+def to_struct_type(fields: DataFrame, source_class: str, file_path: str | None = None) -> T.StructType:
+    """The schema of one class as a Spark type.
+
+    Collects the fields of one class in one file. Without ``file_path`` that is
+    the first file with a class of that name, so copies do not add up.
+    """
+    of_class = fields.where(F.col("source_class") == source_class)
+    if "file_path" in fields.columns:
+        path = file_path if file_path is not None else of_class.agg(F.min("file_path")).first()[0]
+        of_class = of_class.where(F.col("file_path").eqNullSafe(F.lit(path)))
+    rows = of_class.orderBy("pos").select("name", "spark_type").collect()
     if not rows:
         raise ValueError(f"no schema for class {source_class!r}")
     return T.StructType([T.StructField(r["name"], to_spark_type(r["spark_type"] or DEFAULT_TYPE)) for r in rows])

@@ -58,20 +58,13 @@ def appended_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_register(
-    "SELECT run_id, n AS node_name, coalesce(l.status, 'pending') AS status FROM (SELECT DISTINCT user_id AS run_id FROM events), "
-    f"(VALUES ('click'), ('error'), ('purchase'), ('signup'), ('view'), ('refund')) d(n) LEFT JOIN {_LATEST} l "
-    "USING (run_id) WHERE l.node_name = n OR n = 'refund' GROUP BY ALL"
-)
-def progress_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runs.progress_snapshot(_latest(spark, sf_dir), testkit.PROGRESS_NODES)
-
-
-ORACLES["progress_snapshot"] = (
     "SELECT r.run_id, d.n AS node_name, coalesce(l.status, 'pending') AS status "
     "FROM (SELECT DISTINCT user_id AS run_id FROM events) r CROSS JOIN "
     "(VALUES ('click'), ('error'), ('purchase'), ('signup'), ('view'), ('refund')) d(n) "
     f"LEFT JOIN {_LATEST} l ON l.run_id = r.run_id AND l.node_name = d.n"
 )
+def progress_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.progress_snapshot(_latest(spark, sf_dir), testkit.PROGRESS_NODES)
 
 
 @_register(
@@ -83,11 +76,11 @@ def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_register(
-    f"SELECT run_id, 'error' AS failed, error AS errors FROM {_LATEST} WHERE status = 'failed'"
+    "SELECT run_id, node_name, error, row_number() OVER (PARTITION BY run_id ORDER BY node_name) AS place "
+    f"FROM {_LATEST} WHERE status = 'failed'"
 )
 def failed_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = runs.failed_nodes(_latest(spark, sf_dir))
-    return found.select("run_id", "failed", F.array_join("errors", "; ").alias("errors"))
+    return runs.failed_nodes(_latest(spark, sf_dir))
 
 
 @_register(
@@ -211,7 +204,8 @@ def config_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streamed_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream of files, merged batch by batch into a table."""
     schema = table(spark, sf_dir, "events").schema
-    events = stream.read_updates(spark, sf_dir, schema, "events.parquet")
+    # A stream wants a folder or a pattern; this pattern fits one file or one folder.
+    events = stream.read_updates(spark, f"{sf_dir}/events.{{parquet}}", schema)
     updates = events.select(
         F.col("user_id").alias("run_id"),
         F.col("event_type").alias("node_name"),

@@ -12,9 +12,9 @@ from shuffleworks.operators.runs import merge_updates
 _BATCH = "batch_id"
 
 
-def read_updates(spark: SparkSession, folder: str, schema: T.StructType, name_glob: str = "*.parquet") -> DataFrame:
-    """A stream of update rows from Parquet files that arrive in ``folder``."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", name_glob).parquet(folder)
+def read_updates(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A stream of update rows from the Parquet files at ``path``, as they arrive."""
+    return spark.readStream.schema(schema).parquet(path)
 
 
 def latest_progress(updates: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -121,6 +121,21 @@ def test_interfaces_and_enums_are_no_classes(spark):
     assert classes_in(spark, "interface A { } enum B { } @interface C {}", "", None).collect() == []
 
 
+def test_literals_and_comments_hide_no_classes(spark):
+    text = """class A { String p = "/data/*"; char q = '"'; String s = "class No { // "; }
+// class Never {
+class B<T> extends Mapper<T, X, Y, Z> { String long = "%s"; /* class Nor { */ }
+class C { String t = \"\"\"
+class Neither {
+\"\"\"; } class D%s{ }
+/* open class Last { """ % ("x" * 50000, " " * 50000)
+    assert [r.class_name for r in classes_in(spark, text).collect()] == ["A", "B", "C", "D"]
+
+
+def test_headers_without_a_body_take_linear_time(spark):
+    assert classes_in(spark, "class A extends B" + " " * 200000 + ";", "class A extends " + "a " * 200000).count() == 0
+
+
 def test_raw_base_class_does_not_match(spark):
     # Without type parameters the base class says nothing, and "Mapper" contains "app".
     assert one(spark, "class FooMapper extends Mapper {}").role == "driver"
@@ -256,5 +271,36 @@ def test_struct_type_and_typed_rows(spark):
     first, second = schemas.apply_schema(raw, schema).collect()
     assert first.a == 1 and str(first.b) == "2.5000000000" and first.c is None
     assert second.a is None and second.b is None
+    copies = schemas.generic_fields(
+        spark.createDataFrame(
+            [("R", f"f{i}", "reducer", "Reducer<Text, Text, Text, IntWritable>") for i in range(3)],
+            "class_name string, file_path string, role string, extends string",
+        )
+    )
+    assert len(schemas.to_struct_type(copies, "R")) == 4 == len(schemas.to_struct_type(copies, "R", "f2"))
     with pytest.raises(ValueError, match="no schema"):
         schemas.to_struct_type(fields, "Z")
+
+
+def test_whole_project(spark, tmp_path):
+    from shuffleworks.plans.project import analyse_project
+
+    (tmp_path / "src").mkdir()
+    for name, text in PROJECT.items():
+        (tmp_path / name).write_text(text.replace("{ }\n    class Helper", "{ job.setMapperClass(HitMapper.class); }\n    class Helper"))
+    (tmp_path / "pom.xml").write_text("<groupId>net.hits</groupId><artifactId>job</artifactId>")
+    tables = analyse_project(spark, str(tmp_path), ["org.apache.hadoop", "net.hits"], "block")
+    assert tuple(tables.summary.first()) == (6, 5, 1)
+    assert tables.files.columns == ["path", "abs_path", "size_bytes", "kind"]
+    assert tables.errors.count() == 0
+    assert {r.role: r.n for r in tables.role_counts.collect()}["driver"] == 2
+    assert tables.fields.where("format = 'avro'").count() == 3 and tables.unresolved.count() == 0
+    assert [(r.driver, r.mapper, r.mapper_path) for r in tables.jobs.where("driver = 'HitJob'").collect()] == [
+        ("HitJob", "HitMapper", "src/HitMapper.java")
+    ]
+    assert sorted((r.artifact, r.location.split("/")[-1]) for r in tables.risks.collect()) == [
+        ("net.hits:job", "pom.xml"),
+        ("org.apache.hadoop.io.Text", "HitMapper.java"),
+        ("org.apache.hadoop.mapreduce.Job", "HitJob.java"),
+    ]
+    assert tuple(tables.verdict.first()) == (3, 0, True)

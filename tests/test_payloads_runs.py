@@ -135,7 +135,9 @@ def test_failed_nodes_and_summary(spark):
         [(1, "b", "failed", "e2"), (1, "a", "failed", None), (1, "c", "success", None), (2, "a", "success", None)],
         "run_id int, node_name string, status string, error string",
     )
-    assert [tuple(r) for r in runs.failed_nodes(progress).collect()] == [(1, "a, b", [None, "e2"])]
+    for hot_rows in (1, 100):
+        found = runs.failed_nodes(progress, hot_rows=hot_rows).select("run_id", "place", "node_name", "error")
+        assert sorted(tuple(r) for r in found.collect()) == [(1, 1, "a", None), (1, 2, "b", "e2")]
     jobs = spark.createDataFrame([(1,), (1,)], "run_id int")
     files = spark.createDataFrame([(1, "a.scala"), (1, "b.sbt"), (2, "c.scala")], "run_id int, path string")
     reviews = spark.createDataFrame([(2, True)], "run_id int, human_review_required boolean")
