@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,15 +44,16 @@ def salvage_json(df: DataFrame, raw_col: str, keep: list[str] | None = None) ->
         ]
     )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pd.DataFrame(
-                [salvage_one(raw) for raw in batch[raw_col]], columns=["payload", "strategy", "error"], index=batch.index
-            )
-            found["strategy"] = found["strategy"].astype("Int32")
-            yield pd.concat([batch[kept], found], axis=1)
-
-    return df.select(*kept, raw_col).mapInPandas(run, schema)
+            found = [salvage_one(raw) for raw in batch.column(raw_col).to_pylist()]
+            columns = [batch.column(name) for name in kept]
+            for place, kind in enumerate((pa.string(), pa.int32(), pa.string())):
+                columns.append(pa.array([row[place] for row in found], kind))
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    # Arrow, not pandas: the kept columns pass through untouched, whatever their type.
+    return df.select(*kept, raw_col).mapInArrow(run, schema)
 
 
 def _warning(path: Column) -> Column:

@@ -32,6 +32,24 @@ def get_session(app_name: str = "shuffleworks", master: str | None = None, **con
     return builder.getOrCreate()
 
 
+def sizing(input_bytes: int, cores: int) -> dict[str, str]:
+    """Partition settings for an input of this size on this many cores.
+
+    Splits of 128 to 512 MB, as many as keep every core busy without millions of
+    tasks; shuffle partitions of about 200 MB, a size a core can sort in memory,
+    and at least two per core. Adaptive execution merges what turns out small.
+    """
+    mega = 1024 * 1024
+    split = min(max(input_bytes // 400_000, 128 * mega), 512 * mega)
+    partitions = min(max(input_bytes // (200 * mega), 2 * cores), 200_000)
+    return {
+        "spark.sql.files.maxPartitionBytes": str(split),
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(200 * mega),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(400 * mega),
+    }
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it.
 

@@ -70,12 +70,13 @@ def test_compare_reports(spark):
         eq.compare(a, a.withColumnRenamed("s", "z"))
 
 
-def test_diff_rows_counts_both_ways(spark):
+@pytest.mark.parametrize("by_hash", [True, False])
+def test_diff_rows_counts_both_ways(spark, by_hash):
     a = spark.createDataFrame([(1, None), (1, None), (2, "y"), (3, "z")], "k int, s string")
     b = spark.createDataFrame([(1, None), (2, "y"), (2, "y"), (4, "w")], "k int, s string")
-    found = sorted(((r.k, r.s, r.side, r.times) for r in eq.diff_rows(a, b).collect()), key=repr)
+    found = sorted(((r.k, r.s, r.side, r.times) for r in eq.diff_rows(a, b, by_hash=by_hash).collect()), key=repr)
     assert found == sorted([(1, None, "left", 1), (2, "y", "right", 1), (3, "z", "left", 1), (4, "w", "right", 1)], key=repr)
-    assert eq.diff_rows(a, a.repartition(2)).count() == 0
+    assert eq.diff_rows(a, a.repartition(2), by_hash=by_hash).count() == 0
 
 
 def test_only_partial_sums_are_shuffled(spark, plan):
