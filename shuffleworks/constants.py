@@ -33,11 +33,11 @@ COMBINER_NAME_PATTERN = r"(?i)combiner"
 PACKAGE_PATTERN = r"(?mdU)^package\s+([\w.]+)\s*;"
 IMPORT_PATTERN = r"(?mdU)^import\s+([\w.*]+)\s*;"
 CLASS_PATTERN = (
-    r"\bclass\s+(\w+)(?:\s*<[^{;]*?>)?"
+    r"(?U)\bclass\s+(\w+)(?:\s*<[^{;]*?>)?"
     r"(?:\s+extends\s+([\w<>,.?\[\]&\s]+?))?"
     r"(?:\s+implements\s+([\w<>,.?\[\]&\s]+?))?\s*\{"
 )
-WRITE_ACCESS_PATTERN = r"this\.(\w+)\.(?:write|readFields)"
+WRITE_ACCESS_PATTERN = r"(?U)this\.(\w+)\.(?:write|readFields)"
 GENERICS_PATTERN = r"<(.+)>"
 MAVEN_PATTERN = r"(?s)<groupId>([^<]+)</groupId>\s*<artifactId>([^<]+)</artifactId>"
 GRADLE_PATTERN = r"""["']([a-zA-Z0-9._-]+:[a-zA-Z0-9._-]+)(?::[0-9.]+)?["']"""
@@ -95,7 +95,7 @@ FIELD_TYPES = [
 ]
 
 FIELD_PATTERN = (
-    r"(?:private|protected|public)?\s+(" + "|".join(FIELD_TYPES) + r")\s+(\w+)(?:\s*=\s*[^;]+)?\s*;"
+    r"(?U)(?:private|protected|public)?\s+(" + "|".join(FIELD_TYPES) + r")\s+(\w+)(?:\s*=\s*[^;]+)?\s*;"
 )
 
 # --- dependency risk --------------------------------------------------------

@@ -168,6 +168,16 @@ def reduce_by_key_rdd(df: DataFrame, key: str, value: str, op: Callable) -> Data
     return df.sparkSession.createDataFrame(pairs.rdd.map(tuple).reduceByKey(op), schema)
 
 
+def _apply_to_groups(df: DataFrame, keys: list[str], fn: Callable, schema: str) -> DataFrame:
+    """User code per group, on a fixed number of partitions.
+
+    Left to adaptive execution, partitions are merged by their bytes, which says
+    little about the cost of user code.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(partitions, *keys).groupBy(*keys).applyInPandas(fn, schema)
+
+
 def reduce_groups(
     df: DataFrame,
     keys: list[str],
@@ -187,14 +197,14 @@ def reduce_groups(
     """
     hot = hot_groups(df, keys, hot_rows)
     if hot is None:
-        return df.groupBy(*keys).applyInPandas(fn, schema)
+        return _apply_to_groups(df, keys, fn, schema)
     if partial is None or merge is None or partial_schema is None:
         raise ValueError(
             f"{hot.count()} group(s) have more than {hot_rows} rows: "
             "give partial, partial_schema and merge for them, or raise hot_rows"
         )
     cold_rows, hot_part = split_hot(df, hot, keys)
-    cold = cold_rows.groupBy(*keys).applyInPandas(fn, schema)
+    cold = _apply_to_groups(cold_rows, keys, fn, schema)
     # One partial per map task and key, as a combiner would give.
     pieces = (
         hot_part.withColumn("_task", F.spark_partition_id())

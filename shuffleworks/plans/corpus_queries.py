@@ -216,7 +216,7 @@ _LINE_FIELDS = [
 
 @_register(
     "SELECT l_orderkey, l_linenumber, CASE WHEN l_linestatus = 'F' THEN l_quantity END AS l_quantity, "
-    "CAST(l_extendedprice AS DECIMAL(18,2)) AS l_extendedprice, l_returnflag, "
+    "l_extendedprice, l_returnflag, "
     "strftime(l_shipdate, '%Y-%m-%d') AS l_shipdate FROM lineitem"
 )
 def typed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,7 +228,7 @@ def typed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select(*[F.col(n).cast("string").alias(n) for n in names])
     fields = spark.createDataFrame(_LINE_FIELDS, "source_class string, pos int, name string, spark_type string")
     typed = schemas.apply_schema(as_text, schemas.to_struct_type(fields, "Line"))
-    return typed.withColumn("l_extendedprice", F.col("l_extendedprice").cast("decimal(18,2)")).withColumn(
+    return typed.withColumn("l_extendedprice", F.col("l_extendedprice").cast("double")).withColumn(
         "l_shipdate", F.col("l_shipdate").cast("string")
     )
 

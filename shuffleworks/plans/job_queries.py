@@ -43,14 +43,14 @@ def _ones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register(
     "SELECT l_orderkey, l_linenumber, "
-    "CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(5,2))) AS DECIMAL(24,4)) AS charge "
+    "CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(5,2))) AS DOUBLE) AS charge "
     "FROM lineitem"
 )
 def line_charges(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = F.col("l_extendedprice").cast("decimal(18,2)")
     rate = 1 - F.col("l_discount").cast("decimal(5,2)")
     return mr.map_rows(
-        table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", (price * rate).cast("decimal(24,4)").alias("charge")
+        table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", (price * rate).cast("double").alias("charge")
     )
 
 
@@ -132,22 +132,14 @@ def value_spread_per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User code over all rows of a key, with the parts a hot key needs."""
 
     def partial(rows: pd.DataFrame) -> pd.DataFrame:
-        values = [int(v) for v in rows["c"]]
-        return pd.DataFrame(
-            {
-                "user_id": [rows["user_id"].iloc[0]],
-                "n": [len(values)],
-                "cents": [sum(values)],
-                "squares": [str(sum(v * v for v in values))],
-            }
-        )
+        cents = rows["c"].tolist()
+        squares = sum(c * c for c in cents)
+        return pd.DataFrame([(rows["user_id"].iat[0], len(cents), sum(cents), str(squares))])
 
     def merge(parts: pd.DataFrame) -> pd.DataFrame:
-        n, cents = int(parts["n"].sum()), int(parts["cents"].sum())
-        spread = n * sum(int(s) for s in parts["squares"]) - cents * cents
-        return pd.DataFrame(
-            {"user_id": [parts["user_id"].iloc[0]], "n": [n], "cents": [cents], "spread": [str(spread)]}
-        )
+        n, cents = int(parts.iloc[:, 1].sum()), int(parts.iloc[:, 2].sum())
+        squares = sum(map(int, parts.iloc[:, 3]))
+        return pd.DataFrame([(parts.iat[0, 0], n, cents, str(n * squares - cents * cents))])
 
     rows = table(spark, sf_dir, "events").select("user_id", F.round(F.col("value") * 100).cast("bigint").alias("c"))
     return mr.reduce_groups(
@@ -187,7 +179,7 @@ def median_gap_per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_register(
-    "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS quantity "
+    "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS quantity "
     "FROM lineitem GROUP BY l_returnflag, l_linestatus"
 )
 def totals_by_composite_key(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,7 +187,7 @@ def totals_by_composite_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     totals = mr.reduce_by_key(
         keyed, ["key"], {"n": mr.count_of(), "quantity": mr.sum_of(F.col("l_quantity").cast("decimal(18,2)"))}
     )
-    return totals.select("key.*", "n", F.col("quantity").cast("decimal(18,2)").alias("quantity"))
+    return totals.select("key.*", "n", F.col("quantity").cast("double").alias("quantity"))
 
 
 @_register(
@@ -214,8 +206,8 @@ def count_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_register(
-    "SELECT coalesce(p.k, l.k) AS partkey, CAST(coalesce(inventory, 0) AS DECIMAL(18,2)) AS inventory, "
-    "CAST(coalesce(sales, 0) AS DECIMAL(18,2)) AS sales, CAST(coalesce(pieces, 0) AS BIGINT) AS pieces FROM "
+    "SELECT coalesce(p.k, l.k) AS partkey, CAST(coalesce(inventory, 0) AS DOUBLE) AS inventory, "
+    "CAST(coalesce(sales, 0) AS DOUBLE) AS sales, CAST(coalesce(pieces, 0) AS BIGINT) AS pieces FROM "
     "(SELECT p_partkey AS k, sum(CAST(p_retailprice AS DECIMAL(18,2))) AS inventory FROM part GROUP BY 1) p FULL JOIN "
     "(SELECT l_partkey AS k, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS sales, "
     "sum(CAST(l_quantity AS BIGINT)) AS pieces FROM lineitem GROUP BY 1) l ON p.k = l.k"
@@ -236,12 +228,12 @@ def inventory_and_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
             },
         },
     )
-    money = lambda c: F.col(c).cast("decimal(18,2)").alias(c)
+    money = lambda c: F.col(c).cast("double").alias(c)
     return totals.select("partkey", money("inventory"), money("sales"), "pieces")
 
 
 @_register(
-    "SELECT tag, count(*) AS n, count(price) AS priced, CAST(sum(CAST(price AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS total FROM "
+    "SELECT tag, count(*) AS n, count(price) AS priced, CAST(sum(CAST(price AS DECIMAL(18,2))) AS DOUBLE) AS total FROM "
     "(SELECT 'orders' AS tag, o_totalprice AS price FROM orders UNION ALL "
     "SELECT 'lines', l_extendedprice FROM lineitem UNION ALL SELECT 'events', NULL FROM events) GROUP BY tag"
 )
@@ -253,7 +245,7 @@ def tagged_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
             "events": table(spark, sf_dir, "events").select("event_id"),
         }
     )
-    total = F.sum(F.col("price").cast("decimal(18,2)")).cast("decimal(18,2)")
+    total = F.sum(F.col("price").cast("decimal(18,2)")).cast("double")
     return mr.reduce_by_key(together, ["tag"], {"n": F.count(F.lit(1)), "priced": F.count("price"), "total": total})
 
 

@@ -110,6 +110,7 @@ def test_role_counts_list_every_role(spark, classes):
         "class A<T extends Foo> extends a.b.Mapper<T, ?, List<? extends T>, X> {",
         "class A\n  extends\n Mapper<K,\n V, K, V>\n{",
         "public static abstract class A extends Mapper<K, V, K, V> implements B, C<D> {",
+        "class A extends Mapper<Größe, Ключ, K, V> {",
     ],
 )
 def test_headers_that_must_be_found(spark, header):
