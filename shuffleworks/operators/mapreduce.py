@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shuffleworks.functions.text import tokens
-from shuffleworks.operators.ordering import HOT_ROWS, hot_groups, split_hot
+from shuffleworks.operators.ordering import hot_groups, hot_limit, split_hot
 from shuffleworks.sources.formats import read_tagged
 
 KEY, VALUE = "key", "value"
@@ -85,7 +85,7 @@ def max_of(value: Column) -> Combinable:
 def mean_of(value: Column) -> Combinable:
     return Combinable(
         {"s": (F.sum(value), F.sum), "n": (F.count(value), F.sum)},
-        lambda merged: merged["s"] / merged["n"],
+        lambda merged: F.try_divide(merged["s"], merged["n"]),
     )
 
 
@@ -186,7 +186,7 @@ def reduce_groups(
     partial: Callable[[pd.DataFrame], pd.DataFrame] | None = None,
     partial_schema: str | None = None,
     merge: Callable[[pd.DataFrame], pd.DataFrame] | None = None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Arbitrary code over all rows of a key; ``fn`` gets one group as a pandas frame.
 
@@ -200,7 +200,7 @@ def reduce_groups(
         return _apply_to_groups(df, keys, fn, schema)
     if partial is None or merge is None or partial_schema is None:
         raise ValueError(
-            f"{hot.count()} group(s) have more than {hot_rows} rows: "
+            f"{hot.count()} group(s) have more than {hot_limit(df, hot_rows)} rows: "
             "give partial, partial_schema and merge for them, or raise hot_rows"
         )
     cold_rows, hot_part = split_hot(df, hot, keys)

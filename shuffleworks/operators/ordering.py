@@ -16,8 +16,9 @@ from pyspark.sql import types as T
 
 from shuffleworks.session import durable
 
-# Groups above this many rows are ranked by range instead of by window.
+# Groups above this many rows are taken apart; the session can name another number.
 HOT_ROWS = 5_000_000
+HOT_ROWS_CONF = "spark.shuffleworks.hotRows"
 
 _POSITION_BITS = 33  # monotonically_increasing_id: partition above, row below
 
@@ -89,12 +90,18 @@ def global_rank(df: DataFrame, cols: list[str], out: str = "rank") -> DataFrame:
     )
 
 
-def hot_groups(df: DataFrame, group: list[str], hot_rows: int) -> DataFrame | None:
+def hot_limit(df: DataFrame, hot_rows: int | None) -> int:
+    """``hot_rows`` if given, else what the session says, else the default."""
+    return int(df.sparkSession.conf.get(HOT_ROWS_CONF, str(HOT_ROWS))) if hot_rows is None else hot_rows
+
+
+def hot_groups(df: DataFrame, group: list[str], hot_rows: int | None = None) -> DataFrame | None:
     """Groups with more than ``hot_rows`` rows, or None.
 
     There can be at most rows / hot_rows of them, which is what makes it safe to
     collect and broadcast them.
     """
+    hot_rows = hot_limit(df, hot_rows)
     sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).drop("_n")
     rows = sizes.collect()
     return df.sparkSession.createDataFrame(rows, sizes.schema) if rows else None
@@ -115,7 +122,7 @@ def split_hot(df: DataFrame, hot: DataFrame, group: list[str]) -> tuple[DataFram
 
 
 def group_rank(
-    df: DataFrame, group: list[str], order: list[str], out: str = "rank", hot_rows: int = HOT_ROWS
+    df: DataFrame, group: list[str], order: list[str], out: str = "rank", hot_rows: int | None = None
 ) -> DataFrame:
     """1-based position within the group in composite-key order.
 

@@ -180,3 +180,9 @@ def overlay(base: DataFrame, patch: DataFrame, key: list[str]) -> DataFrame:
     joined = left.join(right, same, "full_outer")
     pick = lambda c: F.when(F.col("_patched"), F.col(c)).otherwise(F.col(f"_b_{c}")).alias(c)
     return joined.select(*[pick(c) for c in base.columns])
+
+
+def overlay_map(base: Column, patch: Column) -> Column:
+    """The same for two map columns: entries of ``patch`` replace or join those of ``base``."""
+    patch = F.coalesce(patch, F.create_map().cast("map<string,string>"))
+    return F.map_concat(F.map_filter(base, lambda key, _: ~F.map_contains_key(patch, key)), patch)

@@ -20,7 +20,7 @@ from shuffleworks.constants import (
     RUN_NODES,
 )
 from shuffleworks.functions.text import strip_blanks
-from shuffleworks.operators.ordering import HOT_ROWS, group_rank, null_free_keys
+from shuffleworks.operators.ordering import group_rank, null_free_keys
 
 # --- merging ----------------------------------------------------------------
 
@@ -37,7 +37,7 @@ def merge_updates(updates: DataFrame, keys: list[str], order: list[str]) -> Data
 
 
 def append_lists(
-    updates: DataFrame, keys: list[str], order: list[str], out: str = "pos", hot_rows: int = HOT_ROWS
+    updates: DataFrame, keys: list[str], order: list[str], out: str = "pos", hot_rows: int | None = None
 ) -> DataFrame:
     """Lists of several writers as one list per key: each row gets its 0-based place ``pos``.
 
@@ -70,7 +70,7 @@ def progress_snapshot(
 
 
 def failed_nodes(
-    progress: DataFrame, run: str = "run_id", node: str = "node_name", hot_rows: int = HOT_ROWS
+    progress: DataFrame, run: str = "run_id", node: str = "node_name", hot_rows: int | None = None
 ) -> DataFrame:
     """The failed nodes of each run with their error, by name: ``run, place, node, error``.
 
@@ -158,7 +158,7 @@ def extract_error_lines(logs: DataFrame, out: str = "error_lines") -> DataFrame:
 
 
 def number_attempts(
-    results: DataFrame, order: list[str], run: str = "run_id", out: str = "attempt", hot_rows: int = HOT_ROWS
+    results: DataFrame, order: list[str], run: str = "run_id", out: str = "attempt", hot_rows: int | None = None
 ) -> DataFrame:
     """Attempts numbered from 1 per run."""
     return group_rank(results, [run], order, out, hot_rows)

@@ -10,22 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shuffleworks import testkit
-from shuffleworks.operators import corpus, deps, jobtable, payloads, schemas
 from shuffleworks.functions.text import split_top_level
+from shuffleworks.operators import corpus, deps, jobtable, payloads, schemas
+from shuffleworks.plans.registry import Registry
+from shuffleworks.session import durable
 from shuffleworks.testkit import table
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def _register(sql: str | None):
-    def add(fn):
-        QUERIES[fn.__name__] = fn
-        if sql is not None:
-            ORACLES[fn.__name__] = sql
-        return fn
-
-    return add
+REGISTRY = Registry()
 
 
 def _classes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +52,7 @@ _CORPUS = f"(SELECT *, {_CLASS_NAME} AS class_name, {_ROLE} AS role, {_IMPORTS}
 # --- classes ----------------------------------------------------------------
 
 
-@_register(
+@REGISTRY.query(
     "SELECT class_name, path AS file_path, CASE WHEN m <> 8 THEN 'org.gen.p' || b END AS package, role, "
     "array_to_string(imports, ';') AS imports, "
     "CASE m WHEN 0 THEN CASE v WHEN 2 THEN 'org.apache.hadoop.mapreduce.' ELSE '' END || 'Mapper<LongWritable, Text, Text, IntWritable>' "
@@ -76,17 +67,17 @@ def class_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_register(f"SELECT role, count(*) AS n FROM {_CORPUS} GROUP BY role")
+@REGISTRY.query(f"SELECT role, count(*) AS n FROM {_CORPUS} GROUP BY role")
 def role_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.role_counts(_classes(spark, sf_dir))
 
 
-@_register(f"SELECT role, count(*) AS n FROM {_CORPUS} GROUP BY role")
+@REGISTRY.query(f"SELECT role, count(*) AS n FROM {_CORPUS} GROUP BY role")
 def role_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.role_summary(_classes(spark, sf_dir))
 
 
-@_register(
+@REGISTRY.query(
     "SELECT doc_id, md5(CASE WHEN source = 'src0' THEN chr(65533) || text || chr(65533) || '!' ELSE text END) AS digest, "
     "source = 'src0' AS was_repaired FROM documents WHERE lang <> 'de'"
 )
@@ -102,7 +93,7 @@ def decoded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select("doc_id", F.md5("content").alias("digest"), "was_repaired")
 
 
-@_register("SELECT doc_id AS file, 'no content' AS error FROM documents WHERE lang = 'de'")
+@REGISTRY.query("SELECT doc_id AS file, 'no content' AS error FROM documents WHERE lang = 'de'")
 def unreadable_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("path"), F.when(F.col("lang") != "de", F.encode("text", "UTF-8")).alias("content")
@@ -144,34 +135,33 @@ def _kept_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return testkit.code_files(spark, sf_dir).where(~F.col("is_deleted"))
 
 
-@_register(_KEY_FIELDS)
+@REGISTRY.query(_KEY_FIELDS)
 def key_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schemas.composite_key_fields(_classes(spark, sf_dir), _kept_files(spark, sf_dir))
 
 
-@_register(f"SELECT class_name AS source_class, path AS file_path FROM {_CORPUS} WHERE m = 4 AND b % 4 = 3")
+@REGISTRY.query(f"SELECT class_name AS source_class, path AS file_path FROM {_CORPUS} WHERE m = 4 AND b % 4 = 3")
 def unresolved_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schemas.resolve_schemas(_classes(spark, sf_dir), _kept_files(spark, sf_dir))[1]
 
 
-@_register(_GENERIC_FIELDS)
+@REGISTRY.query(_GENERIC_FIELDS)
 def generic_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schemas.generic_fields(_classes(spark, sf_dir))
 
 
-@_register(_AVRO_FIELDS)
+@REGISTRY.query(_AVRO_FIELDS)
 def avro_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schemas.avro_fields(testkit.avro_files(spark, sf_dir))
 
 
-@_register(f"{_KEY_FIELDS} UNION ALL {_GENERIC_FIELDS} UNION ALL {_AVRO_FIELDS}")
+@REGISTRY.query(f"{_KEY_FIELDS} UNION ALL {_GENERIC_FIELDS} UNION ALL {_AVRO_FIELDS}")
 def resolved_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schemas.resolve_schemas(
-        _classes(spark, sf_dir), _kept_files(spark, sf_dir), testkit.avro_files(spark, sf_dir)
-    )[0]
+    classes = durable(_classes(spark, sf_dir))  # two kinds of schema read them
+    return schemas.resolve_schemas(classes, _kept_files(spark, sf_dir), testkit.avro_files(spark, sf_dir))[0]
 
 
-@_register(
+@REGISTRY.query(
     "SELECT p_partkey, java_type, CASE java_type WHEN 'VIntWritable' THEN 'IntegerType' WHEN 'byte[]' THEN 'BinaryType' "
     "WHEN 'BigDecimal' THEN 'DecimalType(38,10)' WHEN 'Date' THEN 'DateType' ELSE 'StringType' END AS java_spark, "
     "CASE java_type WHEN 'int' THEN 'IntegerType' WHEN 'null' THEN 'NullType' ELSE 'StringType' END AS avro_spark "
@@ -193,7 +183,7 @@ def mapped_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both
 
 
-@_register(
+@REGISTRY.query(
     "SELECT p_partkey, CAST(pos AS INTEGER) AS pos, CASE pos WHEN 0 THEN p_name WHEN 1 THEN 'Map<K, List<V' || p_size || ', W>>' ELSE p_brand END AS part "
     "FROM part, range(3) r(pos)"
 )
@@ -214,7 +204,7 @@ _LINE_FIELDS = [
 ]
 
 
-@_register(
+@REGISTRY.query(
     "SELECT l_orderkey, l_linenumber, CASE WHEN l_linestatus = 'F' THEN l_quantity END AS l_quantity, "
     "l_extendedprice, l_returnflag, "
     "strftime(l_shipdate, '%Y-%m-%d') AS l_shipdate FROM lineitem"
@@ -236,7 +226,7 @@ def typed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- dependencies -----------------------------------------------------------
 
 
-@_register(
+@REGISTRY.query(
     f"SELECT path AS file_path, class_name, CAST(i AS INTEGER) AS import_pos, imports[i + 1] AS import "
     f"FROM {_CORPUS}, range(2) r(i) WHERE i < len(imports)"
 )
@@ -248,7 +238,7 @@ _PREFIX_ROWS = "(VALUES (0, 'com.company.v1'), (1, 'com.company'), (2, 'pig.'),
 _IMPORT_ROWS = f"(SELECT *, unnest(imports) AS import FROM {_CORPUS})"
 
 
-@_register(
+@REGISTRY.query(
     f"SELECT path AS file_path, import, CAST(prefix_pos AS INTEGER) AS prefix_pos, prefix FROM {_IMPORT_ROWS}, {_PREFIX_ROWS} "
     "WHERE starts_with(import, prefix)"
 )
@@ -266,7 +256,7 @@ def _site_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixes.withColumn("prefix_pos", F.length("prefix"))
 
 
-@_register(
+@REGISTRY.query(
     "SELECT page_id, prefix FROM pages, (SELECT DISTINCT unnest([regexp_extract(url, '^https?://[^/]+'), "
     "regexp_extract(url, '^https?:')]) AS prefix FROM pages) WHERE starts_with(url, prefix)"
 )
@@ -275,7 +265,7 @@ def page_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deps.match_prefix(pages, "url", _site_prefixes(spark, sf_dir)).select("page_id", "prefix")
 
 
-@_register(
+@REGISTRY.query(
     "SELECT p_partkey, word FROM part, (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part) "
     "WHERE contains(p_name, word)"
 )
@@ -297,12 +287,12 @@ _DEPENDENCIES = (
 )
 
 
-@_register(f"SELECT * FROM {_DEPENDENCIES}")
+@REGISTRY.query(f"SELECT * FROM {_DEPENDENCIES}")
 def build_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deps.build_dependencies(testkit.build_files(spark, sf_dir))
 
 
-@_register(f"SELECT path, dep, 'lib' AS prefix FROM {_DEPENDENCIES} WHERE contains(dep, 'lib') UNION ALL "
+@REGISTRY.query(f"SELECT path, dep, 'lib' AS prefix FROM {_DEPENDENCIES} WHERE contains(dep, 'lib') UNION ALL "
            f"SELECT path, dep, 'company:' FROM {_DEPENDENCIES} WHERE contains(dep, 'company:')")
 def dependency_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = deps.build_dependencies(testkit.build_files(spark, sf_dir))
@@ -325,12 +315,12 @@ def _risks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deps.scan_risks(_classes(spark, sf_dir), testkit.build_files(spark, sf_dir), testkit.PREFIXES)
 
 
-@_register(f"SELECT * FROM {_RISKS}")
+@REGISTRY.query(f"SELECT * FROM {_RISKS}")
 def risk_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _risks(spark, sf_dir)
 
 
-@_register(f"SELECT count(*) AS total_count, CAST(0 AS BIGINT) AS transitive_count, count(*) > 0 AS blocked FROM {_RISKS}")
+@REGISTRY.query(f"SELECT count(*) AS total_count, CAST(0 AS BIGINT) AS transitive_count, count(*) > 0 AS blocked FROM {_RISKS}")
 def risk_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deps.risk_verdict(_risks(spark, sf_dir), action="block")
 
@@ -340,7 +330,7 @@ def risk_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DOCUMENTS = "(SELECT c_custkey AS k, c_custkey % 4 AS m FROM customer)"
 
 
-@_register(
+@REGISTRY.query(
     "SELECT k AS id, CAST(pos AS INTEGER) AS job_pos, CASE WHEN pos = 0 THEN 'j' || k ELSE 'second' END AS job_name, "
     "CASE WHEN m = 0 THEN 'D' || k END AS driver, CASE WHEN m = 0 THEN 'M' END AS mapper, CAST(NULL AS VARCHAR) AS reducer, "
     "CASE WHEN m = 0 THEN 'K' END AS combiner, CASE WHEN m = 0 THEN 'P' END AS partitioner, "
@@ -360,12 +350,12 @@ def normalised_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_register(f"SELECT k AS id, 'Missing ''jobs'' key in job graph response' AS error FROM {_DOCUMENTS} WHERE m = 3")
+@REGISTRY.query(f"SELECT k AS id, 'Missing ''jobs'' key in job graph response' AS error FROM {_DOCUMENTS} WHERE m = 3")
 def job_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobtable.normalise_jobs(testkit.jobs_json(spark, sf_dir))[1]
 
 
-@_register(
+@REGISTRY.query(
     "SELECT k AS id, CAST(CASE m WHEN 1 THEN 2 ELSE 1 END AS INTEGER) AS n_jobs, "
     "CAST(CASE m WHEN 0 THEN 7 WHEN 1 THEN 2 END AS INTEGER) AS chain_count, "
     f"CASE m WHEN 0 THEN 'high' WHEN 1 THEN 'medium' END AS complexity FROM {_DOCUMENTS} WHERE m < 3"
@@ -374,7 +364,7 @@ def graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobtable.graph_summary(testkit.jobs_json(spark, sf_dir))
 
 
-@_register(
+@REGISTRY.query(
     "SELECT class_name AS job_name, 'org.gen.p' || b AS package, class_name AS driver, path AS file_path, "
     "'C' || (k - 5) || 'Mapper' AS mapper, 'C' || (k - 4) || 'Combiner' AS combiner, 'C' || (k - 3) || 'Sum' AS reducer, "
     "'Absent' AS partitioner, 'src/p' || b || '/F' || (k - 5) || '.java' AS mapper_path, "
@@ -383,7 +373,8 @@ def graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def assembled_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = testkit.code_files(spark, sf_dir)
-    return jobtable.assemble_jobs(files, corpus.extract_classes(files))
+    classes = durable(corpus.extract_classes(files))  # read as drivers and as the classes they name
+    return jobtable.assemble_jobs(files, classes)
 
 
 _CHAIN = (
@@ -393,12 +384,12 @@ _CHAIN = (
 )
 
 
-@_register(_CHAIN + "SELECT 'job' || k AS job, 'job' || root AS root, CAST(depth AS BIGINT) AS depth FROM walk")
+@REGISTRY.query(_CHAIN + "SELECT 'job' || k AS job, 'job' || root AS root, CAST(depth AS BIGINT) AS depth FROM walk")
 def chain_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobtable.resolve_chains(testkit.chain_jobs(spark, sf_dir))[0]
 
 
-@_register(_CHAIN + "SELECT 'job' || k AS job, 'broken' AS reason FROM jobs WHERE k NOT IN (SELECT k FROM walk)")
+@REGISTRY.query(_CHAIN + "SELECT 'job' || k AS job, 'broken' AS reason FROM jobs WHERE k NOT IN (SELECT k FROM walk)")
 def broken_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobtable.resolve_chains(testkit.chain_jobs(spark, sf_dir))[1]
 
@@ -406,7 +397,7 @@ def broken_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- payloads ---------------------------------------------------------------
 
 
-@_register(
+@REGISTRY.query(
     "SELECT event_id AS id, CASE event_id % 6 WHEN 4 THEN replace(props, '}', ', \"p\": \"C:\\\\dir\\\\u0041\"}') "
     "WHEN 5 THEN NULL ELSE props END AS payload, "
     "CAST(CASE event_id % 6 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 4 WHEN 4 THEN 4 END AS INTEGER) AS strategy, "
@@ -420,7 +411,7 @@ def salvaged_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ORDERS = "(SELECT o_orderkey AS k, o_orderkey % 5 AS m, o_orderstatus = 'F' AS given FROM orders)"
 
 
-@_register(
+@REGISTRY.query(
     "SELECT k AS id, f.path AS path, f.content AS content FROM (SELECT k, unnest(CASE m "
     "WHEN 0 THEN [{'path': 'a' || k || '.scala', 'content': 'object A'}, {'path': 'b.scala', 'content': 'object B'}] "
     "WHEN 1 THEN [{'path': 'a' || k || '.scala', 'content': 'object A'}] "
@@ -431,7 +422,7 @@ def kept_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payloads.filter_generated_files(testkit.payloads(spark, sf_dir))
 
 
-@_register(
+@REGISTRY.query(
     "SELECT id, CAST(i AS INTEGER) AS pos, w[i + 1] AS warning FROM (SELECT k AS id, list_concat("
     "CASE WHEN given THEN ['given'] ELSE CAST([] AS VARCHAR[]) END, CASE m WHEN 1 THEN ['Filtered out build file: pom.xml'] "
     "WHEN 2 THEN ['Filtered out non-Scala file: README.md'] "
@@ -442,7 +433,7 @@ def payload_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payloads.payload_warnings(testkit.payloads(spark, sf_dir))
 
 
-@_register(
+@REGISTRY.query(
     "SELECT k AS id, CAST([2, 1, 1, 0, 0][m + 1] AS INTEGER) AS file_count, "
     "CAST(CASE WHEN m = 4 THEN 0 ELSE [0, 1, 1, 2][m + 1] + CASE WHEN given THEN 1 ELSE 0 END END AS INTEGER) AS warning_count, "
     f"m = 4 AS rejected, CASE WHEN m = 4 THEN 'File content for ''n.scala'' is not a string' END AS error FROM {_ORDERS}"
@@ -458,7 +449,7 @@ _STUB_SQL = (
 )
 
 
-@_register(
+@REGISTRY.query(
     "SELECT k AS id, job_name, 'src/main/scala/com/example/spark/' || f.path AS path, f.content AS content FROM ("
     "SELECT k, job_name, unnest(CASE m WHEN 0 THEN [{'path': 'App.scala', 'content': " + _STUB_SQL + "}] "
     "WHEN 1 THEN [{'path': 'driver/' || n || 'App.scala', 'content': 'package a.b' || chr(10) || 'object M' || k || ' { def main(x: Int) = 1 }'}] "
@@ -473,7 +464,7 @@ def code_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payloads.extract_code_blocks(testkit.code_replies(spark, sf_dir))
 
 
-@_register(
+@REGISTRY.query(
     "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'owes' ELSE c_name END AS c_name, "
     "CASE WHEN c_acctbal < 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment FROM customer UNION ALL "
     "SELECT c_custkey + 1000000000, 'new', c_mktsegment FROM customer WHERE c_acctbal > 9000"

@@ -12,22 +12,12 @@ from shuffleworks.operators import equivalence as eq
 from shuffleworks.operators import mapreduce as mr
 from shuffleworks.operators.ordering import global_rank, group_rank
 from shuffleworks.plans.chain import Job, run_chain
-from shuffleworks.session import scratch_path
+from shuffleworks.plans.registry import Registry
+from shuffleworks.session import durable, scratch_path
 from shuffleworks.sources import formats
 from shuffleworks.testkit import table
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def _register(sql: str | None):
-    def add(fn):
-        QUERIES[fn.__name__] = fn
-        if sql is not None:
-            ORACLES[fn.__name__] = sql
-        return fn
-
-    return add
+REGISTRY = Registry()
 
 
 _TOKENS = r"""(SELECT doc_id, unnest(string_split_regex(text, '[ \t\n\r\f]+')) AS token FROM documents) WHERE token <> ''"""
@@ -41,7 +31,7 @@ def _ones(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- map --------------------------------------------------------------------
 
 
-@_register(
+@REGISTRY.query(
     "SELECT l_orderkey, l_linenumber, "
     "CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(5,2))) AS DOUBLE) AS charge "
     "FROM lineitem"
@@ -54,7 +44,7 @@ def line_charges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_register(
+@REGISTRY.query(
     "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, upper(event_type) AS kind FROM events"
 )
 def event_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +57,7 @@ def event_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mr.map_batches(events, parse, "event_id bigint, k bigint, kind string")
 
 
-@_register(
+@REGISTRY.query(
     "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem "
     "WHERE l_quantity < 10 AND l_returnflag = 'R' AND l_shipdate >= TIMESTAMP '1998-01-01'"
 )
@@ -80,7 +70,7 @@ def small_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mr.map_only(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber", "l_quantity"], keep)
 
 
-@_register(f"SELECT doc_id, count(*) AS tokens, count(DISTINCT token) AS words FROM {_TOKENS} GROUP BY doc_id")
+@REGISTRY.query(f"SELECT doc_id, count(*) AS tokens, count(DISTINCT token) AS words FROM {_TOKENS} GROUP BY doc_id")
 def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = mr.tokenize(table(spark, sf_dir, "documents", "doc_id", "text"), "text", keep=("doc_id",))
     per_word = mr.reduce_by_key(tokens, ["doc_id", "token"], {"n": F.count(F.lit(1))})
@@ -90,22 +80,22 @@ def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- combine and reduce -----------------------------------------------------
 
 
-@_register(_WORD_COUNT)
+@REGISTRY.query(_WORD_COUNT)
 def word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mr.reduce_by_key(_ones(spark, sf_dir), ["key"], {"value": mr.int_sum_wrapping(F.col("value"))})
 
 
-@_register(_WORD_COUNT)
+@REGISTRY.query(_WORD_COUNT)
 def word_count_salted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mr.pre_aggregate(_ones(spark, sf_dir), ["key"], {"value": mr.int_sum_wrapping(F.col("value"))})
 
 
-@_register(_WORD_COUNT)
+@REGISTRY.query(_WORD_COUNT)
 def word_count_rdd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mr.reduce_by_key_rdd(_ones(spark, sf_dir), "key", "value", lambda a, b: a + b)
 
 
-@_register(
+@REGISTRY.query(
     "SELECT l_returnflag, CAST((s + 2147483648) % 4294967296 - 2147483648 AS INTEGER) AS cents, n, lowest, highest "
     "FROM (SELECT l_returnflag, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS s, count(*) AS n, "
     "min(l_partkey) AS lowest, max(l_partkey) AS highest FROM lineitem GROUP BY l_returnflag)"
@@ -123,7 +113,7 @@ def wrapping_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mr.pre_aggregate(lines, ["l_returnflag"], aggs)
 
 
-@_register(
+@REGISTRY.query(
     "SELECT user_id, n, cents, CAST(n * squares - cents * cents AS VARCHAR) AS spread FROM ("
     "SELECT user_id, count(*) AS n, CAST(sum(c) AS BIGINT) AS cents, CAST(sum(c * c) AS HUGEINT) AS squares FROM "
     "(SELECT user_id, CAST(round(value * 100) AS BIGINT) AS c FROM events) GROUP BY user_id)"
@@ -153,7 +143,7 @@ def value_spread_per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_register(
+@REGISTRY.query(
     "SELECT user_id, CAST(median(gap) AS DOUBLE) AS median_gap_us FROM (SELECT user_id, epoch_us(ts) - "
     "lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events) "
     "WHERE gap IS NOT NULL GROUP BY user_id"
@@ -167,8 +157,10 @@ def median_gap_per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("user_id", "event_id", epoch_micros(F.col("ts")).alias("at"))
     placed = group_rank(events, ["user_id"], ["at", "event_id"], "place")
     earlier = placed.select("user_id", (F.col("place") + 1).alias("place"), F.col("at").alias("before"))
-    gaps = placed.join(earlier, ["user_id", "place"]).select(
-        "user_id", "event_id", (F.col("at") - F.col("before")).alias("gap")
+    gaps = durable(  # ranked, and counted twice
+        placed.join(earlier, ["user_id", "place"]).select(
+            "user_id", "event_id", (F.col("at") - F.col("before")).alias("gap")
+        )
     )
     ranked = group_rank(gaps, ["user_id"], ["gap", "event_id"], "place")
     counts = gaps.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
@@ -178,7 +170,7 @@ def median_gap_per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.join(middle, ["user_id", "place"]).groupBy("user_id").agg(F.avg("gap").alias("median_gap_us"))
 
 
-@_register(
+@REGISTRY.query(
     "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS quantity "
     "FROM lineitem GROUP BY l_returnflag, l_linestatus"
 )
@@ -190,7 +182,7 @@ def totals_by_composite_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals.select("key.*", "n", F.col("quantity").cast("double").alias("quantity"))
 
 
-@_register(
+@REGISTRY.query(
     "SELECT value AS n, count(*) AS words FROM (SELECT token, count(*) AS value FROM "
     + _TOKENS
     + " GROUP BY token) GROUP BY value"
@@ -205,7 +197,7 @@ def count_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_chain(jobs)["histogram"]
 
 
-@_register(
+@REGISTRY.query(
     "SELECT coalesce(p.k, l.k) AS partkey, CAST(coalesce(inventory, 0) AS DOUBLE) AS inventory, "
     "CAST(coalesce(sales, 0) AS DOUBLE) AS sales, CAST(coalesce(pieces, 0) AS BIGINT) AS pieces FROM "
     "(SELECT p_partkey AS k, sum(CAST(p_retailprice AS DECIMAL(18,2))) AS inventory FROM part GROUP BY 1) p FULL JOIN "
@@ -232,7 +224,7 @@ def inventory_and_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals.select("partkey", money("inventory"), money("sales"), "pieces")
 
 
-@_register(
+@REGISTRY.query(
     "SELECT tag, count(*) AS n, count(price) AS priced, CAST(sum(CAST(price AS DECIMAL(18,2))) AS DOUBLE) AS total FROM "
     "(SELECT 'orders' AS tag, o_totalprice AS price FROM orders UNION ALL "
     "SELECT 'lines', l_extendedprice FROM lineitem UNION ALL SELECT 'events', NULL FROM events) GROUP BY tag"
@@ -252,13 +244,13 @@ def tagged_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- partition and sort -----------------------------------------------------
 
 
-@_register("SELECT CAST(o_custkey % 8 AS INTEGER) AS partition_id, count(*) AS n FROM orders GROUP BY 1")
+@REGISTRY.query("SELECT CAST(o_custkey % 8 AS INTEGER) AS partition_id, count(*) AS n FROM orders GROUP BY 1")
 def orders_per_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_custkey")
     return mr.partition_sizes(mr.partition_by(orders, 8, partition_expr=F.col("o_custkey") % 8))
 
 
-@_register("SELECT count(*) AS customers, max(parts) AS parts_per_customer FROM "
+@REGISTRY.query("SELECT count(*) AS customers, max(parts) AS parts_per_customer FROM "
            "(SELECT o_custkey, 1 AS parts FROM orders GROUP BY o_custkey)")
 def partitions_per_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every key lies in one partition, whatever their number."""
@@ -268,7 +260,7 @@ def partitions_per_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_key.agg(F.count(F.lit(1)).alias("customers"), F.max("parts").alias("parts_per_customer"))
 
 
-@_register(
+@REGISTRY.query(
     "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rank FROM events"
 )
 def event_order_per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -276,7 +268,7 @@ def event_order_per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_rank(events, ["user_id"], ["ts", "event_id"]).drop("ts")
 
 
-@_register(
+@REGISTRY.query(
     "SELECT c_custkey, row_number() OVER (ORDER BY c_mktsegment, c_acctbal, c_custkey) AS rank FROM customer"
 )
 def customer_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,7 +279,7 @@ def customer_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- formats ----------------------------------------------------------------
 
 
-@_register("SELECT CAST(l_partkey AS VARCHAR) AS key, count(*) AS n, CAST(sum(l_suppkey) AS BIGINT) AS suppliers FROM lineitem GROUP BY 1")
+@REGISTRY.query("SELECT CAST(l_partkey AS VARCHAR) AS key, count(*) AS n, CAST(sum(l_suppkey) AS BIGINT) AS suppliers FROM lineitem GROUP BY 1")
 def text_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write key and value as lines, read the lines back, reduce."""
     path = scratch_path(spark, "text")
@@ -297,7 +289,7 @@ def text_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mr.reduce_by_key(pairs, ["key"], {"n": mr.count_of(), "suppliers": mr.sum_of(F.col("value"))})
 
 
-@_register("SELECT event_type, event_id, value FROM events")
+@REGISTRY.query("SELECT event_type, event_id, value FROM events")
 def parquet_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "parquet")
     events = table(spark, sf_dir, "events").select("event_type", "event_id", "value")
@@ -305,7 +297,7 @@ def parquet_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formats.read_input(spark, "ParquetInputFormat", [path]).select("event_type", "event_id", "value")
 
 
-@_register("SELECT event_id AS key, event_type AS value FROM events")
+@REGISTRY.query("SELECT event_id AS key, event_type AS value FROM events")
 def sequence_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "sequence")
     pairs = mr.emit(table(spark, sf_dir, "events"), "event_id", "event_type")
@@ -331,17 +323,17 @@ _CHANGED = (
 )
 
 
-@_register(f"SELECT (SELECT count(*) FROM lineitem) AS left_rows, (SELECT count(*) FROM {_CHANGED}) AS right_rows")
+@REGISTRY.query(f"SELECT (SELECT count(*) FROM lineitem) AS left_rows, (SELECT count(*) FROM {_CHANGED}) AS right_rows")
 def changed_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eq.row_counts(table(spark, sf_dir, "lineitem"), testkit.changed_lineitem(spark, sf_dir))
 
 
-@_register(f"SELECT count(*) AS row_count, CAST(sum({_LINE_HASH}) AS VARCHAR) AS checksum FROM lineitem")
+@REGISTRY.query(f"SELECT count(*) AS row_count, CAST(sum({_LINE_HASH}) AS VARCHAR) AS checksum FROM lineitem")
 def lineitem_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eq.checksum(testkit.all_lines(spark, sf_dir)).withColumn("checksum", F.col("checksum").cast("string"))
 
 
-@_register(
+@REGISTRY.query(
     "SELECT true AS passed, count(*) AS left_rows, count(*) AS right_rows, true AS checksum_match, "
     f"'rows equal: ' || count(*) || ' vs ' || count(*) || '; checksums equal' AS details FROM ({_WORD_COUNT})"
 )
@@ -350,7 +342,7 @@ def word_count_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eq.compare(word_count_rdd(spark, sf_dir), word_count_salted(spark, sf_dir))
 
 
-@_register(
+@REGISTRY.query(
     "SELECT l = r AND a = b AS passed, l AS left_rows, r AS right_rows, a = b AS checksum_match, "
     "'rows ' || CASE WHEN l = r THEN 'equal' ELSE 'differ' END || ': ' || l || ' vs ' || r || '; checksums ' || "
     "CASE WHEN a = b THEN 'equal' ELSE 'differ' END AS details FROM "
@@ -361,7 +353,7 @@ def changed_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eq.compare(testkit.all_lines(spark, sf_dir), testkit.changed_lineitem(spark, sf_dir))
 
 
-@_register(
+@REGISTRY.query(
     "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, "
     "l_returnflag, l_linestatus, epoch_us(l_shipdate) AS shipped, side, count(*) AS times FROM ("
     f"SELECT *, 'left' AS side FROM (SELECT * FROM lineitem EXCEPT ALL SELECT * FROM {_CHANGED}) UNION ALL "

@@ -8,22 +8,12 @@ from pyspark.sql import functions as F
 from shuffleworks import testkit
 from shuffleworks.functions.timing import duration_ms
 from shuffleworks.operators import runs
+from shuffleworks.plans.registry import Registry
 from shuffleworks.session import scratch_path
 from shuffleworks.streaming import progress as stream
 from shuffleworks.testkit import table
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def _register(sql: str | None):
-    def add(fn):
-        QUERIES[fn.__name__] = fn
-        if sql is not None:
-            ORACLES[fn.__name__] = sql
-        return fn
-
-    return add
+REGISTRY = Registry()
 
 
 _KEYS, _ORDER = ["run_id", "node_name"], ["ts", "event_id"]
@@ -43,12 +33,12 @@ _LATEST = (
 # --- progress ---------------------------------------------------------------
 
 
-@_register(f"SELECT run_id, node_name, status, event_id, error FROM {_LATEST}")
+@REGISTRY.query(f"SELECT run_id, node_name, status, event_id, error FROM {_LATEST}")
 def latest_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _latest(spark, sf_dir).select("run_id", "node_name", "status", "event_id", "error")
 
 
-@_register(
+@REGISTRY.query(
     "SELECT user_id AS run_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_type, event_id) - 1 AS pos FROM events"
 )
 def appended_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +47,7 @@ def appended_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.append_lists(updates, ["run_id"], ["node_name", "event_id"]).select("run_id", "event_id", "pos")
 
 
-@_register(
+@REGISTRY.query(
     "SELECT r.run_id, d.n AS node_name, coalesce(l.status, 'pending') AS status "
     "FROM (SELECT DISTINCT user_id AS run_id FROM events) r CROSS JOIN "
     "(VALUES ('click'), ('error'), ('purchase'), ('signup'), ('view'), ('refund')) d(n) "
@@ -67,7 +57,7 @@ def progress_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.progress_snapshot(_latest(spark, sf_dir), testkit.PROGRESS_NODES)
 
 
-@_register(
+@REGISTRY.query(
     "SELECT event_id, CASE WHEN event_type = 'view' AND value < 10 THEN NULL ELSE event_id % 5000 END AS duration_ms FROM events"
 )
 def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +65,7 @@ def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return updates.select("event_id", duration_ms(F.col("started_at"), F.col("ended_at")).alias("duration_ms"))
 
 
-@_register(
+@REGISTRY.query(
     "SELECT run_id, node_name, error, row_number() OVER (PARTITION BY run_id ORDER BY node_name) AS place "
     f"FROM {_LATEST} WHERE status = 'failed'"
 )
@@ -83,7 +73,7 @@ def failed_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.failed_nodes(_latest(spark, sf_dir))
 
 
-@_register(
+@REGISTRY.query(
     "SELECT p.run_id, total_nodes, success, failed, coalesce(jobs, 0) AS jobs, coalesce(scala_files, 0) AS scala_files, "
     "coalesce(review, false) AS human_review FROM (SELECT run_id, count(*) AS total_nodes, "
     f"count(*) FILTER (status = 'success') AS success, count(*) FILTER (status = 'failed') AS failed FROM {_LATEST} GROUP BY run_id) p "
@@ -103,7 +93,7 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.run_summary(_latest(spark, sf_dir), jobs, files, reviews)
 
 
-@_register(
+@REGISTRY.query(
     "SELECT o_custkey, o_orderkey, o_totalprice, CAST(place AS INTEGER) AS place, greatest(n - 5, 0) AS remaining FROM "
     "(SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place, "
     "count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) WHERE place <= 5"
@@ -113,7 +103,7 @@ def top_orders_per_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.top_k_with_remainder(orders, ["o_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 5)
 
 
-@_register(
+@REGISTRY.query(
     "SELECT l_orderkey, l_partkey, l_linenumber, l_extendedprice, "
     "CAST(row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) AS INTEGER) AS place, "
     "(SELECT count(*) FROM lineitem) - 15 AS remaining FROM lineitem "
@@ -128,7 +118,7 @@ def top_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- logs and attempts ------------------------------------------------------
 
 
-@_register(
+@REGISTRY.query(
     "SELECT o_orderkey AS attempt_id, CAST(len(found) AS INTEGER) AS n, array_to_string(found, '; ') AS lines FROM "
     "(SELECT o_orderkey, CASE o_orderkey % 5 WHEN 1 THEN ['[ERROR] one ' || o_orderkey, 'value x is not a member of Y'] "
     "WHEN 2 THEN list_transform(range(1, 21), lambda i: 'x.scala:' || i || ': error: bad') "
@@ -141,7 +131,7 @@ def error_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_register(
+@REGISTRY.query(
     "SELECT o_custkey AS run_id, o_orderkey AS attempt_id, "
     "row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS attempt FROM orders"
 )
@@ -150,7 +140,7 @@ def numbered_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.number_attempts(results, ["finished_at", "attempt_id"]).drop("finished_at")
 
 
-@_register(
+@REGISTRY.query(
     "SELECT o_custkey AS run_id, o_orderkey AS attempt_id, o_orderkey % 5 = 0 AS success FROM orders "
     "QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1"
 )
@@ -164,7 +154,7 @@ def deciding_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STATES = "(SELECT o_orderkey AS k, o_orderkey // 3 % 5 AS patches, o_orderkey // 4 % 3 AS risks FROM orders)"
 
 
-@_register(
+@REGISTRY.query(
     "SELECT k AS run_id, CASE WHEN k % 2 = 0 AND risks > 0 THEN 'human_review' ELSE 'project_scaffold' END AS after_risk, "
     "CASE WHEN k % 3 = 0 THEN 'test_check' WHEN patches >= 3 THEN 'human_review' ELSE 'critique_and_patch' END AS after_compile, "
     f"CASE WHEN k % 7 < 3 THEN 'package_export' ELSE 'human_review' END AS after_test FROM {_STATES}"
@@ -175,7 +165,7 @@ def gate_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_register(
+@REGISTRY.query(
     "SELECT k AS run_id, 'Human review required' || CASE WHEN k % 3 = 1 OR risks > 0 THEN ': ' ELSE '' END || "
     "concat_ws(' · ', CASE WHEN k % 3 = 1 THEN 'Compile failed after ' || patches || ' patch attempt(s)' END, "
     "CASE WHEN risks > 0 THEN risks || ' custom library risk(s) detected' END) AS review_message "
@@ -185,7 +175,7 @@ def review_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.review_reasons(testkit.run_states(spark, sf_dir)).select("run_id", "review_message")
 
 
-@_register(
+@REGISTRY.query(
     "SELECT c_custkey AS run_id, CASE c_custkey % 6 WHEN 0 THEN '' WHEN 1 THEN 'Git mode selected but repo_url is empty.' "
     "WHEN 2 THEN 'Git mode selected but branch is empty.' "
     "WHEN 3 THEN 'Git mode selected but repo_url is empty.; Git mode selected but branch is empty.' "
@@ -200,7 +190,7 @@ def config_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- stream -----------------------------------------------------------------
 
 
-@_register(f"SELECT run_id, node_name, status, event_id FROM {_LATEST}")
+@REGISTRY.query(f"SELECT run_id, node_name, status, event_id FROM {_LATEST}")
 def streamed_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream of files, merged batch by batch into a table."""
     schema = table(spark, sf_dir, "events").schema

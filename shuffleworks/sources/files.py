@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import posixpath
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,15 +22,15 @@ def _listed(spark: SparkSession, root: str, name_glob: str) -> DataFrame:
     itself leaves out names that start with ``_`` or ``.``. A missing root is an
     error.
     """
-    if not re.match(_SCHEME, root) and not os.path.isabs(root):
-        root = os.path.abspath(root)
+    scheme = re.match(f"({_SCHEME})?", root).group()
+    folder = posixpath.normpath(os.path.abspath(root) if not scheme else root[len(scheme) :])
     raw = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", name_glob)
-        .load(root)
+        .load(scheme + folder)
     )
-    below = len(re.sub(_SCHEME, "", root).rstrip("/")) + 2
+    below = len(folder.rstrip("/")) + 2
     plain = F.regexp_replace("path", _SCHEME, "")
     return raw.select(
         F.substring(plain, F.lit(below), F.length(plain)).alias("path"),

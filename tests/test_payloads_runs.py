@@ -91,6 +91,12 @@ def test_overlay_replaces_whole_rows(spark, rows):
     assert rows(payloads.overlay(base, patch, ["k"])) == sorted([(1, "a", 1), (2, None, 9), (3, "c", 3), (None, "m", 1)], key=repr)
 
 
+def test_overlay_of_maps(spark):
+    df = spark.createDataFrame([({"a": "1", "b": "2"}, {"b": "9", "c": "3"}), ({"a": "1"}, None)], "x map<string,string>, y map<string,string>")
+    merged = [r[0] for r in df.select(payloads.overlay_map(F.col("x"), F.col("y"))).collect()]
+    assert merged == [{"a": "1", "b": "9", "c": "3"}, {"a": "1"}]
+
+
 # --- runs -------------------------------------------------------------------
 
 UPDATES = [(1, "n", 1, "running"), (1, "n", 3, "failed"), (1, "n", 2, "success"), (1, "m", 1, None), (2, "n", 1, "x")]

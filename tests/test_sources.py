@@ -37,6 +37,14 @@ def test_scan_keeps_sources_and_build_files(spark, tree):
     }
 
 
+def test_scan_of_odd_paths(spark, tmp_path):
+    folder = tmp_path / "my dir" / "50%"
+    folder.mkdir(parents=True)
+    (folder / "A b.java").write_text("x")
+    for root in (f"{tmp_path}//my dir/", f"file://{tmp_path}/my dir", f"{tmp_path}/other/../my dir"):
+        assert [r.path for r in files.scan_files(spark, root).collect()] == ["50%/A b.java"]
+
+
 def test_scan_can_look_into_build_dirs(spark, tree):
     found = [r.path for r in files.scan_files(spark, str(tree), skip_build_dirs=False).collect()]
     assert "target/Gen.java" in found and "a/out/C.java" in found
