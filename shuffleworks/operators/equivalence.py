@@ -85,11 +85,8 @@ def compare(left: DataFrame, right: DataFrame, columns: list[str] | None = None,
     )
 
 
-def _surplus(left: DataFrame, right: DataFrame, names: list[str]) -> DataFrame:
-    """``names`` and ``_n``: how many times more a row is on the left (or, negative, on the right)."""
-    signed = left.select(*names, F.lit(1).alias("_sign")).unionByName(
-        right.select(*names, F.lit(-1).alias("_sign"))
-    )
+def _unbalanced(signed: DataFrame, names: list[str]) -> DataFrame:
+    """``names`` and ``_n``, the sum of the signs, where it is not zero."""
     return signed.groupBy(*names).agg(F.sum("_sign").alias("_n")).where(F.col("_n") != 0)
 
 
@@ -104,15 +101,15 @@ def diff_rows(
     rows. Best where most rows agree. Without it whole rows are counted at once.
     """
     names = _check_columns(left, right, columns)
+    signed = left.select(*names, F.lit(1).alias("_sign")).unionByName(
+        right.select(*names, F.lit(-1).alias("_sign"))
+    )
     if by_hash:
-        marks = ["_h1", "_h2"]
         values = [F.col(f"`{n}`") for n in names]
-        hashes = {"_h1": F.xxhash64(*values), "_h2": F.xxhash64(F.lit(1), *values)}
-        left, right = (side.select(*names).withColumns(hashes) for side in (left, right))
-        suspects = _surplus(left, right, marks).select(*marks)
-        left, right = (side.join(suspects, marks, "left_semi") for side in (left, right))
-    surplus = _surplus(left, right, names)
-    return surplus.select(
+        signed = signed.withColumns({"_h1": F.xxhash64(*values), "_h2": F.xxhash64(F.lit(1), *values)})
+        suspects = _unbalanced(signed, ["_h1", "_h2"]).drop("_n")
+        signed = signed.join(suspects, ["_h1", "_h2"], "left_semi")
+    return _unbalanced(signed, names).select(
         *names,
         F.when(F.col("_n") > 0, "left").otherwise("right").alias("side"),
         F.abs("_n").alias("times"),
