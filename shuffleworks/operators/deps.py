@@ -25,8 +25,13 @@ ITEM_COLUMNS = ["matched_prefix", "artifact", "location", "is_transitive", "sugg
 
 
 def usable_prefixes(prefixes: list[str]) -> list[str]:
-    """The prefixes that are not blank, in order."""
-    return [p for p in prefixes if p.strip()]
+    """The prefixes that are not blank, in order, each once."""
+    return list(dict.fromkeys(p for p in prefixes if p.strip()))
+
+
+def _each_once(prefixes: DataFrame) -> DataFrame:
+    """One row per prefix of a table, at its first place."""
+    return prefixes.groupBy("prefix").agg(F.min("prefix_pos").alias("prefix_pos"))
 
 
 def explode_imports(classes: DataFrame) -> DataFrame:
@@ -80,7 +85,7 @@ def match_prefix(df: DataFrame, col: str, prefixes: list[str] | DataFrame) -> Da
         return _none(df)
     fitting = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length(text))
     cut = df.withColumn("_cut", F.explode(F.transform(fitting, lambda n: F.substring(text, F.lit(1), n))))
-    wanted = prefixes.select("prefix_pos", "prefix")
+    wanted = _each_once(prefixes)
     return cut.join(wanted, cut["_cut"] == wanted["prefix"]).select(*df.columns, "prefix_pos", "prefix")
 
 
@@ -111,7 +116,7 @@ def match_contains(df: DataFrame, col: str, prefixes: list[str] | DataFrame) ->
         )
     )
     cut = df.withColumn("_cut", F.explode(F.array_distinct(cuts)))
-    wanted = prefixes.select("prefix_pos", "prefix")
+    wanted = _each_once(prefixes)
     return cut.join(wanted, cut["_cut"] == wanted["prefix"]).select(*df.columns, "prefix_pos", "prefix")
 
 

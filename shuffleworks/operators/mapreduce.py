@@ -16,6 +16,9 @@ from shuffleworks.sources.formats import read_tagged
 
 KEY, VALUE = "key", "value"
 
+# Larger groups do not reach user code in one piece.
+USER_GROUP_ROWS = 1_000_000
+
 
 # --- map --------------------------------------------------------------------
 
@@ -195,12 +198,13 @@ def reduce_groups(
     keys, in ``partial_schema``) and ``merge`` (all partial rows of a key to the
     result). Without them a larger group is an error, never a cut group.
     """
-    hot = hot_groups(df, keys, hot_rows)
+    limit = hot_limit(df, hot_rows, USER_GROUP_ROWS)
+    hot = hot_groups(df, keys, limit)
     if hot is None:
         return _apply_to_groups(df, keys, fn, schema)
     if partial is None or merge is None or partial_schema is None:
         raise ValueError(
-            f"{hot.count()} group(s) have more than {hot_limit(df, hot_rows)} rows: "
+            f"{hot.count()} group(s) have more than {limit} rows: "
             "give partial, partial_schema and merge for them, or raise hot_rows"
         )
     cold_rows, hot_part = split_hot(df, hot, keys)

@@ -90,9 +90,9 @@ def global_rank(df: DataFrame, cols: list[str], out: str = "rank") -> DataFrame:
     )
 
 
-def hot_limit(df: DataFrame, hot_rows: int | None) -> int:
+def hot_limit(df: DataFrame, hot_rows: int | None, default: int = HOT_ROWS) -> int:
     """``hot_rows`` if given, else what the session says, else the default."""
-    return int(df.sparkSession.conf.get(HOT_ROWS_CONF, str(HOT_ROWS))) if hot_rows is None else hot_rows
+    return int(df.sparkSession.conf.get(HOT_ROWS_CONF, str(default))) if hot_rows is None else hot_rows
 
 
 def hot_groups(df: DataFrame, group: list[str], hot_rows: int | None = None) -> DataFrame | None:

@@ -23,6 +23,7 @@ from shuffleworks.constants import (
 )
 from shuffleworks.functions.jsontext import salvage_one
 from shuffleworks.functions.text import contains_any, strip_blanks
+from shuffleworks.operators.runs import merge_updates
 
 
 def salvage_json(df: DataFrame, raw_col: str, keep: list[str] | None = None) -> DataFrame:
@@ -168,18 +169,13 @@ def extract_code_blocks(df: DataFrame, raw: str = "raw", job_name: str = "job_na
 def overlay(base: DataFrame, patch: DataFrame, key: list[str]) -> DataFrame:
     """Rows of ``patch`` replace rows of ``base`` with the same key; new keys are added.
 
-    Keys are unique on each side. A patched row replaces the whole row, nulls
-    included.
+    One row per key comes out, and a patched row replaces the whole row, nulls
+    included. It is the merge of two updates in which the patch comes last: one
+    shuffle, no join.
     """
-    values = [c for c in base.columns if c not in key]
-    left = base.select(*[F.col(k).alias(f"_b_{k}") for k in key], *[F.col(v).alias(f"_b_{v}") for v in values])
-    right = patch.select(*key, *values).withColumn("_patched", F.lit(True))
-    same = left[f"_b_{key[0]}"].eqNullSafe(right[key[0]])
-    for k in key[1:]:
-        same = same & left[f"_b_{k}"].eqNullSafe(right[k])
-    joined = left.join(right, same, "full_outer")
-    pick = lambda c: F.when(F.col("_patched"), F.col(c)).otherwise(F.col(f"_b_{c}")).alias(c)
-    return joined.select(*[pick(c) for c in base.columns])
+    first = base.withColumn("_turn", F.lit(0))
+    second = patch.select(*base.columns).withColumn("_turn", F.lit(1))
+    return merge_updates(first.unionByName(second), key, ["_turn"]).drop("_turn")
 
 
 def overlay_map(base: Column, patch: Column) -> Column:

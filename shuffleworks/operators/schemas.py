@@ -85,7 +85,10 @@ def _key_classes_with_fields(classes: DataFrame, files: DataFrame, path: str, co
         F.col(path).alias("_path"),
         F.try_element_at(F.filter(lists, lambda fields: F.size(fields) > 0), F.lit(1)).alias("_found"),
     )
-    joined = keys.join(per_file, keys.file_path == per_file._path, "left")
+    # One row per path, so that copies of a file cannot multiply classes. The join
+    # uses the partitioning of this aggregate.
+    per_path = per_file.groupBy("_path").agg(F.max("_found").alias("_found"))
+    joined = keys.join(per_path, keys.file_path == per_path._path, "left")
     no_path = F.coalesce(F.col("file_path"), F.lit("")) == ""
     fields = (
         F.when(no_path, F.array().cast(FIELD_LIST))

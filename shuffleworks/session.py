@@ -37,11 +37,12 @@ def sizing(input_bytes: int, cores: int) -> dict[str, str]:
 
     Splits of 128 to 512 MB, as many as keep every core busy without millions of
     tasks; shuffle partitions of about 200 MB, a size a core can sort in memory,
-    and at least two per core. Adaptive execution merges what turns out small.
+    at least two per core and at most 100,000, beyond which the number of blocks
+    costs more than larger partitions. Adaptive execution merges small ones.
     """
     mega = 1024 * 1024
     split = min(max(input_bytes // 400_000, 128 * mega), 512 * mega)
-    partitions = min(max(input_bytes // (200 * mega), 2 * cores), 200_000)
+    partitions = min(max(input_bytes // (200 * mega), 2 * cores), 100_000)
     return {
         "spark.sql.files.maxPartitionBytes": str(split),
         "spark.sql.shuffle.partitions": str(partitions),

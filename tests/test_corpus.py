@@ -227,6 +227,11 @@ def test_key_fields_fall_through(spark):
         assert schemas.unresolved_keys(key_class(spark, path), files).count() == lost
 
 
+def test_copies_of_a_file_do_not_multiply_fields(spark):
+    files = spark.createDataFrame([("k", "private Text a;")] * 3, "path string, content string")
+    assert schemas.composite_key_fields(key_class(spark, "k"), files).count() == 1
+
+
 def test_generics_need_four_parts(spark):
     df = spark.createDataFrame(
         [("A", "f", "reducer", "Reducer<Text, Map<K, V>, Void, Group, Extra>"), ("B", "f", "mapper", "Mapper<A, B, C>"), ("C", "f", "mapper", None)],

@@ -101,6 +101,14 @@ def test_prefix_table_joins_by_hash(spark, plan):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_copies_of_a_prefix_count_once(spark):
+    df = spark.createDataFrame([("ab",), ("ab",)], "t string")
+    table = spark.createDataFrame([(3, "a"), (1, "a"), (2, "a")], "prefix_pos int, prefix string")
+    for prefixes in (table, ["z", "a", "a"]):
+        for match in (deps.match_prefix, deps.match_contains):
+            assert [tuple(r) for r in match(df, "t", prefixes).collect()] == [("ab", 1, "a")] * 2
+
+
 # --- jobs -------------------------------------------------------------------
 
 
