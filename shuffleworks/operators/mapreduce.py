@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +20,8 @@ KEY, VALUE = "key", "value"
 # Larger groups do not reach user code in one piece.
 USER_GROUP_ROWS = 1_000_000
 
+_HELD_KEYS = 100_000
+
 
 # --- map --------------------------------------------------------------------
 
@@ -163,11 +166,34 @@ def pre_aggregate(df: DataFrame, keys: list[str], aggs: Mapping[str, Combinable]
 def reduce_by_key_rdd(df: DataFrame, key: str, value: str, op: Callable) -> DataFrame:
     """The same through ``RDD.reduceByKey`` for an ``op`` only Python can say.
 
-    Values are combined in each map task before the shuffle. Slower than
-    ``reduce_by_key`` by the cost of moving every row through Python.
+    Values are combined in each map task before the shuffle: first per Arrow
+    batch, at most ``_HELD_KEYS`` keys at a time, so that few rows have to become
+    Python objects of the RDD. Still slower than ``reduce_by_key`` by the cost of
+    moving every row through Python.
     """
     pairs = df.select(F.col(key).alias(KEY), F.col(value).alias(VALUE))
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in pairs.schema.fields])
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        kinds = []
+        for batch in batches:
+            kinds = batch.schema.types
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held[k] = op(held[k], v) if k in held else v
+            if len(held) > _HELD_KEYS:
+                yield packed(held, kinds)
+                held = {}
+        if held:
+            yield packed(held, kinds)
+
+    def packed(held: dict, kinds: list) -> pa.RecordBatch:
+        columns = [pa.array(list(held), kinds[0]), pa.array(list(held.values()), kinds[1])]
+        return pa.RecordBatch.from_arrays(columns, [KEY, VALUE])
+
+    nested = (T.StructType, T.ArrayType, T.MapType)
+    if not any(isinstance(f.dataType, nested) for f in schema.fields):
+        pairs = pairs.mapInArrow(combine, schema)
     return df.sparkSession.createDataFrame(pairs.rdd.map(tuple).reduceByKey(op), schema)
 
 

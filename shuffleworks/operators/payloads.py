@@ -110,10 +110,11 @@ def filter_generated_files(df: DataFrame, payload: str = "payload") -> DataFrame
 def payload_warnings(df: DataFrame, payload: str = "payload") -> DataFrame:
     """Warnings per payload in order, the ones it came with first: ``pos, warning``."""
     others = [c for c in df.columns if c != payload]
-    checked = _checked_payloads(df, payload)
     dropped = F.filter(F.transform("_files", lambda f: f["warning"]), lambda w: w.isNotNull())
-    all_warnings = F.concat("_given", dropped)
-    return checked.where(F.col("error").isNull()).select(*others, F.posexplode(all_warnings).alias("pos", "warning"))
+    # Rejected payloads give no list. A filter on the error would be pushed down
+    # and parse every payload twice.
+    accepted = F.when(F.col("error").isNull(), F.concat("_given", dropped))
+    return _checked_payloads(df, payload).select(*others, F.posexplode(accepted).alias("pos", "warning"))
 
 
 def payload_summary(df: DataFrame, payload: str = "payload") -> DataFrame:

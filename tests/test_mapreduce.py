@@ -79,6 +79,16 @@ def test_rdd_reduce_equals_dataframe_reduce(spark, rows):
     )
 
 
+def test_rdd_reduce_in_small_steps_and_on_struct_keys(spark, rows, monkeypatch):
+    monkeypatch.setattr(mr, "_HELD_KEYS", 3)
+    df = spark.range(500).select((F.col("id") % 37).alias("k"), F.col("id").alias("v"))
+    expected = rows(mr.reduce_by_key(df, ["k"], {"v": F.max("v")}))
+    assert rows(mr.reduce_by_key_rdd(df, "k", "v", max)) == expected
+    keyed = df.select(F.struct("k").alias("s"), "v")
+    assert {(r.key.k, r.value) for r in mr.reduce_by_key_rdd(keyed, "s", "v", max).collect()} == set(expected)
+    assert mr.reduce_by_key_rdd(df.where("false"), "k", "v", max).count() == 0
+
+
 def _range(pdf):
     return pd.DataFrame({"k": [pdf["k"].iloc[0]], "lo": [pdf["v"].min()], "hi": [pdf["v"].max()]})
 
