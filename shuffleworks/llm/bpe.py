@@ -28,6 +28,15 @@ from shuffleworks.llm.common import whole_text
 
 TOKENIZER = "word_bpe_49k.json"
 UNASSIGNED = "\u0378"  # neither letter nor number in any version so far
+# Where Unicode 16 has new letters and numbers, and the lower cases of Unicode 16 and 17 (and the capital sigma's plain one).
+UNICODE_16 = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D40, 0x10D8F), (0x10EC2, 0x10EC4),
+    (0x11380, 0x113FF), (0x116D0, 0x116E3), (0x11BC0, 0x11BF9), (0x13460, 0x143FA), (0x16100, 0x16139), (0x16D40, 0x16D79),
+    (0x18CFF, 0x18CFF), (0x1CCF0, 0x1CCF9), (0x1E5D0, 0x1E5FA),
+]
+LOWER = {0x3A3: 0x3C3, 0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+LOWER |= {0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5}
+LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 CACHE = 400_000  # chunks that a task remembers
 
 
@@ -53,11 +62,18 @@ def load(path: str | None = None) -> dict:
 
 
 def newer_letters() -> str:
-    """Letters and numbers of the pattern library that Python's Unicode tables, like the tokenizers', do not know."""
+    """Letters and numbers that the pattern library knows and the tokenizers library, at Unicode 16, does not yet."""
     import regex
 
     known = regex.findall(r"[\p{L}\p{N}]", "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000))
-    return "".join(c for c in known if unicodedata.category(c) == "Cn")
+    return "".join(c for c in known if unicodedata.category(c) == "Cn" and not any(a <= ord(c) <= b for a, b in UNICODE_16))
+
+
+def lower(text: str) -> str:
+    """Letter by letter: the lower case of a capital sigma does not depend on its place."""
+    if not text.isascii():
+        text = text.translate(LOWER)
+    return text.lower()
 
 
 def byte_letters() -> list[str]:
@@ -162,9 +178,7 @@ class Bpe:
             if part in self.added:
                 ids.append(self.added[part])
                 continue
-            # Letter by letter: the lower case of a capital sigma does not depend on its place.
-            low = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-            for word in self.split(low):
+            for word in self.split(lower(unicodedata.normalize("NFC", part))):
                 ids += self.word(word)
         return ids
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shuffleworks.llm import bpe, exact_dedup, secrets
+from shuffleworks.llm import bpe, exact_dedup, licenses, secrets
 from shuffleworks.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,8 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(spark, table(spark, sf_dir, "documents"))
+
+
+@query()
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(licenses.find_licenses(table(spark, sf_dir, "documents")))
