@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shuffleworks.llm import bpe, exact_dedup, licenses, secrets
+from shuffleworks.llm import bpe, exact_dedup, licenses, mixing, secrets, warc
 from shuffleworks.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,22 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.summary(licenses.find_licenses(table(spark, sf_dir, "documents")))
+
+
+@query(
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS payload_bytes FROM pages),
+    m AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY html) ELSE page_id END AS stored FROM p)
+    SELECT page_id, payload_bytes, sha1(html) AS payload_digest,
+           CASE WHEN stored = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN stored <> page_id THEN stored END AS refers_to
+    FROM m
+    """
+)
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
+@query(mixing.sql("documents"))
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.replicate(table(spark, sf_dir, "documents"))
