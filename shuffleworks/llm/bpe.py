@@ -37,7 +37,8 @@ UNICODE_16 = [
 LOWER = {0x3A3: 0x3C3, 0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
 LOWER |= {0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5}
 LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
-CACHE = 400_000  # chunks that a task remembers
+MARKS = (".", ",", ";", ":", "!", "?")
+CACHE = 200_000  # chunks, and words, that a generation of a task's memory holds
 
 
 def default_path() -> str:
@@ -104,6 +105,7 @@ class Bpe:
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.added.items()}
         self.words: dict[str, list[int]] = {}
+        self.old: dict[str, list[int]] = {}
 
     def merge(self, symbols: list[int]) -> list[int]:
         """The symbols after all merges."""
@@ -156,17 +158,23 @@ class Bpe:
                 put(h, pair(h))
         return [s for s in symbols if s >= 0]
 
+    def fresh(self, word: str) -> list[int]:
+        data = word.encode("utf-8")
+        return self.merge([*[self.inner[b] for b in data[:-1]], self.last[data[-1]]])
+
     def word(self, word: str) -> list[int]:
         ids = self.words.get(word)
         if ids is None:
-            data = word.encode("utf-8")
-            ids = self.merge([*(self.inner[b] for b in data[:-1]), self.last[data[-1]]])
+            ids = self.words[word] = self.old.pop(word, None) or self.fresh(word)
             if len(self.words) >= CACHE:
-                self.words.clear()
-            self.words[word] = ids
+                self.old, self.words = self.words, {}
         return ids
 
     def split(self, text: str) -> list[str]:
+        if text.isalpha():  # letters only are one word
+            return [text]
+        if text[-1:] in MARKS and text[:-1].isalpha():
+            return [text[:-1], text[-1]]
         if text.isascii() or not self.newer or not self.newer.search(text):
             return self.pattern.findall(text)
         plain = self.newer.sub(UNASSIGNED, text)
@@ -174,11 +182,13 @@ class Bpe:
 
     def encode(self, text: str) -> list[int]:
         ids: list[int] = []
-        for part in self.cut.split(text) if self.cut else [text]:
+        for part in self.cut.split(text) if self.cut and self.cut.search(text) else [text]:
             if part in self.added:
                 ids.append(self.added[part])
                 continue
-            for word in self.split(lower(unicodedata.normalize("NFC", part))):
+            if not part.isascii():
+                part = unicodedata.normalize("NFC", part)
+            for word in self.split(lower(part)):
                 ids += self.word(word)
         return ids
 
@@ -188,16 +198,24 @@ class Bpe:
 
 
 class _Chunks(dict):
-    """bytes of a chunk -> what ``make`` gives for its ids; forgets all when full."""
+    """bytes of a chunk -> what ``make`` gives for its ids.
+
+    Of two generations the older one is forgotten when the younger is full;
+    chunks in use move to the younger, so frequent ones always stay.
+    """
 
     def __init__(self, bpe: Bpe, make):
         super().__init__()
-        self.bpe, self.make = bpe, make
+        self.bpe, self.make, self.old = bpe, make, {}
 
     def __missing__(self, chunk: bytes):
+        value = self.old.pop(chunk, None)
+        if value is None:
+            value = self.make(self.bpe.encode(chunk.decode("utf-8", "replace")))
         if len(self) >= CACHE:
+            self.old = dict(self)
             self.clear()
-        self[chunk] = value = self.make(self.bpe.encode(chunk.decode("utf-8", "replace")))
+        self[chunk] = value
         return value
 
 
@@ -229,15 +247,14 @@ def _decode(spec):
 def _digests(spec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = Bpe(spec.value)
-        ids = _Chunks(bpe, lambda x: " ".join(map(str, x)).encode())
-        names = _Chunks(bpe, lambda x: bpe.decode(x).encode())
+        chunks = _Chunks(bpe, lambda x: (" ".join(map(str, x)).encode(), bpe.decode(x).encode()))
         for batch in batches:
             rows = []
             for data in _texts(batch):
-                parts = data.split()
+                parts = list(map(chunks.__getitem__, data.split()))
                 # A chunk of white space beyond ASCII has no tokens, and must leave no second space.
-                line = b" ".join(filter(None, map(ids.__getitem__, parts)))
-                text = b" ".join(filter(None, map(names.__getitem__, parts)))
+                line = b" ".join([p[0] for p in parts if p[0]])
+                text = b" ".join([p[1] for p in parts if p[1]])
                 rows.append((line.count(b" ") + 1 if line else 0, hashlib.sha256(line).hexdigest(), hashlib.sha256(text).hexdigest()))
             columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
