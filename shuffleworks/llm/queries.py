@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shuffleworks.llm import bpe, exact_dedup, licenses, mixing, secrets, warc
+from shuffleworks.llm import bpe, exact_dedup, licenses, mixing, secret_scan, toxicity, warc
 from shuffleworks.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,7 +40,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    rows = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
 
     def of(*kinds: str) -> Column:
         return F.filter("found", lambda s: s["kind"].isin(*kinds))
@@ -48,8 +48,8 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "doc_id",
         *[F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
-        F.sha2(secrets.span_text(of("assign", "access", "hex")), 256).alias("base_sha256"),
-        secrets.span_text(F.col("found")).alias("spans"),
+        F.sha2(secret_scan.span_text(of("assign", "access", "hex")), 256).alias("base_sha256"),
+        secret_scan.span_text(F.col("found")).alias("spans"),
     )
 
 
@@ -80,3 +80,8 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(mixing.sql("documents"))
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicate(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

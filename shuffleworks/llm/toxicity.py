@@ -2,9 +2,9 @@
 
 A word's vector is the mean of the vectors of its character n-grams (and of the
 whole word), each found by its hash in a table of fixed size; a text's vector is
-the mean over its words; a linear softmax over two classes gives the score. Both
-layers are trained together, so a misspelling that was never seen still has the
-vectors of the n-grams it shares with known words.
+the mean over its distinct words and a few empty ones; a linear softmax over two
+classes gives the score. Both layers are trained together, so a misspelling that
+was never seen still has the vectors of the n-grams it shares with known words.
 
 Training takes at most ``SAMPLE`` labelled rows of either class, those of the
 smallest hash of their doc_id, never of the held-out fold; it runs in one task.
@@ -19,24 +19,28 @@ rows every score is 0. Extra columns are ignored by ``score`` and kept by ``keep
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shuffleworks.llm.common import fresh, whole_text
 
-SAMPLE = 4000  # labelled rows of either class that are learnt from
-BUCKETS = 1 << 16
+SAMPLE = 3000  # labelled rows of either class that are learnt from
+BUCKETS = 1 << 20
 WIDTH = 8
 GRAMS = (3, 4, 5)
-STEPS = 120
+SCREEN = 4.0  # standard errors between the classes from which an n-gram gets a vector
+PAD = 20  # words without a vector in every mean, so that no single word decides on a short text
+STEPS = 150
 RATE = 0.1
+DECAY = 1e-6
 HELD_OUT = 2  # remainder by 4 of the crc32 of the id
 THRESHOLD = 0.3
 CACHE = 400_000
@@ -63,8 +67,8 @@ def training_ids(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return open_rows.where("toxic = 1").orderBy(*order).limit(sample).unionByName(open_rows.where("toxic = 0").orderBy(*order).limit(sample))
 
 
-class _Mean:
-    """A sparse matrix by rows, for sums of rows of a dense one, and its transpose for the way back."""
+class _Sums:
+    """A sparse matrix: its product with a dense one, and that of its transpose."""
 
     def __init__(self, rows: np.ndarray, columns: np.ndarray, values: np.ndarray, shape: tuple[int, int]):
         self.parts = []
@@ -73,74 +77,101 @@ class _Mean:
             there, starts = np.unique(a[order], return_index=True)
             self.parts.append((b[order], values[order][:, None].astype(np.float32), there, starts, n))
 
-    def dot(self, dense: np.ndarray, back: bool = False) -> np.ndarray:
-        other, values, there, starts, n = self.parts[back]
+    def dot(self, dense: np.ndarray, transposed: bool = False) -> np.ndarray:
+        other, values, there, starts, n = self.parts[transposed]
         out = np.zeros((n, dense.shape[1]), dtype=np.float32)
         if len(there):
             out[there] = np.add.reduceat(dense[other] * values, starts, axis=0)
         return out
 
 
-def fit(texts: list[str], toxic: np.ndarray, steps: int = STEPS, rate: float = RATE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Embeddings, softmax weights and biases by Adam on all training texts at once."""
-    bags = [Counter(WORD.findall(t.lower())) for t in texts]
-    spread = Counter(w for bag in bags for w in bag)
-    index = {w: i for i, w in enumerate(sorted(w for w, n in spread.items() if n > 1))}
-    cells = [(d, index[w], n / bag.total()) for d, bag in enumerate(bags) for w, n in bag.items() if w in index]
-    rows, columns, values = (np.array(x) for x in zip(*cells)) if cells else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-    by_text = _Mean(rows, columns, values, (len(texts), len(index)))
-    parts = [grams(w) for w in index]
-    owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts]) if parts else np.zeros(0, int)
-    share = np.repeat([1 / len(p) for p in parts], [len(p) for p in parts]) if parts else np.zeros(0)
-    by_word = _Mean(owner, np.array([b for p in parts for b in p], dtype=int), share, (len(index), BUCKETS))
+def _bags(texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Each text's distinct words as numbers, and each number's buckets."""
+    index: dict[str, int] = {}
+    bags = [np.array([index.setdefault(w, len(index)) for w in dict.fromkeys(WORD.findall(t.lower()))], dtype=np.int32) for t in texts]
+    return bags, [np.array(grams(w), dtype=np.int32) for w in index]
+
+
+def _buckets(bag: np.ndarray, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a text and their weights in its mean."""
+    if not len(bag):
+        return np.zeros(0, np.int32), np.zeros(0)
+    own = [parts[w] for w in bag]
+    shares = np.repeat([1 / len(p) / (len(bag) + PAD) for p in own], [len(p) for p in own])
+    there, inverse = np.unique(np.concatenate(own), return_inverse=True)
+    return there, np.bincount(inverse, shares, len(there))
+
+
+def fit(texts: list[str], toxic: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets with a vector, their vectors, softmax weights and biases.
+
+    An n-gram that is about as frequent in both classes keeps the zero vector.
+    The others and the softmax over the mean are trained together by Adam.
+    """
+    bags, parts = _bags(texts)
+    n = np.array([(toxic == 0).sum(), (toxic == 1).sum()])
+    seen = np.zeros((2, BUCKETS))
+    for bag, label in zip(bags, toxic):
+        seen[label, _buckets(bag, parts)[0]] += 1
+    both = seen.sum(axis=0) / len(texts)
+    error = np.sqrt(np.maximum(both * (1 - both), 1e-9) * (1 / np.maximum(n, 1)).sum())
+    active = np.flatnonzero(np.abs(seen[1] / max(n[1], 1) - seen[0] / max(n[0], 1)) > SCREEN * error)
+    place = np.full(BUCKETS, -1, dtype=np.int32)
+    place[active] = np.arange(len(active))
+    cells = []
+    for row, bag in enumerate(bags):
+        there, weights = _buckets(bag, parts)
+        kept = place[there] >= 0
+        cells.append((np.full(kept.sum(), row), place[there[kept]], weights[kept]))
+    means = _Sums(*(np.concatenate(c) for c in zip(*cells)), (len(texts), len(active)))
     rng = np.random.default_rng(1)
-    params = [np.zeros((BUCKETS, WIDTH), np.float32), rng.normal(0, 1, (WIDTH, 2)).astype(np.float32), np.zeros(2, np.float32)]
+    params = [np.zeros((len(active), WIDTH), np.float32), rng.normal(0, 1, (WIDTH, 2)).astype(np.float32)]
+    params.append(np.log((n + 1) / (len(texts) + 2)).astype(np.float32))
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
     target = np.eye(2, dtype=np.float32)[toxic]
     for step in range(1, steps + 1):
-        hidden = by_text.dot(by_word.dot(params[0]))
+        hidden = means.dot(params[0])
         logits = hidden @ params[1] + params[2]
-        logits -= logits.max(axis=1, keepdims=True)
-        odds = np.exp(logits)
-        error = (odds / odds.sum(axis=1, keepdims=True) - target) / len(texts)
-        slopes = [by_word.dot(by_text.dot(error @ params[1].T, back=True), back=True), hidden.T @ error, error.sum(axis=0)]
+        odds = np.exp(logits - logits.max(axis=1, keepdims=True))
+        wrong = (odds / odds.sum(axis=1, keepdims=True) - target) / len(texts)
+        slopes = [means.dot(wrong @ params[1].T, transposed=True) + DECAY * params[0], hidden.T @ wrong, wrong.sum(axis=0)]
         for p, (first, second), slope in zip(params, moments, slopes):
             first += 0.1 * (slope - first)
             second += 0.001 * (slope * slope - second)
-            p -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    return tuple(params)
+            p -= RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+    return active, *params
 
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = sorted((r["doc_id"], r["toxic"], r["text"]) for batch in batches for r in batch.to_pylist())
     if rows:
-        vectors, weights, bias = fit([r[2] for r in rows], np.array([r[1] for r in rows]))
+        active, vectors, weights, bias = fit([r[2] for r in rows], np.array([r[1] for r in rows]))
         # Two classes: only the difference of their logits counts, and it is linear in the n-grams.
-        table = (vectors @ (weights[:, 1] - weights[:, 0])).astype(np.float64)
-        yield pa.RecordBatch.from_pylist([{"shares": table.tobytes(), "bias": float(bias[1] - bias[0])}])
+        shares = (vectors @ (weights[:, 1] - weights[:, 0])).astype(float)
+        yield pa.RecordBatch.from_pylist([{"buckets": active.tolist(), "shares": shares.tolist(), "bias": float(bias[1] - bias[0])}])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[bytes, float] | None:
-    """Each bucket's share of the logit, and the bias. Half a megabyte, whatever the input."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[int, float], float] | None:
+    """Each bucket's share of the logit, at most one per bucket, and the bias."""
     chosen = training_ids(labels, sample)  # at most 2 * sample rows of two numbers
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     rows = texts.join(F.broadcast(chosen), "doc_id").repartition(1)
-    found = rows.mapInArrow(_train, "shares binary, bias double").collect()
-    return (bytes(found[0]["shares"]), found[0]["bias"]) if found else None
+    found = rows.mapInArrow(_train, "buckets array<long>, shares array<double>, bias double").collect()
+    return (dict(zip(found[0]["buckets"], found[0]["shares"])), found[0]["bias"]) if found else None
 
 
 class _Shares(dict):
     """A chunk between white space -> (sum of its words' shares) + (number of its words) * 1j."""
 
-    def __init__(self, model: tuple[bytes, float]):
+    def __init__(self, shares: dict[int, float]):
         super().__init__()
-        self.table = np.frombuffer(model[0], dtype=np.float64).tolist()
+        self.share = shares
 
     def __missing__(self, chunk: str) -> complex:
         total = 0j
         for word in WORD.findall(chunk):
             buckets = grams(word)
-            total += sum([self.table[b] for b in buckets]) / len(buckets) + 1j
+            total += sum([self.share.get(b, 0.0) for b in buckets]) / len(buckets) + 1j
         if len(self) >= CACHE:
             self.clear()
         self[chunk] = total
@@ -149,7 +180,7 @@ class _Shares(dict):
 
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shares = _Shares(model.value) if model.value else None
+        shares = _Shares(model.value[0]) if model.value else None
         for batch in batches:
             names = batch.schema.names
             texts = batch.column(names.index(next(n for n in names if n.startswith("_scored_text"))))
@@ -158,19 +189,18 @@ def _score(model):
                 if shares is None:
                     scores.append(0.0)
                     continue
-                total = sum(map(shares.__getitem__, value.as_py().lower().split()), 0j)
-                logit = (total.real / total.imag if total.imag else 0.0) + model.value[1]
-                scores.append(float(1 / (1 + np.exp(-logit))) if logit > -700 else 0.0)
+                # Each chunk counts once; dict keeps their order, and with it the sum's last digit.
+                total = sum(map(shares.__getitem__, dict.fromkeys(value.as_py().lower().split())), 0j)
+                logit = total.real / (total.imag + PAD) + model.value[1]
+                scores.append(1 / (1 + math.exp(-logit)) if logit > -700 else 0.0)
             at = [i for i, n in enumerate(names) if not n.startswith("_scored_text")]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in at), pa.array(scores, pa.float64())], names=[*(names[i] for i in at), "score"])
 
     return run
 
 
-def with_score(rows: DataFrame, model: tuple[bytes, float] | None, text: Column, name: str = "score") -> DataFrame:
+def with_score(rows: DataFrame, model: tuple[dict[int, float], float] | None, text: Column, name: str = "score") -> DataFrame:
     """``rows`` with the score of ``text`` as their last column."""
-    from pyspark.sql import types as T
-
     sent = rows.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*rows.schema.fields, T.StructField(name, T.DoubleType())])
     return rows.withColumn(fresh(rows, "_scored_text"), text).mapInArrow(_score(sent), schema)
