@@ -20,9 +20,11 @@ import json
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shuffleworks.llm.common import whole_text
 
@@ -226,10 +228,27 @@ def _texts(batch: pa.RecordBatch) -> Iterator[bytes]:
 
 def _encode(spec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = _Chunks(Bpe(spec.value), tuple)
+        chunks = _Chunks(Bpe(spec.value), lambda ids: np.array(ids, dtype=np.int32).tobytes())
         for batch in batches:
-            ids = [[i for part in map(chunks.__getitem__, data.split()) for i in part] for data in _texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            names, low, held, size = batch.schema.names, 0, [], 0
+            at = names.index("_encoded_text")
+            kept = [i for i in range(len(names)) if i != at]
+
+            def flushed() -> pa.RecordBatch:
+                ids = pa.array(np.frombuffer(b"".join(held), dtype=np.int32))
+                offsets = np.cumsum([0, *(len(h) // 4 for h in held)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), ids)
+                own = [batch.column(i).slice(low, len(held)) for i in kept]
+                return pa.RecordBatch.from_arrays([*own, lists], names=[*(names[i] for i in kept), "ids"])
+
+            for value in batch.column(at).cast(pa.binary()):
+                held.append(b"".join(map(chunks.__getitem__, value.as_py().split())))
+                size += len(held[-1])
+                if size > 16 << 20:
+                    yield flushed()
+                    low, held, size = low + len(held), [], 0
+            if held:
+                yield flushed()
 
     return run
 
@@ -266,9 +285,11 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
 
 
-def encode(spark: SparkSession, docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Per row: doc_id, ids (array of int). The tokenizer is one file of fixed size, which the driver sends out."""
-    return _rows(docs).mapInArrow(_encode(spark.sparkContext.broadcast(load(path))), "doc_id long, ids array<int>")
+def encode(spark: SparkSession, docs: DataFrame, path: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """Per row: doc_id, the columns of ``keep``, ids (array of int). The driver sends out the tokenizer, one file of fixed size."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(keep or []), whole_text().alias("_encoded_text"))
+    schema = T.StructType([f for f in rows.schema.fields if f.name != "_encoded_text"] + [T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return rows.mapInArrow(_encode(spark.sparkContext.broadcast(load(path))), schema)
 
 
 def decode(spark: SparkSession, encoded: DataFrame, path: str | None = None) -> DataFrame:
