@@ -9,8 +9,8 @@ grows with the set, so that a chance match is not enough.
 1. Equal sets are one class. Classes of equal prefix and size are one group, and
    only groups are joined.
 2. Group pairs: the groups with a shingle in their prefix, in pairs of fitting
-   sizes, counted over all shingles. A list of more than ``LIST`` groups, and the
-   list of a heavy shingle, is not paired: it only says that its groups may match.
+   sizes, counted over all shingles. A list of more than ``LIST`` groups, and that
+   of a very common shingle, is not paired: it only says that its groups may match.
 3. Pairs with enough common shingles, and such lists, tie groups to clusters.
 4. Groups are expanded to classes. A cluster is cut into blocks of bounded size,
    and each pair of blocks is verified exactly, by products of 0/1 matrices. A
@@ -28,22 +28,24 @@ of only null ids has a null id. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shuffleworks.llm.common import cut, keep_rows, whole_text
 from shuffleworks.llm.components import components
 
 HEAVY = 1 << 16  # shingles whose counts decide the order: two numbers each are sent to all tasks
-COMMON = 64  # texts from which a shingle can be heavy
+COMMON = 8  # texts from which a shingle can be heavy
+STAR = 256  # texts from which a shingle's groups are tied without a list
 LIST = 32  # groups of a shingle that are paired one by one
 BLOCK = 512  # classes of a block
 BLOCK_SHINGLES = 400_000  # and their shingles together
-FLUSH = 2_000_000  # shingles that a task counts at once
+FLUSH = 6_000_000  # shingles that a task counts at once
 CACHE = 200_000  # words of a generation of a task's memory
 SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
 
@@ -113,18 +115,18 @@ def _common(width: int):
     return run
 
 
-def heavy_shingles(texts: DataFrame, width: int, heavy: int = HEAVY, common: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
-    """The commonest shingles, sorted, and their ranks from the rarest (1) on. At most ``heavy``.
+def heavy_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The commonest shingles, sorted, their ranks from the rarest (1) on, and their counts. At most ``HEAVY``.
 
     Every text is counted; only a shingle seen once among the texts that a task
     holds at once adds nothing there, as it is not common among them.
     """
     counts = texts.select("text").mapInArrow(_common(width), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = counts.where(F.col("n") >= common).orderBy(F.desc("n"), "shingle").limit(heavy).toPandas()
+    top = counts.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "shingle").limit(HEAVY).toPandas()
     top = top.sort_values(["n", "shingle"])
     shingles = top["shingle"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(shingles)
-    return shingles[order], (np.arange(1, len(top) + 1))[order]
+    return shingles[order], np.arange(1, len(top) + 1)[order], top["n"].to_numpy()[order]
 
 
 def needed(n: int, num: int, den: int) -> int:
@@ -146,6 +148,7 @@ def _digest(values: np.ndarray) -> tuple[int, int]:
 
 _ROW = [("tag", "long"), ("doc_id", "long"), ("text_key", "long"), ("n_chars", "long")]
 _SET = [("n", "long"), ("s1", "long"), ("s2", "long"), ("p1", "long"), ("p2", "long")]
+_MEMBER = ["rep", "cluster", "band", "n_blocks", "n_below", "n_above", "size"]
 _ROWS = ", ".join(f"{a} {b}" for a, b in _ROW + _SET) + ", prefix array<long>"
 
 
@@ -225,7 +228,7 @@ def _members(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
-        names = ["rep", "cluster", "n_blocks", "size"]
+        names = _MEMBER
         for batch in batches:
             wanted = list(zip(batch.column("s1").to_pylist(), batch.column("s2").to_pylist()))
             kept, sets, held = [], [], 0
@@ -270,7 +273,7 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
 def _verify(num: int, den: int):
     """Rows of block pairs, together -> a spanning forest of the links, and links per class (v null)."""
 
-    def links(rows: list[tuple]) -> list[tuple]:
+    def links(rows: list[tuple], own: bool) -> list[tuple]:
         once = {r[0]: r for r in rows}  # a class whose text is there twice is one class
         rows = list(once.values())
         if len(rows) < 2:
@@ -280,8 +283,8 @@ def _verify(num: int, den: int):
         common = overlaps(sets)
         linked = den * common >= num * (sizes[:, None] + sizes[None, :] - common)
         np.fill_diagonal(linked, False)
-        side = np.array([r[1] for r in rows])
-        if side.min() != side.max():  # two blocks: pairs inside a block belong to the block's own pair
+        if not own:  # two blocks: pairs inside a block belong to the block's own cell
+            side = np.array([r[1] for r in rows])
             linked &= side[:, None] != side[None, :]
         weights = np.array([r[2] for r in rows])
         degrees = linked @ weights
@@ -308,17 +311,17 @@ def _verify(num: int, den: int):
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], names=["u", "v", "w"])
 
         for batch in batches:
-            keys = zip(*(batch.column(n).to_pylist() for n in ("cluster", "i", "j")))
-            rows = zip(*(batch.column(n).to_pylist() for n in ("rep", "block", "size", "shingles")))
+            keys = zip(*(batch.column(n).to_pylist() for n in ("cluster", "low", "i", "high", "j")))
+            rows = zip(*(batch.column(n).to_pylist() for n in ("rep", "side", "size", "shingles")))
             for k, row in zip(keys, rows):
                 if k != key:
-                    out += links(held)
+                    out += links(held, key is None or key[1:3] == key[3:])
                     key, held = k, []
                 held.append(row)
             if len(out) > 50_000:
                 yield flushed()
                 out = []
-        out += links(held)
+        out += links(held, key is None or key[1:3] == key[3:])
         yield flushed()
 
     return run
@@ -338,7 +341,7 @@ def near_duplicates(docs: DataFrame, width: int, num: int, den: int = 100) -> Da
         F.length(whole_text()).cast("long").alias("n_chars"),
         whole_text().alias("text"),
     )
-    known, ranks = heavy_shingles(texts, width)
+    known, ranks, counts = heavy_shingles(texts, width)
     sent = spark.sparkContext.broadcast((known, ranks))
     sets = cut(texts.mapInArrow(_prefixes(width, num, den, sent), _ROWS), "sets")
 
@@ -351,8 +354,8 @@ def near_duplicates(docs: DataFrame, width: int, num: int, den: int = 100) -> Da
     # Group pairs.
     leaders = sets.join(groups.select(F.col("gid").alias("tag")), "tag", "left_semi")
     tokens = leaders.select(F.explode("prefix").alias("token"), F.col("tag").alias("gid"), "n")
-    ranked = spark.createDataFrame([(int(t), -1 - int(r)) for t, r in zip(known.view(np.int64), ranks)], "token long, node long")
-    ranked = F.broadcast(ranked)  # at most HEAVY rows
+    starred = [(int(t), -1 - int(r)) for t, r, n in zip(known.view(np.int64), ranks, counts) if n >= STAR]
+    ranked = F.broadcast(spark.createDataFrame(starred, "token long, node long"))  # at most HEAVY rows
     marked = tokens.join(ranked, "token", "left")
     stars = marked.where("node is not null").select(F.col("gid").alias("u"), F.col("node").alias("v"), F.lit(0).cast("long").alias("need"))
     lists = marked.where("node is null").select("token", "gid", "n").repartition("token").sortWithinPartitions("token")
@@ -363,21 +366,43 @@ def near_duplicates(docs: DataFrame, width: int, num: int, den: int = 100) -> Da
     # Groups to classes, and clusters of two or more classes to blocks.
     named = groups.join(clustered, "gid", "left").select("p1", "p2", "n", F.coalesce("cluster", "gid").alias("cluster"))
     placed = cut(classes.join(cut(named, "named"), ["p1", "p2", "n"]).select("rep", "s1", "s2", "n", "size", "cluster"), "placed")
-    sizes = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles")).where("members > 1")
-    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("n_blocks")
-    wanted = placed.join(cut(sizes.select("cluster", blocks), "blocks"), "cluster")
+    total = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles")).where("members > 1")
+    large = (F.col("members") > BLOCK) | (F.col("shingles") > BLOCK_SHINGLES)
+    wanted = placed.join(cut(total.select("cluster", large.alias("large")), "clusters"), "cluster")
+    # Sets of a ratio below the similarity cannot match: a large cluster is cut into bands of sizes first.
+    band = F.when(F.col("large"), F.floor(F.log(F.col("n").cast("double")) / (math.log(den / num) * (1 + 1e-9)))).otherwise(0).cast("int")
+    wanted = cut(wanted.withColumn("band", band), "banded")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("n_blocks")
+    bands = cut(wanted.groupBy("cluster", "band").agg(blocks), "bands")
+    beside = bands.select("cluster", (F.col("band") + 1).alias("band"), F.col("n_blocks").alias("n_below"))
+    above = bands.select("cluster", (F.col("band") - 1).alias("band"), F.col("n_blocks").alias("n_above"))
+    bands = cut(bands.join(beside, ["cluster", "band"], "left").join(above, ["cluster", "band"], "left").na.fill(0), "beside")
+    wanted = wanted.drop("large").join(bands, ["cluster", "band"])
     wanted = cut(wanted.join(sets.select(F.col("tag").alias("rep"), "doc_id"), "rep"), "wanted")
 
     found = texts.select("doc_id", "text").withColumnRenamed("doc_id", "_id").join(wanted, F.col("_id").eqNullSafe(F.col("doc_id")))
-    members = found.select("text", "s1", "s2", "rep", "cluster", "n_blocks", "size").mapInArrow(
-        _members(width), "rep long, cluster long, n_blocks int, size long, shingles binary"
+    members = found.select("text", "s1", "s2", *_MEMBER).mapInArrow(
+        _members(width), "rep long, cluster long, band int, n_blocks int, n_below int, n_above int, size long, shingles binary"
     )
-    block = F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int")
-    dealt = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    dealt = dealt.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "block", "size", "shingles")
-    # Cell (i, i) verifies block i; cell (i, j) the pairs between two blocks.
-    cells = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    links = cut(cells.mapInArrow(_verify(num, den), "u long, v long, w long"), "links")
+
+    def block(bands: str) -> Column:
+        return F.sequence(F.lit(0), F.col(bands) - 1)
+
+    def cells(low: Column, i: Column, high: Column, j: Column) -> Column:
+        return F.struct(low.alias("low"), i.alias("i"), high.alias("high"), j.alias("j"))
+
+    here, own = F.col("band"), F.col("block")
+    none = F.array().cast("array<struct<low:int,i:int,high:int,j:int>>")
+    met = F.concat(
+        F.transform(block("n_blocks"), lambda x: cells(here, F.least(own, x), here, F.greatest(own, x))),
+        F.when(F.col("n_above") > 0, F.transform(block("n_above"), lambda x: cells(here, own, here + 1, x))).otherwise(none),
+        F.when(F.col("n_below") > 0, F.transform(block("n_below"), lambda x: cells(here - 1, x, here, own))).otherwise(none),
+    )
+    dealt = members.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int")).withColumn("cell", F.explode(met))
+    dealt = dealt.select("cluster", "cell.*", "rep", (here * (1 << 20) + own).alias("side"), "size", "shingles")
+    # A cell of a block and itself verifies the block, another one the pairs between its two blocks.
+    cell = ["cluster", "low", "i", "high", "j"]
+    links = cut(dealt.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_verify(num, den), "u long, v long, w long"), "links")
 
     # Components, back to documents.
     degrees = links.where("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("w").alias("partners"))
