@@ -11,7 +11,7 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = get_session(
         "shuffleworks-tests",
         master="local[4]",
@@ -21,6 +21,7 @@ def spark():
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "4g",
             "spark.sql.maxMetadataStringLength": "2000",
+            "spark.checkpoint.dir": tmp_path_factory.mktemp("shared").as_uri(),
         },
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -4,16 +4,16 @@ import re
 
 import pytest
 
-from __spark_entry__ import queries
 from shuffleworks import session
+from tests.test_queries import QUERIES
 
 # The report over the whole table numbers its last 15 rows in one task.
 ONE_TASK_WINDOWS = {"top_lines"}
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_pairwise_joins_and_no_windows_in_one_task(spark, sf_dir, plan, name):
-    text = plan(queries()[name](spark, sf_dir))
+    text = plan(QUERIES[name](spark, sf_dir))
     assert "NestedLoopJoin" not in text and "CartesianProduct" not in text
     lines = text.split("\n")
     for at, line in enumerate(lines):
@@ -33,11 +33,11 @@ def test_no_pairwise_joins_and_no_windows_in_one_task(spark, sf_dir, plan, name)
     ],
 )
 def test_scans_read_only_what_is_used(spark, sf_dir, plan, name, columns):
-    assert f"FileScan parquet [{columns}]" in re.sub(r"#\d+L?", "", plan(queries()[name](spark, sf_dir)))
+    assert f"FileScan parquet [{columns}]" in re.sub(r"#\d+L?", "", plan(QUERIES[name](spark, sf_dir)))
 
 
 def test_filters_reach_the_scan(spark, sf_dir, plan):
-    text = plan(queries()["small_returns"](spark, sf_dir))
+    text = plan(QUERIES["small_returns"](spark, sf_dir))
     assert "LessThan(l_quantity,10.0)" in text and "EqualTo(l_returnflag,R)" in text
     assert "Exchange" not in text
 
