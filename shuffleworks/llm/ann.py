@@ -42,7 +42,8 @@ HUB = 256  # members from which a centre is split
 BEAM = 128
 SEEDS = 8
 RERANK = 32
-BUCKET = 2048  # nodes that one Python call merges, or centres it joins
+BUCKET = 2048  # nodes that one Python call merges
+CENTRES = 128  # centres that one Python call joins
 
 
 def release(spark: SparkSession) -> None:
@@ -237,7 +238,7 @@ def build(nodes: DataFrame, n: int, width: int, rounds: int = ROUNDS) -> DataFra
         full = F.when(F.size("ss") == WIDTH, F.element_at("ss", -1)).otherwise(F.lit(-2.0)).cast("float")
         worst = nodes.join(graph.select(F.col("a").alias("node"), full.alias("worst")), "node", "left")
         worst = worst.select(F.col("node").alias("m"), "v", F.coalesce("worst", F.lit(-2.0)).cast("float").alias("worst"))
-        gathered = pairs.join(worst, "m").withColumn("bucket", _buckets("c", -(-n // (BUCKET // 2))))
+        gathered = pairs.join(worst, "m").withColumn("bucket", _buckets("c", -(-n // CENTRES)))
         offers = gathered.select("bucket", "c", "part", "m", "v", "worst").groupBy("bucket").applyInArrow(_local_join(width), _OFFERS)
         graph = _merged(offers, graph, n)
         changed = graph.agg(F.sum("fresh")).first()[0] or 0
