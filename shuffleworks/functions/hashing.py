@@ -1,8 +1,10 @@
 """One canonical text per row, and a 64-bit number from it.
 
 The text does not depend on the engine that wrote the row: null differs from an
-empty string, the separator cannot be forged, doubles are whole numbers of their
-last counted decimal, and time stamps are microseconds.
+empty string, the separator cannot be forged, doubles are written exactly (or as
+whole numbers of their last counted decimal, if a scale is asked for), a decimal
+has no trailing zeros, maps are in the order of their keys, and time stamps are
+microseconds.
 """
 
 from __future__ import annotations
@@ -23,10 +25,12 @@ def _escaped(text: Column) -> Column:
     return F.replace(doubled, F.lit(SEPARATOR), F.lit("\\p"))
 
 
-def canonical(column: Column, kind: T.DataType, scale: int = 6) -> Column:
-    """Canonical text of one value; null gives ``\\N``."""
+def canonical(column: Column, kind: T.DataType, scale: int | None = None) -> Column:
+    """Canonical text of one value; null gives ``\\N``. Both zeros are one value, and so are all NaNs."""
     if isinstance(kind, (T.StringType, T.VarcharType, T.CharType)):
         text = _escaped(column)
+    elif isinstance(kind, (T.FloatType, T.DoubleType)) and scale is None:
+        text = (column.cast("double") + F.lit(0.0)).cast("string")
     elif isinstance(kind, (T.FloatType, T.DoubleType)):
         # Whole numbers of 10^-scale, halves up: arithmetic that every engine
         # does alike, and far cheaper than printing a decimal per value. Values
@@ -39,16 +43,21 @@ def canonical(column: Column, kind: T.DataType, scale: int = 6) -> Column:
         text = epoch_micros(column).cast("string")
     elif isinstance(kind, T.TimestampType):
         text = F.unix_micros(column).cast("string")
+    elif isinstance(kind, T.DecimalType):
+        digits = column.cast("string")
+        text = F.when(digits.contains("."), F.regexp_replace(digits, r"\.?0+$", "")).otherwise(digits)
     elif isinstance(kind, T.BinaryType):
         text = F.hex(column)
-    elif isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
-        text = _escaped(F.to_json(column))
+    elif isinstance(kind, T.MapType):
+        text = _escaped(F.to_json(F.array_sort(F.map_entries(column)), {"ignoreNullFields": "false"}))
+    elif isinstance(kind, (T.ArrayType, T.StructType)):
+        text = _escaped(F.to_json(column, {"ignoreNullFields": "false"}))
     else:
         text = column.cast("string")
     return F.coalesce(text, F.lit(NULL_MARK))
 
 
-def canonical_row(df: DataFrame, columns: list[str] | None = None, scale: int = 6) -> Column:
+def canonical_row(df: DataFrame, columns: list[str] | None = None, scale: int | None = None) -> Column:
     """Canonical text of a row, values joined by ``|``."""
     names = columns or df.columns
     return F.concat_ws(SEPARATOR, *[canonical(F.col(f"`{n}`"), df.schema[n].dataType, scale) for n in names])

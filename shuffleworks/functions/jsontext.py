@@ -50,13 +50,18 @@ def attempts(raw: str):
 
 
 def salvage_one(raw: str | None) -> tuple[str | None, int | None, str | None]:
-    """(payload, strategy, error) of one text; the error is that of the last attempt."""
+    """(payload, strategy, error) of one text; the error is that of the last attempt.
+
+    The payload is the text that was accepted, with its own numbers, key repeats
+    and escapes.
+    """
     if raw is None:
         return None, None, "no text"
     error = None
     for strategy, candidate in attempts(raw):
         try:
-            return json.dumps(json.loads(candidate), ensure_ascii=False), strategy, None
+            json.loads(candidate)
+            return candidate.strip(), strategy, None
         except (ValueError, RecursionError) as exc:
             error = str(exc) or type(exc).__name__
     return None, None, error

@@ -10,18 +10,19 @@ from shuffleworks.functions.hashing import canonical_row, hash_words, join_words
 _WORDS = ("w1", "w2", "w3", "w4")
 
 
-def _hashed(df: DataFrame, columns: list[str] | None, scale: int) -> DataFrame:
+def _hashed(df: DataFrame, columns: list[str] | None, scale: int | None, *kept: str) -> DataFrame:
     words = hash_words(F.col("_text"))
-    return df.select(canonical_row(df, columns, scale).alias("_text")).select(
-        *[w.alias(n) for w, n in zip(words, _WORDS)]
+    return df.select(canonical_row(df, columns, scale).alias("_text"), *kept).select(
+        *[w.alias(n) for w, n in zip(words, _WORDS)], *kept
     )
 
 
-def checksum(df: DataFrame, columns: list[str] | None = None, scale: int = 6) -> DataFrame:
+def checksum(df: DataFrame, columns: list[str] | None = None, scale: int | None = None) -> DataFrame:
     """One row ``row_count, checksum``: the sum of a 64-bit hash over all rows.
 
     A sum does not depend on the order of rows or partitions and, unlike xor,
-    does change when a row is there twice. No rows give 0.
+    does change when a row is there twice. No rows give 0. Doubles count exactly,
+    or rounded to ``scale`` decimals.
     """
     sums = _hashed(df, columns, scale).agg(
         F.count(F.lit(1)).alias("row_count"), *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in _WORDS]
@@ -45,17 +46,20 @@ def _check_columns(left: DataFrame, right: DataFrame, columns: list[str] | None)
     return names
 
 
-def compare(left: DataFrame, right: DataFrame, columns: list[str] | None = None, scale: int = 6) -> DataFrame:
+def _together(left: DataFrame, right: DataFrame, names: list[str], tag: str, of_left: int, of_right: int) -> DataFrame:
+    columns = [F.col(f"`{n}`") for n in names]
+    return left.select(*columns, F.lit(of_left).alias(tag)).unionByName(right.select(*columns, F.lit(of_right).alias(tag)))
+
+
+def compare(left: DataFrame, right: DataFrame, columns: list[str] | None = None, scale: int | None = None) -> DataFrame:
     """One row ``passed, left_rows, right_rows, checksum_match, details``.
 
-    Both sides go through one aggregate; nothing but partial sums is shuffled.
+    Both sides go through one aggregate; nothing but partial sums is shuffled. The
+    union gives both sides one type per column before anything is hashed.
+    Without a ``scale``, ``passed`` says that ``diff_rows`` finds nothing.
     """
     names = _check_columns(left, right, columns)
-    tagged = (
-        _hashed(left, names, scale)
-        .withColumn("_side", F.lit(0))
-        .union(_hashed(right, names, scale).withColumn("_side", F.lit(1)))
-    )
+    tagged = _hashed(_together(left, right, names, "_side", 0, 1), names, scale, "_side")
 
     def of_side(side: int, name: str) -> Column:
         return F.coalesce(F.sum(F.when(F.col("_side") == side, F.col(name))), F.lit(0)).alias(f"{name}_{side}")
@@ -85,32 +89,32 @@ def compare(left: DataFrame, right: DataFrame, columns: list[str] | None = None,
     )
 
 
-def _unbalanced(signed: DataFrame, names: list[str]) -> DataFrame:
-    """``names`` and ``_n``, the sum of the signs, where it is not zero."""
-    return signed.groupBy(*names).agg(F.sum("_sign").alias("_n")).where(F.col("_n") != 0)
-
-
 def diff_rows(
     left: DataFrame, right: DataFrame, columns: list[str] | None = None, by_hash: bool = True
 ) -> DataFrame:
     """Rows that are there a different number of times: the columns, ``side``, ``times``.
 
-    ``side`` says where the surplus is. With ``by_hash`` the counting is done on
-    128-bit hashes first, so that sixteen bytes per row are shuffled instead of
-    the row, and only the rows behind a hash that does not balance are counted as
-    rows. Best where most rows agree. Without it whole rows are counted at once.
+    ``side`` says where the surplus is. Rows are the same if ``compare`` takes them
+    for the same: by their canonical text. With ``by_hash`` the counting is done on
+    128-bit hashes of that text first, so that sixteen bytes per row are shuffled
+    instead of the row, and only the rows behind a hash that does not balance are
+    looked at as rows. Best where most rows agree. Without it whole texts are
+    counted at once.
     """
     names = _check_columns(left, right, columns)
-    signed = left.select(*names, F.lit(1).alias("_sign")).unionByName(
-        right.select(*names, F.lit(-1).alias("_sign"))
-    )
+    signed = _together(left, right, names, "_sign", 1, -1)
+    text = canonical_row(signed, names)
+    keys = ["_h1", "_h2"] if by_hash else ["_text"]
     if by_hash:
-        values = [F.col(f"`{n}`") for n in names]
-        signed = signed.withColumns({"_h1": F.xxhash64(*values), "_h2": F.xxhash64(F.lit(1), *values)})
-        suspects = _unbalanced(signed, ["_h1", "_h2"]).drop("_n")
-        signed = signed.join(suspects, ["_h1", "_h2"], "left_semi")
-    return _unbalanced(signed, names).select(
-        *names,
+        signed = signed.withColumn("_text", text)
+        signed = signed.withColumns({"_h1": F.xxhash64("_text"), "_h2": F.xxhash64(F.lit(1), "_text")}).drop("_text")
+        suspects = signed.groupBy(*keys).agg(F.sum("_sign").alias("_n")).where(F.col("_n") != 0).drop("_n")
+        signed = signed.join(suspects, keys, "left_semi")
+    else:
+        signed = signed.withColumn("_text", text)
+    counted = signed.groupBy(*keys).agg(F.sum("_sign").alias("_n"), *[F.first(F.col(f"`{n}`")).alias(n) for n in names])
+    return counted.where(F.col("_n") != 0).select(
+        *[F.col(f"`{n}`") for n in names],
         F.when(F.col("_n") > 0, "left").otherwise("right").alias("side"),
         F.abs("_n").alias("times"),
     )

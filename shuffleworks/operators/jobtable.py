@@ -31,21 +31,30 @@ def _has_key(document: Column, key: str) -> Column:
     return F.coalesce(F.array_contains(F.json_object_keys(document), key), F.lit(False))
 
 
+def _job_list(document: Column) -> Column:
+    """Whether the document has a list of jobs."""
+    jobs = F.get_json_object(document, "$.jobs")
+    return F.coalesce(_has_key(document, "jobs") & F.substring(F.ltrim(jobs), 1, 1).eqNullSafe("["), F.lit(False)) & (
+        F.coalesce(F.from_json(document, _GRAPH_SCHEMA)["jobs"].isNotNull(), F.lit(False))
+    )
+
+
 def _strings(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
 def normalise_jobs(df: DataFrame, raw: str = "raw") -> tuple[DataFrame, DataFrame]:
-    """(one row per job, rows without a job list and the error).
+    """(one row per job, rows without a job list and the error: the key is missing, or not a list).
 
     A default stands in for a key that is missing; an explicit null stays null.
     The other columns of ``df`` are carried along.
     """
     document = F.col(raw)
     others = [c for c in df.columns if c != raw]
-    has_jobs = _has_key(document, "jobs")
-    errors = df.where(~has_jobs).select(*others, F.lit(MISSING_JOBS_ERROR).alias("error"))
-    each = df.where(has_jobs).select(
+    has_jobs, is_list = _has_key(document, "jobs"), _job_list(document)
+    reason = F.when(~has_jobs, MISSING_JOBS_ERROR).otherwise(F.lit("'jobs' is not a list"))
+    errors = df.where(~is_list).select(*others, reason.alias("error"))
+    each = df.where(is_list).select(
         *others, F.posexplode(F.from_json(document, _GRAPH_SCHEMA)["jobs"]).alias("job_pos", "_raw")
     )
     parsed = each.select(
@@ -83,7 +92,7 @@ def graph_summary(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Per document with a job list: ``n_jobs, chain_count, complexity``, defaults for missing keys."""
     document = F.col(raw)
     others = [c for c in df.columns if c != raw]
-    parsed = df.where(_has_key(document, "jobs")).withColumn("_g", F.from_json(document, _GRAPH_SCHEMA))
+    parsed = df.where(_job_list(document)).withColumn("_g", F.from_json(document, _GRAPH_SCHEMA))
     n_jobs = F.size("_g.jobs")
     return parsed.select(
         *others,
@@ -154,7 +163,8 @@ def resolve_chains(jobs: DataFrame, job: str = "job_name", after: str = "chained
     takes about log2(d) rounds; each round is one join against unique job names
     and ends in a checkpoint. What is still open after log2(jobs) + 1 rounds
     goes round in a cycle. Jobs behind a broken one are broken too, and a name
-    with two predecessors is ambiguous.
+    with two predecessors is ambiguous. A job without a name cannot be found by
+    others; each such row is reported.
     """
     named = jobs.where(F.col(job).isNotNull()).groupBy(F.col(job).alias("job")).agg(
         F.min(after).alias("_low"),
@@ -199,4 +209,5 @@ def resolve_chains(jobs: DataFrame, job: str = "job_name", after: str = "chained
         "job", F.col("at").alias("root"), F.col("dist").alias("depth")
     )
     reason = F.when(F.col("status") == "open", "cycle").otherwise(F.col("status"))
-    return chains, state.where(F.col("status") != "done").select("job", reason.alias("reason"))
+    nameless = jobs.where(F.col(job).isNull()).select(F.col(job).alias("job"), F.lit("no name").alias("reason"))
+    return chains, state.where(F.col("status") != "done").select("job", reason.alias("reason")).unionByName(nameless)

@@ -12,14 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shuffleworks.functions.text import tokens
-from shuffleworks.operators.ordering import hot_groups, hot_limit, split_hot
 from shuffleworks.sources.formats import read_tagged
 
 KEY, VALUE = "key", "value"
 
-# Larger groups do not reach user code in one piece.
-USER_GROUP_ROWS = 1_000_000
-
 _HELD_KEYS = 100_000
 
 
@@ -197,16 +193,6 @@ def reduce_by_key_rdd(df: DataFrame, key: str, value: str, op: Callable) -> Data
     return df.sparkSession.createDataFrame(pairs.rdd.map(tuple).reduceByKey(op), schema)
 
 
-def _apply_to_groups(df: DataFrame, keys: list[str], fn: Callable, schema: str) -> DataFrame:
-    """User code per group, on a fixed number of partitions.
-
-    Left to adaptive execution, partitions are merged by their bytes, which says
-    little about the cost of user code.
-    """
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(partitions, *keys).groupBy(*keys).applyInPandas(fn, schema)
-
-
 def reduce_groups(
     df: DataFrame,
     keys: list[str],
@@ -215,33 +201,27 @@ def reduce_groups(
     partial: Callable[[pd.DataFrame], pd.DataFrame] | None = None,
     partial_schema: str | None = None,
     merge: Callable[[pd.DataFrame], pd.DataFrame] | None = None,
-    hot_rows: int | None = None,
 ) -> DataFrame:
-    """Arbitrary code over all rows of a key; ``fn`` gets one group as a pandas frame.
+    """Arbitrary code over all rows of a key.
 
-    ``fn`` sees groups of at most ``hot_rows`` rows, which is what has to fit into
-    a task. Larger groups need ``partial`` (rows of one map task to rows with the
-    keys, in ``partial_schema``) and ``merge`` (all partial rows of a key to the
-    result). Without them a larger group is an error, never a cut group.
+    With ``partial`` (rows of one map task to rows with the keys, in
+    ``partial_schema``) and ``merge`` (all partial rows of a key to the result) no
+    task holds a group, whatever its size. Code that cannot be taken apart goes in
+    ``fn``, which gets one whole group as a pandas frame; groups must then fit
+    into a task's memory, as for a reducer that keeps its values.
     """
-    limit = hot_limit(df, hot_rows, USER_GROUP_ROWS)
-    hot = hot_groups(df, keys, limit)
-    if hot is None:
-        return _apply_to_groups(df, keys, fn, schema)
-    if partial is None or merge is None or partial_schema is None:
-        raise ValueError(
-            f"{hot.count()} group(s) have more than {limit} rows: "
-            "give partial, partial_schema and merge for them, or raise hot_rows"
-        )
-    cold_rows, hot_part = split_hot(df, hot, keys)
-    cold = _apply_to_groups(cold_rows, keys, fn, schema)
+    given = [partial, partial_schema, merge]
+    if any(x is None for x in given) and any(x is not None for x in given):
+        raise ValueError("give partial, partial_schema and merge together")
+    if partial is None:
+        return df.groupBy(*keys).applyInPandas(fn, schema)
     # One partial per map task and key, as a combiner would give.
     pieces = (
-        hot_part.withColumn("_task", F.spark_partition_id())
+        df.withColumn("_task", F.spark_partition_id())
         .groupBy(*keys, "_task")
         .applyInPandas(lambda pdf: partial(pdf.drop(columns="_task")), partial_schema)
     )
-    return cold.unionByName(pieces.groupBy(*keys).applyInPandas(merge, schema))
+    return pieces.groupBy(*keys).applyInPandas(merge, schema)
 
 
 def with_composite_key(df: DataFrame, cols: list[str], out: str = KEY) -> DataFrame:

@@ -8,17 +8,17 @@ asks for.
 
 from __future__ import annotations
 
+from collections import Counter
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shuffleworks.session import durable
 
-# Groups above this many rows are taken apart; the session can name another number.
-HOT_ROWS = 5_000_000
-HOT_ROWS_CONF = "spark.shuffleworks.hotRows"
+PARTS = 200  # bounds of the whole key that a ranking uses
+SAMPLE = 20_000  # keys they are chosen from
 
 _POSITION_BITS = 33  # monotonically_increasing_id: partition above, row below
 
@@ -90,58 +90,54 @@ def global_rank(df: DataFrame, cols: list[str], out: str = "rank") -> DataFrame:
     )
 
 
-def hot_limit(df: DataFrame, hot_rows: int | None, default: int = HOT_ROWS) -> int:
-    """``hot_rows`` if given, else what the session says, else the default."""
-    return int(df.sparkSession.conf.get(HOT_ROWS_CONF, str(default))) if hot_rows is None else hot_rows
+def _bounds(df: DataFrame, cols: list[str]) -> list[Row]:
+    """Up to ``PARTS`` rows of ``cols``, in order, that cut the rows into about equal parts.
 
-
-def hot_groups(df: DataFrame, group: list[str], hot_rows: int | None = None) -> DataFrame | None:
-    """Groups with more than ``hot_rows`` rows, or None.
-
-    There can be at most rows / hot_rows of them, which is what makes it safe to
-    collect and broadcast them.
+    They come from a sample of fixed size, chosen by hash, so they depend on the
+    rows alone and not on how they lie.
     """
-    hot_rows = hot_limit(df, hot_rows)
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).drop("_n")
-    rows = sizes.collect()
-    return df.sparkSession.createDataFrame(rows, sizes.schema) if rows else None
-
-
-def _all_of(conditions: list[Column]) -> Column:
-    result = conditions[0]
-    for condition in conditions[1:]:
-        result = result & condition
-    return result
-
+    sample = df.select(*cols).orderBy(F.xxhash64(*cols), *cols).limit(SAMPLE)
+    rows = sample.orderBy(*cols).collect()
+    return rows[:: max(1, len(rows) // PARTS)]
 
-def split_hot(df: DataFrame, hot: DataFrame, group: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows of other groups, rows of hot groups); ``hot`` comes from ``hot_groups``."""
-    renamed = F.broadcast(hot.select(*[F.col(g).alias(f"_hot_{g}") for g in group]))
-    same = _all_of([df[g].eqNullSafe(renamed[f"_hot_{g}"]) for g in group])
-    return df.join(renamed, same, "left_anti"), df.join(renamed, same, "left_semi")
 
-
-def group_rank(
-    df: DataFrame, group: list[str], order: list[str], out: str = "rank", hot_rows: int | None = None
-) -> DataFrame:
+def group_rank(df: DataFrame, group: list[str], order: list[str], out: str = "rank") -> DataFrame:
     """1-based position within the group in composite-key order.
 
-    Groups up to ``hot_rows`` rows use a window. Larger ones get their global
-    rank minus the first global rank of the group, so no task ever holds one of
-    them. Give a unique last order column.
+    A group that holds two or more of ``PARTS`` bounds of the whole key is ranked
+    part by part: its rows are numbered between bounds, and each part starts after
+    the rows of the group in the parts before it. All other groups are one part.
+    The part of a row follows from its values, so nothing has to be written, and
+    the driver sees ``SAMPLE`` keys, whatever the size. Give a unique last order
+    column.
     """
-    window = Window.partitionBy(*group).orderBy(*_columns(order))
-    hot = hot_groups(df, group, hot_rows)
-    if hot is None:
+    cols = [*group, *order]
+    schema = df.select(*cols).schema
+    bounds = _bounds(df, cols)
+    often = {key for key, n in Counter(tuple(b[: len(group)]) for b in bounds).items() if n > 1}
+    cuts = [b for b in bounds if tuple(b[: len(group)]) in often]
+    if not cuts:
+        window = Window.partitionBy(*group).orderBy(*order)
         return df.withColumn(out, F.row_number().over(window).cast("bigint"))
-    cold_rows, hot_rows_df = split_hot(df, hot, group)
-    cold = cold_rows.withColumn(out, F.row_number().over(window).cast("bigint"))
-    placed = global_rank(hot_rows_df, [*group, *order], "_global")
-    first = placed.groupBy(*[F.col(g).alias(f"_g_{g}") for g in group]).agg(F.min("_global").alias("_first"))
-    same = _all_of([placed[g].eqNullSafe(first[f"_g_{g}"]) for g in group])
-    ranked = (
-        placed.join(F.broadcast(first), same)  # one row per hot group
-        .withColumn(out, F.col("_global") - F.col("_first") + 1)
-        .select(*df.columns, out)
+
+    def literal(values, fields) -> Column:
+        return F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(values, fields)])
+
+    limits = F.array(*[literal(b, schema.fields) for b in cuts])
+    large = F.array(*[literal(k, schema.fields[: len(group)]) for k in sorted(often, key=repr)])
+    in_large = F.exists(large, lambda k: k.eqNullSafe(F.struct(*group)))
+    part = F.size(F.filter(limits, lambda b: b <= F.struct(*cols)))
+    placed = df.withColumn("_part", F.when(in_large, part).otherwise(0))
+    window = Window.partitionBy(*group, "_part").orderBy(*order)
+    within = F.row_number().over(window).cast("bigint")
+    sizes = placed.where(in_large).groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).select(
+        *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_part").alias("_p"), "_offset"
     )
-    return cold.unionByName(ranked)
+    same = F.col("_part") == F.col("_p")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    numbered = placed.withColumn("_within", within)
+    ranked = numbered.join(F.broadcast(offsets), same, "left")  # at most 2 * PARTS rows
+    return ranked.withColumn(out, F.col("_within") + F.coalesce("_offset", F.lit(0))).select(*df.columns, out)

@@ -23,7 +23,7 @@ from shuffleworks.constants import (
 )
 from shuffleworks.functions.jsontext import salvage_one
 from shuffleworks.functions.text import contains_any, strip_blanks
-from shuffleworks.operators.runs import merge_updates
+from shuffleworks.operators.ordering import null_free_keys
 
 
 def salvage_json(df: DataFrame, raw_col: str, keep: list[str] | None = None) -> DataFrame:
@@ -167,16 +167,25 @@ def extract_code_blocks(df: DataFrame, raw: str = "raw", job_name: str = "job_na
     return listed.select(*others, F.explode(result).alias("_f")).select(*others, "_f.path", "_f.content")
 
 
+def parts_as(parts: list[Column], names: list[str]) -> list[Column]:
+    return [p.alias(n) for p, n in zip(parts, names)]
+
+
 def overlay(base: DataFrame, patch: DataFrame, key: list[str]) -> DataFrame:
     """Rows of ``patch`` replace rows of ``base`` with the same key; new keys are added.
 
-    One row per key comes out, and a patched row replaces the whole row, nulls
-    included. It is the merge of two updates in which the patch comes last: one
-    shuffle, no join.
+    A patched row replaces all base rows of its key, nulls included; base rows
+    whose key is not patched all stay, repeats too. A key that the patch has twice
+    is an error when the rows are read, since neither row comes first.
     """
-    first = base.withColumn("_turn", F.lit(0))
-    second = patch.select(*base.columns).withColumn("_turn", F.lit(1))
-    return merge_updates(first.unionByName(second), key, ["_turn"]).drop("_turn")
+    keys = [f"_k{i}" for i in range(2 * len(key))]
+    parts = null_free_keys(patch, key)
+    patched = patch.select(*parts_as(parts, keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_times"))
+    unpatched = base.select("*", *parts_as(null_free_keys(base, key), keys)).join(patched, keys, "left_anti")
+    once = patch.select(*base.columns, *parts_as(parts, keys)).join(patched, keys)
+    repeated = F.raise_error(F.concat(F.lit("the patch has a key twice: "), F.to_json(F.struct(*key))))
+    checked = once.where(F.when(F.col("_times") == 1, F.lit(True)).otherwise(repeated.cast("boolean")))
+    return unpatched.select(*base.columns).unionByName(checked.select(*base.columns))
 
 
 def overlay_map(base: Column, patch: Column) -> Column:

@@ -37,14 +37,14 @@ def merge_updates(updates: DataFrame, keys: list[str], order: list[str]) -> Data
 
 
 def append_lists(
-    updates: DataFrame, keys: list[str], order: list[str], out: str = "pos", hot_rows: int | None = None
+    updates: DataFrame, keys: list[str], order: list[str], out: str = "pos"
 ) -> DataFrame:
     """Lists of several writers as one list per key: each row gets its 0-based place ``pos``.
 
     Repeats are kept. The list stays rows, since a list of a hot key would not
     fit into one.
     """
-    ranked = group_rank(updates, keys, order, "_rank", hot_rows)
+    ranked = group_rank(updates, keys, order, "_rank")
     return ranked.withColumn(out, F.col("_rank") - 1).drop("_rank")
 
 
@@ -70,14 +70,14 @@ def progress_snapshot(
 
 
 def failed_nodes(
-    progress: DataFrame, run: str = "run_id", node: str = "node_name", hot_rows: int | None = None
+    progress: DataFrame, run: str = "run_id", node: str = "node_name"
 ) -> DataFrame:
     """The failed nodes of each run with their error, by name: ``run, place, node, error``.
 
     Rows, not a list: a run may have any number of nodes.
     """
     failed = progress.where(F.col("status") == "failed").select(run, node, "error")
-    return group_rank(failed, [run], [node], "place", hot_rows)
+    return group_rank(failed, [run], [node], "place")
 
 
 def run_summary(
@@ -141,27 +141,35 @@ def top_k_with_remainder(df: DataFrame, group: list[str], order: list[Column | s
 # --- logs and attempts ------------------------------------------------------
 
 
-def error_lines(stdout: Column, stderr: Column) -> Column:
-    """Error lines of a build log, trimmed, in order.
+def error_lines(stdout: Column, stderr: Column, tail_chars: int | None = None, max_lines: int | None = None) -> Column:
+    """Error lines of a build log, trimmed, in order: all of them.
 
-    The log is cut to its last characters first and to the first lines last;
-    both limits are part of the result, not a saving.
+    Only on request is the log cut to its last ``tail_chars`` characters first,
+    and the result to its first ``max_lines`` lines (``LOG_TAIL_CHARS`` and
+    ``MAX_ERROR_LINES`` are what fits into a prompt).
     """
-    tail = lambda log: F.right(F.coalesce(log, F.lit("")), F.lit(LOG_TAIL_CHARS))
+
+    def tail(log: Column) -> Column:
+        whole = F.coalesce(log, F.lit(""))
+        return whole if tail_chars is None else F.right(whole, F.lit(tail_chars))
+
     text = F.when(tail(stderr) != "", tail(stderr)).otherwise(tail(stdout))
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(ERROR_LINE))
-    return F.slice(F.transform(lines, strip_blanks), 1, MAX_ERROR_LINES)
+    found = F.transform(lines, strip_blanks)
+    return found if max_lines is None else F.slice(found, 1, max_lines)
 
 
-def extract_error_lines(logs: DataFrame, out: str = "error_lines") -> DataFrame:
-    return logs.withColumn(out, error_lines(F.col("stdout"), F.col("stderr")))
+def extract_error_lines(
+    logs: DataFrame, out: str = "error_lines", tail_chars: int | None = None, max_lines: int | None = None
+) -> DataFrame:
+    return logs.withColumn(out, error_lines(F.col("stdout"), F.col("stderr"), tail_chars, max_lines))
 
 
 def number_attempts(
-    results: DataFrame, order: list[str], run: str = "run_id", out: str = "attempt", hot_rows: int | None = None
+    results: DataFrame, order: list[str], run: str = "run_id", out: str = "attempt"
 ) -> DataFrame:
     """Attempts numbered from 1 per run."""
-    return group_rank(results, [run], order, out, hot_rows)
+    return group_rank(results, [run], order, out)
 
 
 def latest_attempt(results: DataFrame, order: list[str], run: str = "run_id") -> DataFrame:

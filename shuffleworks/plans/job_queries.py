@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,11 +23,11 @@ REGISTRY = Registry()
 
 
 _TOKENS = r"""(SELECT doc_id, unnest(string_split_regex(text, '[ \t\n\r\f]+')) AS token FROM documents) WHERE token <> ''"""
-_WORD_COUNT = f"SELECT token AS key, CAST(count(*) AS INTEGER) AS value FROM {_TOKENS} GROUP BY token"
+_WORD_COUNT = f"SELECT token AS key, count(*) AS value FROM {_TOKENS} GROUP BY token"
 
 
 def _ones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mr.emit(mr.tokenize(table(spark, sf_dir, "documents", "text"), "text"), "token", F.lit(1))
+    return mr.emit(mr.tokenize(table(spark, sf_dir, "documents", "text"), "text"), "token", F.lit(1).cast("bigint"))
 
 
 # --- map --------------------------------------------------------------------
@@ -48,13 +50,25 @@ def line_charges(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, upper(event_type) AS kind FROM events"
 )
 def event_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.get_json_object("props", "$.k").cast("bigint").alias("k")
+    return mr.map_rows(table(spark, sf_dir, "events"), "event_id", number, F.upper("event_type").alias("kind"))
+
+
+@REGISTRY.query(
+    "SELECT event_id, event_type || ':' || CAST(json_extract(props, '$.k') AS VARCHAR) AS code, "
+    "CAST(length(event_type || ':' || CAST(json_extract(props, '$.k') AS VARCHAR)) AS BIGINT) AS width FROM events"
+)
+def event_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User code on whole batches: a parser that takes any JSON value under the key."""
+
     def parse(batches):
         for batch in batches:
-            number = batch["props"].str.extract(r'"k": (-?\d+)', expand=False).astype("int64")
-            yield pd.DataFrame({"event_id": batch["event_id"], "k": number, "kind": batch["event_type"].str.upper()})
+            values = [json.loads(p).get("k") for p in batch["props"]]
+            codes = batch["event_type"] + ":" + pd.Series([json.dumps(v) for v in values], index=batch.index)
+            yield pd.DataFrame({"event_id": batch["event_id"], "code": codes, "width": codes.str.len().astype("int64")})
 
     events = table(spark, sf_dir, "events").select("event_id", "props", "event_type")
-    return mr.map_batches(events, parse, "event_id bigint, k bigint, kind string")
+    return mr.map_batches(events, parse, "event_id bigint, code string, width bigint")
 
 
 @REGISTRY.query(
@@ -82,12 +96,12 @@ def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.query(_WORD_COUNT)
 def word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mr.reduce_by_key(_ones(spark, sf_dir), ["key"], {"value": mr.int_sum_wrapping(F.col("value"))})
+    return mr.reduce_by_key(_ones(spark, sf_dir), ["key"], {"value": mr.sum_of(F.col("value"))})
 
 
 @REGISTRY.query(_WORD_COUNT)
 def word_count_salted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mr.pre_aggregate(_ones(spark, sf_dir), ["key"], {"value": mr.int_sum_wrapping(F.col("value"))})
+    return mr.pre_aggregate(_ones(spark, sf_dir), ["key"], {"value": mr.sum_of(F.col("value"))})
 
 
 @REGISTRY.query(_WORD_COUNT)
@@ -330,7 +344,7 @@ def changed_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.query(f"SELECT count(*) AS row_count, CAST(sum({_LINE_HASH}) AS VARCHAR) AS checksum FROM lineitem")
 def lineitem_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return eq.checksum(testkit.all_lines(spark, sf_dir)).withColumn("checksum", F.col("checksum").cast("string"))
+    return eq.checksum(testkit.all_lines(spark, sf_dir), scale=6).withColumn("checksum", F.col("checksum").cast("string"))
 
 
 @REGISTRY.query(
@@ -362,3 +376,52 @@ def changed_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def changed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = eq.diff_rows(testkit.all_lines(spark, sf_dir), testkit.changed_lineitem(spark, sf_dir))
     return found.withColumn("shipped", epoch_micros(F.col("l_shipdate"))).drop("l_shipdate")
+
+
+_MOVED = (
+    "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_type END AS a, "
+    "CASE WHEN event_id % 7 = 0 THEN event_type END AS b, value / 1e9 AS tiny FROM events"
+)
+
+
+@REGISTRY.query(
+    "SELECT event_id, a, b, tiny, side, CAST(1 AS BIGINT) AS times FROM ("
+    f"SELECT *, 'left' AS side FROM ({_MOVED}) WHERE event_id % 7 = 0 OR event_id % 11 = 0 UNION ALL "
+    f"SELECT event_id, b, a, CASE WHEN event_id % 11 = 0 THEN tiny + 3e-9 ELSE tiny END, 'right' FROM ({_MOVED}) "
+    "WHERE event_id % 7 = 0 UNION ALL "
+    f"SELECT event_id, a, b, tiny + 3e-9, 'right' FROM ({_MOVED}) WHERE event_id % 7 <> 0 AND event_id % 11 = 0)"
+)
+def moved_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nulls that change their column, and changes far behind the decimal point."""
+    null = F.lit(None).cast("string")
+    seventh = F.col("event_id") % 7 == 0
+    tiny = F.col("value") / F.lit(1e9)
+    left = table(spark, sf_dir, "events").select(
+        "event_id",
+        F.when(seventh, null).otherwise(F.col("event_type")).alias("a"),
+        F.when(seventh, F.col("event_type")).alias("b"),
+        tiny.alias("tiny"),
+    )
+    changed = F.when(F.col("event_id") % 11 == 0, F.col("tiny") + F.lit(3e-9)).otherwise(F.col("tiny"))
+    right = left.select(
+        "event_id",
+        F.when(seventh, F.col("b")).otherwise(F.col("a")).alias("a"),
+        F.when(seventh, F.col("a")).otherwise(F.col("b")).alias("b"),
+        changed.alias("tiny"),
+    )
+    return eq.diff_rows(left, right)
+
+
+@REGISTRY.query(
+    "SELECT true AS passed, count(*) AS left_rows, count(*) AS right_rows, true AS checksum_match, "
+    "'rows equal: ' || count(*) || ' vs ' || count(*) || '; checksums equal' AS details FROM lineitem"
+)
+def same_decimals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal amounts in decimals of unequal scale, and equal maps in another order of entries."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_tax", "l_discount", "l_extendedprice")
+
+    def side(kind: str, names: list[str]) -> DataFrame:
+        rates = F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))])
+        return lines.select("l_orderkey", F.col("l_extendedprice").cast(kind).alias("price"), rates.alias("rates"))
+
+    return eq.compare(side("decimal(12,2)", ["l_tax", "l_discount"]), side("decimal(16,4)", ["l_discount", "l_tax"]))

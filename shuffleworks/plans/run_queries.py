@@ -121,7 +121,7 @@ def top_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query(
     "SELECT o_orderkey AS attempt_id, CAST(len(found) AS INTEGER) AS n, array_to_string(found, '; ') AS lines FROM "
     "(SELECT o_orderkey, CASE o_orderkey % 5 WHEN 1 THEN ['[ERROR] one ' || o_orderkey, 'value x is not a member of Y'] "
-    "WHEN 2 THEN list_transform(range(1, 21), lambda i: 'x.scala:' || i || ': error: bad') "
+    "WHEN 2 THEN list_transform(range(1, 31), lambda i: 'x.scala:' || i || ': error: bad') WHEN 3 THEN ['[ERROR] early ' || o_orderkey] "
     "WHEN 4 THEN ['Not Found: type T' || o_orderkey] ELSE CAST([] AS VARCHAR[]) END AS found FROM orders)"
 )
 def error_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,6 +118,9 @@ def test_defaults_stand_in_for_missing_keys_only(spark):
         (2, '{"other": 1}'),
         (3, "not json"),
         (4, '{"jobs": []}'),
+        (5, '{"jobs": null}'),
+        (6, '{"jobs": "x"}'),
+        (7, None),
     ]
     df = spark.createDataFrame(raw, "id int, raw string")
     jobs, errors = jobtable.normalise_jobs(df)
@@ -125,7 +128,7 @@ def test_defaults_stand_in_for_missing_keys_only(spark):
     assert (a.input_format, a.output_format, a.input_paths, a.output_paths) == ("TextInputFormat", "TextOutputFormat", ["/data/input"], ["/data/output"])
     assert a.composite_keys == [] and a.mapper is None and a.chained_after is None
     assert (b.input_format, b.input_paths, b.mapper) == (None, ["x"], "M")
-    assert sorted(r.id for r in errors.collect()) == [2, 3]
+    assert sorted(r.id for r in errors.collect()) == [2, 3, 5, 6, 7]
     summary = {r.id: (r.n_jobs, r.chain_count, r.complexity) for r in jobtable.graph_summary(df).collect()}
     assert summary == {1: (2, 2, "medium"), 4: (0, 0, "medium")}
 
@@ -172,4 +175,4 @@ def test_long_chain(spark):
 def test_star_of_jobs_and_no_jobs(spark):
     good, bad = chains(spark, ("hub", None), *[(f"j{i}", "hub") for i in range(50)])
     assert not bad and len(good) == 51 and good["j7"] == ("hub", 1)
-    assert chains(spark, (None, "x")) == ({}, {})
+    assert chains(spark, (None, "x")) == ({}, {None: "no name"})

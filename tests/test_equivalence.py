@@ -34,7 +34,30 @@ def test_checksum_recipe(spark):
         "big|-1|-250000000000000000.000000|\\N",
     ]
     total = sum(int(hashlib.md5(t.encode()).hexdigest()[:16], 16) for t in texts)
-    assert sums(df) == (6, total)
+    assert sums(df, scale=6) == (6, total)
+
+
+VALUE = st.one_of(st.none(), st.sampled_from([0.0, -0.0, 1e-7, 3e-9, 2e-7, float("nan"), 1.5]))
+ROW = st.tuples(st.one_of(st.none(), st.sampled_from(["", "a", "b"])), st.one_of(st.none(), st.sampled_from(["", "a"])), VALUE)
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(ROW, min_size=1, max_size=5), st.lists(ROW, max_size=2))
+def test_passed_says_that_no_row_differs(spark, data, other):
+    schema = "a string, b string, d double"
+    left, right = spark.createDataFrame(data, schema), spark.createDataFrame([*data[len(other) :], *other], schema)
+    for by_hash in (True, False):
+        assert eq.compare(left, right).first().passed == (eq.diff_rows(left, right, by_hash=by_hash).count() == 0)
+    assert not eq.compare(left, left.union(left)).first().passed
+
+
+def test_values_of_unequal_types_and_maps(spark):
+    left = spark.sql("select cast(1.5 as decimal(10,2)) p, map('a', 1, 'b', 2) m, cast(null as array<int>) l")
+    right = spark.sql("select cast(1.5 as decimal(12,4)) p, map('b', 2, 'a', 1) m, cast(null as array<int>) l")
+    assert eq.compare(left, right).first().passed and eq.diff_rows(left, right).count() == 0
+    assert eq.checksum(left).first() == eq.checksum(right).first()
+    other = right.selectExpr("p", "m", "array() as l")
+    assert not eq.compare(left, other).first().passed and eq.diff_rows(left, other).count() == 2
 
 
 @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))

@@ -1,12 +1,15 @@
 import random
 
 import pandas as pd
+from unittest import mock
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from shuffleworks.operators import mapreduce as mr
+from shuffleworks.operators import ordering
 from shuffleworks.operators.ordering import global_rank, group_rank, secondary_sort, total_order
 from shuffleworks.plans.chain import Job, run_chain
 
@@ -102,10 +105,10 @@ def test_reduce_groups_splits_hot_groups(spark, rows):
     df = spark.range(300).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
     schema = "k bigint, lo bigint, hi bigint"
     plain = mr.reduce_groups(df, ["k"], _range, schema)
-    split = mr.reduce_groups(df.repartition(4), ["k"], _range, schema, _range, schema, _merge, hot_rows=10)
+    split = mr.reduce_groups(df.repartition(4), ["k"], _range, schema, _range, schema, _merge)
     assert rows(split) == rows(plain)
-    with pytest.raises(ValueError, match="more than 10 rows"):
-        mr.reduce_groups(df, ["k"], _range, schema, hot_rows=10)
+    with pytest.raises(ValueError, match="together"):
+        mr.reduce_groups(df, ["k"], _range, schema, _range)
 
 
 def test_map_only_has_no_exchange(spark, plan):
@@ -152,10 +155,11 @@ def test_secondary_sort_orders_rows_inside_groups(spark, whole):
 
 
 @SLOW
-@given(st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 3)), st.integers(0, 9)), max_size=50), st.integers(0, 12))
-def test_ranks_by_window_and_by_range_agree(spark, data, hot_rows):
+@given(st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 3)), st.integers(0, 9)), max_size=50), st.integers(1, 60))
+def test_ranks_of_split_and_whole_groups_agree(spark, data, parts):
     df = spark.createDataFrame([(g, t, i) for i, (g, t) in enumerate(data)], "g int, t int, i int")
-    got = {r.i: r["rank"] for r in group_rank(df, ["g"], ["t", "i"], hot_rows=hot_rows).collect()}
+    with mock.patch.object(ordering, "PARTS", parts):
+        got = {r.i: r["rank"] for r in group_rank(df, ["g"], ["t", "i"]).collect()}
     expected = {}
     for key in {g for g, _ in data}:
         places = sorted((t, i) for i, (g, t) in enumerate(data) if g == key)

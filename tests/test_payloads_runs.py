@@ -87,8 +87,11 @@ def test_code_blocks(spark):
 
 def test_overlay_replaces_whole_rows(spark, rows):
     base = spark.createDataFrame([(1, "a", 1), (2, "b", 2), (None, "n", 0)], "k int, s string, v int")
+    base = base.union(base.where("k = 1"))  # a repeated row whose key is not patched
     patch = spark.createDataFrame([(2, None, 9), (3, "c", 3), (None, "m", 1)], "k int, s string, v int")
-    assert rows(payloads.overlay(base, patch, ["k"])) == sorted([(1, "a", 1), (2, None, 9), (3, "c", 3), (None, "m", 1)], key=repr)
+    assert rows(payloads.overlay(base, patch, ["k"])) == sorted([(1, "a", 1), (1, "a", 1), (2, None, 9), (3, "c", 3), (None, "m", 1)], key=repr)
+    with pytest.raises(Exception, match="a key twice"):
+        payloads.overlay(base, patch.union(patch), ["k"]).collect()
 
 
 def test_overlay_of_maps(spark):
@@ -114,10 +117,9 @@ def test_last_writer_wins_and_merging_again_changes_nothing(updates, rows):
     assert rows(runs.merge_updates(once.union(updates), ["run_id", "node_name"], ["seq"])) == rows(once)
 
 
-@pytest.mark.parametrize("hot_rows", [1, 100])
-def test_lists_keep_order_and_repeats(spark, hot_rows):
+def test_lists_keep_order_and_repeats(spark):
     df = spark.createDataFrame([("r", 1, 0, "b"), ("r", 0, 1, "a"), ("r", 0, 0, "a"), ("q", 0, 0, "z")], "run string, writer int, seq int, item string")
-    out = runs.append_lists(df, ["run"], ["writer", "seq"], hot_rows=hot_rows)
+    out = runs.append_lists(df, ["run"], ["writer", "seq"])
     assert [r["item"] for r in out.where("run = 'r'").orderBy("pos").collect()] == ["a", "a", "b"]
     assert out.where("run = 'q'").first().pos == 0
 
@@ -141,9 +143,8 @@ def test_failed_nodes_and_summary(spark):
         [(1, "b", "failed", "e2"), (1, "a", "failed", None), (1, "c", "success", None), (2, "a", "success", None)],
         "run_id int, node_name string, status string, error string",
     )
-    for hot_rows in (1, 100):
-        found = runs.failed_nodes(progress, hot_rows=hot_rows).select("run_id", "place", "node_name", "error")
-        assert sorted(tuple(r) for r in found.collect()) == [(1, 1, "a", None), (1, 2, "b", "e2")]
+    found = runs.failed_nodes(progress).select("run_id", "place", "node_name", "error")
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 1, "a", None), (1, 2, "b", "e2")]
     jobs = spark.createDataFrame([(1,), (1,)], "run_id int")
     files = spark.createDataFrame([(1, "a.scala"), (1, "b.sbt"), (2, "c.scala")], "run_id int, path string")
     reviews = spark.createDataFrame([(2, True)], "run_id int, human_review_required boolean")
@@ -166,18 +167,23 @@ def test_top_k_is_cut_before_the_shuffle(spark, plan):
 
 
 def test_error_lines_of_a_log(spark):
-    def lines(stdout, stderr):
+    def lines(stdout, stderr, **limits):
         df = spark.createDataFrame([(stdout, stderr)], "stdout string, stderr string")
-        return runs.extract_error_lines(df).first().error_lines
+        return runs.extract_error_lines(df, **limits).first().error_lines
+
+    many = "\n".join(f"[ERROR] {i}" for i in range(500))
+    assert lines("", many) == many.split("\n") == lines("", many, tail_chars=10**6, max_lines=10**6)
+    assert lines("", many, max_lines=20) == many.split("\n")[:20]
 
     assert lines("[ERROR] x", "  error: a \nok\nNOT FOUND: b\nvalue q is not a member of r") == ["error: a", "NOT FOUND: b", "value q is not a member of r"]
     assert lines("cannot find symbol", "") == ["cannot find symbol"]
     assert lines("cannot find symbol", None) == ["cannot find symbol"]
     assert lines(None, None) == []
-    assert lines("", "[ERROR] early\n" + "x" * 2000) == []
+    assert lines("", "[ERROR] early\n" + "x" * 2000) == ["[ERROR] early"]
+    assert lines("", "[ERROR] early\n" + "x" * 2000, tail_chars=2000) == []
     # The cut may fall inside a line.
-    assert lines("", "[ERROR] " + "x" * 10 + " error: y" + "z" * 1992) == ["error: y" + "z" * 1992]
-    assert len(lines("", "error: \n" * 25)) == 20
+    assert lines("", "[ERROR] " + "x" * 10 + " error: y" + "z" * 1992, tail_chars=2000) == ["error: y" + "z" * 1992]
+    assert len(lines("", "error: \n" * 25)) == 25 and len(lines("", "error: \n" * 25, max_lines=20)) == 20
 
 
 def test_attempts(spark, rows):

@@ -1,12 +1,11 @@
-"""One key holds a third of the rows: the paths for hot groups, with a limit so low that they are taken."""
+"""One key holds a third of the rows: what keeps it from landing in one task."""
 
 import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import oracle_sql, queries
-from shuffleworks.operators import deps, jobtable, runs
+from shuffleworks.operators import deps, jobtable, ordering, runs
 from shuffleworks.operators import mapreduce as mr
-from shuffleworks.operators.ordering import HOT_ROWS_CONF, hot_groups
 from tests.checking import difference, duckdb_tables
 
 RANKED = [
@@ -20,10 +19,9 @@ RANKED = [
 
 
 @pytest.fixture
-def low_limit(spark):
-    spark.conf.set(HOT_ROWS_CONF, "12")
-    yield
-    spark.conf.unset(HOT_ROWS_CONF)
+def many_parts(monkeypatch):
+    """Bounds so close that most groups are ranked in parts."""
+    monkeypatch.setattr(ordering, "PARTS", 5000)
 
 
 @pytest.fixture(scope="module")
@@ -33,14 +31,16 @@ def hot(spark):
 
 
 @pytest.mark.parametrize("name", RANKED)
-def test_queries_by_the_hot_path(spark, sf_dir, low_limit, name):
+def test_queries_with_split_groups(spark, sf_dir, many_parts, name):
     assert difference(queries()[name](spark, sf_dir), duckdb_tables(sf_dir), oracle_sql()[name]) is None
 
 
-def test_hot_groups_are_few(hot, low_limit):
-    assert {r.k for r in hot_groups(hot, ["k"], 500).collect()} == {"hot"}
-    assert hot_groups(hot, ["k"], 3000) is None
-    assert hot_groups(hot, ["k"]).count() == 51
+def test_a_hot_group_is_ranked_in_parts(hot, plan):
+    ranked = ordering.group_rank(hot, ["k"], ["v", "id"])
+    assert "_part" in plan(ranked) and "SinglePartition" not in plan(ranked)
+    places = {r.id: r["rank"] for r in ranked.collect()}
+    for key, rows in {k: sorted((r.v, r.id) for r in hot.collect() if r.k == k) for k in ("hot", "k1")}.items():
+        assert [places[i] for _, i in rows] == list(range(1, len(rows) + 1)), key
 
 
 def test_aggregates_and_top_rows(hot):
