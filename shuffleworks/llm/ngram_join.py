@@ -39,10 +39,10 @@ from pyspark.sql import functions as F
 from shuffleworks.llm.common import cut, keep_rows, whole_text
 from shuffleworks.llm.components import components
 
-HEAVY = 1 << 16  # shingles whose counts decide the order: two numbers each are sent to all tasks
+HEAVY = 1 << 18  # shingles whose counts decide the order: two numbers each are sent to all tasks
 COMMON = 8  # texts from which a shingle can be heavy
 STAR = 256  # texts from which a shingle's groups are tied without a list
-LIST = 32  # groups of a shingle that are paired one by one
+LIST = 64  # groups of a shingle that are paired one by one
 BLOCK = 512  # classes of a block
 BLOCK_SHINGLES = 400_000  # and their shingles together
 FLUSH = 6_000_000  # shingles that a task counts at once
