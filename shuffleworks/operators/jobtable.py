@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shuffleworks.constants import (
@@ -105,54 +105,99 @@ def graph_summary(df: DataFrame, raw: str = "raw") -> DataFrame:
 
 
 _SLOTS = ["mapper", "combiner", "reducer", "partitioner"]
-_SETTER = r"\.set(Mapper|Combiner|Reducer|Partitioner)Class\s*\(\s*([\w.]+)\.class\b"
+_SETTER = r"\b(\w+)\.set(Mapper|Combiner|Reducer|Partitioner)Class\s*\(\s*([\w.]+)\.class\b"
+_DECLARATION = r"\bclass (\w+)"
 
 
 def _wiring(files: DataFrame, path: str, content: str) -> DataFrame:
-    """``_path, slot, name`` of the classes a file sets; the first call per slot counts."""
-    calls = F.regexp_extract_all(code_only(F.col(content)), F.lit(_SETTER), F.lit(0))
-    parsed = F.transform(
-        calls,
-        lambda call, at: F.struct(
-            F.lower(F.regexp_extract(call, _SETTER, 1)).alias("slot"),
-            F.substring_index(F.regexp_extract(call, _SETTER, 2), ".", -1).alias("name"),
-            at.alias("at"),
-        ),
+    """``_path, driver, job_var, slot, ref`` of the classes that jobs are given.
+
+    Calls belong to the variable they are made on and to the class declared last
+    before them. A setter overwrites, so the last call per slot counts.
+    """
+    events = F.regexp_extract_all(code_only(F.col(content)), F.lit(f"{_DECLARATION}|{_SETTER}"), F.lit(0))
+    found = files.select(F.col(path).alias("_path"), events.alias("_events"))
+    found = found.where(F.exists("_events", lambda e: e.rlike(_SETTER)))
+
+    def call(event: Column, at: Column) -> Column:
+        around = F.filter(F.slice("_events", 1, at + 1), lambda e: ~e.rlike(_SETTER))
+        return F.when(
+            event.rlike(_SETTER),
+            F.struct(
+                F.regexp_extract(F.try_element_at(around, F.lit(-1)), _DECLARATION, 1).alias("driver"),
+                F.regexp_extract(event, _SETTER, 1).alias("job_var"),
+                F.lower(F.regexp_extract(event, _SETTER, 2)).alias("slot"),
+                F.regexp_extract(event, _SETTER, 3).alias("ref"),
+                at.alias("at"),
+            ),
+        )
+
+    calls = F.filter(F.transform("_events", call), lambda c: c.isNotNull())
+    each = found.select("_path", F.explode(calls).alias("_s")).select("_path", "_s.*")
+    return each.groupBy("_path", "driver", "job_var", "slot").agg(F.max_by("ref", "at").alias("ref"))
+
+
+def _packages(ref: Column, package: Column, imports: Column) -> Column:
+    """Where a named class may be declared, the first that has it counts.
+
+    The qualifier it is named with, the import of that very name, the package of
+    the driver, and then the packages imported whole.
+    """
+    name, qualifier = F.substring_index(ref, ".", -1), F.regexp_extract(ref, r"^(.*)\.\w+$", 1)
+    outer = F.substring_index(ref, ".", 1)  # of a nested class, it is what is imported
+    parent = lambda i: F.regexp_extract(i, r"^(.*)\.[\w*]+$", 1)
+    given = F.when(qualifier != "", F.array(qualifier)).otherwise(F.array().cast("array<string>"))
+    own = F.filter(imports, lambda i: i.endswith(F.concat(F.lit("."), name)) | i.endswith(F.concat(F.lit("."), outer)))
+    whole = F.filter(imports, lambda i: i.endswith(".*"))
+    return F.array_distinct(
+        F.concat(given, F.transform(own, parent), F.array(F.coalesce(package, F.lit(""))), F.transform(whole, parent))
     )
-    each = files.select(F.col(path).alias("_path"), F.explode(parsed).alias("_s")).select("_path", "_s.*")
-    return each.groupBy("_path", "slot").agg(F.min_by("name", "at").alias("name"))
 
 
 def assemble_jobs(files: DataFrame, classes: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """One row per driver class whose file sets job classes.
+    """One row per job: per variable on which a class sets job classes.
 
-    ``job_name, package, driver, file_path`` and, for mapper, combiner, reducer
-    and partitioner, the class the driver names and the file it is declared in
-    (null when unknown). Names are looked up in the driver's package. All slots
-    go through one join; copies of a class count once, by first path.
+    ``job_name, package, driver, job_var, file_path`` and, for mapper, combiner,
+    reducer and partitioner, the class the driver names and the file it is
+    declared in (null when unknown). A driver's only job has the driver's name,
+    several have the variable's name added. Names are looked up by qualifier,
+    import and package. All slots go through one join; copies of a class count
+    once, by first path.
     """
-    drivers = classes.where(F.col("role") == "driver").select(
-        F.col("class_name").alias("driver"), "package", "file_path", "class_pos"
+    sources = classes.groupBy("file_path", F.col("class_name").alias("driver")).agg(
+        F.min("package").alias("package"), F.min("imports").alias("imports")
     )
-    wiring = _wiring(files, path, content)
-    named = drivers.join(wiring, drivers.file_path == wiring._path).drop("_path")
-    declared = classes.groupBy("package", "class_name").agg(F.min("file_path").alias("_declared_in"))
-    declared = declared.select(
-        F.col("package").alias("_package"), F.col("class_name").alias("_class"), "_declared_in"
+    wiring = _wiring(files, path, content).withColumnRenamed("_path", "file_path")
+    named = wiring.join(sources, ["file_path", "driver"], "left")
+    places = _packages(F.col("ref"), F.col("package"), F.coalesce("imports", F.array().cast("array<string>")))
+    tried = named.select(
+        "file_path", "driver", "job_var", "slot", "package", F.substring_index("ref", ".", -1).alias("name"),
+        F.posexplode(places).alias("_turn", "_package"),
+    )
+    declared = classes.groupBy(F.coalesce("package", F.lit("")).alias("_package"), F.col("class_name").alias("name")).agg(
+        F.min("file_path").alias("_declared_in")
     )
-    same = named.package.eqNullSafe(declared._package) & (named.name == declared._class)
-    found = named.join(declared, same, "left")
-    wide = found.groupBy("driver", "package", "file_path", "class_pos").agg(
-        *[F.max(F.when(F.col("slot") == s, F.col("name"))).alias(s) for s in _SLOTS],
-        *[F.max(F.when(F.col("slot") == s, F.col("_declared_in"))).alias(f"{s}_path") for s in _SLOTS],
+    found = tried.join(declared, ["_package", "name"], "left")
+
+    def of(slot: str, value: Column) -> Column:
+        return F.min(F.when(F.col("slot") == slot, value))
+
+    # A struct that begins with the turn: its least value is the first package that has the class.
+    hit = F.when(F.col("_declared_in").isNotNull(), F.struct("_turn", "_declared_in"))
+    wide = found.groupBy("file_path", "driver", "job_var").agg(
+        F.min("package").alias("package"),
+        *[of(s, F.col("name")).alias(s) for s in _SLOTS],
+        *[of(s, hit).alias(f"_{s}") for s in _SLOTS],
     )
+    several = F.count(F.lit(1)).over(Window.partitionBy("file_path", "driver")) > 1  # the jobs of one class
     return wide.select(
-        F.col("driver").alias("job_name"),
+        F.when(several, F.concat_ws(".", "driver", "job_var")).otherwise(F.col("driver")).alias("job_name"),
         "package",
         "driver",
+        "job_var",
         "file_path",
         *_SLOTS,
-        *[f"{s}_path" for s in _SLOTS],
+        *[F.col(f"_{s}._declared_in").alias(f"{s}_path") for s in _SLOTS],
     )
 
 

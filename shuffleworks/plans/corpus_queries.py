@@ -374,7 +374,7 @@ def graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def assembled_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = testkit.code_files(spark, sf_dir)
     classes = durable(corpus.extract_classes(files))  # read as drivers and as the classes they name
-    return jobtable.assemble_jobs(files, classes)
+    return jobtable.assemble_jobs(files, classes).drop("job_var")
 
 
 _CHAIN = (

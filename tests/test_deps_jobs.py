@@ -141,11 +141,19 @@ def test_jobs_from_driver_sources(spark):
         ("D.java", "package p;\nimport org.apache.hadoop.mapreduce.Job;\nclass D { void f() {\n// j.setMapperClass(Old.class);\n"
          "j.setMapperClass( M.class ); j.setReducerClass(p.R.class); j.setMapperClass(Second.class); } }"),
         ("E.java", "package p;\nimport org.apache.hadoop.mapreduce.Job;\nclass E {}"),
+        ("Two.java", "package p;\nimport org.apache.hadoop.mapreduce.Job;\nimport q.R;\nclass Helper {}\nclass Two { void f() {\n"
+         "a.setMapperClass(M.class); b.setMapperClass(p.M.class); b.setReducerClass(R.class); a.setReducerClass(q.R.class); } }\n"
+         "class After {}"),
     ]
     files = spark.createDataFrame(texts, "path string, content string")
-    (job,) = jobtable.assemble_jobs(files, corpus.extract_classes(files)).collect()
+    found = {j.job_name: j for j in jobtable.assemble_jobs(files, corpus.extract_classes(files)).collect()}
+    assert set(found) == {"D", "Two.a", "Two.b"}
+    for name in ("Two.a", "Two.b"):
+        job = found[name]
+        assert (job.driver, job.mapper, job.mapper_path, job.reducer, job.reducer_path) == ("Two", "M", "M.java", "R", "other/M.java")
+    job = found["D"]
     assert (job.job_name, job.package, job.file_path) == ("D", "p", "D.java")
-    assert (job.mapper, job.mapper_path) == ("M", "M.java")
+    assert (job.mapper, job.mapper_path) == ("Second", None)  # a setter overwrites
     assert (job.reducer, job.reducer_path) == ("R", None)  # R is in another package
     assert job.combiner is None and job.partitioner is None
 
