@@ -192,17 +192,20 @@ def config_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.query(f"SELECT run_id, node_name, status, event_id FROM {_LATEST}")
 def streamed_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream of files, merged batch by batch into a table."""
-    schema = table(spark, sf_dir, "events").schema
-    # A stream wants a folder or a pattern; this pattern fits one file or one folder.
-    events = stream.read_updates(spark, f"{sf_dir}/events.{{parquet}}", schema)
-    updates = events.select(
-        F.col("user_id").alias("run_id"),
-        F.col("event_type").alias("node_name"),
-        F.when(F.col("event_type") == "error", "failed").otherwise("success").alias("status"),
-        "ts",
-        "event_id",
-    )
+    """The events as a stream of files, merged batch by batch into a table that is compacted in between."""
+    events = table(spark, sf_dir, "events")
     folder = scratch_path(spark, "progress")
-    stream.write_progress(updates, _KEYS, _ORDER, f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+    for turn in range(3):
+        events.where(F.col("event_id") % 3 == turn).write.mode("append").parquet(f"{folder}/in")
+        arriving = stream.read_updates(spark, f"{folder}/in", events.schema)
+        updates = arriving.select(
+            F.col("user_id").alias("run_id"),
+            F.col("event_type").alias("node_name"),
+            F.when(F.col("event_type") == "error", "failed").otherwise("success").alias("status"),
+            "ts",
+            "event_id",
+        )
+        stream.write_progress(updates, _KEYS, _ORDER, f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+        if turn == 1:
+            stream.compact_progress(spark, f"{folder}/table", _KEYS, _ORDER)
     return stream.read_progress(spark, f"{folder}/table", _KEYS, _ORDER).drop("ts")

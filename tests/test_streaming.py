@@ -28,8 +28,23 @@ def test_stream_gives_the_batch_result(spark, tmp_path, rows):
     stream.write_progress(updates, KEYS, ORDER, table, str(tmp_path / "cp")).awaitTermination()
     merged = stream.read_progress(spark, table, KEYS, ORDER)
     assert rows(merged) == rows(merge_updates(spark.read.parquet(source), KEYS, ORDER))
-    stream.compact_progress(spark, table, KEYS, ORDER, str(tmp_path / "small"))
-    assert rows(stream.read_progress(spark, str(tmp_path / "small"), KEYS, ORDER)) == rows(merged)
+    # Compaction in between, and batches after it, twice.
+    for seq in (10, 11):
+        stream.compact_progress(spark, table, KEYS, ORDER)
+        stream.compact_progress(spark, table, KEYS, ORDER)
+        assert rows(stream.read_progress(spark, table, KEYS, ORDER)) == rows(merge_updates(spark.read.parquet(source), KEYS, ORDER))
+        spark.createDataFrame([(seq, "a", seq, "new"), (1, "a", seq, "again")], SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        stream.write_progress(updates, KEYS, ORDER, table, str(tmp_path / "cp")).awaitTermination()
+        assert rows(stream.read_progress(spark, table, KEYS, ORDER)) == rows(merge_updates(spark.read.parquet(source), KEYS, ORDER))
+    assert len(list((tmp_path / "table").glob("b*=*"))) <= 5
+
+
+def test_no_input_is_an_empty_table(spark, tmp_path):
+    source, table = tmp_path / "in", str(tmp_path / "table")
+    source.mkdir()
+    schema = spark.createDataFrame([], SCHEMA).schema
+    stream.write_progress(stream.read_updates(spark, str(source), schema), KEYS, ORDER, table, str(tmp_path / "cp")).awaitTermination()
+    assert stream.read_progress(spark, table, KEYS, ORDER).count() == 0
 
 
 def test_streaming_aggregate_in_update_mode(spark, tmp_path, rows):
