@@ -18,8 +18,8 @@ from shuffleworks.constants import (
 )
 from shuffleworks.functions.text import strip_blanks
 
-# A list of prefixes given by hand is matched inside the row up to this length.
-MAX_INLINE_PREFIXES = 200
+# Copies of each prefix in a join, so that a text part that most rows have meets it in as many tasks.
+SALT = 16
 
 ITEM_COLUMNS = ["matched_prefix", "artifact", "location", "is_transitive", "suggestion"]
 
@@ -30,8 +30,19 @@ def usable_prefixes(prefixes: list[str]) -> list[str]:
 
 
 def _each_once(prefixes: DataFrame) -> DataFrame:
-    """One row per prefix of a table, at its first place."""
-    return prefixes.groupBy("prefix").agg(F.min("prefix_pos").alias("prefix_pos"))
+    """One row per prefix of a table that is not blank, at its first place."""
+    return prefixes.where(F.col("prefix").rlike(r"(?U)\S")).groupBy("prefix").agg(F.min("prefix_pos").alias("prefix_pos"))
+
+
+def _met(df: DataFrame, cut: DataFrame, text: Column, wanted: DataFrame) -> DataFrame:
+    """``cut`` (rows of ``df`` with ``_cut``) joined with the prefixes that equal the cuts.
+
+    The salt follows from the text and the map task, so a retried task salts alike.
+    """
+    salted = cut.withColumn("_salt", F.pmod(F.xxhash64(text) + F.spark_partition_id(), F.lit(SALT)))
+    copies = wanted.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    same = (salted["_cut"] == copies["prefix"]) & (salted["_salt"] == copies["_copy"])
+    return salted.join(copies, same).select(*df.columns, "prefix_pos", "prefix")
 
 
 def explode_imports(classes: DataFrame) -> DataFrame:
@@ -41,10 +52,6 @@ def explode_imports(classes: DataFrame) -> DataFrame:
     )
 
 
-def _prefix_table(df: DataFrame, prefixes: list[str]) -> DataFrame:
-    return df.sparkSession.createDataFrame(list(enumerate(prefixes)), "prefix_pos int, prefix string")
-
-
 def _inline_matches(df: DataFrame, prefixes: list[str], hit) -> DataFrame:
     entries = F.array(
         *[F.struct(F.lit(i).alias("prefix_pos"), F.lit(p).alias("prefix")) for i, p in enumerate(prefixes)]
@@ -60,7 +67,7 @@ def _none(df: DataFrame) -> DataFrame:
 
 def _lengths(prefixes: DataFrame) -> list[int]:
     """The distinct lengths of the prefixes: at most as many as the longest has characters."""
-    found = prefixes.select(F.length("prefix").alias("n")).where("n > 0").distinct().collect()
+    found = prefixes.select(F.length("prefix").alias("n")).distinct().collect()
     return sorted(r["n"] for r in found)
 
 
@@ -68,25 +75,22 @@ def match_prefix(df: DataFrame, col: str, prefixes: list[str] | DataFrame) -> Da
     """Rows joined with every prefix that ``col`` starts with, as ``prefix_pos, prefix``.
 
     There is no boundary rule: ``com.company`` also matches ``com.companyx``. A
-    short list is tested inside the row. A table ``(prefix_pos, prefix)`` of any
-    size is joined by hash: the text is cut to each prefix length that occurs,
-    and the cuts are compared for equality.
+    list, which becomes part of the plan, is tested inside the row. A table
+    ``(prefix_pos, prefix)`` of any size is joined by hash: the text is cut to each
+    prefix length that occurs, and the cuts are compared for equality. Blank
+    prefixes match nothing, either way.
     """
     text = F.col(col)
     if isinstance(prefixes, list):
         prefixes = usable_prefixes(prefixes)
-        if not prefixes:
-            return _none(df)
-        if len(prefixes) <= MAX_INLINE_PREFIXES:
-            return _inline_matches(df, prefixes, lambda p: text.startswith(p))
-        prefixes = _prefix_table(df, prefixes)
-    lengths = _lengths(prefixes)
+        return _inline_matches(df, prefixes, lambda p: text.startswith(p)) if prefixes else _none(df)
+    wanted = _each_once(prefixes)
+    lengths = _lengths(wanted)
     if not lengths:
         return _none(df)
     fitting = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length(text))
     cut = df.withColumn("_cut", F.explode(F.transform(fitting, lambda n: F.substring(text, F.lit(1), n))))
-    wanted = _each_once(prefixes)
-    return cut.join(wanted, cut["_cut"] == wanted["prefix"]).select(*df.columns, "prefix_pos", "prefix")
+    return _met(df, cut, text, wanted)
 
 
 def match_contains(df: DataFrame, col: str, prefixes: list[str] | DataFrame) -> DataFrame:
@@ -98,12 +102,9 @@ def match_contains(df: DataFrame, col: str, prefixes: list[str] | DataFrame) ->
     text = F.col(col)
     if isinstance(prefixes, list):
         prefixes = usable_prefixes(prefixes)
-        if not prefixes:
-            return _none(df)
-        if len(prefixes) <= MAX_INLINE_PREFIXES:
-            return _inline_matches(df, prefixes, lambda p: text.contains(p))
-        prefixes = _prefix_table(df, prefixes)
-    lengths = _lengths(prefixes)
+        return _inline_matches(df, prefixes, lambda p: text.contains(p)) if prefixes else _none(df)
+    wanted = _each_once(prefixes)
+    lengths = _lengths(wanted)
     if not lengths:
         return _none(df)
     fitting = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length(text))
@@ -115,9 +116,7 @@ def match_contains(df: DataFrame, col: str, prefixes: list[str] | DataFrame) ->
             ),
         )
     )
-    cut = df.withColumn("_cut", F.explode(F.array_distinct(cuts)))
-    wanted = _each_once(prefixes)
-    return cut.join(wanted, cut["_cut"] == wanted["prefix"]).select(*df.columns, "prefix_pos", "prefix")
+    return _met(df, df.withColumn("_cut", F.explode(F.array_distinct(cuts))), text, wanted)
 
 
 def maven_dependencies(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:

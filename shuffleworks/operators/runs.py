@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from shuffleworks.constants import (
     ERROR_LINE,
     KEPT_SUFFIX,
-    LOG_TAIL_CHARS,
-    MAX_ERROR_LINES,
     MAX_PATCH_RETRIES,
     NO_BRANCH_ERROR,
     NO_CONFIG_ERROR,
@@ -145,8 +143,8 @@ def error_lines(stdout: Column, stderr: Column, tail_chars: int | None = None, m
     """Error lines of a build log, trimmed, in order: all of them.
 
     Only on request is the log cut to its last ``tail_chars`` characters first,
-    and the result to its first ``max_lines`` lines (``LOG_TAIL_CHARS`` and
-    ``MAX_ERROR_LINES`` are what fits into a prompt).
+    and the result to its first ``max_lines`` lines; ``constants.LOG_TAIL_CHARS``
+    and ``constants.MAX_ERROR_LINES`` are what fits into a prompt.
     """
 
     def tail(log: Column) -> Column:

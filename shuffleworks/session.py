@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
-def get_session(app_name: str = "shuffleworks", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the settings the jobs are tuned for.
+def get_session(
+    app_name: str = "shuffleworks", master: str | None = None, input_bytes: int | None = None, cores: int | None = None, **conf: str
+) -> SparkSession:
+    """A session with the settings the jobs are tuned for, sized for ``input_bytes`` on ``cores`` if both are given.
 
     Partition counts are left to adaptive execution: it starts from
     ``spark.sql.shuffle.partitions`` and merges or splits from measured sizes.
@@ -25,6 +27,8 @@ def get_session(app_name: str = "shuffleworks", master: str | None = None, **con
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
+    if input_bytes and cores:
+        settings.update(sizing(input_bytes, cores))
     settings.update(conf)
     for key, value in settings.items():
         builder = builder.config(key, value)
@@ -36,12 +40,11 @@ def sizing(input_bytes: int, cores: int) -> dict[str, str]:
 
     Splits of 128 to 512 MB, as many as keep every core busy without millions of
     tasks; shuffle partitions of about 200 MB, a size a core can sort in memory,
-    at least two per core and at most 100,000, beyond which the number of blocks
-    costs more than larger partitions. Adaptive execution merges small ones.
+    at least two per core. Adaptive execution merges small ones.
     """
     mega = 1024 * 1024
     split = min(max(input_bytes // 400_000, 128 * mega), 512 * mega)
-    partitions = min(max(input_bytes // (200 * mega), 2 * cores), 100_000)
+    partitions = max(input_bytes // (200 * mega), 2 * cores)
     return {
         "spark.sql.files.maxPartitionBytes": str(split),
         "spark.sql.shuffle.partitions": str(partitions),

@@ -24,19 +24,6 @@ def read_lines(spark: SparkSession, paths: str | list[str], with_file: bool = Fa
     return lines
 
 
-def spread_small(scan: DataFrame) -> DataFrame:
-    """Spread a scan over the cores when it has few splits; a large scan is left alone.
-
-    For work that is heavy per row. ``scan`` is a plain scan with the needed
-    columns selected, so that looking at its splits starts no job. Rows are dealt
-    out by their number in the scan, which is even and needs no sort.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() * 2 > cores:
-        return scan
-    return scan.repartition(cores, F.monotonically_increasing_id())
-
-
 def read_parquet(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.parquet(*_as_list(paths))
 

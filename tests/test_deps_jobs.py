@@ -76,12 +76,13 @@ TEXTS = ["com.acme.a", "com.acmex", "com", "", "org.x", "zcom.acme"]
 PREFIXES = ["com.acme", "com", "com.acme.a", "org", "x", "."]
 
 
-@pytest.mark.parametrize("inline", [0, 200])
-def test_list_and_join_paths_agree(spark, monkeypatch, plan, inline):
-    monkeypatch.setattr(deps, "MAX_INLINE_PREFIXES", inline)
+@pytest.mark.parametrize("as_list", [True, False])
+def test_list_and_table_agree(spark, plan, as_list):
     df = spark.createDataFrame([(t,) for t in TEXTS], "t string")
-    starts = deps.match_prefix(df, "t", PREFIXES)
-    inside = deps.match_contains(df, "t", PREFIXES)
+    given = [*PREFIXES, " ", ""]  # blank ones match nothing
+    given = given if as_list else spark.createDataFrame(list(enumerate(given)), "prefix_pos int, prefix string")
+    starts = deps.match_prefix(df, "t", given)
+    inside = deps.match_contains(df, "t", given)
     assert sorted((r.t, r.prefix) for r in starts.collect()) == brute(TEXTS, PREFIXES, str.startswith)
     assert sorted((r.t, r.prefix) for r in inside.collect()) == brute(TEXTS, PREFIXES, str.__contains__)
     for df in (starts, inside):

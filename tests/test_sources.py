@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from shuffleworks.operators.corpus import split_good_bad
 from shuffleworks.operators.schemas import avro_fields
+from shuffleworks import testkit
 from shuffleworks.sources import files, formats
 
 
@@ -131,5 +132,5 @@ def test_tagged_union_matches_by_name(spark, rows):
 
 
 def test_spread_small_leaves_wide_scans_alone(spark):
-    assert formats.spread_small(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == 4
-    assert formats.spread_small(spark.range(0, 100, 1, 9)).rdd.getNumPartitions() == 9
+    assert testkit.spread_small(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == 4
+    assert testkit.spread_small(spark.range(0, 100, 1, 9)).rdd.getNumPartitions() == 9
