@@ -45,6 +45,7 @@ STAR = 256  # texts from which a shingle's groups are tied without a list
 LIST = 64  # groups of a shingle that are paired one by one
 BLOCK = 512  # classes of a block
 BLOCK_SHINGLES = 400_000  # and their shingles together
+BUCKETS = 1 << 19  # of ids, to leave out texts that are not wanted before they are shuffled
 FLUSH = 6_000_000  # shingles that a task counts at once
 CACHE = 200_000  # words of a generation of a task's memory
 SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
@@ -380,7 +381,11 @@ def near_duplicates(docs: DataFrame, width: int, num: int, den: int = 100) -> Da
     wanted = wanted.drop("large").join(bands, ["cluster", "band"])
     wanted = cut(wanted.join(sets.select(F.col("tag").alias("rep"), "doc_id"), "rep"), "wanted")
 
-    found = texts.select("doc_id", "text").withColumnRenamed("doc_id", "_id").join(wanted, F.col("_id").eqNullSafe(F.col("doc_id")))
+    # Only texts that may be wanted are shuffled: a hash of their id is among those of the wanted ones.
+    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS))
+    buckets = F.broadcast(wanted.select(hashed.alias("bucket")).distinct())  # at most BUCKETS rows
+    likely = texts.select("doc_id", "text").withColumn("bucket", hashed).join(buckets, "bucket", "left_semi")
+    found = likely.select(F.col("doc_id").alias("_id"), "text").join(wanted, F.col("_id").eqNullSafe(F.col("doc_id")))
     members = found.select("text", "s1", "s2", *_MEMBER).mapInArrow(
         _members(width), "rep long, cluster long, band int, n_blocks int, n_below int, n_above int, size long, shingles binary"
     )
