@@ -231,8 +231,8 @@ def _encode(spec):
         chunks = _Chunks(Bpe(spec.value), lambda ids: np.array(ids, dtype=np.int32).tobytes())
         for batch in batches:
             names, low, held, size = batch.schema.names, 0, [], 0
-            at = names.index("_encoded_text")
-            kept = [i for i in range(len(names)) if i != at]
+            at = len(names) - 1  # the text comes last
+            kept = range(at)
 
             def flushed() -> pa.RecordBatch:
                 ids = pa.array(np.frombuffer(b"".join(held), dtype=np.int32))

@@ -47,14 +47,15 @@ def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
     ``repeated``: whether another row has the same three. Only such rows need a
     second shuffle, which leaves one of them.
     """
-    key, size, again = fresh(docs, "_text_key"), fresh(docs, "_n_chars"), fresh(docs, "_repeated")
+    key, size, again = (fresh(docs, n) for n in ("_text_key", "_n_chars", "_repeated"))
+    kept_id, kept_key, kept_size = (fresh(docs, n) for n in ("_kept_id", "_kept_key", "_kept_size"))
     marked = docs.withColumns({key: F.xxhash64(whole_text()), size: F.length(whole_text()).cast("long")})
     names = kept.select(
-        F.col("doc_id").alias("_kept_id"), F.col("text_key").alias("_kept_key"), F.col("n_chars").alias("_kept_size"), F.col("repeated").alias(again)
+        F.col("doc_id").alias(kept_id), F.col("text_key").alias(kept_key), F.col("n_chars").alias(kept_size), F.col("repeated").alias(again)
     ).distinct()
     found = marked.join(
         names,
-        marked["doc_id"].eqNullSafe(names["_kept_id"]) & (marked[key] == names["_kept_key"]) & (marked[size] == names["_kept_size"]),
+        marked["doc_id"].eqNullSafe(names[kept_id]) & (marked[key] == names[kept_key]) & (marked[size] == names[kept_size]),
     )
     result = found.where(~F.col(again)).select(*docs.columns)
     if kept.where("repeated").isEmpty():

@@ -65,18 +65,21 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float
 
 def replicate(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
     """All copies: the columns of ``docs``, copy_no (from 1), n_copies, shuffle_key; shuffled globally."""
-    table = cut(rates(docs, weights, alpha), "rates").select("mix_source", "pieces", "table")
+    source, pieces, steps = (fresh(docs, n) for n in ("_mix", "_pieces", "_steps"))
+    table = cut(rates(docs, weights, alpha), "rates").select(
+        F.col("mix_source").alias("_of_source"), F.col("pieces").alias(pieces), F.col("table").alias(steps)
+    )
     copy_no, n_copies, key = (fresh(docs, n) for n in ("copy_no", "n_copies", "shuffle_key"))
     ident = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    named = docs.withColumn(source := fresh(docs, "_mix"), F.coalesce(F.col("source").cast("string"), F.lit("")))
-    joined = named.join(table, named[source] == table["mix_source"])
+    named = docs.withColumn(source, F.coalesce(F.col("source").cast("string"), F.lit("")))
+    joined = named.join(table, named[source] == table["_of_source"])
 
     def inverted(piece: Column) -> Column:
         at = (hashed([F.lit(str(seed)), ident, piece.cast("string")]).cast("double") + 0.5) / float(1 << 52)
-        return F.size(F.filter(table["table"], lambda f: f <= at))
+        return F.size(F.filter(F.col(steps), lambda f: f <= at))
 
-    number = F.aggregate(F.sequence(F.lit(0), table["pieces"] - 1), F.lit(0), lambda n, piece: n + inverted(piece))
-    counted = joined.select(*[joined[c] for c in docs.columns], number.alias(n_copies))
+    number = F.aggregate(F.sequence(F.lit(0), F.col(pieces) - 1), F.lit(0), lambda n, piece: n + inverted(piece))
+    counted = joined.select(*[named[c] for c in docs.columns], number.alias(n_copies))
     copies = counted.where(F.col(n_copies) > 0).withColumn(copy_no, F.explode(F.sequence(F.lit(1), F.col(n_copies))))
     keyed = copies.withColumn(key, hashed([F.lit(f"{seed}-order"), ident, F.col(copy_no).cast("string")]))
     return keyed.repartition(F.col(key)).sortWithinPartitions(key, "doc_id", copy_no).select(*docs.columns, copy_no, n_copies, key)

@@ -178,14 +178,12 @@ class _Shares(dict):
         return total
 
 
-def _score(model):
+def _score(model, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shares = _Shares(model.value[0]) if model.value else None
         for batch in batches:
-            names = batch.schema.names
-            texts = batch.column(names.index(next(n for n in names if n.startswith("_scored_text"))))
-            scores = []
-            for value in texts:
+            names, scores = batch.schema.names, []
+            for value in batch.column(len(names) - 1):  # the text to be scored comes last
                 if shares is None:
                     scores.append(0.0)
                     continue
@@ -193,8 +191,8 @@ def _score(model):
                 total = sum(map(shares.__getitem__, dict.fromkeys(value.as_py().lower().split())), 0j)
                 logit = total.real / (total.imag + PAD) + model.value[1]
                 scores.append(1 / (1 + math.exp(-logit)) if logit > -700 else 0.0)
-            at = [i for i, n in enumerate(names) if not n.startswith("_scored_text")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in at), pa.array(scores, pa.float64())], names=[*(names[i] for i in at), "score"])
+            own = [batch.column(i) for i in range(len(names) - 1)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(scores, pa.float64())], names=[*names[:-1], name])
 
     return run
 
@@ -203,7 +201,7 @@ def with_score(rows: DataFrame, model: tuple[dict[int, float], float] | None, te
     """``rows`` with the score of ``text`` as their last column."""
     sent = rows.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*rows.schema.fields, T.StructField(name, T.DoubleType())])
-    return rows.withColumn(fresh(rows, "_scored_text"), text).mapInArrow(_score(sent), schema)
+    return rows.withColumn(fresh(rows, "_scored_text"), text).mapInArrow(_score(sent, name), schema)
 
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:

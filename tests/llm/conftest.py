@@ -2,7 +2,7 @@
 
 import pytest
 
-ODD_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, tag long, kept string, score string, text_key string, ids string, bucket int"
+ODD_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, tag long, kept string, score string, text_key string, ids string, bucket int, pieces string, table string, _scored_text string, _kept_id int"
 BASE = " ".join(f"w{i} and" for i in range(60))
 
 
@@ -25,10 +25,10 @@ def odd_rows():
         14: "This work is licensed under the GNU General Public License, version 3. All rights reserved. CC BY-NC 4.0",
         15: "cc by cc by cc by",
     }
-    rows = [(i, t, "en", f"s{i % 3}" if i % 4 else None, len(t or ""), 0, "x", "y", "z", "q", 1) for i, t in texts.items()]
+    rows = [(i, t, "en", f"s{i % 3}" if i % 4 else None, len(t or ""), 0, "x", "y", "z", "q", 1, "p", "t", "s", 2) for i, t in texts.items()]
     rows.append(rows[0])  # a repeated row
-    rows.append((None, "one two", None, None, None, None, None, None, None, None, None))
-    rows.append((2, "another text under an old id", "en", "s2", 3, 0, "x", "y", "z", "q", 1))
+    rows.append((None, "one two", *[None] * 13))
+    rows.append((2, "another text under an old id", "en", "s2", 3, 0, "x", "y", "z", "q", 1, "p", "t", "s", 2))
     return rows
 
 
