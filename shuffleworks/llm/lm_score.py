@@ -8,11 +8,13 @@ document's score is the sum of the conditional log-probabilities of its tokens.
 1. Words are counted over all texts. The most frequent ones are tokens of their
    own, all others share ``BUCKETS`` tokens by hash, whose counts are exact too.
    Classes are runs of tokens by frequency; counts set the softmax biases.
-2. Every ``EVERY``-th place of every text, from a start hashed from the text, gives
-   a training window, so what is learnt from grows with the corpus.
-3. The network is trained in numpy in rounds: each partition of ``PORTION`` windows
-   runs Adam from the same weights, and the weights are averaged by Spark in a tree
-   of bounded fan-in. Weights have a fixed size, the only thing that the driver sees.
+2. Every place of every text gives one training window; texts are kept as lines of
+   token numbers, in pieces of ``PIECE`` places with their neighbours.
+3. The network is trained in numpy in rounds, each on the places of its own remainder,
+   so that all rounds together train on each place once: each partition of about
+   ``PORTION`` places runs Adam from the same weights, and the weights are averaged by
+   Spark in a tree of bounded fan-in. Weights have a fixed size, the only thing that
+   the driver sees.
 4. Each text is scored whole, many texts in one matrix product.
 
 Words are separated by ASCII white space, A to Z in lower case. Null and empty
@@ -40,10 +42,10 @@ KNOWN = TOKENS - BUCKETS  # words with a token of their own
 SPAN = 2
 PLACES = (-2, -1, 1, 2)
 HIDDEN = 16
-EVERY = 32
-PORTION = 100_000
+PIECE = 32_768  # places of a row of the table that is trained on
+PORTION = 1_000_000  # places of a partition, over all rounds
 ROUNDS = 3
-BATCH = 2048
+BATCH = 4096
 RATE = 0.01
 FAN_IN = 64
 HELD = 200_000  # distinct words that a task counts at once
@@ -178,7 +180,9 @@ def slopes(weights: list[np.ndarray], around: np.ndarray, middle: np.ndarray) ->
     back *= 1 - hidden * hidden
     out[1] = back.sum(axis=0)
     for k in range(len(PLACES)):
-        np.add.at(out[0][k], around[k], back)
+        order = np.argsort(around[k].astype(np.uint16), kind="stable")
+        there, starts = np.unique(around[k][order], return_index=True)
+        out[0][k][there] = np.add.reduceat(back[order], starts, axis=0)
     return out
 
 
@@ -195,20 +199,40 @@ def descend(weights: list[np.ndarray], around: np.ndarray, middle: np.ndarray) -
     return weights
 
 
-def _windows(sent):
+def _pieces(line: list[int]) -> Iterator[np.ndarray]:
+    """A line of texts between gaps, cut so that each place is the inner one of one piece."""
+    data = np.array(line, dtype=np.uint16)
+    for at in range(SPAN, len(data) - SPAN, PIECE):
+        yield data[at - SPAN : at + PIECE + SPAN]
+
+
+def _inner(piece: np.ndarray) -> np.ndarray:
+    """Where a piece has a token to be predicted."""
+    return np.flatnonzero(piece[SPAN:-SPAN] != TOKENS) + SPAN
+
+
+def _lines(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _Tokens(*sent.value[:2])
+        gap = [TOKENS] * SPAN
+        held = list(gap)
+
+        def found() -> pa.RecordBatch:
+            pieces = list(_pieces(held))
+            columns = [pa.array([len(_inner(p)) for p in pieces], pa.int64()), pa.array([p.tobytes() for p in pieces], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["n", "data"])
+
         for batch in batches:
-            found = []
             for words in _words(batch):
-                first = word_hash(b" ".join(words[:8]) + str(len(words)).encode()) % EVERY
-                for i in range(first, len(words), EVERY):
-                    found.append(tokens[words[i]])
-                    for place in PLACES:
-                        found.append(tokens[words[i + place]] if 0 <= i + place < len(words) else TOKENS)
-            if found:
-                data = np.array(found, dtype=np.uint16)
-                yield pa.RecordBatch.from_arrays([pa.array([len(found) // (1 + len(PLACES))], pa.int64()), pa.array([data.tobytes()], pa.binary())], names=["n", "data"])
+                if not words:
+                    continue
+                held += map(tokens.__getitem__, words)
+                held += gap
+                if len(held) >= PIECE:
+                    yield found()
+                    held = list(gap)
+        if len(held) > SPAN:
+            yield found()
 
     return run
 
@@ -222,15 +246,21 @@ def _shaped(flat: np.ndarray, like: list[np.ndarray]) -> list[np.ndarray]:
     return [part.reshape(w.shape) for part, w in zip(np.split(flat, ends[:-1]), like)]
 
 
-def _train(sent):
+def _train(sent, turn: int = 0, rounds: int = 1):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = sent.value
-        parts = [np.frombuffer(d.as_py(), dtype=np.uint16).reshape(-1, 1 + len(PLACES)) for batch in batches for d in batch.column("data")]
-        if parts:
-            rows = np.concatenate(parts).astype(np.int64)
-            rows = rows[np.random.default_rng(len(rows)).permutation(len(rows))]
-            new = descend(weights, rows[:, 1:].T, rows[:, 0])
-            yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64()), pa.array([_flat(new).tobytes()], pa.binary())], names=["n", "data"])
+        around, middle = [], []
+        for batch in batches:
+            for data in batch.column("data"):
+                piece = np.frombuffer(data.as_py(), dtype=np.uint16)
+                own = _inner(piece)[turn::rounds]
+                around.append(np.stack([piece[own + p] for p in PLACES]))
+                middle.append(piece[own])
+        rows = sum(map(len, middle))
+        if rows:
+            dealt = np.random.default_rng(rows).permutation(rows)
+            new = descend(weights, np.concatenate(around, axis=1)[:, dealt].astype(np.int64), np.concatenate(middle)[dealt].astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64()), pa.array([_flat(new).tobytes()], pa.binary())], names=["n", "data"])
 
     return run
 
@@ -250,17 +280,21 @@ def fit(texts: DataFrame, rounds: int = ROUNDS, portion: int = PORTION) -> tuple
     context = texts.sparkSession.sparkContext
     known, buckets, counts = vocabulary(texts)
     weights = start(counts)
-    windows = cut(texts.mapInArrow(_windows(context.broadcast((known, buckets))), "n long, data binary"), "windows")
-    total = windows.agg(F.sum("n")).first()[0] or 0
-    for _ in range(rounds if total else 0):
+    lines = texts.mapInArrow(_lines(context.broadcast((known, buckets))), "n long, data binary")
+    # The number tells equal pieces apart, so that they are dealt out too; written, it stays.
+    lines = cut(lines.withColumn("number", F.monotonically_increasing_id()), "lines")
+    total = lines.agg(F.sum("n")).first()[0] or 0
+    for turn in range(rounds if total else 0):
         parts = -(-total // portion)
-        key = F.xxhash64("data")
-        dealt = windows.repartition(parts, key).sortWithinPartitions(key)
-        models = cut(dealt.mapInArrow(_train(context.broadcast(weights)), "n long, data binary"), "models")
+        key = F.xxhash64("data", "number")
+        dealt = lines.repartition(parts, key).sortWithinPartitions(key).select("data")
+        models = cut(dealt.mapInArrow(_train(context.broadcast(weights), turn, rounds), "n long, data binary"), "models")
         while parts > 1:
             parts = -(-parts // FAN_IN)
             models = cut(models.repartition(parts).mapInArrow(_average, "n long, data binary"), "models")
-        weights = _shaped(np.frombuffer(models.first()["data"], dtype=np.float32), weights)
+        trained = models.first()
+        if trained:  # none if no piece has a place of this remainder
+            weights = _shaped(np.frombuffer(trained["data"], dtype=np.float32), weights)
     return known, buckets, weights
 
 

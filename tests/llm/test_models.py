@@ -1,8 +1,10 @@
 """Toxicity and masked pseudo-likelihood."""
 
 import random
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,3 +107,26 @@ def test_training_prefers_order_and_covers_all_rows(spark, odd, no_docs):
     assert len(rows) == odd.count()
     assert {(r.n_tokens, r.log_likelihood, r.mean_log_prob) for r in rows if r.doc_id in (5, 6, 7)} == {(0, 0.0, None)}
     assert lm_score.score(no_docs).count() == 0
+
+
+def test_every_place_of_every_text_is_trained_on_once(monkeypatch):
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice("abcdef") for _ in range(n)) for n in [1, 2, 5, 0, 31, 40, 3 * lm_score.PIECE + 7, 3, 31, 31]]
+    known, buckets = {w.encode(): i for i, w in enumerate("abcdef")}, np.arange(lm_score.KNOWN, lm_score.TOKENS)
+    wanted, gap = [], [lm_score.TOKENS] * lm_score.SPAN
+    for text in texts:
+        line = [*gap, *(known[w] for w in text.encode().split()), *gap]
+        wanted += [(line[i], *(line[i + p] for p in lm_score.PLACES)) for i in range(len(gap), len(line) - len(gap))]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[at : at + 4])], names=["text"]) for at in range(0, len(texts), 4)]
+    lines = list(lm_score._lines(SimpleNamespace(value=(known, buckets)))(iter(batches)))
+    assert sum(n for b in lines for n in b.column("n").to_pylist()) == len(wanted)
+    seen, like = [], lm_score.start(np.ones(lm_score.TOKENS, dtype=np.int64))
+
+    def descend(weights, around, middle):
+        seen.extend(zip(middle.tolist(), *around.tolist()))
+        return weights
+
+    monkeypatch.setattr(lm_score, "descend", descend)
+    for turn in range(3):
+        list(lm_score._train(SimpleNamespace(value=like), turn, 3)(iter(lines)))
+    assert sorted(seen) == sorted(wanted)
