@@ -8,6 +8,8 @@ document's score is the sum of the conditional log-probabilities of its tokens.
 1. Words are counted over all texts. The most frequent ones are tokens of their
    own, all others share ``BUCKETS`` tokens by hash, whose counts are exact too.
    Classes are runs of tokens by frequency; counts set the softmax biases.
+   A word of a bucket has the bucket's probability times the word's share of the
+   bucket's count, so that probabilities are over words, of any number.
 2. Every place of every text gives one training window; texts are kept as lines of
    token numbers, in pieces of ``PIECE`` places with their neighbours.
 3. The network is trained in numpy in rounds, each on the places of its own remainder,
@@ -15,7 +17,8 @@ document's score is the sum of the conditional log-probabilities of its tokens.
    ``PORTION`` places runs Adam from the same weights, and the weights are averaged by
    Spark in a tree of bounded fan-in. Weights have a fixed size, the only thing that
    the driver sees.
-4. Each text is scored whole, many texts in one matrix product.
+4. Each text is scored whole, many texts in one matrix product. The words of buckets
+   are joined with the table of all words, which adds the logarithms of their shares.
 
 Words are separated by ASCII white space, A to Z in lower case. Null and empty
 texts have no tokens, log_likelihood 0 and a null mean. Repeated rows each get the
@@ -81,8 +84,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield counted()
 
 
-def vocabulary(texts: DataFrame) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
-    """Tokens of the known words, tokens of the buckets, and the counts by token; tokens are ordered by count."""
+def vocabulary(texts: DataFrame) -> tuple[dict[bytes, int], np.ndarray, np.ndarray, DataFrame]:
+    """Tokens of the known words, tokens of the buckets, counts by token, and word and log_share in its bucket.
+
+    Tokens are ordered by count. All words have a log_share, of which those of the known words mean nothing.
+    """
     counts = texts.mapInArrow(_count, "word binary, bucket int, n long").groupBy("word", "bucket").agg(F.sum("n").alias("n"))
     counts = cut(counts, "words")
     top = [(bytes(r["word"]), r["bucket"], r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(KNOWN).collect()]
@@ -97,7 +103,9 @@ def vocabulary(texts: DataFrame) -> tuple[dict[bytes, int], np.ndarray, np.ndarr
     order = np.argsort(-sizes, kind="stable")
     token = np.empty(TOKENS, dtype=np.int64)
     token[order] = np.arange(TOKENS)
-    return {w: int(token[i]) for i, (w, *_) in enumerate(top)}, token[KNOWN:], sizes[order]
+    logs = F.array(*[F.lit(float(n)) for n in np.log(np.maximum(rest, 1))])
+    shares = counts.select("word", (F.log(F.col("n").cast("double")) - logs[F.col("bucket")]).alias("log_share"))
+    return {w: int(token[i]) for i, (w, *_) in enumerate(top)}, token[KNOWN:], sizes[order], shares
 
 
 class _Tokens(dict):
@@ -144,16 +152,22 @@ def _by_class(middle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(middle[order] // CLASSES, np.arange(CLASSES + 1))
 
 
+def _picked(logits: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The log-softmax of each row at its own column."""
+    logits = logits - logits.max(axis=1, keepdims=True)
+    picked = logits[np.arange(len(own)), own]
+    return picked - np.log(np.exp(logits, out=logits).sum(axis=1))
+
+
 def log_probabilities(weights: list[np.ndarray], around: np.ndarray, middle: np.ndarray) -> np.ndarray:
     """Of each middle token given the tokens around it (one row per place)."""
     hidden = _hidden(weights, around)
-    rows = np.arange(len(middle))
-    out = _log_softmax(hidden @ weights[2] + weights[3])[rows, middle // CLASSES]
+    out = _picked(hidden @ weights[2] + weights[3], middle // CLASSES)
     order, ends = _by_class(middle)
     for c in range(CLASSES):
         own = order[ends[c] : ends[c + 1]]
         if len(own):
-            out[own] += _log_softmax(hidden[own] @ weights[4][c] + weights[5][c])[np.arange(len(own)), middle[own] % CLASSES]
+            out[own] += _picked(hidden[own] @ weights[4][c] + weights[5][c], middle[own] % CLASSES)
     return out
 
 
@@ -275,10 +289,10 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([count], pa.int64()), pa.array([(total / count).astype(np.float32).tobytes()], pa.binary())], names=["n", "data"])
 
 
-def fit(texts: DataFrame, rounds: int = ROUNDS, portion: int = PORTION) -> tuple[dict[bytes, int], np.ndarray, list[np.ndarray]]:
-    """Known words, tokens of the buckets, weights."""
+def fit(texts: DataFrame, rounds: int = ROUNDS, portion: int = PORTION) -> tuple[tuple[dict[bytes, int], np.ndarray, list[np.ndarray]], DataFrame]:
+    """Known words, tokens of the buckets and weights; and the words' shares of their buckets."""
     context = texts.sparkSession.sparkContext
-    known, buckets, counts = vocabulary(texts)
+    known, buckets, counts, shares = vocabulary(texts)
     weights = start(counts)
     lines = texts.mapInArrow(_lines(context.broadcast((known, buckets))), "n long, data binary")
     # The number tells equal pieces apart, so that they are dealt out too; written, it stays.
@@ -295,10 +309,20 @@ def fit(texts: DataFrame, rounds: int = ROUNDS, portion: int = PORTION) -> tuple
         trained = models.first()
         if trained:  # none if no piece has a place of this remainder
             weights = _shaped(np.frombuffer(trained["data"], dtype=np.float32), weights)
-    return known, buckets, weights
+    return (known, buckets, weights), shares
+
+
+def _rest(lists: list[list[bytes]]) -> list[pa.Array]:
+    """The distinct words of each list and how often each is there."""
+    found = [Counter(words) for words in lists]
+    ends = pa.array(np.concatenate([[0], np.cumsum([len(c) for c in found])]), pa.int32())
+    words = pa.array([w for c in found for w in c], pa.binary())
+    return [pa.ListArray.from_arrays(ends, words), pa.ListArray.from_arrays(ends, pa.array([n for c in found for n in c.values()], pa.int64()))]
+
 
+def _score(sent, with_rest: bool = False):
+    """doc_id, n_tokens and the network's log_likelihood; ``with_rest`` also the words of buckets and their counts."""
 
-def _score(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, buckets, weights = sent.value
         tokens = _Tokens(known, buckets)
@@ -306,6 +330,7 @@ def _score(sent):
         for batch in batches:
             sizes: list[int] = []
             sums: list[float] = []
+            rest: list[list[bytes]] = []
             held: list[int] = list(gap)
             owners: list[int] = []
 
@@ -327,14 +352,16 @@ def _score(sent):
                 sums.append(0.0)
                 held += map(tokens.__getitem__, words)
                 held += gap
+                if with_rest:
+                    rest.append([w for w in words if w not in known])
                 if len(held) >= 4 * CHUNK:
                     scored()
                     held, owners = list(gap), []
             if owners:
                 scored()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())], names=["doc_id", "n_tokens", "log_likelihood"]
-            )
+            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())]
+            names = ["doc_id", "n_tokens", "log_likelihood"]
+            yield pa.RecordBatch.from_arrays(columns + _rest(rest) * with_rest, names=names + ["words", "counts"] * with_rest)
 
     return run
 
@@ -342,7 +369,14 @@ def _score(sent):
 def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Per row: doc_id, n_tokens, log_likelihood (their sum), mean_log_prob."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    model = fit(rows.select("text"), rounds)
-    scored = rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, n_tokens long, log_likelihood double")
+    model, shares = fit(rows.select("text"), rounds)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    schema = "doc_id long, n_tokens long, log_likelihood double, words array<binary>, counts array<long>"
+    # Written with its number, a row keeps it.
+    scored = cut(rows.mapInArrow(_score(sent, with_rest=True), schema).withColumn("row", F.monotonically_increasing_id()), "scored")
+    found = scored.select("row", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("row", "x.words", "x.counts")
+    parts = found.join(shares, F.col("words") == F.col("word")).groupBy("row").agg(F.sum(F.col("counts") * F.col("log_share")).alias("inner"))
+    total = F.col("log_likelihood") + F.coalesce("inner", F.lit(0.0))
+    scored = scored.drop("words", "counts").join(parts, "row", "left").select("doc_id", "n_tokens", total.alias("log_likelihood"))
     mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
     return scored.withColumn("mean_log_prob", mean)

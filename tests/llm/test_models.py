@@ -130,3 +130,17 @@ def test_every_place_of_every_text_is_trained_on_once(monkeypatch):
     for turn in range(3):
         list(lm_score._train(SimpleNamespace(value=like), turn, 3)(iter(lines)))
     assert sorted(seen) == sorted(wanted)
+
+
+def test_words_of_a_bucket_have_probabilities_of_their_own(spark, monkeypatch):
+    common = [f"k{i}" for i in range(lm_score.KNOWN)]
+    bucket = lambda w: lm_score.word_hash(w.encode()) % lm_score.BUCKETS
+    one, other = next((f"r{i}", f"r{j}") for j in range(2000) for i in range(j) if bucket(f"r{i}") == bucket(f"r{j}"))
+    monkeypatch.setattr(lm_score, "fit", lambda texts, rounds, fit=lm_score.fit: fit(texts, 0))  # the same network for both
+    texts = [*[" ".join(common)] * 9, f"{one} {one} {one}", f"{one} {one} {one}", one, other, f"k1 {other}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = lm_score.score(docs).collect()
+    got = {r.doc_id: r.log_likelihood for r in rows}
+    assert len(rows) == len(texts) and [r.n_tokens for r in sorted(rows)][9:] == [3, 3, 1, 1, 2]
+    assert got[11] - got[12] == pytest.approx(np.log(7 / 2), abs=1e-4)  # of one: 7, of the other: 2
+    assert got[9] == pytest.approx(got[10])
