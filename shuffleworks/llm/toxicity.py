@@ -8,6 +8,9 @@ was never seen still has the vectors of the n-grams it shares with known words.
 
 Training takes at most ``SAMPLE`` labelled rows of either class, those of the
 smallest hash of their doc_id, never of the held-out fold; it runs in one task.
+Both classes are counted over all rows that could be learnt from, and each sampled
+row weighs as many of its class as it stands for, so that a score and the threshold
+mean the same whether the bound is reached or not.
 Scoring covers every row and its whole text. As both layers are linear, a word's
 share of the score is one number, which a task remembers.
 
@@ -59,10 +62,15 @@ def held_out(ident: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(ident.cast("string").cast("binary")), F.lit(4)) == HELD_OUT, F.lit(False))
 
 
+def open_labels(labels: DataFrame) -> DataFrame:
+    """doc_id and toxic of all rows that may be learnt from."""
+    known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+    return known.agg(F.max("toxic").cast("int").alias("toxic")).where(~held_out(F.col("doc_id")))
+
+
 def training_ids(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id and toxic of at most ``sample`` rows of either class."""
-    known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
-    open_rows = known.agg(F.max("toxic").cast("int").alias("toxic")).where(~held_out(F.col("doc_id")))
+    open_rows = open_labels(labels)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     return open_rows.where("toxic = 1").orderBy(*order).limit(sample).unionByName(open_rows.where("toxic = 0").orderBy(*order).limit(sample))
 
@@ -102,9 +110,11 @@ def _buckets(bag: np.ndarray, parts: list[np.ndarray]) -> tuple[np.ndarray, np.n
     return there, np.bincount(inverse, shares, len(there))
 
 
-def fit(texts: list[str], toxic: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def fit(texts: list[str], toxic: np.ndarray, steps: int = STEPS, stands_for: tuple[float, float] = (1.0, 1.0)) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Buckets with a vector, their vectors, softmax weights and biases.
 
+    A text of class c weighs ``stands_for[c]`` in the loss and in the class shares.
+
     An n-gram that is about as frequent in both classes keeps the zero vector.
     The others and the softmax over the mean are trained together by Adam.
     """
@@ -126,14 +136,16 @@ def fit(texts: list[str], toxic: np.ndarray, steps: int = STEPS) -> tuple[np.nda
     means = _Sums(*(np.concatenate(c) for c in zip(*cells)), (len(texts), len(active)))
     rng = np.random.default_rng(1)
     params = [np.zeros((len(active), WIDTH), np.float32), rng.normal(0, 1, (WIDTH, 2)).astype(np.float32)]
-    params.append(np.log((n + 1) / (len(texts) + 2)).astype(np.float32))
+    shares = n * np.array(stands_for)
+    params.append(np.log((shares + 1) / (shares.sum() + 2)).astype(np.float32))
+    weight = (np.array(stands_for)[toxic] / shares.sum()).astype(np.float32)[:, None]
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
     target = np.eye(2, dtype=np.float32)[toxic]
     for step in range(1, steps + 1):
         hidden = means.dot(params[0])
         logits = hidden @ params[1] + params[2]
         odds = np.exp(logits - logits.max(axis=1, keepdims=True))
-        wrong = (odds / odds.sum(axis=1, keepdims=True) - target) / len(texts)
+        wrong = (odds / odds.sum(axis=1, keepdims=True) - target) * weight
         slopes = [means.dot(wrong @ params[1].T, transposed=True) + DECAY * params[0], hidden.T @ wrong, wrong.sum(axis=0)]
         for p, (first, second), slope in zip(params, moments, slopes):
             first += 0.1 * (slope - first)
@@ -142,21 +154,30 @@ def fit(texts: list[str], toxic: np.ndarray, steps: int = STEPS) -> tuple[np.nda
     return active, *params
 
 
-def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = sorted((r["doc_id"], r["toxic"], r["text"]) for batch in batches for r in batch.to_pylist())
-    if rows:
-        active, vectors, weights, bias = fit([r[2] for r in rows], np.array([r[1] for r in rows]))
-        # Two classes: only the difference of their logits counts, and it is linear in the n-grams.
-        shares = (vectors @ (weights[:, 1] - weights[:, 0])).astype(float)
-        yield pa.RecordBatch.from_pylist([{"buckets": active.tolist(), "shares": shares.tolist(), "bias": float(bias[1] - bias[0])}])
+def _train(totals: dict[int, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r["doc_id"], r["toxic"], r["text"]) for batch in batches for r in batch.to_pylist())
+        if rows:
+            toxic = np.array([r[1] for r in rows])
+            stands_for = tuple(totals.get(c, 0) / max(1, int((toxic == c).sum())) for c in (0, 1))
+            active, vectors, weights, bias = fit([r[2] for r in rows], toxic, stands_for=stands_for)
+            # Two classes: only the difference of their logits counts, and it is linear in the n-grams.
+            shares = (vectors @ (weights[:, 1] - weights[:, 0])).astype(float)
+            yield pa.RecordBatch.from_pylist([{"buckets": active.tolist(), "shares": shares.tolist(), "bias": float(bias[1] - bias[0])}])
+
+    return run
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[int, float], float] | None:
     """Each bucket's share of the logit, at most one per bucket, and the bias."""
     chosen = training_ids(labels, sample)  # at most 2 * sample rows of two numbers
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    # Labels without a document are learnt from at no size, so they do not count either.
+    ids = texts.select("doc_id").distinct()
+    counts = open_labels(labels).join(ids, "doc_id", "left_semi").groupBy("toxic").agg(F.count(F.lit(1)).alias("n"))
+    totals = {r["toxic"]: r["n"] for r in counts.collect()}  # one row per class
     rows = texts.join(F.broadcast(chosen), "doc_id").repartition(1)
-    found = rows.mapInArrow(_train, "buckets array<long>, shares array<double>, bias double").collect()
+    found = rows.mapInArrow(_train(totals), "buckets array<long>, shares array<double>, bias double").collect()
     return (dict(zip(found[0]["buckets"], found[0]["shares"])), found[0]["bias"]) if found else None
 
 

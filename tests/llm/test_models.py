@@ -144,3 +144,13 @@ def test_words_of_a_bucket_have_probabilities_of_their_own(spark, monkeypatch):
     assert len(rows) == len(texts) and [r.n_tokens for r in sorted(rows)][9:] == [3, 3, 1, 1, 2]
     assert got[11] - got[12] == pytest.approx(np.log(7 / 2), abs=1e-4)  # of one: 7, of the other: 2
     assert got[9] == pytest.approx(got[10])
+
+
+@pytest.mark.parametrize("sample", [12, 3000])
+def test_class_shares_do_not_depend_on_the_sample(spark, sample):
+    docs = spark.createDataFrame([(i, "the same words for all") for i in range(600)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(600)], "doc_id long, toxic int")
+    learnt = toxicity.open_labels(labels).agg(F.avg("toxic")).first()[0]
+    rows = toxicity.score(docs, labels, sample=sample).collect()
+    assert {r.predicted for r in rows} == {0}
+    assert rows[0].score == pytest.approx(learnt, abs=0.02)
