@@ -16,7 +16,8 @@ share of the score is one number, which a task remembers.
 
 Null texts count as empty; a text without words gets the score of the bias alone.
 Rows of ``labels`` with a null are left out; a doc_id with several labels is toxic
-if one says so. Labelled ids without a document are ignored. Without any training
+if one says so. Labelled ids without a document are ignored; of several rows of a
+doc_id the least text is learnt from, once. Without any training
 rows every score is 0. Extra columns are ignored by ``score`` and kept by ``keep_clean``.
 """
 
@@ -176,7 +177,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dic
     ids = texts.select("doc_id").distinct()
     counts = open_labels(labels).join(ids, "doc_id", "left_semi").groupBy("toxic").agg(F.count(F.lit(1)).alias("n"))
     totals = {r["toxic"]: r["n"] for r in counts.collect()}  # one row per class
-    rows = texts.join(F.broadcast(chosen), "doc_id").repartition(1)
+    # One row per id before the one task: the least text, however often the id is there.
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).repartition(1)
     found = rows.mapInArrow(_train(totals), "buckets array<long>, shares array<double>, bias double").collect()
     return (dict(zip(found[0]["buckets"], found[0]["shares"])), found[0]["bias"]) if found else None
 

@@ -154,3 +154,9 @@ def test_class_shares_do_not_depend_on_the_sample(spark, sample):
     rows = toxicity.score(docs, labels, sample=sample).collect()
     assert {r.predicted for r in rows} == {0}
     assert rows[0].score == pytest.approx(learnt, abs=0.02)
+
+
+def test_repeated_rows_are_learnt_from_once(labelled):
+    docs, labels = labelled
+    again = docs.where("doc_id in (4, 5)").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(50)))).drop("copy")
+    assert toxicity.train(docs.unionByName(again), labels) == toxicity.train(docs.distinct(), labels)
