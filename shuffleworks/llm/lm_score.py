@@ -48,7 +48,7 @@ HIDDEN = 16
 PIECE = 32_768  # places of a row of the table that is trained on
 PORTION = 1_000_000  # places of a partition, over all rounds
 ROUNDS = 3
-BATCH = 4096
+BATCH = 2048
 RATE = 0.01
 FAN_IN = 64
 HELD = 200_000  # distinct words that a task counts at once
