@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shuffleworks.llm import ann, bpe, exact_dedup, licenses, lm_score, mixing, ngram_join, secret_scan, toxicity, warc
+from shuffleworks.llm import ann, bpe, conversation_repair, exact_dedup, licenses, lm_score, mixing, ngram_join, secret_scan, toxicity, warc
 from shuffleworks.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,8 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query(conversation_repair.sql())
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.report(conversation_repair.damage(table(spark, sf_dir, "conversations")))
