@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shuffleworks.llm import ann, bpe, conversation_repair, exact_dedup, licenses, lm_score, mixing, ngram_join, phrases, secret_scan, toxicity, warc
+from shuffleworks.llm import ann, bpe, conversation_repair, exact_dedup, licenses, lm_score, mixing, ngram_join, phrases, quality, secret_scan, toxicity, warc
 from shuffleworks.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,8 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(phrases.sql())
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
