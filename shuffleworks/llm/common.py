@@ -15,15 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Later plans start from files that every executor can reach, so a lost
     executor costs no earlier step. Spark also knows the size of the table, and
-    broadcasts it in a join only below its own threshold.
+    broadcasts it in a join only below its own threshold. ``options`` are those of the writer.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -93,12 +93,27 @@ def test_intervals_hold_every_place():
                 assert (orders[0][lo : lo + n, :size] == p).all() and (orders[1][back : back + n, :size] == p[::-1]).all()
 
 
-def test_bitmap_holds_its_phrases(spark):
-    grams = spark.createDataFrame([("en", bytearray(f"w{i} é".encode())) for i in range(500)], "lang string, phrase binary")
-    whole = ph.bitmap(grams)
-    assert all(ph.likely(whole, b"en", f"w{i} é".encode()) for i in range(500))
+def test_bitmap_holds_its_words(spark):
+    words = spark.createDataFrame([("en", bytearray(f"w{i}é".encode())) for i in range(500)], "lang string, phrase binary")
+    whole = ph.bitmap(ph.word_places(words))
+    assert all(ph.likely(whole, b"en", f"w{i}é".encode()) for i in range(500))
     assert sum(ph.likely(whole, b"en", f"v{i}".encode()) for i in range(500)) < 5
 
 
+@pytest.mark.parametrize("ranges", [1, 12])
+def test_sums_of_packed_hashes(spark, ranges):
+    rng = np.random.default_rng(1)
+    some = rng.integers(0, 1 << 63, 400, dtype=np.uint64) * np.uint64(2)
+    total, rows = Counter(), []
+    for _ in range(12):
+        own = rng.choice(some, 200, replace=False)
+        counts = rng.integers(1, 9, 200)
+        total.update(dict(zip(own.tolist(), counts.tolist())))
+        rows += [r for batch in ph._packed(iter([(own[:50], counts[:50]), (own[50:], counts[50:])]), ranges, 60) for r in batch.to_pylist()]
+    whole = ph.reaching(spark.createDataFrame([tuple(r.values()) for r in rows], ph.PACKED).repartition(3), 30, 27)
+    kept = ph.in_bitmap(whole, some, ranges, 27)
+    assert kept.tolist() == [total[h] >= 30 for h in some.tolist()]
+
+
 def test_empty_table(spark):
     assert ph.collocations(spark.createDataFrame([], SCHEMA)).count() == 0
