@@ -43,6 +43,25 @@ MAVEN_PATTERN = r"(?s)<groupId>([^<]+)</groupId>\s*<artifactId>([^<]+)</artifact
 GRADLE_PATTERN = r"""["']([a-zA-Z0-9._-]+:[a-zA-Z0-9._-]+)(?::[0-9.]+)?["']"""
 MAIN_METHOD = "public static void main"
 
+# Calls that set up a job, by what they set.
+JOB_CALLS = {
+    "setMapperClass": "mapper",
+    "setCombinerClass": "combiner",
+    "setReducerClass": "reducer",
+    "setPartitionerClass": "partitioner",
+    "setInputFormatClass": "input_format",
+    "setOutputFormatClass": "output_format",
+    "setInputFormat": "input_format",
+    "setOutputFormat": "output_format",
+    "addInputPath": "input_path",
+    "addInputPaths": "input_path",
+    "setInputPaths": "input_path",
+    "setOutputPath": "output_path",
+    "setJobName": "title",
+    "getInstance": "title",
+    "Job": "title",
+}
+
 # --- type tables ------------------------------------------------------------
 JAVA_TYPES = {
     "Text": "StringType",

@@ -13,9 +13,10 @@ from shuffleworks.constants import (
     DEFAULT_INPUT_PATHS,
     DEFAULT_OUTPUT_FORMAT,
     DEFAULT_OUTPUT_PATHS,
+    JOB_CALLS,
     MISSING_JOBS_ERROR,
 )
-from shuffleworks.functions.text import code_only
+from shuffleworks.operators import javasource
 from shuffleworks.session import durable
 
 _CLASS = "struct<class_name:string,role:string>"
@@ -105,100 +106,117 @@ def graph_summary(df: DataFrame, raw: str = "raw") -> DataFrame:
 
 
 _SLOTS = ["mapper", "combiner", "reducer", "partitioner"]
-_SETTER = r"\b(\w+)\.set(Mapper|Combiner|Reducer|Partitioner)Class\s*\(\s*([\w.]+)\.class\b"
-_DECLARATION = r"\bclass (\w+)"
+_FORMATS = {"input_format": DEFAULT_INPUT_FORMAT, "output_format": DEFAULT_OUTPUT_FORMAT}
+_SETTER = r"\.\s*set(?:Mapper|Combiner|Reducer|Partitioner)Class\b"
+_JOB = ["file_path", "owner", "scope", "var"]
 
 
-def _wiring(files: DataFrame, path: str, content: str) -> DataFrame:
-    """``_path, driver, job_var, slot, ref`` of the classes that jobs are given.
+def _settings(scanned: DataFrame) -> DataFrame:
+    """One row per value a job is given: its file, type, method and variable, where, what for, and the argument."""
+    calls = scanned.select("file_path", "package", "imports", F.posexplode("calls").alias("at", "c"))
+    slot = F.lit(None).cast("string")
+    for call, name in JOB_CALLS.items():
+        slot = F.when(F.col("c.call") == call, name).otherwise(slot)
+    args = F.when(F.col("c.call") == "setInputPaths", F.col("c.args")).otherwise(F.slice("c.args", 1, 1))
+    each = calls.select(*_JOB[:1], "package", "imports", "c.owner", "c.scope", "c.method", "c.var", "c.call", slot.alias("slot"), "at", F.posexplode(args).alias("arg", "a"))
+    return each.select(*_JOB, "package", "imports", "method", "call", "slot", "at", "arg", F.col("a.class_name").alias("ref"), "a.terms")
 
-    Calls belong to the variable they are made on and to the class declared last
-    before them. A setter overwrites, so the last call per slot counts.
-    """
-    events = F.regexp_extract_all(code_only(F.col(content)), F.lit(f"{_DECLARATION}|{_SETTER}"), F.lit(0))
-    found = files.select(F.col(path).alias("_path"), events.alias("_events"))
-    found = found.where(F.exists("_events", lambda e: e.rlike(_SETTER)))
-
-    def call(event: Column, at: Column) -> Column:
-        around = F.filter(F.slice("_events", 1, at + 1), lambda e: ~e.rlike(_SETTER))
-        return F.when(
-            event.rlike(_SETTER),
-            F.struct(
-                F.regexp_extract(F.try_element_at(around, F.lit(-1)), _DECLARATION, 1).alias("driver"),
-                F.regexp_extract(event, _SETTER, 1).alias("job_var"),
-                F.lower(F.regexp_extract(event, _SETTER, 2)).alias("slot"),
-                F.regexp_extract(event, _SETTER, 3).alias("ref"),
-                at.alias("at"),
-            ),
-        )
-
-    calls = F.filter(F.transform("_events", call), lambda c: c.isNotNull())
-    each = found.select("_path", F.explode(calls).alias("_s")).select("_path", "_s.*")
-    return each.groupBy("_path", "driver", "job_var", "slot").agg(F.max_by("ref", "at").alias("ref"))
-
-
-def _packages(ref: Column, package: Column, imports: Column) -> Column:
-    """Where a named class may be declared, the first that has it counts.
-
-    The qualifier it is named with, the import of that very name, the package of
-    the driver, and then the packages imported whole.
-    """
-    name, qualifier = F.substring_index(ref, ".", -1), F.regexp_extract(ref, r"^(.*)\.\w+$", 1)
-    outer = F.substring_index(ref, ".", 1)  # of a nested class, it is what is imported
-    parent = lambda i: F.regexp_extract(i, r"^(.*)\.[\w*]+$", 1)
-    given = F.when(qualifier != "", F.array(qualifier)).otherwise(F.array().cast("array<string>"))
-    own = F.filter(imports, lambda i: i.endswith(F.concat(F.lit("."), name)) | i.endswith(F.concat(F.lit("."), outer)))
-    whole = F.filter(imports, lambda i: i.endswith(".*"))
-    return F.array_distinct(
-        F.concat(given, F.transform(own, parent), F.array(F.coalesce(package, F.lit(""))), F.transform(whole, parent))
-    )
 
-
-def assemble_jobs(files: DataFrame, classes: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+def assemble_jobs(files: DataFrame, classes: DataFrame, path: str = "path", content: str = "content", constants: DataFrame | None = None, scanned: DataFrame | None = None) -> DataFrame:
     """One row per job: per variable on which a class sets job classes.
 
-    ``job_name, package, driver, job_var, file_path`` and, for mapper, combiner,
-    reducer and partitioner, the class the driver names and the file it is
-    declared in (null when unknown). A driver's only job has the driver's name,
-    several have the variable's name added. Names are looked up by qualifier,
-    import and package. All slots go through one join; copies of a class count
-    once, by first path.
+    A job belongs to the type whose body the calls stand in, and to the method that declares its
+    variable (to the type, if the variable is a field). ``job_name, package, driver, method, job_var,
+    title, file_path``; for mapper, combiner, reducer and partitioner the class the driver names and
+    the file it is declared in (null when unknown); ``input_paths, output_paths, input_format,
+    output_format, chained_after``. A setter overwrites; paths are added unless set. Paths, formats
+    and titles are followed through local variables and constants of any file (``constants``, by
+    default those of ``files``); what the text does not tell is null, a format that is never set is
+    the default. A driver's only job has the driver's name, several have the variable's added, and
+    the method's where that is not enough. ``chained_after`` is the job that writes one of the input
+    paths, the first by file and name. Names are looked up in the enclosing types, by import and
+    package; copies of a class count once, by first path. ``scanned``, if there is one, is that of
+    ``files`` by ``javasource.scan``; the files are not read again then. Paths of files are not null.
     """
-    sources = classes.groupBy("file_path", F.col("class_name").alias("driver")).agg(
-        F.min("package").alias("package"), F.min("imports").alias("imports")
-    )
-    wiring = _wiring(files, path, content).withColumnRenamed("_path", "file_path")
-    named = wiring.join(sources, ["file_path", "driver"], "left")
-    places = _packages(F.col("ref"), F.col("package"), F.coalesce("imports", F.array().cast("array<string>")))
-    tried = named.select(
-        "file_path", "driver", "job_var", "slot", "package", F.substring_index("ref", ".", -1).alias("name"),
-        F.posexplode(places).alias("_turn", "_package"),
-    )
-    declared = classes.groupBy(F.coalesce("package", F.lit("")).alias("_package"), F.col("class_name").alias("name")).agg(
-        F.min("file_path").alias("_declared_in")
-    )
-    found = tried.join(declared, ["_package", "name"], "left")
+    found = scanned if scanned is not None else javasource.scan(files.where(F.col(content).rlike(_SETTER)), path, content)
+    settings = durable(_settings(found))  # small: file texts are gone
+    jobs = settings.where(F.col("slot").isin(_SLOTS)).select(*_JOB).distinct()
+    settings = settings.join(jobs, _JOB, "left_semi")
+
+    # Classes: the last call per slot, looked up by full name.
+    classed = settings.where(F.col("slot").isin(_SLOTS + list(_FORMATS)))
+    last = classed.groupBy(*_JOB, "slot").agg(F.max_by(F.struct("ref", "package", "imports"), F.struct("at", -F.col("arg"))).alias("s")).select(*_JOB, "slot", "s.*")
+    places = javasource.full_names(F.col("ref"), F.col("owner"), F.col("package"), F.col("imports"))
+    tried = last.select(*_JOB, "slot", F.substring_index("ref", ".", -1).alias("name"), F.posexplode_outer(places).alias("_turn", "_full"))
+    name = F.col("qualified") if "qualified" in classes.columns else F.col("class_name")
+    declared = classes.groupBy(F.concat_ws(".", "package", name).alias("_full")).agg(F.min("file_path").alias("_declared_in"))
+    found = tried.join(declared, "_full", "left")
 
     def of(slot: str, value: Column) -> Column:
         return F.min(F.when(F.col("slot") == slot, value))
 
-    # A struct that begins with the turn: its least value is the first package that has the class.
+    # A struct that begins with the turn: its least value is the first name that is declared.
     hit = F.when(F.col("_declared_in").isNotNull(), F.struct("_turn", "_declared_in"))
-    wide = found.groupBy("file_path", "driver", "job_var").agg(
-        F.min("package").alias("package"),
-        *[of(s, F.col("name")).alias(s) for s in _SLOTS],
+    wide = found.groupBy(*_JOB).agg(
+        *[of(s, F.col("name")).alias(s) for s in [*_SLOTS, *_FORMATS]],
         *[of(s, hit).alias(f"_{s}") for s in _SLOTS],
+        *[F.bool_or(F.col("slot") == s).alias(f"_{s}") for s in _FORMATS],
     )
-    several = F.count(F.lit(1)).over(Window.partitionBy("file_path", "driver")) > 1  # the jobs of one class
-    return wide.select(
-        F.when(several, F.concat_ws(".", "driver", "job_var")).otherwise(F.col("driver")).alias("job_name"),
-        "package",
-        "driver",
-        "job_var",
-        "file_path",
-        *_SLOTS,
+
+    # Paths and titles: texts, in the order of the calls.
+    told = settings.where(F.col("slot").isin("input_path", "output_path", "title"))
+    if constants is None and not told.where(javasource.names_left(F.col("terms"))).isEmpty():
+        everything = scanned if scanned is not None else durable(javasource.scan(files, path, content).select("file_path", "package", "imports", "fields"))
+        constants = javasource.resolve_constants(everything)
+    values = javasource.texts(told, constants, [*_JOB, "slot", "call", "at", "arg"])
+    # One call may name several paths, and one that sets them drops those before it.
+    many = F.when(F.col("call").isin("addInputPaths", "setInputPaths") & F.col("text").contains(","), F.split("text", ",")).otherwise(F.array("text"))
+    said = values.groupBy(*_JOB).agg(F.array_sort(F.collect_list(F.struct("at", "arg", "slot", "call", many.alias("texts")))).alias("said"))
+
+    def listed(slot: str) -> Column:
+        own = F.filter("said", lambda v: v["slot"] == slot)
+        set_at = F.array_max(F.transform(F.filter(own, lambda v: v["call"] == "setInputPaths"), lambda v: v["at"]))
+        kept = F.filter(own, lambda v: v["at"] >= F.coalesce(set_at, F.lit(0)))
+        return F.coalesce(F.flatten(F.transform(kept, lambda v: v["texts"])), F.array().cast("array<string>"))
+
+    outputs = listed("output_path")
+    said = said.select(
+        *_JOB, listed("input_path").alias("input_paths"),
+        F.slice(outputs, F.greatest(F.size(outputs), F.lit(1)), F.lit(1)).alias("output_paths"),  # the last one set
+        F.try_element_at(listed("title"), F.lit(-1)).alias("title"),
+    )
+    places = settings.groupBy(*_JOB).agg(F.min("package").alias("package"), F.min(F.struct("at", "method"))["method"].alias("method"))
+    rows = wide.join(said, _JOB, "left").join(places, _JOB)
+
+    driver = F.substring_index("owner", ".", -1)
+    per_type, per_var = [F.count(F.lit(1)).over(Window.partitionBy("file_path", "owner", *more)) for more in ([], ["var"])]
+    local = F.when(F.col("scope") >= 0, F.col("method"))
+    several = F.row_number().over(Window.partitionBy("file_path", "owner", local, "var").orderBy("scope"))  # overloads
+    job_name = F.when(per_type == 1, driver).when(per_var == 1, F.concat_ws(".", driver, "var")).otherwise(F.concat_ws(".", driver, local, "var"))
+    empty = F.array().cast("array<string>")
+    named = rows.select(
+        F.concat(job_name, F.when(several > 1, F.concat(F.lit("#"), several.cast("string"))).otherwise("")).alias("job_name"),
+        "package", driver.alias("driver"), local.alias("method"), F.col("var").alias("job_var"), "title", "file_path", *_SLOTS,
         *[F.col(f"_{s}._declared_in").alias(f"{s}_path") for s in _SLOTS],
-    )
+        F.coalesce("input_paths", empty).alias("input_paths"), F.coalesce("output_paths", empty).alias("output_paths"),
+        *[F.when(F.coalesce(f"_{s}", F.lit(False)), F.col(s)).otherwise(default).alias(s) for s, default in _FORMATS.items()],
+    )
+    return _chained(durable(named))
+
+
+def _chained(jobs: DataFrame) -> DataFrame:
+    """``chained_after``: the first other job that writes a path the job reads. A path's two first writers are enough to know."""
+    me = F.struct("file_path", "job_name")
+    folder = lambda c: F.regexp_replace(c, "(.)/+$", "$1")
+    writers = jobs.select(me.alias("w"), F.explode("output_paths").alias("p")).where("p is not null").groupBy(folder(F.col("p")).alias("p"))
+    first = writers.agg(F.min("w").alias("w1"))
+    second = jobs.select(me.alias("w"), F.explode("output_paths").alias("p")).where("p is not null").select(folder(F.col("p")).alias("p"), "w")
+    second = second.join(first, "p").where(F.col("w") != F.col("w1")).groupBy("p").agg(F.min("w").alias("w2"))
+    both = first.join(second, "p", "left").select("p", "w1", "w2")
+    reads = jobs.select(me.alias("r"), F.explode("input_paths").alias("p")).where("p is not null").select("r", folder(F.col("p")).alias("p"))
+    after = reads.join(both, "p").select("r", F.when(F.col("w1") != F.col("r"), F.col("w1")).otherwise(F.col("w2")).alias("w"))
+    after = after.groupBy("r").agg(F.min("w")["job_name"].alias("chained_after"))
+    return jobs.withColumn("r", me).join(after, "r", "left").drop("r")
 
 
 def resolve_chains(jobs: DataFrame, job: str = "job_name", after: str = "chained_after") -> tuple[DataFrame, DataFrame]:

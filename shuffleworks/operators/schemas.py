@@ -21,6 +21,7 @@ from shuffleworks.constants import (
 from shuffleworks.functions.jsontext import is_strict_json
 from shuffleworks.functions.text import split_top_level
 from shuffleworks.functions.types import spark_type_name, to_spark_type
+from shuffleworks.operators.corpus import classify_role
 
 GENERIC_ROLES = ["mapper", "reducer", "combiner"]
 FIELD_LIST = "array<struct<name:string,java_type:string>>"
@@ -109,6 +110,17 @@ def composite_key_fields(
     return _explode_fields(_key_classes_with_fields(classes, files, path, content), F.col("_fields"), "writable")
 
 
+def own_key_fields(scanned: DataFrame) -> DataFrame:
+    """Fields of composite-key classes from each class's own body: not those of other classes of the file, of nested
+    ones, of methods, or static ones. Any type counts. ``scanned`` is that of ``javasource.scan``."""
+    fields = scanned.select("file_path", "fields", F.explode("types").alias("t"), "imports", "marks")
+    role = classify_role(F.col("t.class_name"), F.col("t.extends"), F.col("t.implements"), F.col("imports"), F.col("marks"))
+    own = F.filter("fields", lambda f: (f["owner"] == F.col("t.qualified")) & ~f["is_static"])
+    keys = fields.where((role == "composite_key") & (F.col("t.kind") == "class"))
+    listed = F.transform(own, lambda f: _field(f["name"], f["java_type"]))
+    return _explode_fields(keys.select(F.col("t.class_name").alias("source_class"), "file_path", listed.alias("_fields")), F.col("_fields"), "writable")
+
+
 def unresolved_keys(
     classes: DataFrame, files: DataFrame, path: str = "path", content: str = "content"
 ) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from shuffleworks import testkit
 from shuffleworks.functions.text import split_top_level
-from shuffleworks.operators import corpus, deps, jobtable, payloads, schemas
+from shuffleworks.operators import corpus, deps, javasource, jobtable, payloads, schemas
 from shuffleworks.plans.registry import Registry
 from shuffleworks.session import durable
 from shuffleworks.testkit import table
@@ -374,7 +374,71 @@ def graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def assembled_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = testkit.code_files(spark, sf_dir)
     classes = durable(corpus.extract_classes(files))  # read as drivers and as the classes they name
-    return jobtable.assemble_jobs(files, classes).drop("job_var")
+    return jobtable.assemble_jobs(files, classes).drop("job_var", "method", "title", "input_paths", "output_paths", "input_format", "output_format", "chained_after")
+
+
+_DRIVERS = (
+    "(SELECT doc_id AS k, coalesce(lang, 'xx') AS lang, coalesce(source, 'none') AS src, "
+    "'src/' || coalesce(lang, 'xx') || '/D' || doc_id || '.java' AS path FROM documents)"
+)
+_NONE = "CAST(NULL AS VARCHAR)"
+
+
+def _paths(column: str) -> Column:
+    return F.array_join(column, ";", "?").alias(column)
+
+
+@REGISTRY.query(
+    f"WITH d AS {_DRIVERS}, w AS (SELECT src, arg_min('Runner' || k, path) AS job FROM d WHERE lang = 'fr' GROUP BY src) "
+    "SELECT 'WordCount' || k AS job_name, 'org.gen.' || lang AS package, 'WordCount' || k AS driver, 'main' AS method, 'job' AS job_var, 'count ' || src AS title, path AS file_path, "
+    f"'Map' AS mapper, 'Reduce' AS combiner, 'Reduce' AS reducer, {_NONE} AS partitioner, path AS mapper_path, path AS combiner_path, path AS reducer_path, {_NONE} AS partitioner_path, "
+    "'/in/' || src || '/' || k || ';?' AS input_paths, '/data/out/' || src || '/' || k AS output_paths, 'TextInputFormat' AS input_format, 'TextOutputFormat' AS output_format, "
+    f"{_NONE} AS chained_after FROM d WHERE lang = 'en' "
+    f"UNION ALL SELECT 'Steps' || k || '.' || m || '.job', 'org.gen.de', 'Steps' || k, m, 'job', CASE m WHEN 'first' THEN 'first' END, path, CASE m WHEN 'first' THEN 'Ma' ELSE 'Mb' END, {_NONE}, "
+    f"CASE m WHEN 'second' THEN 'Rb' END, {_NONE}, path, {_NONE}, CASE m WHEN 'second' THEN path END, {_NONE}, CASE m WHEN 'first' THEN '' ELSE '/mid/' || k || ';/other' END, "
+    "CASE m WHEN 'first' THEN '/mid/' || k || '/' ELSE '?' END, CASE m WHEN 'first' THEN 'TextInputFormat' ELSE 'SequenceFileInputFormat' END, 'TextOutputFormat', "
+    "CASE m WHEN 'second' THEN 'Steps' || k || '.first.job' END FROM d, (SELECT unnest(['first', 'second']) AS m) WHERE lang = 'de' "
+    f"UNION ALL SELECT 'Runner' || k, 'org.gen.fr', 'Runner' || k, {_NONE}, 'job', {_NONE}, path, 'Map', {_NONE}, 'Absent', {_NONE}, {_NONE}, {_NONE}, {_NONE}, {_NONE}, '', '/fr/' || src, "
+    f"'TextInputFormat', {_NONE}, {_NONE} FROM d WHERE lang = 'fr' "
+    f"UNION ALL SELECT 'Es' || k, 'org.gen.' || lang, 'Es' || k, 'run', 'conf', '/data/out/' || d.src, path, 'Copy', {_NONE}, {_NONE}, {_NONE}, 'src/Paths_' || d.src || '.java', {_NONE}, {_NONE}, {_NONE}, "
+    "'/fr/' || d.src, '', 'TextInputFormat', 'TextOutputFormat', w.job FROM d LEFT JOIN w ON w.src = d.src WHERE lang NOT IN ('en', 'de', 'fr')"
+)
+def assembled_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = testkit.driver_files(spark, sf_dir)
+    scanned = durable(javasource.scan(files))
+    jobs = jobtable.assemble_jobs(files, javasource.scan_classes(scanned), scanned=scanned)
+    return jobs.withColumns({c: _paths(c) for c in ("input_paths", "output_paths")})
+
+
+@REGISTRY.query(
+    f"WITH d AS {_DRIVERS}, c AS (SELECT path AS file_path, unnest(CASE lang "
+    "WHEN 'en' THEN [('WordCount' || k, '', 'driver', 'main', 2), ('WordCount' || k || '.Map', 'WordCount' || k, 'mapper', 'map', 0), ('WordCount' || k || '.Reduce', 'WordCount' || k, 'reducer', '', 0)] "
+    "WHEN 'de' THEN [('Steps' || k, '', 'unclassified', 'first;second', 2), ('Steps' || k || '.Ma', 'Steps' || k, 'mapper', '', 0), ('Steps' || k || '.Mb', 'Steps' || k, 'mapper', '', 0), "
+    "('Steps' || k || '.Mb.Inner', 'Steps' || k || '.Mb', 'unclassified', '', 0), ('Steps' || k || '.Rb', 'Steps' || k, 'reducer', '', 0), ('Steps' || k || '.Pair', 'Steps' || k, 'composite_key', 'write', 2)] "
+    "WHEN 'fr' THEN [('Runner' || k, '', 'driver', 'init;wire', 2)] ELSE [('Es' || k, '', 'unclassified', 'run', 1)] END) AS c FROM d "
+    "UNION ALL SELECT 'src/Paths_' || src || '.java', unnest([('Paths_' || src, '', 'unclassified', '', 4), ('Paths_' || src || '.Copy', 'Paths_' || src, 'mapper', '', 0)]) FROM (SELECT DISTINCT src FROM d)) "
+    "SELECT file_path, c[1] AS qualified, c[2] AS outer_class, c[3] AS role, c[4] AS methods, CAST(c[5] AS BIGINT) AS n_fields FROM c"
+)
+def nested_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = durable(javasource.scan(testkit.driver_files(spark, sf_dir)))
+    classes = javasource.scan_classes(scanned)
+    methods = javasource.scan_methods(scanned).groupBy("file_path", F.col("class").alias("qualified")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "method"))), lambda m: m["method"]), ";").alias("methods")
+    )
+    fields = javasource.scan_fields(scanned).groupBy("file_path", F.col("class").alias("qualified")).agg(F.count(F.lit(1)).alias("n_fields"))
+    both = classes.join(methods, ["file_path", "qualified"], "left").join(fields, ["file_path", "qualified"], "left")
+    return both.select(
+        "file_path", "qualified", F.coalesce("outer", F.lit("")).alias("outer_class"), "role", F.coalesce("methods", F.lit("")).alias("methods"), F.coalesce("n_fields", F.lit(0)).alias("n_fields")
+    )
+
+
+@REGISTRY.query(
+    f"WITH d AS {_DRIVERS} SELECT 'Pair' AS source_class, path AS file_path, CAST(pos AS INTEGER) AS pos, CASE pos WHEN 0 THEN 'a' || k ELSE 'b' END AS name, "
+    "CASE pos WHEN 0 THEN 'Text' ELSE 'long' END AS java_type, CASE pos WHEN 0 THEN 'StringType' ELSE 'LongType' END AS spark_type, 'writable' AS format "
+    "FROM d, (SELECT unnest([0, 1]) AS pos) WHERE lang = 'de'"
+)
+def own_key_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schemas.own_key_fields(javasource.scan(testkit.driver_files(spark, sf_dir)))
 
 
 _CHAIN = (

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shuffleworks.operators import corpus, deps, jobtable, schemas
+from shuffleworks.operators import corpus, deps, javasource, jobtable, schemas
 from shuffleworks.session import durable
 from shuffleworks.sources.files import scan_files, scan_schemas, scan_summary
 
@@ -37,7 +37,8 @@ def analyse_project(
     scanned = scan_files(spark, root, skip_build_dirs)
     files, errors = corpus.split_good_bad(scanned)
     sources = files.where(F.col("kind") == "source")
-    classes = durable(corpus.extract_classes(sources))
+    parsed = durable(javasource.scan(sources))
+    classes = durable(javasource.scan_classes(parsed))
     fields, unresolved = schemas.resolve_schemas(classes, sources, scan_schemas(spark, root))
     risks = deps.scan_risks(classes, files.where(F.col("kind") == "build"), prefixes)
     return ProjectTables(
@@ -48,7 +49,7 @@ def analyse_project(
         role_counts=corpus.role_counts(classes),
         fields=fields,
         unresolved=unresolved,
-        jobs=jobtable.assemble_jobs(sources, classes),
+        jobs=jobtable.assemble_jobs(sources, classes, scanned=parsed),
         risks=risks,
         verdict=deps.risk_verdict(risks, action),
     )

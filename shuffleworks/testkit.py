@@ -111,6 +111,68 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select(k.alias("k"), path.alias("path"), content.alias("content"), deleted.alias("is_deleted"))
 
 
+def driver_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One driver per document, and one file of constants per source: ``path, content``.
+
+    The language picks the layout: one file with nested mapper and reducer, two methods with
+    a job each, a job kept in a field, or constants and classes of another file. The document's
+    text stands in a comment and in a string, so nothing in it may be taken for code.
+    """
+    docs = table(spark, sf_dir, "documents", "doc_id", "lang", "source", "text")
+    k, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    src = F.coalesce("source", F.lit("none"))
+    lang = F.coalesce("lang", F.lit("xx"))
+    comment = _text("/* class Ghost { ", F.replace(text, F.lit("*/"), F.lit("* /")), " */\n")
+    quoted = text
+    for plain, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r")):
+        quoted = F.replace(quoted, F.lit(plain), F.lit(escaped))
+    note = _text('    private static final String NOTE = "} class Ghost { ', quoted, '";\n')
+    head = _text("package org.gen.", lang, ";\n", comment)
+    one_file = _text(
+        "import org.gen.Paths_", src, ";\n\npublic class WordCount", k, " extends Configured {\n", note,
+        '    private static final String TOP = "/in";\n',
+        "    public static class Map extends Mapper<LongWritable, Text, Text, IntWritable> { void map() { if (true) { } } }\n",
+        "    public static class Reduce\n        extends Reducer<Text, IntWritable, Text, IntWritable> { }\n",
+        "    public static void main(String[] args) throws Exception {\n        // job.setMapperClass(Ghost.class);\n",
+        '        Job job = Job.getInstance(new Configuration(), "count " + Paths_', src, ".NAME);\n",
+        '        String in = TOP + "/', src, '";\n        job.setMapperClass(Map.class);\n        job.setCombinerClass(Reduce.class);\n',
+        "        job.setReducerClass(WordCount", k, '.Reduce.class);\n        FileInputFormat.addInputPath(job, new Path(in, "', k, '"));\n',
+        "        if (args.length > 0) { FileInputFormat.addInputPath(job, new Path(args[0])); }\n",
+        "        FileOutputFormat.setOutputPath(job, new Path(Paths_", src, '.OUT + "/', k, '"));\n    }\n}\n',
+    )
+    two_methods = _text(
+        "class Steps", k, " {\n    private Text notMine;\n", note, "    void first() throws Exception {\n",
+        '        Job job = new Job(conf, "first");\n        job.setMapperClass(Ma.class);\n',
+        '        FileOutputFormat.setOutputPath(job, new Path("/mid/', k, '/"));\n    }\n    void second(Path out) {\n',
+        "        Job job = Job.getInstance(conf);\n        job.setMapperClass(Mb.class);\n        job.setReducerClass(Rb.class);\n",
+        "        job.setInputFormatClass(SequenceFileInputFormat.class);\n",
+        '        FileInputFormat.addInputPath(job, new Path("/dropped"));\n        FileInputFormat.setInputPaths(job, "/mid/', k, ',/other");\n',
+        "        FileOutputFormat.setOutputPath(job, out);\n    }\n    static class Ma extends Mapper<A, B, C, D> { }\n",
+        "    static class Mb extends Mapper<A, B, C, D> { class Inner { } }\n    static class Rb extends Reducer<C, D, E, F> { }\n",
+        "    static class Pair implements WritableComparable<Pair> {\n        private Text a", k, ";\n        private long b = 1;\n",
+        "        public void write(DataOutput o) { Text local = null; }\n    }\n}\n",
+    )
+    in_a_field = _text(
+        "public class Runner", k, " {\n    private Job job;\n", note, "    void init() { job = Job.getInstance(conf, title()); job.setMapperClass(Map.class); }\n",
+        "    void wire(Class fmt) {\n        this.job.setReducerClass(p.Absent.class);\n        job.setOutputFormatClass(fmt);\n",
+        '        FileOutputFormat.setOutputPath(job, new Path("/fr", "', src, '"));\n    }\n}\n',
+    )
+    elsewhere = _text(
+        "import static org.gen.Paths_", src, ".FR;\nimport org.gen.*;\nclass Es", k, " {\n", note, "    void run(JobConf conf) {\n",
+        "        conf.setMapperClass(Paths_", src, '.Copy.class);\n        conf.setJobName(Paths_', src, ".OUT);\n",
+        "        FileInputFormat.addInputPath(conf, new Path(FR));\n    }\n}\n",
+    )
+    body = F.when(lang == "en", one_file).when(lang == "de", two_methods).when(lang == "fr", in_a_field).otherwise(elsewhere)
+    drivers = docs.select(_text("src/", lang, "/D", k, ".java").alias("path"), F.concat(head, body).alias("content"))
+    constants = _text(
+        "package org.gen;\npublic class Paths_", src, ' {\n    static final String ROOT = "/data";\n',
+        '    public static final String OUT = ROOT + "/out/" + NAME;\n    public static final String NAME = "', src, '";\n',
+        '    static final String FR = "/fr/" + Paths_', src, ".NAME;\n    public static class Copy extends Mapper<A, B, C, D> { }\n}\n",
+    )
+    sources = docs.select(src.alias("source")).distinct().select(_text("src/Paths_", F.col("source"), ".java").alias("path"), constants.alias("content"))
+    return drivers.unionByName(sources)
+
+
 def avro_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One schema file per part: ``k, path, content``; every fifth one is cut off and not JSON."""
     k = F.col("p_partkey")
