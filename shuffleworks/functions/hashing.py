@@ -25,8 +25,16 @@ def _escaped(text: Column) -> Column:
     return F.replace(doubled, F.lit(SEPARATOR), F.lit("\\p"))
 
 
+def _sized(text: Column) -> Column:
+    """A part of a nested value, its length before it, so that parts in a row cannot be read in two ways."""
+    return F.concat(F.length(text).cast("string"), F.lit(":"), text)
+
+
 def canonical(column: Column, kind: T.DataType, scale: int | None = None) -> Column:
-    """Canonical text of one value; null gives ``\\N``. Both zeros are one value, and so are all NaNs."""
+    """Canonical text of one value, nested ones by recursion over the type; null gives ``\\N``.
+
+    Both zeros are one value, and so are all NaNs, also inside arrays, structs and maps; a scale counts there too.
+    """
     if isinstance(kind, (T.StringType, T.VarcharType, T.CharType)):
         text = _escaped(column)
     elif isinstance(kind, (T.FloatType, T.DoubleType)) and scale is None:
@@ -48,10 +56,14 @@ def canonical(column: Column, kind: T.DataType, scale: int | None = None) -> Col
         text = F.when(digits.contains("."), F.regexp_replace(digits, r"\.?0+$", "")).otherwise(digits)
     elif isinstance(kind, T.BinaryType):
         text = F.hex(column)
+    elif isinstance(kind, T.ArrayType):
+        text = F.array_join(F.transform(column, lambda v: _sized(canonical(v, kind.elementType, scale))), "")
+    elif isinstance(kind, T.StructType):
+        fields = [_sized(canonical(column.getField(f.name), f.dataType, scale)) for f in kind.fields]
+        text = F.when(column.isNotNull(), F.concat(F.lit(""), *fields))
     elif isinstance(kind, T.MapType):
-        text = _escaped(F.to_json(F.array_sort(F.map_entries(column)), {"ignoreNullFields": "false"}))
-    elif isinstance(kind, (T.ArrayType, T.StructType)):
-        text = _escaped(F.to_json(column, {"ignoreNullFields": "false"}))
+        entry = lambda e: F.concat(_sized(canonical(e["key"], kind.keyType, scale)), _sized(canonical(e["value"], kind.valueType, scale)))
+        text = F.array_join(F.array_sort(F.transform(F.map_entries(column), entry)), "")
     else:
         text = column.cast("string")
     return F.coalesce(text, F.lit(NULL_MARK))

@@ -89,29 +89,68 @@ def compare(left: DataFrame, right: DataFrame, columns: list[str] | None = None,
     )
 
 
+_TOP, _DEEP = 16, 27  # bits of a hash: ranges of the first level, and of the bitmaps of suspects
+
+
+def _unequal(signed: DataFrame, keys: list[str], *words: Column) -> DataFrame:
+    """Keys whose rows do not balance: in number, or in the sums of the words."""
+    sums = [F.sum(F.col("_sign") * w).alias(f"_s{i}") for i, w in enumerate(words)]
+    totals = signed.groupBy(*keys).agg(F.sum("_sign").alias("_n"), *sums)
+    wrong = F.col("_n") != 0
+    for i in range(len(words)):
+        wrong = wrong | (F.col(f"_s{i}") != 0)
+    return totals.where(wrong).select(*keys)
+
+
+def _bits(hash_: Column, n: int) -> Column:
+    return F.shiftrightunsigned(hash_, 64 - n)
+
+
+def _in_bitmap(rows: DataFrame, suspects: DataFrame, key: str) -> DataFrame:
+    """Rows whose top bits of ``key`` some suspect has. The bitmap is broadcast: at most 4,096 rows of 4 KB."""
+    at = lambda c: _bits(c, _DEEP) + 1  # noqa: E731  the bitmap functions count from 1
+    maps = suspects.groupBy(F.bitmap_bucket_number(at(F.col(key))).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at(F.col(key)))).alias("_bits"))
+    place = F.bitmap_bit_position(at(F.col(key))).cast("int")
+    octet = F.conv(F.hex(F.substring("_bits", F.shiftright(place, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    bit = octet.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), place.bitwiseAND(F.lit(7)) + 1))
+    found = rows.withColumn("_bucket", F.bitmap_bucket_number(at(F.col(key)))).join(F.broadcast(maps), "_bucket")
+    return found.where(bit != 0).drop("_bucket", "_bits")
+
+
+def suspect_rows(signed: DataFrame) -> DataFrame:
+    """The rows whose hashes ``_h1, _h2`` do not balance by ``_sign``, found through a tree of checksums.
+
+    First both sides are summed in 65,536 ranges of the hash, in the map tasks; only the ranges that
+    do not balance are opened, and only the hashes in them are shuffled, to find those that do not
+    balance. Bitmaps of fixed size over two independent parts of these then let rows pass: an equal
+    row passes with a chance of (unequal rows / 2^27)^2, and is sorted out when rows are counted.
+    """
+    words = [F.shiftright("_h2", s).bitwiseAND(F.lit(0xFFFF)) for s in (0, 16, 32, 48)]  # sums that stay inside bigint
+    ranged = signed.withColumn("_range", _bits(F.col("_h1"), _TOP))
+    ranges = F.broadcast(_unequal(ranged, ["_range"], *words))  # at most 65,536 numbers
+    opened = ranged.join(ranges, "_range", "left_semi").drop("_range")
+    suspects = _unequal(opened.select("_h1", "_h2", "_sign"), ["_h1", "_h2"])
+    return _in_bitmap(_in_bitmap(opened, suspects, "_h1"), suspects, "_h2")
+
+
 def diff_rows(
     left: DataFrame, right: DataFrame, columns: list[str] | None = None, by_hash: bool = True
 ) -> DataFrame:
     """Rows that are there a different number of times: the columns, ``side``, ``times``.
 
     ``side`` says where the surplus is. Rows are the same if ``compare`` takes them
-    for the same: by their canonical text. With ``by_hash`` the counting is done on
-    128-bit hashes of that text first, so that sixteen bytes per row are shuffled
-    instead of the row, and only the rows behind a hash that does not balance are
-    looked at as rows. Best where most rows agree. Without it whole texts are
-    counted at once.
+    for the same: by their canonical text. With ``by_hash`` unequal rows are found through a tree
+    of checksums of 128-bit hashes (``suspect_rows``), so that equal rows are not shuffled, neither
+    whole nor, in ranges without a difference, by their hashes. Best where most rows agree. Without
+    it whole texts are counted at once.
     """
     names = _check_columns(left, right, columns)
     signed = _together(left, right, names, "_sign", 1, -1)
-    text = canonical_row(signed, names)
     keys = ["_h1", "_h2"] if by_hash else ["_text"]
+    signed = signed.withColumn("_text", canonical_row(signed, names))
     if by_hash:
-        signed = signed.withColumn("_text", text)
-        signed = signed.withColumns({"_h1": F.xxhash64("_text"), "_h2": F.xxhash64(F.lit(1), "_text")}).drop("_text")
-        suspects = signed.groupBy(*keys).agg(F.sum("_sign").alias("_n")).where(F.col("_n") != 0).drop("_n")
-        signed = signed.join(suspects, keys, "left_semi")
-    else:
-        signed = signed.withColumn("_text", text)
+        hashed = signed.withColumns({"_h1": F.xxhash64("_text"), "_h2": F.xxhash64(F.lit(1), "_text")}).drop("_text")
+        signed = suspect_rows(hashed)
     counted = signed.groupBy(*keys).agg(F.sum("_sign").alias("_n"), *[F.first(F.col(f"`{n}`")).alias(n) for n in names])
     return counted.where(F.col("_n") != 0).select(
         *[F.col(f"`{n}`") for n in names],

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass
+from itertools import chain, groupby, islice
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from shuffleworks.functions.text import tokens
 from shuffleworks.sources.formats import read_tagged
@@ -17,6 +19,7 @@ from shuffleworks.sources.formats import read_tagged
 KEY, VALUE = "key", "value"
 
 _HELD_KEYS = 100_000
+_OUT_ROWS = 10_000
 
 
 # --- map --------------------------------------------------------------------
@@ -193,6 +196,67 @@ def reduce_by_key_rdd(df: DataFrame, key: str, value: str, op: Callable) -> Data
     return df.sparkSession.createDataFrame(pairs.rdd.map(tuple).reduceByKey(op), schema)
 
 
+Reducer = Callable[[tuple, Iterator[tuple]], Iterable[tuple]]
+
+
+def _same_zero(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Floating-point keys with one zero, as grouping has them."""
+    return df.withColumns({k: F.col(k) + F.lit(0.0) for k in keys if isinstance(df.schema[k].dataType, (T.FloatType, T.DoubleType))})
+
+
+def _walk(columns: list[str], keys: list[str], fn: Reducer, schema: pa.Schema):
+    """Rows in the order of their keys -> what ``fn`` makes of each key's rows, which it gets one by one."""
+    places = [columns.index(k) for k in keys]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*[c.to_pylist() for c in batch.columns]))
+        # NaN is unlike itself, but one key.
+        alike = lambda row: tuple("NaN" if row[i] != row[i] else (row[i],) for i in places)
+
+        def made() -> Iterator[tuple]:
+            for _, run_of in groupby(rows, alike):
+                first = next(run_of)
+                yield from fn(tuple(first[i] for i in places), chain([first], run_of))
+
+        out = made()
+        while held := list(islice(out, _OUT_ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
+    return run
+
+
+def reduce_runs(
+    df: DataFrame,
+    keys: list[str],
+    reduce: Reducer,
+    schema: str,
+    combine: Reducer | None = None,
+    combine_schema: str | None = None,
+    order: tuple[str, ...] = (),
+) -> DataFrame:
+    """Arbitrary code over the rows of a key, which come one by one: no task ever holds a group.
+
+    ``reduce(key, rows)`` gets the key as a tuple and an iterator over its rows (tuples of all
+    columns), in the order of ``order``, and gives rows of ``schema``. It need not read them all.
+    A key's rows go through one task; ``combine(key, rows)``, of the same kind, cuts them down before
+    the shuffle: it runs in the map task over the task's rows, sorted there by key, and gives rows
+    of ``combine_schema`` with the keys among its columns. Only what it gives is shuffled. Null is a
+    key like any other, and so is NaN.
+    """
+    if (combine is None) != (combine_schema is None):
+        raise ValueError("give combine and combine_schema together")
+    df = _same_zero(df, keys)
+    if combine is not None:
+        sorted_there = df.sortWithinPartitions(*keys)
+        df = sorted_there.mapInArrow(_walk(df.columns, keys, combine, _arrow_schema(combine_schema)), combine_schema)
+    together = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return together.mapInArrow(_walk(df.columns, keys, reduce, _arrow_schema(schema)), schema)
+
+
+def _arrow_schema(schema: str) -> pa.Schema:
+    return to_arrow_schema(T.StructType.fromDDL(schema))
+
+
 def reduce_groups(
     df: DataFrame,
     keys: list[str],
@@ -202,25 +266,28 @@ def reduce_groups(
     partial_schema: str | None = None,
     merge: Callable[[pd.DataFrame], pd.DataFrame] | None = None,
 ) -> DataFrame:
-    """Arbitrary code over all rows of a key.
+    """Arbitrary code over all rows of a key, as a pandas frame.
 
-    With ``partial`` (rows of one map task to rows with the keys, in
-    ``partial_schema``) and ``merge`` (all partial rows of a key to the result) no
-    task holds a group, whatever its size. Code that cannot be taken apart goes in
-    ``fn``, which gets one whole group as a pandas frame; groups must then fit
-    into a task's memory, as for a reducer that keeps its values.
+    With ``partial`` (some rows of a key to rows with the keys, in ``partial_schema``) and ``merge``
+    (all partial rows of a key to the result) no task holds a group, whatever its size: ``partial``
+    runs in the map task, over its rows sorted by key, at most a batch at a time, and only what it
+    gives is shuffled. Code that cannot be taken apart goes in ``fn``, which gets one whole group;
+    groups must then fit into a task's memory. ``reduce_runs`` has no such bound.
     """
     given = [partial, partial_schema, merge]
     if any(x is None for x in given) and any(x is not None for x in given):
         raise ValueError("give partial, partial_schema and merge together")
     if partial is None:
         return df.groupBy(*keys).applyInPandas(fn, schema)
-    # One partial per map task and key, as a combiner would give.
-    pieces = (
-        df.withColumn("_task", F.spark_partition_id())
-        .groupBy(*keys, "_task")
-        .applyInPandas(lambda pdf: partial(pdf.drop(columns="_task")), partial_schema)
-    )
+    names = T.StructType.fromDDL(partial_schema).names
+
+    def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            pieces = [partial(rows.reset_index(drop=True)) for _, rows in batch.groupby(keys, sort=False, dropna=False)]
+            if pieces:
+                yield pd.concat([p.set_axis(names, axis=1) for p in pieces], ignore_index=True)
+
+    pieces = _same_zero(df, keys).sortWithinPartitions(*keys).mapInPandas(combine, partial_schema)
     return pieces.groupBy(*keys).applyInPandas(merge, schema)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -133,30 +134,47 @@ def wrapping_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     "(SELECT user_id, CAST(round(value * 100) AS BIGINT) AS c FROM events) GROUP BY user_id)"
 )
 def value_spread_per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User code over all rows of a key, with the parts a hot key needs."""
+    """User code over the rows of a key: summed in the map tasks, and then per key."""
 
-    def partial(rows: pd.DataFrame) -> pd.DataFrame:
-        cents = rows["c"].tolist()
-        squares = sum(c * c for c in cents)
-        return pd.DataFrame([(rows["user_id"].iat[0], len(cents), sum(cents), str(squares))])
+    def combine(key: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
+        n = cents = squares = 0
+        for _, c in rows:
+            n, cents, squares = n + 1, cents + c, squares + c * c
+        yield *key, n, cents, str(squares)
 
-    def merge(parts: pd.DataFrame) -> pd.DataFrame:
-        n, cents = int(parts.iloc[:, 1].sum()), int(parts.iloc[:, 2].sum())
-        squares = sum(map(int, parts.iloc[:, 3]))
-        return pd.DataFrame([(parts.iat[0, 0], n, cents, str(n * squares - cents * cents))])
+    def reduce(key: tuple, parts: Iterator[tuple]) -> Iterator[tuple]:
+        n = cents = squares = 0
+        for _, more, c, s in parts:
+            n, cents, squares = n + more, cents + c, squares + int(s)
+        yield *key, n, cents, str(n * squares - cents * cents)
 
     rows = table(spark, sf_dir, "events").select("user_id", F.round(F.col("value") * 100).cast("bigint").alias("c"))
-    return mr.reduce_groups(
-        rows,
-        ["user_id"],
-        fn=lambda group: merge(partial(group)),
-        schema="user_id bigint, n bigint, cents bigint, spread string",
-        partial=partial,
-        partial_schema="user_id bigint, n bigint, cents bigint, squares string",
-        merge=merge,
+    return mr.reduce_runs(
+        rows, ["user_id"], reduce, "user_id bigint, n bigint, cents bigint, spread string", combine, "user_id bigint, n bigint, cents bigint, squares string"
     )
 
 
+@REGISTRY.query(
+    "WITH b AS (SELECT user_id, ts, event_id, CASE WHEN value > lag(value) OVER w THEN 0 ELSE 1 END AS broken FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), "
+    "r AS (SELECT user_id, sum(broken) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM b), "
+    "c AS (SELECT user_id, run, count(*) AS n FROM r GROUP BY ALL) SELECT user_id, max(n) AS longest, count(*) AS runs FROM c GROUP BY user_id"
+)
+def rising_runs_per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User code that needs a key's rows in order, and holds none of them."""
+
+    def reduce(key: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
+        longest = runs = length = 0
+        before = None
+        for *_, value in rows:
+            rises = before is not None and value is not None and value > before
+            length, runs, before = length * rises + 1, runs + (not rises), value
+            longest = max(longest, length)
+        yield *key, longest, runs
+
+    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
+    return mr.reduce_runs(events, ["user_id"], reduce, "user_id bigint, longest bigint, runs bigint", order=("ts", "event_id"))
+
+
 @REGISTRY.query(
     "SELECT user_id, CAST(median(gap) AS DOUBLE) AS median_gap_us FROM (SELECT user_id, epoch_us(ts) - "
     "lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events) "
@@ -425,3 +443,28 @@ def same_decimals(spark: SparkSession, sf_dir: str) -> DataFrame:
         return lines.select("l_orderkey", F.col("l_extendedprice").cast(kind).alias("price"), rates.alias("rates"))
 
     return eq.compare(side("decimal(12,2)", ["l_tax", "l_discount"]), side("decimal(16,4)", ["l_discount", "l_tax"]))
+
+
+_RATES = "SELECT l_orderkey, l_linenumber, l_tax, l_discount FROM lineitem"
+_RAISED = "SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'A' AND l_discount = 0 THEN l_tax + 1 ELSE l_tax END AS l_tax, l_discount FROM lineitem"
+
+
+@REGISTRY.query(
+    f"SELECT l_orderkey, l_linenumber, l_tax AS tax, side, count(*) AS times FROM (SELECT *, 'left' AS side FROM ({_RATES} EXCEPT ALL {_RAISED}) "
+    f"UNION ALL SELECT *, 'right' FROM ({_RAISED} EXCEPT ALL {_RATES})) GROUP BY ALL"
+)
+def changed_nested_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrays and maps inside structs: the other zero and another order of entries are no change."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_tax", "l_discount", "l_returnflag")
+    raised = (F.col("l_returnflag") == "A") & (F.col("l_discount") == 0)
+    other = lines.select(
+        "l_orderkey", "l_linenumber", F.when(raised, F.col("l_tax") + 1).otherwise(F.col("l_tax")).alias("l_tax"),
+        F.when(F.col("l_discount") == 0, F.lit(-0.0)).otherwise(F.col("l_discount")).alias("l_discount"),
+    )
+
+    def side(rows: DataFrame, names: list[str]) -> DataFrame:
+        rates = F.create_map(*[x for n in names for x in (F.lit(n), F.array(n))])
+        return rows.select("l_orderkey", "l_linenumber", F.struct(F.array("l_tax", "l_discount").alias("list"), rates.alias("rates")).alias("line"))
+
+    found = eq.diff_rows(side(lines, ["l_tax", "l_discount"]), side(other, ["l_discount", "l_tax"]))
+    return found.select("l_orderkey", "l_linenumber", F.col("line.list")[0].alias("tax"), "side", "times")

@@ -60,6 +60,58 @@ def test_values_of_unequal_types_and_maps(spark):
     assert not eq.compare(left, other).first().passed and eq.diff_rows(left, other).count() == 2
 
 
+ZEROS = "array(0.0D, 1e-9D) a, named_struct('m', map('k', 0.0D, 'l', 1D), 's', 'x|y') s, map('p', array(0.0D)) m"
+
+
+@pytest.mark.parametrize(
+    ("other", "same", "with_scale"),
+    [
+        (ZEROS, True, True),
+        (ZEROS.replace("array(0.0D, ", "array(-0.0D, "), True, True),
+        (ZEROS.replace("map('k', 0.0D, 'l', 1D)", "map('l', 1D, 'k', -0.0D)"), True, True),
+        (ZEROS.replace("array(0.0D))", "array(-0.0D))"), True, True),
+        (ZEROS.replace("1e-9D", "2e-9D"), False, True),
+        (ZEROS.replace("1e-9D", "2e-3D"), False, False),
+        (ZEROS.replace("'x|y'", "'x', 'y'").replace("'s', 'x', 'y'", "'s', 'x|y '"), False, False),
+        (ZEROS.replace("array(0.0D, 1e-9D)", "array(0.0D, 1e-9D, null)"), False, False),
+        (ZEROS.replace("named_struct('m', map('k', 0.0D, 'l', 1D), 's', 'x|y')", "cast(null as struct<m:map<string,double>,s:string>)"), False, False),
+    ],
+)
+def test_nested_values(spark, other, same, with_scale):
+    left, right = spark.sql(f"select {ZEROS}"), spark.sql(f"select {other}")
+    assert eq.compare(left, right).first().passed == same == (eq.diff_rows(left, right).count() == 0)
+    assert eq.compare(left, right, scale=6).first().passed == with_scale
+
+
+NESTED = st.lists(st.one_of(st.none(), st.tuples(st.one_of(st.none(), st.lists(VALUE, max_size=2)), st.dictionaries(st.sampled_from("ab"), VALUE, max_size=2))), min_size=1, max_size=4)
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@given(NESTED, NESTED)
+def test_passed_says_that_no_nested_row_differs(spark, data, other):
+    schema = "v struct<l:array<double>,m:map<string,double>>"
+    left, right = (spark.createDataFrame([(r,) for r in rows], schema) for rows in (data, [*data[1:], *other[:1]]))
+    assert eq.compare(left, right).first().passed == (eq.diff_rows(left, right).count() == 0)
+    assert eq.compare(left, left.repartition(2)).first().passed
+
+
+def test_equal_rows_are_not_shuffled(spark, plan):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = spark.range(20_000).selectExpr("id", "concat('text ', id) as t")
+        right = left.selectExpr("id", "if(id % 1000 = 7, concat(t, '!'), t) as t").union(left.where("id = 11"))
+        signed = left.selectExpr("*", "1 as _sign").union(right.selectExpr("*", "-1 as _sign"))
+        signed = signed.selectExpr("*", "xxhash64(id, t) as _h1", "xxhash64(1, id, t) as _h2")
+        # 20 changed rows of either side, and the three rows of the one that is there once more.
+        assert eq.suspect_rows(signed).count() == 43
+        found = eq.diff_rows(left, right)
+        assert "SortMergeJoin" not in plan(found) and "ShuffledHashJoin" not in plan(found)
+        assert found.count() == 41
+        assert eq.diff_rows(left, left.repartition(3)).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.tuples(st.one_of(st.none(), st.text(alphabet="ab|\\N", max_size=3)), st.one_of(st.none(), st.integers(-5, 5))), min_size=1, max_size=20))
 def test_order_does_not_matter_but_repeats_do(spark, data):

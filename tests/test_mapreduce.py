@@ -111,6 +111,56 @@ def test_reduce_groups_splits_hot_groups(spark, rows):
         mr.reduce_groups(df, ["k"], _range, schema, _range)
 
 
+def _total(key, rows):
+    yield *key, sum(r[1] for r in rows)
+
+
+def test_combiner_runs_before_the_one_shuffle(spark, rows, plan):
+    df = spark.range(300).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("v")).repartition(4)
+    df = spark.createDataFrame(df.rdd, df.schema)  # the rows as they lie, without the exchange that dealt them
+    plain = mr.reduce_runs(df, ["k"], _total, "k bigint, t bigint")
+    combined = mr.reduce_runs(df, ["k"], _total, "k bigint, t bigint", _total, "k bigint, t bigint")
+    text = plan(combined)
+    assert rows(plain) == rows(combined) == rows(df.groupBy("k").agg(F.sum("v").alias("t")))
+    assert text.count("Exchange") == 1
+    above, below = text.split("Exchange")
+    assert "MapInArrow" in above and "MapInArrow" in below and "Sort" in below
+    merged = mr.reduce_groups(df, ["k"], _range, "k bigint, lo bigint, hi bigint", _range, "k bigint, lo bigint, hi bigint", _merge)
+    assert plan(merged).count("Exchange") == 1 and "MapInPandas" in plan(merged).split("Exchange")[1]
+    with pytest.raises(ValueError, match="together"):
+        mr.reduce_runs(df, ["k"], _total, "k bigint, t bigint", combine=_total)
+
+
+def test_rows_come_in_order_and_need_not_be_read(spark, rows):
+    df = spark.createDataFrame([("a", 3), ("b", 1), ("a", 1), (None, 9), (None, 8), ("a", 2)], "k string, v int")
+    lists = mr.reduce_runs(df, ["k"], lambda key, own: [(*key, [r[1] for r in own])], "k string, l array<int>", order=("v",))
+    assert rows(lists) == [("a", [1, 2, 3]), ("b", [1]), (None, [8, 9])]
+    first = mr.reduce_runs(df, ["k"], lambda key, own: [(*key, next(own)[1])], "k string, v int", order=("v",))
+    assert rows(first) == [("a", 1), ("b", 1), (None, 8)]
+    assert mr.reduce_runs(df, ["k"], lambda key, own: [], "k string").count() == 0
+
+
+def test_floating_keys_group_as_in_spark(spark):
+    df = spark.createDataFrame([(0.0, 1), (-0.0, 2), (float("nan"), 3), (float("nan"), 4), (None, 5)], "k double, v int")
+    out = mr.reduce_runs(df, ["k"], _total, "k double, t bigint", _total, "k double, t bigint")
+    assert sorted(r.t for r in out.collect()) == sorted(r.t for r in df.groupBy("k").agg(F.sum("v").alias("t")).collect()) == [3, 5, 7]
+
+
+def test_group_larger_than_the_memory_of_a_worker(spark):
+    def measured(key, own):
+        import resource
+
+        before, n, size = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, 0, 0
+        for row in own:
+            n, size = n + 1, size + len(row[1])
+        yield *key, n, size >> 20, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) >> 10
+
+    # One key holds 400 MB of text.
+    df = spark.range(400_000).select(F.lit(1).alias("k"), F.repeat(F.lit("x"), 1024).alias("t"))
+    (row,) = mr.reduce_runs(df, ["k"], measured, "k int, n bigint, mb bigint, grown bigint").collect()
+    assert (row.n, row.mb) == (400_000, 390) and row.grown < 150
+
+
 def test_map_only_has_no_exchange(spark, plan):
     df = spark.range(10).select(F.col("id"), F.lit("x").alias("s"))
     out = mr.map_only(df, ["id"], F.col("id") > 7)
