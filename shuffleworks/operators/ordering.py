@@ -1,24 +1,24 @@
 """Order by composite key: globally, within groups, and as ranks.
 
 A window without partitions runs in one task, and a window by group puts a hot
-group into one task. Ranks are built here from a range partitioning on the whole
-composite key instead, which cuts a hot group into as many parts as its size
-asks for.
+group into one task. Ranks of large groups are built here from a range partitioning
+on the whole composite key instead, which cuts a group into as many parts as its
+size asks for.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shuffleworks.session import durable
 
-PARTS = 200  # bounds of the whole key that a ranking uses
-SAMPLE = 20_000  # keys they are chosen from
+ROWS = 1_000_000  # rows of a group that one task may rank; more are ranked in parts of about this many
+BUCKETS = 4096  # of a histogram in the search for a median
 
 _POSITION_BITS = 33  # monotonically_increasing_id: partition above, row below
 
@@ -90,54 +90,81 @@ def global_rank(df: DataFrame, cols: list[str], out: str = "rank") -> DataFrame:
     )
 
 
-def _bounds(df: DataFrame, cols: list[str]) -> list[Row]:
-    """Up to ``PARTS`` rows of ``cols``, in order, that cut the rows into about equal parts.
+def _large(df: DataFrame, group: list[str], *more: Column) -> tuple[DataFrame, int]:
+    """(groups of more than ``ROWS`` rows with their size ``_n``, the rows in them).
 
-    They come from a sample of fixed size, chosen by hash, so they depend on the
-    rows alone and not on how they lie.
+    Counted in the map tasks. There are at most (all rows / ``ROWS``) such groups.
     """
-    sample = df.select(*cols).orderBy(F.xxhash64(*cols), *cols).limit(SAMPLE)
-    rows = sample.orderBy(*cols).collect()
-    return rows[:: max(1, len(rows) // PARTS)]
+    large = durable(df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), *more).where(F.col("_n") > ROWS))
+    return large, large.agg(F.sum("_n")).first()[0] or 0
+
+
+def _named(rows: DataFrame, group: list[str], *kept: str) -> tuple[DataFrame, Column]:
+    """The groups under names of their own, broadcast, and what joins them to rows of these groups, nulls included."""
+    mine = F.broadcast(rows.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], *kept))
+    same = F.lit(True)
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    return mine, same
 
 
 def group_rank(df: DataFrame, group: list[str], order: list[str], out: str = "rank") -> DataFrame:
-    """1-based position within the group in composite-key order.
-
-    A group that holds two or more of ``PARTS`` bounds of the whole key is ranked
-    part by part: its rows are numbered between bounds, and each part starts after
-    the rows of the group in the parts before it. All other groups are one part.
-    The part of a row follows from its values, so nothing has to be written, and
-    the driver sees ``SAMPLE`` keys, whatever the size. Give a unique last order
-    column.
+    """1-based position within the group in composite-key order. Give a unique last order column.
+
+    Groups of at most ``ROWS`` rows are numbered by a window. The rows of all larger groups are
+    range-partitioned on the whole key into as many parts as there are ``ROWS`` of them, sorted and
+    numbered where they lie; a group's part starts after its rows in the parts before. They are
+    checkpointed in between, so that a lost executor cannot bring them back in other parts. The
+    group sizes decide all this, so a counting job runs when the frame is built.
     """
     cols = [*group, *order]
-    schema = df.select(*cols).schema
-    bounds = _bounds(df, cols)
-    often = {key for key, n in Counter(tuple(b[: len(group)]) for b in bounds).items() if n > 1}
-    cuts = [b for b in bounds if tuple(b[: len(group)]) in often]
-    if not cuts:
-        window = Window.partitionBy(*group).orderBy(*order)
-        return df.withColumn(out, F.row_number().over(window).cast("bigint"))
-
-    def literal(values, fields) -> Column:
-        return F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(values, fields)])
-
-    limits = F.array(*[literal(b, schema.fields) for b in cuts])
-    large = F.array(*[literal(k, schema.fields[: len(group)]) for k in sorted(often, key=repr)])
-    in_large = F.exists(large, lambda k: k.eqNullSafe(F.struct(*group)))
-    part = F.size(F.filter(limits, lambda b: b <= F.struct(*cols)))
-    placed = df.withColumn("_part", F.when(in_large, part).otherwise(0))
-    window = Window.partitionBy(*group, "_part").orderBy(*order)
-    within = F.row_number().over(window).cast("bigint")
-    sizes = placed.where(in_large).groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    window = F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("bigint")
+    large, total = _large(df, group)
+    if not total:
+        return df.withColumn(out, window)
+    groups, same = _named(large, group)
+    small = df.join(groups, same, "left_anti").withColumn(out, window)
+    spread = df.join(groups, same, "left_semi").repartitionByRange(math.ceil(total / ROWS) + 1, *_columns(cols))
+    placed = durable(spread.sortWithinPartitions(*cols).withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_part", F.shiftright("_at", _POSITION_BITS))
+    runs = placed.groupBy(*group, "_part").agg(F.min("_at").alias("_from"), F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).select(
-        *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_part").alias("_p"), "_offset"
-    )
-    same = F.col("_part") == F.col("_p")
-    for i, g in enumerate(group):
-        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    numbered = placed.withColumn("_within", within)
-    ranked = numbered.join(F.broadcast(offsets), same, "left")  # at most 2 * PARTS rows
-    return ranked.withColumn(out, F.col("_within") + F.coalesce("_offset", F.lit(0))).select(*df.columns, out)
+    starts = runs.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).withColumnRenamed("_part", "_p")
+    starts, same = _named(starts, group, "_p", "_from", "_before")  # a row per part, and one per group
+    numbered = placed.join(starts, same & (F.col("_part") == F.col("_p")))
+    rank = F.col("_at") - F.col("_from") + F.col("_before") + 1
+    return small.unionByName(numbered.withColumn(out, rank).select(*df.columns, out))
+
+
+def group_median(df: DataFrame, group: list[str], value: str, out: str = "median") -> DataFrame:
+    """The exact median of a whole-number column per group, as a double; nulls do not count.
+
+    Groups of at most ``ROWS`` rows go through Spark's own exact aggregate. In larger ones the one
+    or two middle places are searched with histograms: ``BUCKETS`` equal ranges between the bounds
+    of a place are counted in the map tasks, and the range that holds the place has the next bounds.
+    A round narrows the bounds by the number of buckets, so 64-bit values take at most six, and no
+    task ever sees more of a group than its own counts. Every round reads ``df`` again.
+    """
+    rows = df.select(*group, F.col(value).cast("bigint").alias("_v")).where("_v is not null")
+    large, total = _large(rows, group, F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    if not total:
+        return rows.groupBy(*group).agg(F.median("_v").alias(out))
+    groups, same = _named(large, group)
+    small = rows.join(groups, same, "left_anti").groupBy(*group).agg(F.median("_v").alias(out))
+    places = F.array_distinct(F.array(F.expr("(_n + 1) div 2"), F.expr("(_n + 2) div 2")))
+    open_ = large.select(*group, F.explode(places).alias("_place"), F.lit(0).cast("bigint").alias("_before"), *[F.col(c).cast("decimal(20,0)").alias(c) for c in ("_lo", "_hi")])
+    by_place = Window.partitionBy(*group, "_place").orderBy("_bucket")
+    found = None
+    while not open_.isEmpty():
+        wanted, same = _named(open_.withColumn("_width", F.expr(f"(_hi - _lo) div {BUCKETS} + 1").cast("decimal(20,0)")), group, "_place", "_before", "_lo", "_hi", "_width")
+        inside = rows.join(wanted, same & F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        counted = inside.groupBy(*group, "_place", "_before", "_lo", "_width", F.expr("(_v - _lo) div _width").alias("_bucket")).agg(F.count(F.lit(1)).alias("_c"))
+        summed = counted.withColumn("_upto", F.col("_before") + F.sum("_c").over(by_place))
+        held = summed.where((F.col("_upto") >= F.col("_place")) & (F.col("_upto") - F.col("_c") < F.col("_place")))
+        low = (F.col("_lo") + F.col("_bucket") * F.col("_width")).cast("decimal(20,0)")
+        state = durable(held.select(*group, "_place", (F.col("_upto") - F.col("_c")).alias("_before"), low.alias("_lo"), (low + F.col("_width") - 1).cast("decimal(20,0)").alias("_hi")))
+        done = state.where("_lo = _hi")
+        found = done if found is None else found.unionByName(done)
+        open_ = state.where("_lo < _hi")
+    middle = found.groupBy(*group).agg(F.avg(F.col("_lo").cast("double")).alias(out))
+    return small.unionByName(middle)

@@ -13,7 +13,7 @@ from shuffleworks import testkit
 from shuffleworks.functions.timing import epoch_micros
 from shuffleworks.operators import equivalence as eq
 from shuffleworks.operators import mapreduce as mr
-from shuffleworks.operators.ordering import global_rank, group_rank
+from shuffleworks.operators.ordering import global_rank, group_median, group_rank
 from shuffleworks.plans.chain import Job, run_chain
 from shuffleworks.plans.registry import Registry
 from shuffleworks.session import durable, scratch_path
@@ -183,23 +183,14 @@ def rising_runs_per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
 def median_gap_per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median time between the events of a user, with no user held by one task.
 
-    Neighbours meet by (user, place), which is unique, and so do the one or two
-    middle places of each user.
+    Neighbours meet by (user, place), which is unique; the middle gap of a large group is found
+    with histograms.
     """
     events = table(spark, sf_dir, "events").select("user_id", "event_id", epoch_micros(F.col("ts")).alias("at"))
     placed = group_rank(events, ["user_id"], ["at", "event_id"], "place")
     earlier = placed.select("user_id", (F.col("place") + 1).alias("place"), F.col("at").alias("before"))
-    gaps = durable(  # ranked, and counted twice
-        placed.join(earlier, ["user_id", "place"]).select(
-            "user_id", "event_id", (F.col("at") - F.col("before")).alias("gap")
-        )
-    )
-    ranked = group_rank(gaps, ["user_id"], ["gap", "event_id"], "place")
-    counts = gaps.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    half = F.call_function("div", F.col("n") + 1, F.lit(2))
-    other = F.call_function("div", F.col("n") + 2, F.lit(2))
-    middle = counts.select("user_id", F.explode(F.array_distinct(F.array(half, other))).alias("place"))
-    return ranked.join(middle, ["user_id", "place"]).groupBy("user_id").agg(F.avg("gap").alias("median_gap_us"))
+    gaps = placed.join(earlier, ["user_id", "place"]).select("user_id", (F.col("at") - F.col("before")).alias("gap"))
+    return group_median(durable(gaps), ["user_id"], "gap", "median_gap_us")
 
 
 @REGISTRY.query(

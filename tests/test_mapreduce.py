@@ -208,7 +208,7 @@ def test_secondary_sort_orders_rows_inside_groups(spark, whole):
 @given(st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 3)), st.integers(0, 9)), max_size=50), st.integers(1, 60))
 def test_ranks_of_split_and_whole_groups_agree(spark, data, parts):
     df = spark.createDataFrame([(g, t, i) for i, (g, t) in enumerate(data)], "g int, t int, i int")
-    with mock.patch.object(ordering, "PARTS", parts):
+    with mock.patch.object(ordering, "ROWS", parts):
         got = {r.i: r["rank"] for r in group_rank(df, ["g"], ["t", "i"]).collect()}
     expected = {}
     for key in {g for g, _ in data}:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import oracle_sql, queries
+from shuffleworks import session
 from shuffleworks.operators import deps, jobtable, ordering, runs
 from shuffleworks.operators import mapreduce as mr
 from tests.checking import difference, duckdb_tables
@@ -20,8 +21,8 @@ RANKED = [
 
 @pytest.fixture
 def many_parts(monkeypatch):
-    """Bounds so close that most groups are ranked in parts."""
-    monkeypatch.setattr(ordering, "PARTS", 5000)
+    """Parts so small that most groups are ranked in several."""
+    monkeypatch.setattr(ordering, "ROWS", 3)
 
 
 @pytest.fixture(scope="module")
@@ -35,14 +36,36 @@ def test_queries_with_split_groups(spark, sf_dir, many_parts, name):
     assert difference(queries()[name](spark, sf_dir), duckdb_tables(sf_dir), oracle_sql()[name]) is None
 
 
-def test_a_hot_group_is_ranked_in_parts(hot, plan):
+def test_a_hot_group_is_ranked_in_parts(hot, plan, monkeypatch):
+    monkeypatch.setattr(ordering, "ROWS", 100)
+    kept = []
+    monkeypatch.setattr(ordering, "durable", lambda df: kept.append(session.durable(df)) or kept[-1])
     ranked = ordering.group_rank(hot, ["k"], ["v", "id"])
     assert "_part" in plan(ranked) and "SinglePartition" not in plan(ranked)
+    # 1,000 rows of one group lie in parts of about a hundred each; the other groups are below the bound.
+    sizes = [r["count"] for r in kept[1].groupBy(F.spark_partition_id()).count().collect()]
+    assert kept[0].count() == 1 and len(sizes) >= 10 and max(sizes) < 250
     places = {r.id: r["rank"] for r in ranked.collect()}
     for key, rows in {k: sorted((r.v, r.id) for r in hot.collect() if r.k == k) for k in ("hot", "k1")}.items():
         assert [places[i] for _, i in rows] == list(range(1, len(rows) + 1)), key
 
 
+@pytest.mark.parametrize("rows", [1, 40, 5000])
+def test_median_by_histograms(spark, monkeypatch, rows):
+    monkeypatch.setattr(ordering, "ROWS", rows)
+    monkeypatch.setattr(ordering, "BUCKETS", 16)
+    edge = (1 << 63) - 1
+    data = [("a", v) for v in (5, 5, 5, 7)] + [("b", -edge - 1), ("b", edge)] + [("c", None)] + [(None, i * i % 101 - 50) for i in range(150)]
+    data += [("d", edge)] * 60 + [("e", i << 40) for i in range(77)] + [("f", 3)]
+    df = spark.createDataFrame(data, "k string, v bigint")
+    expected = {}
+    for key in {k for k, _ in data}:
+        own = sorted(v for k, v in data if k == key and v is not None)
+        if own:
+            expected[key] = (float(own[(len(own) - 1) // 2]) + float(own[len(own) // 2])) / 2
+    assert {r.k: r["median"] for r in ordering.group_median(df, ["k"], "v").collect()} == expected
+
+
 def test_aggregates_and_top_rows(hot):
     data = hot.collect()
     keys = {r.k for r in data}
