@@ -328,6 +328,20 @@ def sequence_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formats.read_input(spark, "SequenceFileInputFormat", [path], schema="key bigint, value string")
 
 
+@REGISTRY.query(
+    "SELECT event_id, event_type, CAST(CASE WHEN event_id % 5 <> 0 THEN value END AS DOUBLE) AS value, epoch_us(ts) AS at, props, CAST(len(event_type) AS BIGINT) AS n FROM events"
+)
+def avro_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers, nulls, time stamps, lists and nested records through container files, read in small ranges."""
+    path = scratch_path(spark, "avro")
+    letters = F.split("event_type", "")
+    nested = F.struct("props", F.create_map(F.lit("letters"), letters).alias("m")).alias("nested")
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("value"), "ts", nested)
+    formats.write_output(events, "AvroKeyOutputFormat", path)
+    read = formats.read_input(spark, "AvroKeyInputFormat", [path], split=1 << 20)
+    return read.select("event_id", "event_type", "value", epoch_micros(F.col("ts")).alias("at"), "nested.props", F.size(F.col("nested.m")["letters"]).cast("bigint").alias("n"))
+
+
 # --- equivalence ------------------------------------------------------------
 
 _MILLIONTHS = "CAST(floor({0} * 1000000 + 0.5) AS BIGINT)"

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shuffleworks.constants import DEFAULT_INPUT_FORMAT, DEFAULT_INPUT_PATHS, DEFAULT_OUTPUT_FORMAT, DEFAULT_OUTPUT_PATHS
+from shuffleworks.sources import containers
 
 
 def _as_list(paths: str | list[str]) -> list[str]:
@@ -39,23 +41,36 @@ def write_parquet(
     writer.parquet(path)
 
 
-def read_avro(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Avro container files. Needs Spark's external Avro module on the class path."""
-    return spark.read.format("avro").load(_as_list(paths))
+def read_avro(spark: SparkSession, paths: str | list[str], split: int = containers.SPLIT) -> DataFrame:
+    """Avro container files, split at their sync markers; the first file's schema counts for all."""
+    return containers.read_containers(spark, "avro", _as_list(paths), split)
 
 
-def write_avro(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.format("avro").mode(mode).save(path)
+def write_avro(df: DataFrame, path: str, mode: str = "errorifexists", codec: str = "deflate") -> None:
+    containers.write_containers(df, "avro", path, mode, codec=codec)
 
 
-def read_sequence(spark: SparkSession, paths: str | list[str], schema: str | T.StructType = "key string, value string") -> DataFrame:
-    """SequenceFile of key/value records. Spark has no DataFrame reader for it, hence the RDD."""
-    return spark.createDataFrame(spark.sparkContext.sequenceFile(",".join(_as_list(paths))), schema)
-
+def read_sequence(
+    spark: SparkSession, paths: str | list[str], schema: str | T.StructType = "key string, value string", split: int = containers.SPLIT
+) -> DataFrame:
+    """SequenceFile of key/value records, split at its sync markers and cast to ``schema``.
 
-def write_sequence(df: DataFrame, path: str) -> None:
-    """Write a two-column frame as a SequenceFile of key/value records."""
-    df.rdd.map(tuple).saveAsSequenceFile(path)
+    Files of compressed blocks, or of classes that are not Hadoop's own, go through Spark's RDD reader instead, a
+    record at a time.
+    """
+    try:
+        found = containers.read_containers(spark, "sequence", _as_list(paths), split)
+    except PySparkException as error:
+        if "NotImplementedError" not in str(error):
+            raise
+        return spark.createDataFrame(spark.sparkContext.sequenceFile(",".join(_as_list(paths))), schema)
+    wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return found.select(*[F.col(c).cast(f.dataType).alias(f.name) for c, f in zip(found.columns, wanted.fields)])
+
+
+def write_sequence(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Write a two-column frame as a SequenceFile of key/value records. Neither column has nulls."""
+    containers.write_containers(df, "sequence", path, mode)
 
 
 def write_text(df: DataFrame, path: str, sep: str = "\t", mode: str = "errorifexists") -> None:

@@ -117,14 +117,6 @@ def test_sequence_round_trip(spark, tmp_path, rows):
     assert rows(formats.read_sequence(spark, str(tmp_path / "s"), "key string, value int")) == [("a", 1), ("b", 2)]
 
 
-def test_avro_when_the_module_is_there(spark, tmp_path):
-    try:
-        formats.write_avro(spark.range(3), str(tmp_path / "a"))
-    except AnalysisException:
-        pytest.skip("Spark's Avro module is not on the class path")
-    assert formats.read_avro(spark, str(tmp_path / "a")).count() == 3
-
-
 def test_tagged_union_matches_by_name(spark, rows):
     a = spark.createDataFrame([(1, "x")], "id int, s string")
     b = spark.createDataFrame([(2.0, 2)], "v double, id int")
