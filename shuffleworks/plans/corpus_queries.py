@@ -13,7 +13,9 @@ from shuffleworks import testkit
 from shuffleworks.functions.text import split_top_level
 from shuffleworks.operators import corpus, deps, javasource, jobtable, payloads, schemas
 from shuffleworks.plans.registry import Registry
-from shuffleworks.session import durable
+from shuffleworks.session import durable, scratch_path
+from shuffleworks.sources import files
+from shuffleworks.sources.tree import address
 from shuffleworks.testkit import table
 
 REGISTRY = Registry()
@@ -49,6 +51,31 @@ _IMPORTS = (
 _CORPUS = f"(SELECT *, {_CLASS_NAME} AS class_name, {_ROLE} AS role, {_IMPORTS} AS imports FROM {_FILES})"
 
 
+# --- trees of files ---------------------------------------------------------
+
+_TREE = (
+    "(SELECT CASE lang WHEN 'en' THEN 'en/' || src || '/D' || doc_id || '.java' WHEN 'de' THEN 'de/_gen/' || src || '/.D' || doc_id || '.java' "
+    "ELSE lang || '/.m' || doc_id || '/pom.xml' END AS path, text, CASE WHEN lang IN ('en', 'de') THEN 'source' ELSE 'build' END AS kind "
+    "FROM (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, 'xx') AS lang, coalesce(source, 'none') AS src FROM documents) WHERE lang <> 'fr')"
+)
+
+
+def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = address(scratch_path(spark, "tree"))
+    testkit.written_tree(spark, sf_dir, root)
+    return files.scan_files(spark, root)
+
+
+@REGISTRY.query(f"SELECT path, octet_length(encode(text)) AS size_bytes, md5(text) AS digest, kind FROM {_TREE}")
+def scanned_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tree(spark, sf_dir).select("path", "size_bytes", F.md5("content").alias("digest"), "kind")
+
+
+@REGISTRY.query(f"SELECT count(*) AS total_count, count_if(kind = 'source') AS source_count, count_if(kind = 'build') AS build_count FROM {_TREE}")
+def tree_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.scan_summary(_tree(spark, sf_dir))
+
+
 # --- classes ----------------------------------------------------------------
 
 

@@ -28,6 +28,8 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from shuffleworks.sources.tree import store_of
+
 SPLIT = 128 << 20  # bytes of a range
 BLOCK = 1 << 16  # bytes of records between two markers
 ROWS = 10_000  # of a batch
@@ -36,19 +38,13 @@ EPOCH = dt.datetime(1970, 1, 1)
 FIRST_DAY = dt.date(1970, 1, 1).toordinal()
 
 
-def _open(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri)
-
-
 def data_files(paths: list[str]) -> list[tuple[str, int]]:
     """(address, size) of the data files at or below the paths, in order."""
     from pyarrow import fs
 
     out = []
     for path in paths:
-        store, root = _open(path)
+        store, root = store_of(path)
         info = store.get_file_info(root)
         if info.type == fs.FileType.NotFound:
             raise FileNotFoundError(path)
@@ -86,7 +82,7 @@ class RangeReader(DataSourceReader):
         return [FileRange(uri, at, min(at + self.split, size)) for uri, size in data_files(self.paths) for at in range(0, size, self.split)]
 
     def read(self, partition: FileRange) -> Iterator[pa.RecordBatch]:
-        store, name = _open(partition.uri)
+        store, name = store_of(partition.uri)
         with io.BufferedReader(store.open_input_file(name), 1 << 20) as file:
             header = self.form.header(file)
             at = next_mark(file, header.mark, partition.start)
@@ -116,7 +112,7 @@ class RangeWriter(DataSourceArrowWriter):
         self.path, self.form, self.schema, self.job = path.rstrip("/"), form, schema, uuid.uuid4().hex
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        store, root = _open(self.path)
+        store, root = store_of(self.path)
         name = f"part-{uuid.uuid4().hex}{self.form.suffix}"
         store.create_dir(f"{root}/_temporary-{self.job}", recursive=True)
         with store.open_output_stream(f"{root}/_temporary-{self.job}/{name}") as out:
@@ -124,7 +120,7 @@ class RangeWriter(DataSourceArrowWriter):
         return Written(name)
 
     def commit(self, messages: list) -> None:
-        store, root = _open(self.path)
+        store, root = store_of(self.path)
         for message in messages:
             if message is not None:
                 store.move(f"{root}/_temporary-{self.job}/{message.name}", f"{root}/{message.name}")
@@ -133,7 +129,7 @@ class RangeWriter(DataSourceArrowWriter):
             pass
 
     def abort(self, messages: list) -> None:
-        self._clean(*_open(self.path))
+        self._clean(*store_of(self.path))
 
     def _clean(self, store, root: str) -> None:
         from pyarrow import fs
@@ -576,7 +572,7 @@ class Containers(DataSource):
         files = data_files(self._paths())
         if not files:
             raise ValueError(f"no data files in {self._paths()}")
-        store, name = _open(files[0][0])
+        store, name = store_of(files[0][0])
         with io.BufferedReader(store.open_input_file(name)) as file:
             form = FORMS[self.options["form"]]
             return form.spark_schema(form.header(file))
@@ -598,7 +594,7 @@ def write_containers(df: DataFrame, form: str, path: str, mode: str = "errorifex
     """Write one file per task. ``mode`` is errorifexists, append or overwrite, which first removes what is there."""
     from pyarrow import fs
 
-    store, root = _open(path)
+    store, root = store_of(path)
     there = store.get_file_info(root).type != fs.FileType.NotFound
     if mode in ("error", "errorifexists") and there:
         raise FileExistsError(path)

@@ -2,42 +2,18 @@
 
 from __future__ import annotations
 
-import os
-import posixpath
-import re
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shuffleworks.constants import BUILD_FILE_NAMES, SCHEMA_SUFFIX, SKIP_DIRS, SOURCE_SUFFIX
 from shuffleworks.functions.text import decode_utf8
+from shuffleworks.sources import tree
 
-_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
-
-
-def _listed(spark: SparkSession, root: str, name_glob: str) -> DataFrame:
-    """Files below ``root`` whose name matches; (path below root, full path, size, bytes).
-
-    The name filter is applied while listing, so other files cost no task. Spark
-    itself leaves out names that start with ``_`` or ``.``. A missing root is an
-    error.
-    """
-    scheme = re.match(f"({_SCHEME})?", root).group()
-    folder = posixpath.normpath(os.path.abspath(root) if not scheme else root[len(scheme) :])
-    raw = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", name_glob)
-        .load(scheme + folder)
-    )
-    below = len(folder.rstrip("/")) + 2
-    plain = F.regexp_replace("path", _SCHEME, "")
-    return raw.select(
-        F.substring(plain, F.lit(below), F.length(plain)).alias("path"),
-        F.col("path").alias("abs_path"),
-        F.col("length").alias("size_bytes"),
-        F.col("content"),
-    )
+def _listed(spark: SparkSession, root: str, wanted: Column, skip: list[str] | None = None) -> DataFrame:
+    """Files below ``root`` whose name is wanted; (path below root, full path, size, bytes). Only these are read."""
+    named = tree.list_files(spark, root, skip).where(wanted)
+    read = tree.with_content(named, root)
+    return read.select("path", F.concat(F.lit(tree.address(root) + "/"), F.col("path")).alias("abs_path"), "size_bytes", "content")
 
 
 def scan_files(spark: SparkSession, root: str, skip_build_dirs: bool = True) -> DataFrame:
@@ -46,9 +22,9 @@ def scan_files(spark: SparkSession, root: str, skip_build_dirs: bool = True) ->
     ``content`` is raw bytes; see ``corpus.split_good_bad`` for the text. A file
     below a build or tool folder is left out, whatever the depth of the folder.
     """
-    names = ",".join(["*" + SOURCE_SUFFIX] + BUILD_FILE_NAMES)
-    files = _listed(spark, root, "{" + names + "}")
-    if skip_build_dirs:
+    name = F.col("name")
+    files = _listed(spark, root, name.endswith(SOURCE_SUFFIX) | name.isin(BUILD_FILE_NAMES), SKIP_DIRS if skip_build_dirs else None)
+    if skip_build_dirs:  # also a file may have the name of such a folder
         files = files.where(~F.exists(F.split("path", "/"), lambda part: part.isin(SKIP_DIRS)))
     kind = F.when(F.col("path").endswith(SOURCE_SUFFIX), "source").otherwise("build")
     return files.withColumn("kind", kind)
@@ -56,7 +32,7 @@ def scan_files(spark: SparkSession, root: str, skip_build_dirs: bool = True) ->
 
 def scan_schemas(spark: SparkSession, root: str) -> DataFrame:
     """Avro schema files anywhere below ``root``: ``path, abs_path, size_bytes, content`` (text)."""
-    files = _listed(spark, root, "*" + SCHEMA_SUFFIX)
+    files = _listed(spark, root, F.col("name").endswith(SCHEMA_SUFFIX))
     return files.withColumn("content", decode_utf8(F.col("content")))
 
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shuffleworks.sources.tree import store_of
+
 
 
 def spread_small(scan: DataFrame) -> DataFrame:
@@ -173,6 +175,29 @@ def driver_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drivers.unionByName(sources)
 
 
+def written_tree(spark: SparkSession, sf_dir: str, root: str) -> None:
+    """A file per document below ``root``, in folders by language and source; some in build folders, some with hidden names."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "lang", "source", "text")
+    k, lang, src = F.col("doc_id"), F.coalesce("lang", F.lit("xx")), F.coalesce("source", F.lit("none"))
+    path = (
+        F.when(lang == "en", _text("en/", src, "/D", k, ".java"))
+        .when(lang == "de", _text("de/_gen/", src, "/.D", k, ".java"))
+        .when(lang == "fr", _text("fr/target/", src, "/D", k, ".java"))
+        .otherwise(_text(lang, "/.m", k, "/pom.xml"))
+    )
+
+    def write(batches):
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                store, base = store_of(root)
+                store.create_dir(f"{base}/{name.rpartition('/')[0]}", recursive=True)
+                with store.open_output_stream(f"{base}/{name}") as out:
+                    out.write((text or "").encode())
+            yield batch.select([0])
+
+    docs.select(path.alias("path"), "text").mapInArrow(write, "path string").write.format("noop").mode("overwrite").save()
+
+
 def avro_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One schema file per part: ``k, path, content``; every fifth one is cut off and not JSON."""
     k = F.col("p_partkey")

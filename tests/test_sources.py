@@ -6,6 +6,7 @@ from shuffleworks.operators.corpus import split_good_bad
 from shuffleworks.operators.schemas import avro_fields
 from shuffleworks import testkit
 from shuffleworks.sources import files, formats
+from shuffleworks.sources import tree as tree_module
 
 
 @pytest.fixture
@@ -46,6 +47,22 @@ def test_scan_of_odd_paths(spark, tmp_path):
         assert [r.path for r in files.scan_files(spark, root).collect()] == ["50%/A b.java"]
 
 
+def test_hidden_names_are_names(spark, tmp_path):
+    for name in ("_gen/_E.java", ".x/.y/F.java", "a/.mvn/G.java", "empty/.keep"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"\x00" * 5)
+    found = files.scan_files(spark, str(tmp_path)).collect()
+    assert sorted((r.path, r.size_bytes, len(r.content)) for r in found) == [(".x/.y/F.java", 5, 5), ("_gen/_E.java", 5, 5)]
+
+
+def test_large_contents_in_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tree_module, "BATCH_BYTES", 1000)
+    for i in range(40):
+        (tmp_path / f"A{i}.java").write_text(str(i) * 300)
+    found = files.scan_files(spark, str(tmp_path)).collect()
+    assert {r.path: bytes(r.content).decode() for r in found} == {f"A{i}.java": str(i) * 300 for i in range(40)}
+
+
 def test_scan_can_look_into_build_dirs(spark, tree):
     found = [r.path for r in files.scan_files(spark, str(tree), skip_build_dirs=False).collect()]
     assert "target/Gen.java" in found and "a/out/C.java" in found
