@@ -224,7 +224,7 @@ def resolve_chains(jobs: DataFrame, job: str = "job_name", after: str = "chained
 
     Every round doubles the distance a job looks back, so a chain of length d
     takes about log2(d) rounds; each round is one join against unique job names
-    and ends in a checkpoint. What is still open after log2(jobs) + 1 rounds
+    and ends in a checkpoint of the jobs that were still open; a finished one is written once. What is still open after log2(jobs) + 1 rounds
     goes round in a cycle. Jobs behind a broken one are broken too, and a name
     with two predecessors is ambiguous. A job without a name cannot be found by
     others; each such row is reported.
@@ -248,26 +248,29 @@ def resolve_chains(jobs: DataFrame, job: str = "job_name", after: str = "chained
         )
     )
     total, pending = state.agg(F.count(F.lit(1)), F.count_if(F.col("status") == "open")).first()
+    ended, open_jobs = state.where(F.col("status") != "open"), state.where(F.col("status") == "open")
     for _ in range(math.ceil(math.log2(max(total, 2))) + 1):
         if not pending:
             break
-        far = state.select(
+        far = ended.unionByName(open_jobs).select(
             F.col("job").alias("_job"),
             F.col("at").alias("_at"),
             F.col("dist").alias("_dist"),
             F.col("status").alias("_status"),
         )
-        open_jobs = state.where(F.col("status") == "open")
-        moved = open_jobs.join(far, F.col("at") == F.col("_job"), "left").select(
-            "job",
-            F.coalesce("_at", "at").alias("at"),
-            (F.col("dist") + F.coalesce("_dist", F.lit(0))).alias("dist"),
-            F.when(F.col("_job").isNull() | F.col("_status").isin("broken", "ambiguous"), "broken")
-            .otherwise(F.col("_status"))
-            .alias("status"),
+        moved = durable(
+            open_jobs.join(far, F.col("at") == F.col("_job"), "left").select(
+                "job",
+                F.coalesce("_at", "at").alias("at"),
+                (F.col("dist") + F.coalesce("_dist", F.lit(0))).alias("dist"),
+                F.when(F.col("_job").isNull() | F.col("_status").isin("broken", "ambiguous"), "broken")
+                .otherwise(F.col("_status"))
+                .alias("status"),
+            )
         )
-        state = durable(state.where(F.col("status") != "open").unionByName(moved))
-        pending = state.where(F.col("status") == "open").count()
+        ended, open_jobs = ended.unionByName(moved.where(F.col("status") != "open")), moved.where(F.col("status") == "open")
+        pending = open_jobs.count()
+    state = ended.unionByName(open_jobs)
     chains = state.where(F.col("status") == "done").select(
         "job", F.col("at").alias("root"), F.col("dist").alias("depth")
     )

@@ -303,6 +303,17 @@ def part_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("p_partkey", F.col("prefix").alias("word"))
 
 
+@REGISTRY.query(
+    "SELECT doc_id, prefix AS passage FROM documents, (SELECT DISTINCT left(text, 40) AS prefix FROM benchmark WHERE length(text) >= 40) WHERE contains(text, prefix)"
+)
+def benchmark_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long texts against a table of passages."""
+    passages = table(spark, sf_dir, "benchmark").where(F.length("text") >= 40).select(F.left("text", F.lit(40)).alias("prefix")).distinct()
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    found = deps.match_contains(docs, "text", passages.withColumn("prefix_pos", F.lit(0)))
+    return found.select("doc_id", F.col("prefix").alias("passage"))
+
+
 _BUILD_PATH = (
     "'m' || p_partkey || '/' || CASE p_partkey % 4 WHEN 0 THEN 'pom.xml' WHEN 1 THEN 'pom.xml' "
     "WHEN 2 THEN 'build.gradle.kts' ELSE 'build.gradle' END"

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,8 +78,17 @@ TEXTS = ["com.acme.a", "com.acmex", "com", "", "org.x", "zcom.acme"]
 PREFIXES = ["com.acme", "com", "com.acme.a", "org", "x", "."]
 
 
+@pytest.fixture(params=[True, False], ids=["in every task", "by join"])
+def either_way(request, monkeypatch):
+    """Tables of prefixes small enough for every task, and larger ones."""
+    if not request.param:
+        monkeypatch.setattr(deps, "FEW", -1)
+        monkeypatch.setattr(deps, "ROWS", 2)  # copies for keys of three rows and more
+    return request.param
+
+
 @pytest.mark.parametrize("as_list", [True, False])
-def test_list_and_table_agree(spark, plan, as_list):
+def test_list_and_table_agree(spark, plan, as_list, either_way):
     df = spark.createDataFrame([(t,) for t in TEXTS], "t string")
     given = [*PREFIXES, " ", ""]  # blank ones match nothing
     given = given if as_list else spark.createDataFrame(list(enumerate(given)), "prefix_pos int, prefix string")
@@ -89,7 +100,8 @@ def test_list_and_table_agree(spark, plan, as_list):
         assert "NestedLoop" not in plan(df) and "Cartesian" not in plan(df)
 
 
-def test_prefix_table_joins_by_hash(spark, plan):
+def test_prefix_table_joins_by_hash(spark, plan, monkeypatch):
+    monkeypatch.setattr(deps, "FEW", -1)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         df = spark.createDataFrame([(t,) for t in TEXTS], "t string")
@@ -102,7 +114,22 @@ def test_prefix_table_joins_by_hash(spark, plan):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_copies_of_a_prefix_count_once(spark):
+def test_random_texts_and_patterns(spark, either_way):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abé ") for _ in range(n))
+    texts = [word(rng.randrange(60)) for _ in range(150)] + ["abab" * 30] * 20
+    given = sorted({word(n) for n in (1, 2, 3, 4, 5, 6, 9) for _ in range(6)})
+    given = [p for p in given if p.strip()]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate([*texts, None])], "i int, t string, prefix_len string").repartition(3)
+    table = spark.createDataFrame(list(enumerate(given)), "prefix_pos int, prefix string")
+    inside = sorted((r.i, r.t, r.prefix_len, r.prefix_pos, r.prefix) for r in deps.match_contains(df, "t", table).collect())
+    assert inside == sorted((i, t, "x", n, p) for i, t in enumerate(texts) for n, p in enumerate(given) if p in t)
+    starts = sorted((r.i, r.prefix_pos) for r in deps.match_prefix(df, "t", table).collect())
+    assert starts == sorted((i, n) for i, t in enumerate(texts) for n, p in enumerate(given) if t.startswith(p))
+    assert deps.match_contains(df, "t", table.where("false")).count() == 0 and deps.match_prefix(df, "t", table.where("false")).count() == 0
+
+
+def test_copies_of_a_prefix_count_once(spark, either_way):
     df = spark.createDataFrame([("ab",), ("ab",)], "t string")
     table = spark.createDataFrame([(3, "a"), (1, "a"), (2, "a")], "prefix_pos int, prefix string")
     for prefixes in (table, ["z", "a", "a"]):
