@@ -133,7 +133,7 @@ def assemble_jobs(files: DataFrame, classes: DataFrame, path: str = "path", cont
     and titles are followed through local variables and constants of any file (``constants``, by
     default those of ``files``); what the text does not tell is null, a format that is never set is
     the default. A driver's only job has the driver's name, several have the variable's added, and
-    the method's where that is not enough. ``chained_after`` is the job that writes one of the input
+    the method's where that is not enough. ``chained_after`` is another job that writes one of the input
     paths, the first by file and name. Names are looked up in the enclosing types, by import and
     package; copies of a class count once, by first path. ``scanned``, if there is one, is that of
     ``files`` by ``javasource.scan``; the files are not read again then. Paths of files are not null.
@@ -205,18 +205,15 @@ def assemble_jobs(files: DataFrame, classes: DataFrame, path: str = "path", cont
 
 
 def _chained(jobs: DataFrame) -> DataFrame:
-    """``chained_after``: the first other job that writes a path the job reads. A path's two first writers are enough to know."""
+    """``chained_after``: of the jobs that write a path the job reads, the first; the last, if the first is the job itself."""
     me = F.struct("file_path", "job_name")
-    folder = lambda c: F.regexp_replace(c, "(.)/+$", "$1")
-    writers = jobs.select(me.alias("w"), F.explode("output_paths").alias("p")).where("p is not null").groupBy(folder(F.col("p")).alias("p"))
-    first = writers.agg(F.min("w").alias("w1"))
-    second = jobs.select(me.alias("w"), F.explode("output_paths").alias("p")).where("p is not null").select(folder(F.col("p")).alias("p"), "w")
-    second = second.join(first, "p").where(F.col("w") != F.col("w1")).groupBy("p").agg(F.min("w").alias("w2"))
-    both = first.join(second, "p", "left").select("p", "w1", "w2")
-    reads = jobs.select(me.alias("r"), F.explode("input_paths").alias("p")).where("p is not null").select("r", folder(F.col("p")).alias("p"))
-    after = reads.join(both, "p").select("r", F.when(F.col("w1") != F.col("r"), F.col("w1")).otherwise(F.col("w2")).alias("w"))
-    after = after.groupBy("r").agg(F.min("w")["job_name"].alias("chained_after"))
-    return jobs.withColumn("r", me).join(after, "r", "left").drop("r")
+    folder = F.regexp_replace("p", "(.)/+$", "$1").alias("p")
+    paths = lambda c: jobs.select(me.alias("me"), F.explode(c).alias("p")).where("p is not null").select("me", folder)
+    writers = paths("output_paths").groupBy("p").agg(F.min("me").alias("first"), F.max("me").alias("last"))
+    met = paths("input_paths").join(writers, "p")
+    other = F.when(F.col("first") != F.col("me"), F.col("first")).when(F.col("last") != F.col("me"), F.col("last"))
+    after = met.groupBy("me").agg(F.min(other)["job_name"].alias("chained_after"))
+    return jobs.withColumn("me", me).join(after, "me", "left").drop("me")
 
 
 def resolve_chains(jobs: DataFrame, job: str = "job_name", after: str = "chained_after") -> tuple[DataFrame, DataFrame]:
