@@ -94,10 +94,15 @@ class _Sums:
         return out
 
 
+def bag(text: str) -> dict[str, None]:
+    """The different words of a text, in the order in which they come first."""
+    return dict.fromkeys(WORD.findall(text.lower()))
+
+
 def _bags(texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Each text's distinct words as numbers, and each number's buckets."""
     index: dict[str, int] = {}
-    bags = [np.array([index.setdefault(w, len(index)) for w in dict.fromkeys(WORD.findall(t.lower()))], dtype=np.int32) for t in texts]
+    bags = [np.array([index.setdefault(w, len(index)) for w in bag(t)], dtype=np.int32) for t in texts]
     return bags, [np.array(grams(w), dtype=np.int32) for w in index]
 
 
@@ -184,21 +189,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dic
 
 
 class _Shares(dict):
-    """A chunk between white space -> (sum of its words' shares) + (number of its words) * 1j."""
+    """A word -> the mean share of its n-grams in the logit."""
 
     def __init__(self, shares: dict[int, float]):
         super().__init__()
         self.share = shares
 
-    def __missing__(self, chunk: str) -> complex:
-        total = 0j
-        for word in WORD.findall(chunk):
-            buckets = grams(word)
-            total += sum([self.share.get(b, 0.0) for b in buckets]) / len(buckets) + 1j
+    def __missing__(self, word: str) -> float:
+        buckets = grams(word)
         if len(self) >= CACHE:
             self.clear()
-        self[chunk] = total
-        return total
+        self[word] = sum([self.share.get(b, 0.0) for b in buckets]) / len(buckets)
+        return self[word]
 
 
 def _score(model, name: str):
@@ -210,9 +212,8 @@ def _score(model, name: str):
                 if shares is None:
                     scores.append(0.0)
                     continue
-                # Each chunk counts once; dict keeps their order, and with it the sum's last digit.
-                total = sum(map(shares.__getitem__, dict.fromkeys(value.as_py().lower().split())), 0j)
-                logit = total.real / (total.imag + PAD) + model.value[1]
+                words = bag(value.as_py())
+                logit = sum(map(shares.__getitem__, words)) / (len(words) + PAD) + model.value[1]
                 scores.append(1 / (1 + math.exp(-logit)) if logit > -700 else 0.0)
             own = [batch.column(i) for i in range(len(names) - 1)]
             yield pa.RecordBatch.from_arrays([*own, pa.array(scores, pa.float64())], names=[*names[:-1], name])

@@ -1,6 +1,8 @@
 """Toxicity and masked pseudo-likelihood."""
 
 import random
+import re
+import zlib
 from types import SimpleNamespace
 
 import numpy as np
@@ -160,3 +162,20 @@ def test_repeated_rows_are_learnt_from_once(labelled):
     docs, labels = labelled
     again = docs.where("doc_id in (4, 5)").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(50)))).drop("copy")
     assert toxicity.train(docs.unionByName(again), labels) == toxicity.train(docs.distinct(), labels)
+
+
+def test_toxicity_scores_are_the_networks(spark):
+    rude = "idiot idiot, idiot! idiot. (idiot) you nice day"
+    texts = [rude] * 3 + [f"{'scum ' * (i % 2)}w{i} a fine day w{i + 1}, w{i}." for i in range(60)] + ["", "Idiots! IDIOT?"]
+    toxic = np.array([int("idiot" in t.lower() or "scum" in t) for t in texts])
+    ids = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 4 != 2][: len(texts)]
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(t)) for i, t in zip(ids, toxic)], "doc_id long, quality int, toxic int")
+    active, vectors, weights, bias = toxicity.fit(texts, toxic)
+    place = {b: i for i, b in enumerate(active)}
+    found = {r.doc_id: r.score for r in toxicity.score(docs, labels).collect()}
+    for ident, text in zip(ids, texts):
+        words = set(re.findall(r"\w+", text.lower()))
+        of_word = [sum(vectors[place[b]] if b in place else 0 for b in toxicity.grams(w)) / len(toxicity.grams(w)) for w in words]
+        odds = np.exp(sum(of_word, np.zeros(toxicity.WIDTH)) / (len(words) + toxicity.PAD) @ weights + bias)
+        assert found[ident] == pytest.approx(odds[1] / odds.sum(), abs=1e-5)
