@@ -18,7 +18,8 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,10 @@ LOWER = {0x3A3: 0x3C3, 0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0x
 LOWER |= {0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5}
 LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 MARKS = (".", ",", ";", ":", "!", "?")
-CACHE = 200_000  # chunks, and words, that a generation of a task's memory holds
+CACHE = 400_000  # chunks, and words, that a generation of a task's memory holds
+AT_ONCE = 4 << 20  # bytes of text whose new words are merged together
+TOGETHER = 24  # words of one tree size from which that is worth a matrix
+CELLS = 1 << 19  # leaves of the trees that are run together
 
 
 def default_path() -> str:
@@ -105,7 +109,13 @@ class Bpe:
         self.newer = regex.compile("[" + regex.escape(spec["newer"]) + "]") if spec["newer"] else None
         self.added = spec["added"]
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
+        self.plain_added = not any(t.isalpha() for t in self.added)  # no added token can stand inside letters only
         self.names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.added.items()}
+        pairs = np.fromiter(self.rank, np.int64, len(self.rank))
+        order = np.argsort(pairs)
+        self.pairs, self.ranks = pairs[order], np.fromiter(self.rank.values(), np.int64, len(pairs))[order]
+        self.results = np.array(self.merged, dtype=np.int64)
+        self.bytes = np.array([self.inner, self.last], dtype=np.int64)
         self.words: dict[str, list[int]] = {}
         self.old: dict[str, list[int]] = {}
 
@@ -160,6 +170,80 @@ class Bpe:
                 put(h, pair(h))
         return [s for s in symbols if s >= 0]
 
+    def ranked(self, pairs: np.ndarray) -> np.ndarray:
+        """The ranks of pairs of symbols, -1 for those that do not merge."""
+        at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == pairs, self.ranks[at], -1)
+
+    def merge_together(self, words: list[bytes], leaves: int) -> list[list[int]]:
+        """``merge`` of many words whose trees have the same number of leaves: a row per word, a step for all of them at a time."""
+        size, n = len(words), leaves + 1
+        lengths = np.fromiter(map(len, words), np.int64, size)
+        cells = np.arange(n) < lengths[:, None]
+        symbols = np.full((size, n), -1)
+        data = np.frombuffer(b"".join(words), np.uint8)
+        ends = np.cumsum(lengths) - 1
+        ids = self.bytes[0][data]
+        ids[ends] = self.bytes[1][data[ends]]
+        symbols[cells] = ids
+        none = len(self.merged) * n
+        tree = np.full((size, 2 * leaves), none)
+        ranks = self.ranked(symbols[:, :-1] * self.width + symbols[:, 1:])
+        ranks[~cells[:, 1:]] = -1
+        tree[:, leaves:] = np.where(ranks >= 0, ranks * n + np.arange(leaves), none)
+        level = leaves
+        while level > 1:
+            level >>= 1
+            tree[:, level : 2 * level] = tree[:, 2 * level : 4 * level].reshape(size, level, 2).min(axis=2)
+        after = np.tile(np.arange(1, n + 1), (size, 1))
+        before = np.tile(np.arange(-1, n - 1), (size, 1))
+        rows = np.flatnonzero(tree[:, 1] < none)
+        while len(rows):
+            rank, i = np.divmod(tree[rows, 1], n)
+            j = after[rows, i]
+            k = after[rows, j]
+            symbols[rows, i], symbols[rows, j] = self.results[rank], -1
+            after[rows, i] = k
+            there = k < lengths[rows]
+            before[rows[there], k[there]] = i[there]
+            h = before[rows, i]
+            left = h >= 0
+            # The merged pair, the pair of the second symbol, and the pair before them are new.
+            pairs = symbols[rows, i] * self.width + symbols[rows, np.minimum(k, n - 1)]
+            found = np.where(there, self.ranked(pairs), -1)
+            own = np.where(found >= 0, found * n + i, none)
+            h_there = np.maximum(h, 0)
+            found = np.where(left, self.ranked(symbols[rows, h_there] * self.width + symbols[rows, i]), -1)
+            before_own = np.where(found >= 0, found * n + h_there, none)
+            # Places without a pair of their own stand for the one beside them, which is put anyway.
+            places = [np.where(j < leaves, j, i), np.minimum(i, leaves - 1), np.where(left, h_there, i)]
+            for place, value in zip(places, (np.where(j < leaves, none, own), own, np.where(left, before_own, own))):
+                tree[rows, leaves + place] = value
+            for place in places:
+                at = (leaves + place) >> 1
+                for _ in range(leaves.bit_length() - 1):
+                    tree[rows, at] = np.minimum(tree[rows, 2 * at], tree[rows, 2 * at + 1])
+                    at >>= 1
+            rows = rows[tree[rows, 1] < none]
+        left = symbols >= 0
+        flat, ends = symbols[left].tolist(), np.cumsum(left.sum(axis=1)).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
+    def learn(self, words: Iterable[str]) -> None:
+        """Remember the ids of new words, found for all words of a tree size together."""
+        groups: dict[int, list[str]] = {}
+        for word in words:
+            if word not in self.words and word not in self.old:
+                size = len(word.encode("utf-8"))
+                groups.setdefault(1 << max(size - 2, 0).bit_length(), []).append(word)
+        for leaves, own in groups.items():
+            if len(own) < TOGETHER:
+                continue  # met one by one
+            for start in range(0, len(own), max(TOGETHER, CELLS // leaves)):
+                part = own[start : start + max(TOGETHER, CELLS // leaves)]
+                for word, ids in zip(part, self.merge_together([w.encode("utf-8") for w in part], leaves)):
+                    self.words[word] = ids
+
     def fresh(self, word: str) -> list[int]:
         data = word.encode("utf-8")
         return self.merge([*[self.inner[b] for b in data[:-1]], self.last[data[-1]]])
@@ -182,17 +266,33 @@ class Bpe:
         plain = self.newer.sub(UNASSIGNED, text)
         return [text[m.start() : m.end()] for m in self.pattern.finditer(plain)]
 
-    def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
+    def pieces(self, text: str) -> list[str | int]:
+        """The words of a text, and the ids of added tokens between them."""
+        if self.plain_added and text.isalpha() and text.isascii():
+            return [text.lower()]
+        out: list[str | int] = []
         for part in self.cut.split(text) if self.cut and self.cut.search(text) else [text]:
             if part in self.added:
-                ids.append(self.added[part])
+                out.append(self.added[part])
                 continue
             if not part.isascii():
                 part = unicodedata.normalize("NFC", part)
-            for word in self.split(lower(part)):
-                ids += self.word(word)
-        return ids
+            out += self.split(lower(part))
+        return out
+
+    def ids(self, pieces: list[str | int]) -> list[int]:
+        if len(pieces) == 1 and not isinstance(pieces[0], int):
+            return self.word(pieces[0])
+        out: list[int] = []
+        for piece in pieces:
+            if isinstance(piece, int):
+                out.append(piece)
+            else:
+                out += self.word(piece)
+        return out
+
+    def encode(self, text: str) -> list[int]:
+        return self.ids(self.pieces(text))
 
     def decode(self, ids: list[int]) -> str:
         """Names of the tokens joined by spaces: the file names no decoder. Unknown ids are left out."""
@@ -210,10 +310,31 @@ class _Chunks(dict):
         super().__init__()
         self.bpe, self.make, self.old = bpe, make, {}
 
+    def learn(self, chunks: list[list[bytes]]) -> None:
+        """Remember all chunks of some texts; the trees of their new words are run together."""
+        pieces: dict[bytes, list[str | int]] = {}
+        for chunk in set(chain.from_iterable(chunks)).difference(self):
+            value = self.old.pop(chunk, None)
+            if value is None:
+                pieces[chunk] = self.bpe.pieces(chunk.decode("utf-8", "replace"))
+            else:
+                self[chunk] = value
+        self.bpe.learn({p for own in pieces.values() for p in own if not isinstance(p, int)})
+        make, ids = self.make, self.bpe.ids
+        for chunk, own in pieces.items():
+            self[chunk] = make(ids(own))
+        if len(self) >= 2 * CACHE:  # what this call has learnt is used next
+            self.old = dict(islice(self.items(), len(self) - CACHE))
+            for chunk in self.old:
+                del self[chunk]
+
     def __missing__(self, chunk: bytes):
         value = self.old.pop(chunk, None)
         if value is None:
             value = self.make(self.bpe.encode(chunk.decode("utf-8", "replace")))
+        return self.put(chunk, value)
+
+    def put(self, chunk: bytes, value):
         if len(self) >= CACHE:
             self.old = dict(self)
             self.clear()
@@ -221,9 +342,20 @@ class _Chunks(dict):
         return value
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[bytes]:
-    for value in batch.column("text").cast(pa.binary()):
-        yield value.as_py()
+def _chunked(column: pa.Array, chunks: _Chunks) -> Iterator[list[bytes]]:
+    """The chunks of each text; those of some megabytes of text are learnt together."""
+    held: list[list[bytes]] = []
+    size = 0
+    for value in column.cast(pa.binary()):
+        data = value.as_py()
+        held.append(data.split())
+        size += len(data)
+        if size >= AT_ONCE:
+            chunks.learn(held)
+            yield from held
+            held, size = [], 0
+    chunks.learn(held)
+    yield from held
 
 
 def _encode(spec):
@@ -241,8 +373,8 @@ def _encode(spec):
                 own = [batch.column(i).slice(low, len(held)) for i in kept]
                 return pa.RecordBatch.from_arrays([*own, lists], names=[*(names[i] for i in kept), "ids"])
 
-            for value in batch.column(at).cast(pa.binary()):
-                held.append(b"".join(map(chunks.__getitem__, value.as_py().split())))
+            for own_chunks in _chunked(batch.column(at), chunks):
+                held.append(b"".join(map(chunks.__getitem__, own_chunks)))
                 size += len(held[-1])
                 if size > 16 << 20:
                     yield flushed()
@@ -266,11 +398,14 @@ def _decode(spec):
 def _digests(spec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = Bpe(spec.value)
-        chunks = _Chunks(bpe, lambda x: (" ".join(map(str, x)).encode(), bpe.decode(x).encode()))
+        # What a token adds to either line, made once; ids without a name are left out of the second.
+        numbers = [str(i).encode() for i in range(max(bpe.names) + 1)]
+        names = {i: t.encode() for i, t in bpe.names.items()}
+        chunks = _Chunks(bpe, lambda x: (b" ".join([numbers[i] for i in x]), b" ".join([names[i] for i in x if i in names])))
         for batch in batches:
             rows = []
-            for data in _texts(batch):
-                parts = list(map(chunks.__getitem__, data.split()))
+            for own in _chunked(batch.column("text"), chunks):
+                parts = list(map(chunks.__getitem__, own))
                 # A chunk of white space beyond ASCII has no tokens, and must leave no second space.
                 line = b" ".join([p[0] for p in parts if p[0]])
                 text = b" ".join([p[1] for p in parts if p[1]])

@@ -1,5 +1,6 @@
 """Secrets, licences, BPE."""
 
+import random
 import re
 import zlib
 
@@ -103,3 +104,15 @@ def test_bpe_of_odd_documents(spark, odd, odd_rows, no_docs, library):
     decoded = sorted((str(r.doc_id), r.text) for r in bpe.decode(spark, encoded).collect())
     assert decoded == sorted((i, library.decode(ids, skip_special_tokens=False)) for i, ids in got)
     assert bpe.digests(spark, no_docs).count() == 0 and bpe.encode(spark, no_docs).count() == 0
+
+
+def test_trees_run_together_merge_as_one_by_one(monkeypatch):
+    model = bpe.Bpe(bpe.load(None))
+    rng = random.Random(2)
+    letters = "abcdefghinorst" * 3 + "éß日😀\x00Z-"
+    words = sorted({"".join(rng.choice(letters) for _ in range(n)) for n in (1, 2, 3, 4, 5, 6, 9, 17, 40) for _ in range(60)} | {"aaaa", "the", "international" * 9})
+    expected = {w: model.fresh(w) for w in words}
+    monkeypatch.setattr(bpe, "TOGETHER", 1)
+    monkeypatch.setattr(bpe, "CELLS", 64)
+    model.learn(words)
+    assert {w: model.words[w] for w in words} == expected
