@@ -41,7 +41,7 @@ LOWER = {0x3A3: 0x3C3, 0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0x
 LOWER |= {0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5}
 LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 MARKS = (".", ",", ";", ":", "!", "?")
-CACHE = 400_000  # chunks, and words, that a generation of a task's memory holds
+CACHE = 400_000  # chunks, and words, that a generation of a task's memory holds; a quarter where the ids themselves are kept
 AT_ONCE = 4 << 20  # bytes of text whose new words are merged together
 TOGETHER = 24  # words of one tree size from which that is worth a matrix
 CELLS = 1 << 19  # leaves of the trees that are run together
@@ -93,9 +93,11 @@ def byte_letters() -> list[str]:
 
 
 class Bpe:
-    def __init__(self, spec: dict):
+    def __init__(self, spec: dict, cache: int = CACHE):
         import regex
 
+        self.cache = cache
+
         vocab, self.suffix = spec["vocab"], spec["suffix"]
         self.width = max(vocab.values()) + 1
         self.rank, self.merged = {}, []
@@ -252,7 +254,7 @@ class Bpe:
         ids = self.words.get(word)
         if ids is None:
             ids = self.words[word] = self.old.pop(word, None) or self.fresh(word)
-            if len(self.words) >= CACHE:
+            if len(self.words) >= self.cache:
                 self.old, self.words = self.words, {}
         return ids
 
@@ -323,8 +325,8 @@ class _Chunks(dict):
         make, ids = self.make, self.bpe.ids
         for chunk, own in pieces.items():
             self[chunk] = make(ids(own))
-        if len(self) >= 2 * CACHE:  # what this call has learnt is used next
-            self.old = dict(islice(self.items(), len(self) - CACHE))
+        if len(self) >= 2 * self.bpe.cache:  # what this call has learnt is used next
+            self.old = dict(islice(self.items(), len(self) - self.bpe.cache))
             for chunk in self.old:
                 del self[chunk]
 
@@ -335,14 +337,14 @@ class _Chunks(dict):
         return self.put(chunk, value)
 
     def put(self, chunk: bytes, value):
-        if len(self) >= CACHE:
+        if len(self) >= self.bpe.cache:
             self.old = dict(self)
             self.clear()
         self[chunk] = value
         return value
 
 
-def _chunked(column: pa.Array, chunks: _Chunks) -> Iterator[list[bytes]]:
+def _chunked(column: pa.Array, chunks: _Chunks, at_once: int = AT_ONCE) -> Iterator[list[bytes]]:
     """The chunks of each text; those of some megabytes of text are learnt together."""
     held: list[list[bytes]] = []
     size = 0
@@ -350,7 +352,7 @@ def _chunked(column: pa.Array, chunks: _Chunks) -> Iterator[list[bytes]]:
         data = value.as_py()
         held.append(data.split())
         size += len(data)
-        if size >= AT_ONCE:
+        if size >= at_once:
             chunks.learn(held)
             yield from held
             held, size = [], 0
@@ -360,7 +362,7 @@ def _chunked(column: pa.Array, chunks: _Chunks) -> Iterator[list[bytes]]:
 
 def _encode(spec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = _Chunks(Bpe(spec.value), lambda ids: np.array(ids, dtype=np.int32).tobytes())
+        chunks = _Chunks(Bpe(spec.value, CACHE // 4), lambda ids: np.array(ids, dtype=np.int32).tobytes())
         for batch in batches:
             names, low, held, size = batch.schema.names, 0, [], 0
             at = len(names) - 1  # the text comes last
@@ -373,7 +375,7 @@ def _encode(spec):
                 own = [batch.column(i).slice(low, len(held)) for i in kept]
                 return pa.RecordBatch.from_arrays([*own, lists], names=[*(names[i] for i in kept), "ids"])
 
-            for own_chunks in _chunked(batch.column(at), chunks):
+            for own_chunks in _chunked(batch.column(at), chunks, AT_ONCE // 4):
                 held.append(b"".join(map(chunks.__getitem__, own_chunks)))
                 size += len(held[-1])
                 if size > 16 << 20:
