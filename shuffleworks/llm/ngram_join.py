@@ -47,56 +47,95 @@ BLOCK = 512  # classes of a block
 BLOCK_SHINGLES = 400_000  # and their shingles together
 BUCKETS = 1 << 19  # of ids, to leave out texts that are not wanted before they are shuffled
 FLUSH = 6_000_000  # shingles that a task counts at once
-CACHE = 200_000  # words of a generation of a task's memory
+PORTION = 4 << 20  # bytes of text that a task hashes at once; a longer text is alone
+CHUNKED = 64  # bytes of a word up to which it is hashed together with others
 SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
 
 
-class _Words(dict):
-    """word -> 64-bit hash; the older of two generations is forgotten when the younger is full."""
-
-    def __init__(self):
-        super().__init__()
-        self.old = {}
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        value = self.old.pop(word, None)
-        if value is None:
-            value = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= CACHE:
-            self.old = dict(self)
-            self.clear()
-        self[word] = value
-        return value
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
     return x ^ (x >> np.uint64(33))
 
 
-def shingle_set(data: bytes, width: int, words: _Words) -> np.ndarray:
-    """Sorted hashes of the distinct shingles. ``bytes`` lowers and splits ASCII only, as wanted."""
-    hashes = np.array(list(map(words.__getitem__, data.lower().split())), dtype=np.uint64)
-    if not len(hashes):
-        return hashes
-    size = min(width, len(hashes))
-    total = np.full(len(hashes) - size + 1, size, dtype=np.uint64)
-    for k in range(size):
-        total = _mixed(total + hashes[k : len(hashes) - size + 1 + k] * np.uint64(SEEDS[k % len(SEEDS)]) + np.uint64(k))
-    return np.unique(total)
+def word_hashes(data: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts one after the other, ``ends[k]`` to ``ends[k + 1]`` -> hashes of their words, and each text's first word.
 
+    Words are hashed by 8 bytes at a time, all words together, so that a word of
+    up to 8 bytes shares its hash with no other of its length.
+    """
+    import xxhash
 
-def _sets(batch: pa.RecordBatch, width: int, words: _Words) -> Iterator[np.ndarray]:
-    for value in batch.column("text").cast(pa.binary()):
-        yield shingle_set(value.as_py(), width, words)
+    low = np.frombuffer(data.lower() + bytes(8), dtype=np.uint8)  # ``bytes`` lowers ASCII only, as wanted
+    body = low[:-8]
+    space = (body == 32) | ((body - np.uint8(9)) < 5)
+    before, after = np.ones(len(body) + 1, dtype=bool), np.ones(len(body) + 1, dtype=bool)
+    before[1:], after[:-1] = space, np.append(space[1:], True)[: len(body)]
+    before[ends[:-1]] = True
+    after[np.maximum(ends[1:] - 1, 0)[ends[1:] > ends[:-1]]] = True
+    starts = np.flatnonzero(~space & before[:-1])
+    sizes = np.flatnonzero(~space & after[:-1]) + 1 - starts
+    eight = np.ndarray((len(body) + 1,), dtype="<u8", buffer=low, strides=(1,))
+    masks = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+    hashes = _mixed((eight[starts] & masks[np.minimum(sizes, 8)]) + sizes.astype(np.uint64) * np.uint64(SEEDS[0]))
+    left = np.flatnonzero((sizes > 8) & (sizes <= CHUNKED))
+    done = 8
+    while len(left):
+        chunk = eight[starts[left] + done] & masks[np.minimum(sizes[left] - done, 8)]
+        hashes[left] = _mixed(hashes[left] * np.uint64(SEEDS[1]) + chunk)
+        done += 8
+        left = left[sizes[left] > done]
+    for k in np.flatnonzero(sizes > CHUNKED).tolist():
+        hashes[k] = xxhash.xxh3_64_intdigest(body[starts[k] : starts[k] + sizes[k]])
+    return hashes, np.searchsorted(starts, ends)
+
+
+def shingle_sets(data: bytes, ends: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Texts one after the other -> sorted hashes of the distinct shingles of each, and where each text's begin."""
+    words, first = word_hashes(data, ends)
+    n_words = np.diff(first)
+    n = np.where(n_words > 0, np.maximum(n_words - width + 1, 1), 0)
+    bounds = np.append(0, np.cumsum(n))
+
+    def hashed(at: np.ndarray | slice, size: int) -> np.ndarray:
+        padded = np.append(words, np.zeros(size, dtype=np.uint64))
+        total = np.full(len(words), size, dtype=np.uint64)[at]
+        for k in range(size):
+            total = _mixed(total + padded[k : k + len(words)][at] * np.uint64(SEEDS[k % len(SEEDS)]) + np.uint64(k))
+        return total
+
+    # Those that would run into the next text are worked out and left; texts of fewer words have one of their own.
+    values = hashed(slice(None), width)[np.arange(bounds[-1]) + np.repeat(first[:-1] - bounds[:-1], n)]
+    for size in np.unique(n_words[(n_words > 0) & (n_words < width)]).tolist():
+        short = np.flatnonzero(n_words == size)
+        values[bounds[short]] = hashed(first[short], size)
+    places = bounds.tolist()
+    for a, b in zip(places[:-1], places[1:]):
+        values[a:b].sort()
+    new = np.ones(len(values), dtype=bool)
+    new[1:] = values[1:] != values[:-1]
+    new[bounds[:-1][n > 0]] = True
+    return values[new], np.append(0, np.cumsum(new))[bounds]
+
+
+def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Portions of the batch's rows, with their sets one after the other and where each begins."""
+    texts = batch.column("text").cast(pa.large_binary())
+    if not len(texts):
+        return
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    low = 0
+    while low < len(texts):
+        high = max(low + 1, int(np.searchsorted(ends, ends[low] + PORTION, side="right")) - 1)
+        own = data[int(ends[low]) : int(ends[high])].to_pybytes() if data is not None else b""
+        yield batch.slice(low, high - low), *shingle_sets(own, ends[low : high + 1] - ends[low], width)
+        low = high
 
 
 def _common(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, size = _Words(), [], 0
+        held, size = [], 0
 
         def counted() -> pa.RecordBatch:
             shingles, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -104,7 +143,7 @@ def _common(width: int):
             return pa.RecordBatch.from_arrays([pa.array(shingles[more].view(np.int64)), pa.array(counts[more])], names=["shingle", "n"])
 
         for batch in batches:
-            for found in _sets(batch, width, words):
+            for _, found, _ in _sets(batch, width):
                 held.append(found)
                 size += len(found)
                 if size >= FLUSH:
@@ -140,11 +179,11 @@ def least_common(n: int) -> int:
     return 1 + n // 25
 
 
-def _digest(values: np.ndarray) -> tuple[int, int]:
+def _digests(sets: list[np.ndarray]) -> np.ndarray:
+    """128 bits of each set, as the rows of a matrix of two numbers."""
     import xxhash
 
-    both = xxhash.xxh3_128_digest(values.tobytes())
-    return int.from_bytes(both[:8], "big", signed=True), int.from_bytes(both[8:], "big", signed=True)
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, sets)), dtype=">i8").reshape(-1, 2).astype(np.int64)
 
 
 _ROW = [("tag", "long"), ("doc_id", "long"), ("text_key", "long"), ("n_chars", "long")]
@@ -155,27 +194,36 @@ _ROWS = ", ".join(f"{a} {b}" for a, b in _ROW + _SET) + ", prefix array<long>"
 
 def _prefixes(width: int, num: int, den: int, heavy):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
         known, ranks = heavy.value
+        likely = np.zeros(1 << 22, dtype=bool)  # by a shingle's upper bits: few others need the search
+        likely[known >> np.uint64(42)] = True
+
+        def ranked(values: np.ndarray) -> np.ndarray:
+            found = np.zeros(len(values), dtype=np.int64)
+            maybe = np.flatnonzero(likely[values >> np.uint64(42)])
+            if len(maybe):
+                at = np.minimum(np.searchsorted(known, values[maybe]), len(known) - 1)
+                found[maybe] = np.where(known[at] == values[maybe], ranks[at], 0)
+            return found
+
         for batch in batches:
-            rows, prefixes = [], []
-            for found in _sets(batch, width, words):
-                n = len(found)
-                if len(known) and n:
-                    at = np.minimum(np.searchsorted(known, found), len(known) - 1)
-                    rank = np.where(known[at] == found, ranks[at], 0)
-                    ordered = found[np.lexsort((found, rank))]
-                else:
-                    ordered = found
-                prefix = ordered[: n - needed(n, num, den) + least_common(n)] if n else found
-                rows.append((n, *_digest(found), *_digest(prefix)))
-                prefixes.append(prefix.view(np.int64))
-            offsets = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))
-            columns = [pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 5
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n, _ in _ROW), *columns, lists], names=[n for n, _ in _ROW + _SET] + ["prefix"]
-            )
+            for rows, values, bounds in _sets(batch, width):
+                rank = ranked(values)
+                sets, prefixes = [], []
+                places = bounds.tolist()
+                for a, b in zip(places[:-1], places[1:]):
+                    found, n = values[a:b], b - a
+                    sets.append(found)
+                    length = n - needed(n, num, den) + least_common(n) if n else 0
+                    # Sorted by hash already, so a stable sort by rank gives the common order.
+                    prefixes.append(found[np.argsort(rank[a:b], kind="stable")[:length]] if rank[a:b].any() else found[:length])
+                offsets = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefixes).view(np.int64)))
+                keys = np.hstack([np.diff(bounds)[:, None], _digests(sets), _digests(prefixes)])
+                columns = [pa.array(np.ascontiguousarray(c), pa.int64()) for c in keys.T]
+                yield pa.RecordBatch.from_arrays(
+                    [*(rows.column(n) for n, _ in _ROW), *columns, lists], names=[n for n, _ in _ROW + _SET] + ["prefix"]
+                )
 
     return run
 
@@ -228,26 +276,15 @@ def _members(width: int):
     """Texts of classes -> their sets, if the text is the class's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
-        names = _MEMBER
         for batch in batches:
-            wanted = list(zip(batch.column("s1").to_pylist(), batch.column("s2").to_pylist()))
-            kept, sets, held = [], [], 0
-
-            def flushed() -> pa.RecordBatch:
-                rows = batch.take(pa.array(kept, pa.int32()))
-                return pa.RecordBatch.from_arrays([*(rows.column(n) for n in names), pa.array(sets, pa.binary())], names=[*names, "shingles"])
-
-            for k, found in enumerate(_sets(batch, width, words)):
-                if _digest(found) == wanted[k]:
-                    kept.append(k)
-                    sets.append(found.tobytes())
-                    held += len(sets[-1])
-                    if held > 16 << 20:
-                        yield flushed()
-                        kept, sets, held = [], [], 0
-            if kept:
-                yield flushed()
+            for rows, values, bounds in _sets(batch, width):
+                places = bounds.tolist()
+                sets = [values[a:b] for a, b in zip(places[:-1], places[1:])]
+                wanted = np.column_stack([rows.column("s1").to_numpy(), rows.column("s2").to_numpy()])
+                own = np.flatnonzero((_digests(sets) == wanted).all(axis=1))
+                kept = rows.take(pa.array(own))
+                shingles = pa.array([sets[k].tobytes() for k in own.tolist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(kept.column(n) for n in _MEMBER), shingles], names=[*_MEMBER, "shingles"])
 
     return run
 
@@ -379,13 +416,14 @@ def near_duplicates(docs: DataFrame, width: int, num: int, den: int = 100) -> Da
     above = bands.select("cluster", (F.col("band") - 1).alias("band"), F.col("n_blocks").alias("n_above"))
     bands = cut(bands.join(beside, ["cluster", "band"], "left").join(above, ["cluster", "band"], "left").na.fill(0), "beside")
     wanted = wanted.drop("large").join(bands, ["cluster", "band"])
-    wanted = cut(wanted.join(sets.select(F.col("tag").alias("rep"), "doc_id"), "rep"), "wanted")
+    wanted = cut(wanted.join(sets.select(F.col("tag").alias("rep"), "doc_id", "text_key"), "rep"), "wanted")
 
-    # Only texts that may be wanted are shuffled: a hash of their id is among those of the wanted ones.
-    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS))
+    # Only texts that may be wanted are shuffled: a hash of their id and text is among those of the wanted ones.
+    hashed = F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(BUCKETS))
     buckets = F.broadcast(wanted.select(hashed.alias("bucket")).distinct())  # at most BUCKETS rows
-    likely = texts.select("doc_id", "text").withColumn("bucket", hashed).join(buckets, "bucket", "left_semi")
-    found = likely.select(F.col("doc_id").alias("_id"), "text").join(wanted, F.col("_id").eqNullSafe(F.col("doc_id")))
+    likely = texts.select("doc_id", "text_key", "text").withColumn("bucket", hashed).join(buckets, "bucket", "left_semi")
+    likely = likely.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "text")
+    found = likely.join(wanted, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("text_key")))
     members = found.select("text", "s1", "s2", *_MEMBER).mapInArrow(
         _members(width), "rep long, cluster long, band int, n_blocks int, n_below int, n_above int, size long, shingles binary"
     )
