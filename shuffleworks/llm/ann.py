@@ -1,17 +1,20 @@
 """Approximate nearest neighbours: a graph by NN-descent, greedy search on it.
 
-Building. Vectors that take part are made unit vectors in half precision; equal
-ones are one node. Signed cross-polytope hashes deal the nodes into blocks, whose
+Building. Vectors that take part are made unit vectors in single precision; equal
+ones are one node. Nearness is the squared distance of these, summed in double
+precision, which has the order of the cosine and keeps near copies apart whose
+cosines round to the same number. Signed cross-polytope hashes deal the nodes into blocks, whose
 members are compared with each other for a first graph. Then rounds of Spark
 joins: every node is a centre that gathers its neighbours and those it is a
 neighbour of, with their vectors; each two of them are neighbours of a neighbour,
 and what beats a node's worst neighbour goes to that node, which keeps its best
-``WIDTH``. Rounds end when few neighbours change. A centre with very many
+``WIDTH``. Rounds go on until few neighbours change; lists only get better, so that
+they end. A centre with very many
 reverse neighbours is split by hash, none of them is left out.
 
 Searching. A query starts at its own node, if it has one, and at a few nodes of
 smallest hash; in each round all unexpanded nodes among its best ``BEAM`` are
-expanded by joins, until there are none. The best found are scored on the original
+expanded by joins, until there are none. All of the beam is scored on the original
 vectors in double precision, and nodes expand to their members.
 
 Left out: null ids, null vectors, zero vectors, vectors with null or non-finite
@@ -36,12 +39,11 @@ WIDTH = 32  # neighbours of a node
 OFFERS = 16  # best new neighbours that a centre offers each member
 BLOCK = 512  # nodes of a block of the first graph
 HASHES = 3  # first graphs that are merged
-ROUNDS = 6
 SETTLED = 0.03  # share of changed neighbours below which the graph is done
 HUB = 256  # members from which a centre is split
 BEAM = 128
 SEEDS = 8
-RERANK = 32
+NOTHING = -9.0  # below every nearness, which is the negated squared distance of unit vectors
 BUCKET = 2048  # nodes that one Python call merges
 CENTRES = 128  # centres that one Python call joins
 
@@ -56,9 +58,15 @@ def _buckets(column: str, n: int):
     return F.pmod(F.xxhash64(column), F.lit(max(1, n))).cast("int")
 
 
-def _floats(column: pa.ChunkedArray | pa.Array, kind, width: int) -> np.ndarray:
+def _floats(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     """Binary values of equal size as the rows of a matrix."""
-    return np.frombuffer(b"".join(v.as_py() for v in column), dtype=kind).reshape(-1, width)
+    return np.frombuffer(b"".join(v.as_py() for v in column), dtype=np.float32).reshape(-1, width)
+
+
+def _nearness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Negated squared distances of the rows of ``a`` and ``b``."""
+    a, b = a.astype(np.float64), b.astype(np.float64)
+    return (2 * (a @ b.T) - (a * a).sum(axis=1)[:, None] - (b * b).sum(axis=1)).astype(np.float32)
 
 
 def participants(vectors: DataFrame, ident: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -81,8 +89,8 @@ def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values = np.array(batch.column("embedding").to_pylist(), dtype=np.float64)
             values /= np.abs(values).max(axis=1, keepdims=True)  # no overflow of the squares
             values /= np.linalg.norm(values, axis=1, keepdims=True)
-            half = pa.array([v.tobytes() for v in values.astype(np.float16)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("node"), half], names=["node", "v"])
+            single = pa.array([v.tobytes() for v in values.astype(np.float32)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), single], names=["node", "v"])
 
 
 def _hash_keys(width: int, functions: int):
@@ -92,7 +100,7 @@ def _hash_keys(width: int, functions: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            values = _floats(batch.column("v"), np.float16, width).astype(np.float32)
+            values = _floats(batch.column("v"), width)
             nodes, keys = [], []
             for table, own in enumerate(turns):
                 key = np.full(len(values), table, dtype=np.int64)
@@ -145,12 +153,12 @@ def _top(scores: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 def _block(width: int):
     def run(table: pa.Table) -> pa.Table:
         nodes = table.column("node").to_numpy()
-        values = _floats(table.column("v"), np.float16, width).astype(np.float32)
+        values = _floats(table.column("v"), width)
         parts = []
         if len(nodes) > 1:
             for at in range(0, len(nodes), BLOCK):  # against all of the block, in portions
-                scores = values[at : at + BLOCK] @ values.T
-                scores[np.arange(len(scores)), np.arange(at, at + len(scores))] = -2
+                scores = _nearness(values[at : at + BLOCK], values)
+                scores[np.arange(len(scores)), np.arange(at, at + len(scores))] = NOTHING
                 column, value = _top(scores, min(WIDTH, len(nodes) - 1))
                 parts.append((np.repeat(nodes[at : at + BLOCK], column.shape[1]), nodes[column].ravel(), value.ravel()))
         if not parts:
@@ -185,7 +193,7 @@ def _local_join(width: int):
         table = table.combine_chunks()
         c, part, m = (table.column(n).to_numpy() for n in ("c", "part", "m"))
         worst = table.column("worst").to_numpy()
-        values = _floats(table.column("v"), np.float16, width)
+        values = _floats(table.column("v"), width)
         order = np.lexsort((m, part, c))
         c, part, m = c[order], part[order], m[order]
         once = np.ones(len(c), dtype=bool)
@@ -198,9 +206,9 @@ def _local_join(width: int):
         for low, high in zip(ends[:-1], ends[1:]):
             if high - low < 2:
                 continue
-            nodes, own = m[low:high], values[order[low:high]].astype(np.float32)
-            scores = own @ own.T
-            np.fill_diagonal(scores, -2)
+            nodes, own = m[low:high], values[order[low:high]]
+            scores = _nearness(own, own)
+            np.fill_diagonal(scores, NOTHING)
             column, value = _top(scores, min(OFFERS, high - low - 1))
             better = value > worst[order[low:high]][:, None]
             parts.append((np.repeat(nodes, better.sum(axis=1)), nodes[column[better]], value[better]))
@@ -219,8 +227,8 @@ def _merged(offers: DataFrame, graph: DataFrame | None, n: int) -> DataFrame:
     return cut(dealt.applyInArrow(_merge, _OFFERS + ", fresh long"), "graph")
 
 
-def build(nodes: DataFrame, n: int, width: int, rounds: int = ROUNDS) -> DataFrame:
-    """Graph of ``nodes`` (node, v): a, bs (neighbours, best first), ss (their cosines)."""
+def build(nodes: DataFrame, n: int, width: int) -> DataFrame:
+    """Graph of ``nodes`` (node, v): a, bs (neighbours, best first), ss (their nearness)."""
     spark = nodes.sparkSession
     functions = max(1, round(np.log(max(n, 2) / BLOCK) / np.log(2 * width))) if width > 1 else 1
     keyed = cut(nodes.mapInArrow(_hash_keys(width, functions), "node long, key long, v binary"), "keys")
@@ -228,16 +236,16 @@ def build(nodes: DataFrame, n: int, width: int, rounds: int = ROUNDS) -> DataFra
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK)).cast("int")
     blocks = keyed.join(cut(sizes, "sizes"), "key").withColumn("part", part).select("key", "part", "node", "v")
     graph = _merged(blocks.groupBy("key", "part").applyInArrow(_block(width), _OFFERS), None, n)
-    for _ in range(rounds):
+    while True:
         release(spark)
         pairs = graph.select(F.col("a").alias("c"), F.explode("bs").alias("m"))
         pairs = pairs.unionByName(pairs.select(F.col("m").alias("c"), F.col("c").alias("m")))
         hubs = pairs.groupBy("c").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > HUB)
         parts = F.coalesce(F.ceil(F.col("k") / HUB), F.lit(1))
         pairs = pairs.join(cut(hubs, "hubs"), "c", "left").withColumn("part", F.pmod(F.xxhash64("m"), parts).cast("int"))
-        full = F.when(F.size("ss") == WIDTH, F.element_at("ss", -1)).otherwise(F.lit(-2.0)).cast("float")
+        full = F.when(F.size("ss") == WIDTH, F.element_at("ss", -1)).otherwise(F.lit(NOTHING)).cast("float")
         worst = nodes.join(graph.select(F.col("a").alias("node"), full.alias("worst")), "node", "left")
-        worst = worst.select(F.col("node").alias("m"), "v", F.coalesce("worst", F.lit(-2.0)).cast("float").alias("worst"))
+        worst = worst.select(F.col("node").alias("m"), "v", F.coalesce("worst", F.lit(NOTHING)).cast("float").alias("worst"))
         gathered = pairs.join(worst, "m").withColumn("bucket", _buckets("c", -(-n // CENTRES)))
         offers = gathered.select("bucket", "c", "part", "m", "v", "worst").groupBy("bucket").applyInArrow(_local_join(width), _OFFERS)
         graph = _merged(offers, graph, n)
@@ -266,8 +274,8 @@ def _advance(width: int):
             ids, values = found.get(row["q"], ([], []))
             best = [(-s, b, e or b in row["frontier"]) for b, s, e in zip(row["best"], row["ss"], row["expanded"])]
             if ids:
-                matrix = np.frombuffer(b"".join(values), dtype=np.float16).reshape(-1, width).astype(np.float32)
-                scores = matrix @ np.frombuffer(row["v"], dtype=np.float16).astype(np.float32)
+                matrix = np.frombuffer(b"".join(values), dtype=np.float32).reshape(-1, width)
+                scores = _nearness(matrix, np.frombuffer(row["v"], dtype=np.float32)[None, :])[:, 0]
                 best += [(-s, b, False) for b, s in zip(ids, scores.tolist())]
                 row["visited"] = row["visited"] + ids
             best = sorted(best)[:BEAM]
@@ -318,7 +326,7 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("node"), pa.array(scores)], names=["query_id", "node", "score"])
 
 
-def nearest(vectors: DataFrame, k: int = 5, every: int = 50, rounds: int = ROUNDS) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     """The ``k`` nearest found of every row whose id is divisible by ``every``: query_id, rank, vec_id, score."""
     rows = cut(participants(vectors), "participants")
     # The first members of a class of equal vectors are enough for every answer.
@@ -332,13 +340,13 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, rounds: int = ROUND
     wanted = rows.where(F.col("vec_id") % every == 0).select("vec_id", "k1", "k2", F.col("embedding").alias("own_embedding"))
     if not n:
         return wanted.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
-    width = len(nodes.first()["v"]) // 2
-    graph = build(nodes, n, width, rounds)
+    width = len(nodes.first()["v"]) // 4
+    graph = build(nodes, n, width)
     # A query's class and its node are found by the keys of its vector; equal queries are searched once.
     asked = cut(wanted.join(classes.select("node", "k1", "k2"), ["k1", "k2"]).select("vec_id", "node", "own_embedding"), "asked")
     starts = asked.select("node").distinct().join(nodes, "node").select(F.col("node").alias("q"), "v", F.col("node").alias("own"))
     found = search(starts, nodes, graph, asked.select("node").distinct().count(), width)
-    best = found.select(F.col("q").alias("own"), F.explode(F.slice("best", 1, RERANK)).alias("node"))
+    best = found.select(F.col("q").alias("own"), F.explode("best").alias("node"))
     pairs = asked.select(F.col("vec_id").alias("query_id"), F.col("node").alias("own"), F.col("own_embedding").alias("embedding")).join(best, "own")
     scored = pairs.join(classes.select("node", F.col("embedding").alias("other")), "node").select("query_id", "node", "embedding", "other")
     scored = scored.mapInArrow(_exact, "query_id long, node long, score double")

@@ -122,3 +122,24 @@ def test_recall_on_the_given_vectors(spark, sf_dir):
         got["hit"] += r.vec_id in ids[np.lexsort((ids, -scores))[:5]]
         got["all"] += 1
     assert got["hit"] >= 0.9 * got["all"]
+
+
+@pytest.mark.parametrize("noise", [0.01, 0.001])
+def test_recall_among_near_copies(spark, noise):
+    """1,500 copies of one vector with little noise beside as many others; recall of each half on its own."""
+    rng = np.random.default_rng(3)
+    values = rng.normal(size=(3000, 64))
+    copies = rng.random(3000) < 0.5
+    values[copies] = rng.normal(size=64) + noise * rng.normal(size=(copies.sum(), 64))
+    vectors = spark.createDataFrame([(10 * i, v.tolist()) for i, v in enumerate(values)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in ann.nearest(vectors).collect():
+        found.setdefault(r.query_id // 10, set()).add(r.vec_id // 10)
+    assert sorted(found) == list(range(0, 3000, 5))
+    unit = values / np.linalg.norm(values, axis=1, keepdims=True)
+    hits = {True: [], False: []}
+    for q, got in found.items():
+        far = ((unit - unit[q]) ** 2).sum(axis=1)
+        far[q] = 9
+        hits[bool(copies[q])].append(len(got & set(np.argsort(far, kind="stable")[:5].tolist())) / 5)
+    assert np.mean(hits[True]) >= 0.9 and np.mean(hits[False]) >= 0.9, {k: np.mean(v) for k, v in hits.items()}
