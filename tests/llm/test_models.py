@@ -3,6 +3,7 @@
 import random
 import re
 import zlib
+from collections import Counter
 from types import SimpleNamespace
 
 import numpy as np
@@ -57,28 +58,70 @@ def test_clean_rows_keep_their_columns(odd, no_docs, labelled):
     assert {r.score for r in nothing} == {0.0} and len(nothing) == odd.count()
 
 
-def test_scores_equal_a_loop_over_tokens(spark):
+def plainly(weights, ids):
+    """The log-probability of each token given its neighbours, one after the other."""
+    out = []
+    for i, token in enumerate(ids):
+        hidden = weights[1].copy()
+        for k, place in enumerate(lm_score.PLACES):
+            hidden += weights[0][k][ids[i + place] if 0 <= i + place < len(ids) else lm_score.TOKENS]
+        hidden = np.tanh(hidden)
+        upper = hidden @ weights[2] + weights[3]
+        own = token // lm_score.CLASSES
+        lower = hidden @ weights[4][own] + weights[5][own]
+        out.append(upper[own] - np.log(np.exp(upper).sum()) + lower[token % lm_score.CLASSES] - np.log(np.exp(lower).sum()))
+    return out
+
+
+def test_scores_equal_a_loop_over_tokens():
     rng = np.random.default_rng(3)
     weights = [w + rng.normal(0, 0.3, w.shape).astype(np.float32) for w in lm_score.start(np.arange(lm_score.TOKENS)[::-1])]
-    known, buckets = {b"a": 0, b"b": 5, b"c": 100}, np.arange(lm_score.KNOWN, lm_score.TOKENS)
-    texts = ["a b c a b", "c", "", "a unknown b", "b b b " * 50]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
-    sent = spark.sparkContext.broadcast((known, buckets, weights))
-    rows = docs.mapInArrow(lm_score._score(sent), "doc_id long, n_tokens long, log_likelihood double").collect()
-    tokens = lm_score._Tokens(known, buckets)
+    steep = [w * np.float32(200 if i in (2, 4) else 1) for i, w in enumerate(weights)]  # logits beyond single precision's exponentials
+    ids = rng.integers(0, lm_score.TOKENS, 50).tolist()
+    line = np.array([lm_score.TOKENS] * 2 + ids + [lm_score.TOKENS] * 2)
+    own = np.arange(2, 52)
+    for given in (weights, steep):
+        got = lm_score.log_probabilities(given, np.stack([line[own + p] for p in lm_score.PLACES]), line[own])
+        assert got == pytest.approx(plainly([w.astype(np.float64) for w in given], ids), rel=1e-4, abs=1e-3)
+
+
+def test_whole_scores_equal_a_loop_over_documents(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "BLOCK", 300)
+    monkeypatch.setattr(lm_score, "PART", 50)
+    rng = random.Random(9)
+    common = [f"k{i}" for i in range(lm_score.KNOWN)]
+    texts = [" ".join(common)] * 3 + [" ".join(rng.choice(["K1", "k2", "k30", f"r{rng.randrange(400)}"]) for _ in range(rng.randint(1, 90))) for _ in range(60)]
+    texts += ["", None, "\t\n", "r1 " * 700, texts[5]]
+    kept = {}
+
+    def fit(blocks, counts, rounds, real=lm_score.fit):
+        kept["weights"], kept["counts"] = real(blocks, counts, rounds), counts
+        return kept["weights"]
+
+    def vocabulary(rows, real=lm_score.vocabulary):
+        kept["words"] = real(rows)
+        return kept["words"]
+
+    monkeypatch.setattr(lm_score, "fit", fit)
+    monkeypatch.setattr(lm_score, "vocabulary", vocabulary)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = lm_score.score(docs).collect()
+    known, buckets, _, _ = kept["words"]
+    split = [(t or "").lower().encode().split() for t in texts]
+    n = Counter(w for words in split for w in words)
+    bucket = {w: lm_score.word_hash(w) % lm_score.BUCKETS for w in n}
+    size = Counter()
+    for w, count in n.items():
+        size[bucket[w]] += count * (w not in known)
+    weights = [w.astype(np.float64) for w in kept["weights"]]
+    assert len(rows) == len(texts) and len(n) > lm_score.KNOWN + 100
     for row in rows:
-        ids = [tokens[w] for w in texts[row.doc_id].encode().split()]
-        total = 0.0
-        for i, token in enumerate(ids):
-            hidden = weights[1].copy()
-            for k, place in enumerate(lm_score.PLACES):
-                hidden += weights[0][k][ids[i + place] if 0 <= i + place < len(ids) else lm_score.TOKENS]
-            hidden = np.tanh(hidden)
-            upper = hidden @ weights[2] + weights[3]
-            own = token // lm_score.CLASSES
-            lower = hidden @ weights[4][own] + weights[5][own]
-            total += upper[own] - np.log(np.exp(upper).sum()) + lower[token % lm_score.CLASSES] - np.log(np.exp(lower).sum())
-        assert row.n_tokens == len(ids) and row.log_likelihood == pytest.approx(total, rel=1e-5, abs=1e-3)  # single precision
+        words = split[row.doc_id]
+        if len(words) > 1000:
+            continue  # a loop would take long; of all the others every word is compared
+        wanted = sum(plainly(weights, [known.get(w, buckets[bucket[w]]) for w in words])) + sum(np.log(n[w] / size[bucket[w]]) for w in words if w not in known)
+        assert row.n_tokens == len(words) and row.log_likelihood == pytest.approx(wanted, rel=1e-4, abs=1e-3)
+        assert row.mean_log_prob == (pytest.approx(wanted / len(words), rel=1e-4, abs=1e-3) if words else None)
 
 
 def test_slopes_equal_differences():
@@ -111,26 +154,24 @@ def test_training_prefers_order_and_covers_all_rows(spark, odd, no_docs):
     assert lm_score.score(no_docs).count() == 0
 
 
-def test_every_place_of_every_text_is_trained_on_once(monkeypatch):
+@pytest.mark.parametrize("portion", [50, 10**6])
+def test_every_place_of_every_text_is_trained_on_once(monkeypatch, portion):
+    monkeypatch.setattr(lm_score, "BLOCK", 64)
     rng = random.Random(7)
-    texts = [" ".join(rng.choice("abcdef") for _ in range(n)) for n in [1, 2, 5, 0, 31, 40, 3 * lm_score.PIECE + 7, 3, 31, 31]]
+    texts = [" ".join(rng.choice("abcdef") for _ in range(n)) for n in [1, 2, 5, 0, 31, 40, 3007, 3, 31, 31]]
     known, buckets = {w.encode(): i for i, w in enumerate("abcdef")}, np.arange(lm_score.KNOWN, lm_score.TOKENS)
     wanted, gap = [], [lm_score.TOKENS] * lm_score.SPAN
     for text in texts:
         line = [*gap, *(known[w] for w in text.encode().split()), *gap]
         wanted += [(line[i], *(line[i + p] for p in lm_score.PLACES)) for i in range(len(gap), len(line) - len(gap))]
-    batches = [pa.RecordBatch.from_arrays([pa.array(texts[at : at + 4])], names=["text"]) for at in range(0, len(texts), 4)]
-    lines = list(lm_score._lines(SimpleNamespace(value=(known, buckets)))(iter(batches)))
-    assert sum(n for b in lines for n in b.column("n").to_pylist()) == len(wanted)
+    ids = pa.array(range(len(texts)), pa.int64())
+    batches = [pa.RecordBatch.from_arrays([ids[at : at + 4], pa.array(texts[at : at + 4])], names=["doc_id", "text"]) for at in range(0, len(texts), 4)]
+    lines = list(lm_score._blocks(SimpleNamespace(value=(known, buckets)))(iter(batches)))
+    assert len(lines) > 2 and [i for b in lines for i in b.column("ids")[0].as_py()] == ids.to_pylist()
     seen, like = [], lm_score.start(np.ones(lm_score.TOKENS, dtype=np.int64))
-
-    def descend(weights, around, middle):
-        seen.extend(zip(middle.tolist(), *around.tolist()))
-        return weights
-
-    monkeypatch.setattr(lm_score, "descend", descend)
+    monkeypatch.setattr(lm_score.Descent, "learn", lambda self, around, middle: seen.extend(zip(middle.tolist(), *around.tolist())))
     for turn in range(3):
-        list(lm_score._train(SimpleNamespace(value=like), turn, 3)(iter(lines)))
+        list(lm_score._train(SimpleNamespace(value=like), turn, 3, portion)(iter(lines)))
     assert sorted(seen) == sorted(wanted)
 
 
@@ -138,7 +179,7 @@ def test_words_of_a_bucket_have_probabilities_of_their_own(spark, monkeypatch):
     common = [f"k{i}" for i in range(lm_score.KNOWN)]
     bucket = lambda w: lm_score.word_hash(w.encode()) % lm_score.BUCKETS
     one, other = next((f"r{i}", f"r{j}") for j in range(2000) for i in range(j) if bucket(f"r{i}") == bucket(f"r{j}"))
-    monkeypatch.setattr(lm_score, "fit", lambda texts, rounds, fit=lm_score.fit: fit(texts, 0))  # the same network for both
+    monkeypatch.setattr(lm_score, "fit", lambda blocks, counts, rounds, fit=lm_score.fit: fit(blocks, counts, 0))  # the same network for both
     texts = [*[" ".join(common)] * 9, f"{one} {one} {one}", f"{one} {one} {one}", one, other, f"k1 {other}"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = lm_score.score(docs).collect()
