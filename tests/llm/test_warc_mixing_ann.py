@@ -44,7 +44,10 @@ def test_warc_payloads_and_pushed_predicates(spark, pages, compression, plan):
     assert {r.payload for r in warc.read_warc(spark, path, payload=False).collect()} == {None}
 
 
-def test_mixing_equals_sql_on_odd_documents(odd, odd_rows):
+@pytest.mark.parametrize("piece, block", [(mixing.PIECE, mixing.BLOCK), (0.05, 7), (0.3, 1)])
+def test_mixing_equals_sql_on_odd_documents(odd, odd_rows, monkeypatch, piece, block):
+    monkeypatch.setattr(mixing, "PIECE", piece)  # small ones make many blocks
+    monkeypatch.setattr(mixing, "BLOCK", block)
     con = duckdb.connect()
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?, ?)", [(r[0], r[1], r[3]) for r in odd_rows])
@@ -62,6 +65,20 @@ def test_mixing_reaches_target_weights(spark, no_docs):
     assert mixing.replicate(no_docs).count() == 0
 
 
+def test_copies_of_a_document_of_a_large_rate_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 16)
+    docs = spark.range(8000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 7999, "big").otherwise("rare").alias("source"))
+    rows = mixing.replicate(docs, {"big": 1.0, "rare": 1.0}).where("source = 'rare'").collect()
+    assert len(rows) == pytest.approx(4000, abs=4 * math.sqrt(4000)) and {r.n_copies for r in rows} == {len(rows)}
+    assert sorted(r.copy_no for r in rows) == list(range(1, len(rows) + 1))
+
+
+@pytest.mark.parametrize("weight", [-1.0, math.nan, math.inf])
+def test_weights_that_mean_nothing_are_refused(no_docs, weight):
+    with pytest.raises(ValueError):
+        mixing.replicate(no_docs, {"a": weight})
+
+
 def test_poisson_counts_have_the_right_variance(spark):
     docs = spark.range(20000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 19000, "a").otherwise("b").alias("source"))
     found = mixing.replicate(docs, {"b": 1.0}).groupBy("doc_id").agg(F.max("n_copies").alias("n")).toPandas()["n"]
