@@ -1,8 +1,9 @@
 """License scan by a positional index of rare tokens; DataFrame functions only.
 
 Templates are short licence notices. Document frequencies of their words over all
-texts give each word's IDF. The index holds, for each template, its words of
-highest IDF with their places. A text looks up those of its words that the index
+texts give each word's IDF. The index holds, for each template, those words of its
+mandatory key phrases that have the highest IDF, with their places: words that an
+accepted place has anyway, so that the lookup loses none. A text looks up those of its words that the index
 has; a word at place p that stands at place q of a template proposes that the
 template begins at p - q. Postings are intersected by that relative place: as many
 of a template's index words as it needs must propose the same beginning. Then its
@@ -44,7 +45,7 @@ NOTICES = [
     ("licensed under cc by sa 4 0", "cc-by-sa", ["cc by sa"]),
     ("creative commons attribution 4 0 international license", "cc-by", ["creative commons attribution"]),
 ]
-RARE = 2  # index words of a notice
+RARE = 2  # index words of a notice, of its mandatory phrases
 SHARE = 0.6  # of a notice's IDF that must be in place
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -81,7 +82,7 @@ def _index(idf: dict[str, float]) -> list[dict]:
     """The templates with their index words' places, highest IDF first, and their weights."""
     out = templates()
     for t in out:
-        first = {w: i for i, w in reversed(list(enumerate(t["words"])))}
+        first = {t["words"][i]: i for at, n in reversed(t["must"]) for i in reversed(range(at, at + n))}
         rare = sorted(first, key=lambda w: (-idf[w], w))[: 1 if t["base"] else RARE]
         t["rare"], t["weights"] = [(w, first[w]) for w in rare], [idf[w] for w in t["words"]]
     return out

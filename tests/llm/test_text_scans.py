@@ -5,6 +5,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -68,6 +69,33 @@ def test_licences_of_odd_documents(odd, odd_rows, no_docs):
     assert licenses.find_licenses(no_docs).count() == 0
 
 
+def accepted(words, idf):
+    """All places of all templates: key phrases there, and enough of the weight."""
+    found = []
+    for t in licenses.templates():
+        weights = [idf[w] for w in t["words"]]
+        for start in range(len(words)):
+            if all(words[start + at : start + at + n] == t["words"][at : at + n] for at, n in t["must"]):
+                share = sum(w for w, a, b in zip(weights, words[start:], t["words"]) if a == b) / sum(weights)
+                if share >= (1.0 if t["base"] else licenses.SHARE) - 1e-9:
+                    found.append((t["label"], t["base"], start, round(share, 9)))
+    return sorted(found)
+
+
+def test_notices_with_a_changed_word_equal_brute_force(spark):
+    texts = [words for words, *_ in licenses.NOTICES]
+    for words, _, _ in licenses.NOTICES:
+        own = words.split()
+        texts += [" ".join(["before", *own[:i], "acquiring", *own[i + 1 :], "after"]) for i in range(len(own))]
+    texts += ["license mit license the mit license", "obtaining a copy", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    idf = licenses.word_idf(docs.select(licenses.text_words(F.col("text")).alias("words")))
+    got = {r.doc_id: sorted((x.label, x.base, x.start, round(x.share, 9)) for x in r.found) for r in licenses.find_licenses(docs).collect()}
+    assert got == {i: accepted(t.split(), idf) for i, t in enumerate(texts)}
+    changed = texts.index("before permission is hereby granted free of charge to any person acquiring a copy after")
+    assert [x[0] for x in got[changed]] == ["mit"]
+
+
 def test_no_python_on_the_license_path(odd, plan):
     assert not re.search("Python|Arrow|Pandas", plan(licenses.summary(licenses.find_licenses(odd))))
 
