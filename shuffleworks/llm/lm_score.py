@@ -424,7 +424,8 @@ def _lookups(rows: list[tuple]) -> pa.RecordBatch:
 
 def _runs(dealt: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each part and the places of its hashes, in order."""
-    order = np.argsort(dealt, kind="stable")
+    # Short numbers are sorted by their digits, several times as fast.
+    order = np.argsort(dealt.astype(np.uint16) if dealt.size and dealt.max() < 1 << 16 else dealt, kind="stable")
     starts = np.flatnonzero(np.diff(dealt[order], prepend=-1))
     for own in np.split(order, starts[1:]):
         yield int(dealt[own[0]]), own
