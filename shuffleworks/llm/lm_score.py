@@ -227,16 +227,24 @@ def _by_class(middle: np.ndarray) -> tuple[np.ndarray, list[int]]:
     return order, [0, *np.cumsum(np.bincount(classes, minlength=CLASSES)).tolist()]
 
 
+def _in_class(hidden: np.ndarray, weights: list[np.ndarray], ends: list[int]) -> np.ndarray:
+    """Logits of the tokens of each row's class, for rows ordered by class."""
+    logits = np.repeat(weights[5], np.diff(ends), axis=0)
+    for c in range(CLASSES):
+        if ends[c] < ends[c + 1]:
+            rows = slice(ends[c], ends[c + 1])
+            logits[rows] += hidden[rows] @ weights[4][c]
+    if not _is_safe(weights[4], weights[5]):
+        logits -= logits.max(axis=1, keepdims=True)
+    return logits
+
+
 def log_probabilities(weights: list[np.ndarray], around: np.ndarray, middle: np.ndarray) -> np.ndarray:
     """Of each middle token given the tokens around it (one row per place)."""
     order, ends = _by_class(middle)
-    hidden, own = _hidden(weights, around[:, order]), middle[order] % CLASSES
-    logs = _picked(_logits(hidden, weights[2], weights[3], _is_safe(weights[2], weights[3])), middle[order] // CLASSES)
-    safe = _is_safe(weights[4], weights[5])
-    for c in range(CLASSES):
-        rows = slice(ends[c], ends[c + 1])
-        if ends[c] < ends[c + 1]:
-            logs[rows] += _picked(_logits(hidden[rows], weights[4][c], weights[5][c], safe), own[rows])
+    hidden, middle = _hidden(weights, around[:, order]), middle[order]
+    logs = _picked(_logits(hidden, weights[2], weights[3], _is_safe(weights[2], weights[3])), middle // CLASSES)
+    logs += _picked(_in_class(hidden, weights, ends), middle % CLASSES)
     out = np.empty_like(logs)
     out[order] = logs
     return out
@@ -246,30 +254,30 @@ def slopes(weights: list[np.ndarray], around: np.ndarray, middle: np.ndarray, ou
     """Of the mean negative log-probability, for all weights; written to ``out`` if given."""
     out = [np.empty_like(w) for w in weights] if out is None else out
     order, ends = _by_class(middle)
-    around, own = around[:, order], middle[order] % CLASSES
+    around, middle = around[:, order], middle[order]
     hidden = _hidden(weights, around)
-    wrong = _wrong(_logits(hidden, weights[2], weights[3], _is_safe(weights[2], weights[3])), middle[order] // CLASSES)
+    wrong = _wrong(_logits(hidden, weights[2], weights[3], _is_safe(weights[2], weights[3])), middle // CLASSES)
     back = wrong @ weights[2].T
     out[2][...], out[3][...] = hidden.T @ wrong, _sums(wrong.T)
-    safe = _is_safe(weights[4], weights[5])
+    inner = _wrong(_in_class(hidden, weights, ends), middle % CLASSES)
+    out[4][...], out[5][...] = 0, 0
     for c in range(CLASSES):
-        rows = slice(ends[c], ends[c + 1])
-        if ends[c] == ends[c + 1]:
-            out[4][c], out[5][c] = 0, 0
-            continue
-        inner = _wrong(_logits(hidden[rows], weights[4][c], weights[5][c], safe), own[rows])
-        np.matmul(hidden[rows].T, inner, out=out[4][c])
-        out[5][c] = _sums(inner.T)
-        back[rows] += inner @ weights[4][c].T
+        if ends[c] < ends[c + 1]:
+            rows = slice(ends[c], ends[c + 1])
+            own = inner[rows]
+            np.matmul(hidden[rows].T, own, out=out[4][c])
+            back[rows] += own @ weights[4][c].T
+    there = np.flatnonzero(np.diff(ends))
+    out[5][there] = np.add.reduceat(inner, np.array(ends)[there], axis=0)
     hidden *= hidden
     back *= np.subtract(1, hidden, out=hidden)
     out[1][...] = back.sum(axis=0)
     out[0][...] = 0
     for k in range(len(PLACES)):
         order = np.argsort(around[k].astype(np.uint16), kind="stable")
-        sorted_ = around[k][order]
-        starts = np.flatnonzero(np.diff(sorted_, prepend=-1))
-        out[0][k][sorted_[starts]] = np.add.reduceat(back[order], starts, axis=0)
+        tokens = around[k][order]
+        starts = np.flatnonzero(np.diff(tokens, prepend=-1))
+        out[0][k][tokens[starts]] = np.add.reduceat(back[order], starts, axis=0)
     for slope in out:
         slope *= 1 / len(middle)
     return out
