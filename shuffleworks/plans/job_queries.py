@@ -312,6 +312,21 @@ def text_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mr.reduce_by_key(pairs, ["key"], {"n": mr.count_of(), "suppliers": mr.sum_of(F.col("value"))})
 
 
+@REGISTRY.query(
+    """SELECT month, line AS value, CAST(coalesce(sum(strlen(line) + 1) OVER (PARTITION BY month ORDER BY o_orderkey
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset"
+       FROM (SELECT o_orderkey, strftime(o_orderdate, '%Y%m') AS month, concat_ws('|', o_orderkey, o_custkey, o_orderpriority) AS line FROM orders)"""
+)
+def line_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as lines of one file a month, sorted by key; each line with the byte where it begins."""
+    path = scratch_path(spark, "lines")
+    line = F.concat_ws("|", "o_orderkey", "o_custkey", "o_orderpriority").alias("value")
+    lines = table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyyMM").alias("month"), "o_orderkey", line)
+    lines.repartition("month").sortWithinPartitions("month", "o_orderkey").select("month", "value").write.partitionBy("month").text(path)
+    month = F.regexp_extract("file", "month=([0-9]+)", 1).alias("month")
+    return formats.read_lines(spark, path, with_file=True, offsets=True).select(month, "value", "offset")
+
+
 @REGISTRY.query("SELECT event_type, event_id, value FROM events")
 def parquet_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "parquet")

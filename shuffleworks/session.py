@@ -56,13 +56,17 @@ def sizing(input_bytes: int, cores: int) -> dict[str, str]:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as the session names it.
 
-    Without ``spark.checkpoint.dir`` it is a folder of the warehouse, which every
-    executor reaches as well; never a temporary folder of one machine.
+    Without ``spark.checkpoint.dir`` it is a folder of the warehouse. If that is a
+    plain local path, other machines cannot read it, so it serves local masters only.
     """
     configured = spark.conf.get(CHECKPOINT_CONF, None)
     if configured:
         return configured.rstrip("/")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    is_local = warehouse.startswith("file:") or "://" not in warehouse
+    if is_local and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share; {warehouse} is one on each machine")
+    return warehouse + "/_scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,14 +21,68 @@ def _as_list(paths: str | list[str]) -> list[str]:
     return [paths] if isinstance(paths, str) else list(paths)
 
 
-def read_lines(spark: SparkSession, paths: str | list[str], with_file: bool = False) -> DataFrame:
-    """One row ``value`` per line; ``file`` names the file it came from on request."""
+def read_lines(spark: SparkSession, paths: str | list[str], with_file: bool = False, offsets: bool = False) -> DataFrame:
+    """One row ``value`` per line; on request ``file``, which it came from, and ``offset``, the byte where it begins there.
+
+    Offsets need a second scan, for the bytes of each split. A compressed file counts as its plain text, a file's
+    byte order mark as nothing.
+    """
+    if offsets:
+        return _with_offsets(spark, _as_list(paths)).select("offset", "value", *["file"] * with_file)
     lines = spark.read.text(_as_list(paths))
     if with_file:
         lines = lines.select("value", F.col("_metadata.file_path").alias("file"))
     return lines
 
 
+def _with_offsets(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Bytes before the split, summed over its file, and bytes before the line within the split."""
+    # Only line feeds end a line here, so that what is left of it has all other bytes.
+    lines = spark.read.option("lineSep", "\n").text(paths)
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    splits = lines.groupBy("file", "block").agg(F.sum(F.octet_length("value") + 1).alias("bytes"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = splits.select("file", "block", F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("before"))
+    named = lines.select("file", "block", F.xxhash64("file", "block").alias("split"), F.col("value").cast("binary").alias("value"))
+    within = named.mapInArrow(_within_split, "file string, block long, within long, value binary")
+    placed = within.join(F.broadcast(before), ["file", "block"])  # one row per split
+    return placed.select((F.col("before") + F.col("within")).alias("offset"), F.col("value").cast("string").alias("value"), "file")
+
+
+def _within_split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Where each line begins in its split, whose lines come one after the other; carriage returns end lines as well."""
+    at, done = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        split, values = batch.column("split").to_numpy(), batch.column("value")
+        sizes = pc.binary_length(values).to_numpy().astype(np.int64) + 1
+        starts = np.cumsum(sizes) - sizes
+        head = np.append(True, split[1:] != split[:-1])
+        starts -= starts[head][np.cumsum(head) - 1]
+        if split[0] == at:
+            starts[np.cumsum(head) == 1] += done
+        at, done = split[-1], int(starts[-1] + sizes[-1])
+        columns = [batch.column("file"), batch.column("block"), pa.array(starts, pa.int64()), values]
+        if pc.any(pc.match_substring(values, "\r")).as_py():
+            columns = _cut_at_returns(columns)
+        yield pa.RecordBatch.from_arrays(columns, names=["file", "block", "within", "value"])
+
+
+def _cut_at_returns(columns: list[pa.Array]) -> list[pa.Array]:
+    rows, within, pieces = [], [], []
+    for row, (start, value) in enumerate(zip(columns[2].to_pylist(), columns[3].to_pylist())):
+        own = value.split(b"\r")
+        if len(own) > 1 and not own[-1]:
+            own.pop()  # a return before the line feed, or at the end of the file
+        for piece in own:
+            rows.append(row)
+            within.append(start)
+            pieces.append(piece)
+            start += len(piece) + 1
+    return [columns[0].take(pa.array(rows)), columns[1].take(pa.array(rows)), pa.array(within, pa.int64()), pa.array(pieces, pa.binary())]
+
+
 def read_parquet(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.parquet(*_as_list(paths))
 

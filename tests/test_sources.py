@@ -109,6 +109,30 @@ def test_lines_and_text_round_trip(spark, tmp_path):
     assert with_file.columns == ["value", "file"] and with_file.where("file like '%/t/%'").count() == 3
 
 
+@pytest.mark.parametrize("split", [64, 4096])
+def test_offsets_equal_a_walk_through_the_bytes(spark, tmp_path, split):
+    parts = [f"line {i} é\U0001f600 {'x' * (i * i % 90)}" + ["\n", "\r\n", "\r", "\n\n", "\r\r\n"][i % 5] for i in range(150)]
+    texts = {"a.txt": "".join(parts).encode(), "b.txt": b"\n\none\ntwo", "c.txt": b"", "d.txt": b"end\r", "e.txt": b"\xff\xfe\nz\n"}
+    for name, data in texts.items():
+        (tmp_path / name).write_bytes(data)
+    wanted = []
+    for name, data in texts.items():
+        at = 0
+        for line in data.splitlines(keepends=True):
+            wanted.append((name, at, line.rstrip(b"\r\n").decode(errors="replace")))
+            at += len(line)
+    settings = {"spark.sql.files.maxPartitionBytes": str(split), "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        rows = formats.read_lines(spark, str(tmp_path), with_file=True, offsets=True).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((r.file.rsplit("/", 1)[1], r.offset, r.value) for r in rows) == sorted(wanted)
+
+
 def test_read_input_unions_paths(spark, tmp_path):
     for name in ("p1", "p2"):
         formats.write_parquet(spark.range(2), str(tmp_path / name), codec="gzip")
