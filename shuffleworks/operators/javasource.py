@@ -17,6 +17,8 @@ from shuffleworks.functions.javascan import File
 from shuffleworks.operators.corpus import classify_role
 from shuffleworks.session import durable
 
+_FILES = 64  # files that are held as Python objects at once
+
 _TERMS = pa.list_(pa.struct([("text", pa.string()), ("name", pa.string())]))
 _SCHEMA = pa.schema(
     [
@@ -73,9 +75,11 @@ def _scanned(path: str, marks: str, content: str) -> dict:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What is found goes out after a few files, so that a batch of long texts is never held a second time."""
     for batch in batches:
-        rows = [_scanned(*row) for row in zip(*[c.to_pylist() for c in batch.columns])]
-        yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
+        for low in range(0, batch.num_rows, _FILES):
+            files = batch.slice(low, _FILES)
+            yield pa.RecordBatch.from_pylist([_scanned(*row) for row in zip(*[c.to_pylist() for c in files.columns])], _SCHEMA)
 
 
 def scan(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:

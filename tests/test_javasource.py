@@ -1,5 +1,6 @@
 """One scan of Java source: scopes, members, extents; constants and jobs over several files."""
 
+import pyarrow as pa
 import pytest
 
 from shuffleworks.functions.javascan import File
@@ -134,3 +135,14 @@ def test_own_fields_of_key_classes(spark):
 def test_no_files(spark):
     files = spark.createDataFrame([], "path string, content string")
     assert jobtable.assemble_jobs(files, javasource.scan_classes(javasource.scan(files))).count() == 0
+
+
+def test_files_of_a_batch_go_out_a_few_at_a_time():
+    """A batch of long texts must not be held a second time, as objects and as results."""
+    names = [f"f{i}" for i in range(200)]
+    batch = pa.RecordBatch.from_pydict({"file_path": names, "marks": [""] * 200, "text": [HADOOP] * 200})
+    sizes, found = [], []
+    for part in javasource._scan(iter([batch, batch.slice(0, 0)])):
+        sizes.append(part.num_rows)
+        found += part.column("file_path").to_pylist()
+    assert found == names and max(sizes) <= 64
