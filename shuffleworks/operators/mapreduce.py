@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass
+from functools import reduce
 from itertools import chain, groupby, islice
 
 import pandas as pd
@@ -163,12 +164,14 @@ def pre_aggregate(df: DataFrame, keys: list[str], aggs: Mapping[str, Combinable]
 
 
 def reduce_by_key_rdd(df: DataFrame, key: str, value: str, op: Callable) -> DataFrame:
-    """The same through ``RDD.reduceByKey`` for an ``op`` only Python can say.
+    """The same over an RDD, for an ``op`` only Python can say.
 
-    Values are combined in each map task before the shuffle: first per Arrow
+    Values are combined in each map task before the shuffle: flat ones per Arrow
     batch, at most ``_HELD_KEYS`` keys at a time, so that few rows have to become
-    Python objects of the RDD. Still slower than ``reduce_by_key`` by the cost of
-    moving every row through Python.
+    Python objects of the RDD; nested ones as they come sorted. Spark shuffles and
+    sorts what is left, and a task reads it as runs of one key, so it never holds more
+    than a key and a value, however many keys there are. Still slower than
+    ``reduce_by_key`` by the cost of moving every row through Python.
     """
     pairs = df.select(F.col(key).alias(KEY), F.col(value).alias(VALUE))
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in pairs.schema.fields])
@@ -190,10 +193,20 @@ def reduce_by_key_rdd(df: DataFrame, key: str, value: str, op: Callable) -> Data
         columns = [pa.array(list(held), kinds[0]), pa.array(list(held.values()), kinds[1])]
         return pa.RecordBatch.from_arrays(columns, [KEY, VALUE])
 
+    def runs(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for k, run_of in groupby(rows, lambda row: row[0]):
+            yield k, reduce(op, (v for _, v in run_of))
+
+    # A collation sorts unlike keys as equal ones, so that they would not come in runs.
+    order = F.collate(KEY, "UTF8_BINARY") if isinstance(schema[KEY].dataType, T.StringType) else F.col(KEY)
+
+    def reduced(rows: DataFrame) -> DataFrame:
+        return df.sparkSession.createDataFrame(rows.sortWithinPartitions(order).rdd.mapPartitions(runs), schema)
+
     nested = (T.StructType, T.ArrayType, T.MapType)
-    if not any(isinstance(f.dataType, nested) for f in schema.fields):
-        pairs = pairs.mapInArrow(combine, schema)
-    return df.sparkSession.createDataFrame(pairs.rdd.map(tuple).reduceByKey(op), schema)
+    is_flat = not any(isinstance(f.dataType, nested) for f in schema.fields)
+    combined = pairs.mapInArrow(combine, schema) if is_flat else reduced(pairs)
+    return reduced(combined.repartition(KEY))
 
 
 Reducer = Callable[[tuple, Iterator[tuple]], Iterable[tuple]]

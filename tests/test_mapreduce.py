@@ -92,6 +92,32 @@ def test_rdd_reduce_in_small_steps_and_on_struct_keys(spark, rows, monkeypatch):
     assert mr.reduce_by_key_rdd(df.where("false"), "k", "v", max).count() == 0
 
 
+def test_rdd_reduce_holds_no_more_than_a_key(spark, monkeypatch):
+    """The memory of the reducing worker, as ``op`` sees it, does not grow with the keys."""
+    monkeypatch.setattr(mr, "_HELD_KEYS", 1000)
+    keys = 60_000
+    number = F.floor(F.col("id") / 20_000) * 10_000 + F.col("id") % 10_000  # twice in two batches that follow each other
+    wide = F.concat(number.cast("string"), F.repeat(F.lit("x"), 2000))
+    df = spark.range(0, 2 * keys, 1, 1).select(wide.alias("k"), F.lit(0).cast("long").alias("v"))
+
+    def resident(a, b):
+        with open("/proc/self/statm") as file:
+            return int(file.read().split()[1]) * 4096
+
+    seen = mr.reduce_by_key_rdd(df, "k", "v", resident).agg(F.count("key"), F.min("value"), F.max("value")).first()
+    assert seen[0] == keys and 0 < seen[1] and seen[2] - seen[1] < 40_000_000
+
+
+def test_rdd_reduce_of_nested_values_and_odd_keys(spark, rows):
+    pairs = spark.createDataFrame([("a", (1, [1])), (None, (2, [])), ("a", (3, None)), (None, (5, [7])), ("", (4, [4]))], "k string, v struct<n:int,l:array<int>>")
+    largest = mr.reduce_by_key_rdd(pairs.repartition(3), "k", "v", lambda a, b: a if a.n > b.n else b)
+    assert rows(largest.select("key", "value.n", "value.l")) == rows(spark.createDataFrame([("a", 3, None), (None, 5, [7]), ("", 4, [4])], "k string, n int, l array<int>"))
+    zeros = spark.createDataFrame([(0.0, 1), (-0.0, 2), (1.5, 4), (0.0, 8)], "k double, v int").repartition(4)
+    assert rows(mr.reduce_by_key_rdd(zeros, "k", "v", lambda a, b: a + b).select(F.abs("key"), "value")) == [(0.0, 11), (1.5, 4)]
+    cased = spark.createDataFrame([(c,) for c in "aAaAbaA"], "c string").select(F.collate("c", "UTF8_LCASE").alias("k"), F.lit(1).alias("v"))
+    assert rows(mr.reduce_by_key_rdd(cased, "k", "v", lambda a, b: a + b)) == [("A", 3), ("a", 3), ("b", 1)]
+
+
 def _range(pdf):
     return pd.DataFrame({"k": [pdf["k"].iloc[0]], "lo": [pdf["v"].min()], "hi": [pdf["v"].max()]})
 
