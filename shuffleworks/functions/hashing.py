@@ -22,7 +22,8 @@ _EXACT = 9.0e15  # whole numbers below this have exact doubles
 
 def _escaped(text: Column) -> Column:
     doubled = F.replace(text, F.lit("\\"), F.lit("\\\\"))
-    return F.replace(doubled, F.lit(SEPARATOR), F.lit("\\p"))
+    # Looking is far cheaper than replacing, and few values have either.
+    return F.when(text.contains("\\") | text.contains(SEPARATOR), F.replace(doubled, F.lit(SEPARATOR), F.lit("\\p"))).otherwise(text)
 
 
 def _sized(text: Column) -> Column:
@@ -30,6 +31,12 @@ def _sized(text: Column) -> Column:
     return F.concat(F.length(text).cast("string"), F.lit(":"), text)
 
 
+def _sized_field(text: Column, kind: T.DataType) -> Column:
+    """``_sized``, the text of a nested field worked out once: as twice, a value n levels deep would be 2^n times."""
+    nested = isinstance(kind, (T.ArrayType, T.StructType, T.MapType))
+    return F.transform(F.array(text), _sized)[0] if nested else _sized(text)
+
+
 def canonical(column: Column, kind: T.DataType, scale: int | None = None) -> Column:
     """Canonical text of one value, nested ones by recursion over the type; null gives ``\\N``.
 
@@ -57,13 +64,15 @@ def canonical(column: Column, kind: T.DataType, scale: int | None = None) -> Col
     elif isinstance(kind, T.BinaryType):
         text = F.hex(column)
     elif isinstance(kind, T.ArrayType):
-        text = F.array_join(F.transform(column, lambda v: _sized(canonical(v, kind.elementType, scale))), "")
+        texts = F.transform(column, lambda v: canonical(v, kind.elementType, scale))
+        text = F.array_join(F.transform(texts, _sized), "")
     elif isinstance(kind, T.StructType):
-        fields = [_sized(canonical(column.getField(f.name), f.dataType, scale)) for f in kind.fields]
+        fields = [_sized_field(canonical(column.getField(f.name), f.dataType, scale), f.dataType) for f in kind.fields]
         text = F.when(column.isNotNull(), F.concat(F.lit(""), *fields))
     elif isinstance(kind, T.MapType):
-        entry = lambda e: F.concat(_sized(canonical(e["key"], kind.keyType, scale)), _sized(canonical(e["value"], kind.valueType, scale)))
-        text = F.array_join(F.array_sort(F.transform(F.map_entries(column), entry)), "")
+        texts = lambda e: F.array(canonical(e["key"], kind.keyType, scale), canonical(e["value"], kind.valueType, scale))
+        entry = lambda both: F.array_join(F.transform(both, _sized), "")
+        text = F.array_join(F.sort_array(F.transform(F.transform(F.map_entries(column), texts), entry)), "")
     else:
         text = column.cast("string")
     return F.coalesce(text, F.lit(NULL_MARK))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shuffleworks.functions.hashing import canonical_row, hash_words, join_words
+from shuffleworks.session import scratch_path
 
 _WORDS = ("w1", "w2", "w3", "w4")
 
@@ -120,17 +121,23 @@ def _in_bitmap(rows: DataFrame, suspects: DataFrame, key: str) -> DataFrame:
 def suspect_rows(signed: DataFrame) -> DataFrame:
     """The rows whose hashes ``_h1, _h2`` do not balance by ``_sign``, found through a tree of checksums.
 
-    First both sides are summed in 65,536 ranges of the hash, in the map tasks; only the ranges that
-    do not balance are opened, and only the hashes in them are shuffled, to find those that do not
-    balance. Bitmaps of fixed size over two independent parts of these then let rows pass: an equal
+    The hashes, 17 bytes a row, are written to the shared folder at once and read from there, since
+    the texts behind them are most of the work. First both sides are summed in 65,536 ranges of the hash,
+    in the map tasks; only the ranges that do not balance are opened, and only the hashes in them are
+    shuffled, to find those that do not balance. Bitmaps of fixed size over two independent parts of these then let rows pass: an equal
     row passes with a chance of (unequal rows / 2^27)^2, and is sorted out when rows are counted.
     """
     words = [F.shiftright("_h2", s).bitwiseAND(F.lit(0xFFFF)) for s in (0, 16, 32, 48)]  # sums that stay inside bigint
-    ranged = signed.withColumn("_range", _bits(F.col("_h1"), _TOP))
+    hashes = signed.select("_h1", "_h2", F.col("_sign").cast("tinyint").alias("_sign"))
+    path = scratch_path(signed.sparkSession, "row_hashes")
+    hashes.write.parquet(path)
+    # A hash is never null; with this said of both, the two bitmaps share one shuffle.
+    written = signed.sparkSession.read.schema(hashes.schema).parquet(path).where("_h1 is not null and _h2 is not null")
+    ranged = written.withColumn("_range", _bits(F.col("_h1"), _TOP))
     ranges = F.broadcast(_unequal(ranged, ["_range"], *words))  # at most 65,536 numbers
     opened = ranged.join(ranges, "_range", "left_semi").drop("_range")
-    suspects = _unequal(opened.select("_h1", "_h2", "_sign"), ["_h1", "_h2"])
-    return _in_bitmap(_in_bitmap(opened, suspects, "_h1"), suspects, "_h2")
+    suspects = _unequal(opened, ["_h1", "_h2"])
+    return _in_bitmap(_in_bitmap(signed, suspects, "_h1"), suspects, "_h2")
 
 
 def diff_rows(
@@ -141,8 +148,8 @@ def diff_rows(
     ``side`` says where the surplus is. Rows are the same if ``compare`` takes them
     for the same: by their canonical text. With ``by_hash`` unequal rows are found through a tree
     of checksums of 128-bit hashes (``suspect_rows``), so that equal rows are not shuffled, neither
-    whole nor, in ranges without a difference, by their hashes. Best where most rows agree. Without
-    it whole texts are counted at once.
+    whole nor, in ranges without a difference, by their hashes. Best where most rows agree; their hashes
+    are written to the shared folder when this is called. Without it whole texts are counted at once.
     """
     names = _check_columns(left, right, columns)
     signed = _together(left, right, names, "_sign", 1, -1)

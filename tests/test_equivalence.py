@@ -5,7 +5,9 @@ import random
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from shuffleworks.functions.hashing import canonical_row
 from shuffleworks.operators import equivalence as eq
 
 SCHEMA = "a string, n bigint, d double, t timestamp_ntz"
@@ -112,6 +114,29 @@ def test_equal_rows_are_not_shuffled(spark, plan):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_texts_are_worked_out_twice_not_per_pass(spark):
+    """Once for the hashes and once for the rows to be told apart; the ranges and the suspects read the hashes."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(number):
+        seen.add(1)
+        return f"text {number}"
+
+    left = spark.range(1000).select("id", text("id").alias("t"))
+    right = spark.range(1000).selectExpr("id", "if(id % 100 = 7, 'other', 'text ' || id) as t")
+    found = eq.diff_rows(left, right).collect()
+    assert sorted((r.id, r.side) for r in found) == sorted((i, s) for i in range(7, 1000, 100) for s in ("left", "right"))
+    assert seen.value <= 2000
+
+
+def test_text_of_nested_values(spark):
+    value = (["a|b", None, "\\"], {"z": [1.5], "a": []})
+    df = spark.createDataFrame([(value,), (None,)], "s struct<l:array<string>,m:map<string,array<double>>>")
+    texts = {r[0] for r in df.select(canonical_row(df)).collect()}
+    assert texts == {"14:4:a\\pb2:\\N2:\\\\15:1:a0:1:z5:3:1.5", "\\N"}
+
+
 @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.tuples(st.one_of(st.none(), st.text(alphabet="ab|\\N", max_size=3)), st.one_of(st.none(), st.integers(-5, 5))), min_size=1, max_size=20))
 def test_order_does_not_matter_but_repeats_do(spark, data):
