@@ -41,8 +41,9 @@ LOWER = {0x3A3: 0x3C3, 0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0x
 LOWER |= {0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5}
 LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 MARKS = (".", ",", ";", ":", "!", "?")
-CACHE = 400_000  # chunks, and words, that a generation of a task's memory holds; a quarter where the ids themselves are kept
+CACHE = 400_000  # chunks, and words, that a generation of a task's memory holds; an eighth where the ids themselves are kept
 AT_ONCE = 4 << 20  # bytes of text whose new words are merged together
+FLUSH = 2 << 20  # bytes of ids that go out together
 TOGETHER = 24  # words of one tree size from which that is worth a matrix
 CELLS = 1 << 19  # leaves of the trees that are run together
 
@@ -362,7 +363,7 @@ def _chunked(column: pa.Array, chunks: _Chunks, at_once: int = AT_ONCE) -> Itera
 
 def _encode(spec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = _Chunks(Bpe(spec.value, CACHE // 4), lambda ids: np.array(ids, dtype=np.int32).tobytes())
+        chunks = _Chunks(Bpe(spec.value, CACHE // 8), lambda ids: np.array(ids, dtype=np.int32).tobytes())
         for batch in batches:
             names, low, held, size = batch.schema.names, 0, [], 0
             at = len(names) - 1  # the text comes last
@@ -375,10 +376,10 @@ def _encode(spec):
                 own = [batch.column(i).slice(low, len(held)) for i in kept]
                 return pa.RecordBatch.from_arrays([*own, lists], names=[*(names[i] for i in kept), "ids"])
 
-            for own_chunks in _chunked(batch.column(at), chunks, AT_ONCE // 4):
+            for own_chunks in _chunked(batch.column(at), chunks, AT_ONCE // 8):
                 held.append(b"".join(map(chunks.__getitem__, own_chunks)))
                 size += len(held[-1])
-                if size > 16 << 20:
+                if size > FLUSH:
                     yield flushed()
                     low, held, size = low + len(held), [], 0
             if held:

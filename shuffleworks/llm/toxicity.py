@@ -26,7 +26,8 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,7 @@ DECAY = 1e-6
 HELD_OUT = 2  # remainder by 4 of the crc32 of the id
 THRESHOLD = 0.3
 CACHE = 400_000
+CELLS = 1 << 16  # cells of a sparse matrix that are multiplied at once
 WORD = re.compile(r"\w+")
 
 
@@ -77,20 +79,25 @@ def training_ids(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 class _Sums:
-    """A sparse matrix: its product with a dense one, and that of its transpose."""
+    """A sparse matrix: its product with a dense one, and that of its transpose, some whole rows of cells at a time."""
 
     def __init__(self, rows: np.ndarray, columns: np.ndarray, values: np.ndarray, shape: tuple[int, int]):
         self.parts = []
         for a, b, n in ((rows, columns, shape[0]), (columns, rows, shape[1])):
             order = np.argsort(a, kind="stable")
             there, starts = np.unique(a[order], return_index=True)
-            self.parts.append((b[order], values[order][:, None].astype(np.float32), there, starts, n))
+            ends = np.append(starts[1:], len(order))
+            cuts = [0]  # a row of more cells than CELLS goes alone
+            while cuts[-1] < len(there):
+                cuts.append(max(cuts[-1] + 1, int(np.searchsorted(ends, starts[cuts[-1]] + CELLS, "right"))))
+            self.parts.append((b[order], values[order][:, None].astype(np.float32), there, starts, ends, cuts, n))
 
     def dot(self, dense: np.ndarray, transposed: bool = False) -> np.ndarray:
-        other, values, there, starts, n = self.parts[transposed]
+        other, values, there, starts, ends, cuts, n = self.parts[transposed]
         out = np.zeros((n, dense.shape[1]), dtype=np.float32)
-        if len(there):
-            out[there] = np.add.reduceat(dense[other] * values, starts, axis=0)
+        for a, b in zip(cuts, cuts[1:]):
+            low, high = starts[a], ends[b - 1]
+            out[there[a:b]] = np.add.reduceat(dense[other[low:high]] * values[low:high], starts[a:b] - low, axis=0)
         return out
 
 
@@ -99,26 +106,32 @@ def bag(text: str) -> dict[str, None]:
     return dict.fromkeys(WORD.findall(text.lower()))
 
 
-def _bags(texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Each text's distinct words as numbers, and each number's buckets."""
+def _bags(texts: Iterable[str]) -> tuple[list[np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Each text's distinct words as numbers; the buckets of all numbers in a row, and where each number's end."""
     index: dict[str, int] = {}
     bags = [np.array([index.setdefault(w, len(index)) for w in bag(t)], dtype=np.int32) for t in texts]
-    return bags, [np.array(grams(w), dtype=np.int32) for w in index]
+    buckets, ends = array("i"), array("q", [0])
+    for word in index:
+        buckets.extend(grams(word))
+        ends.append(len(buckets))
+    return bags, (np.frombuffer(buckets, np.int32) if buckets else np.zeros(0, np.int32), np.frombuffer(ends, np.int64))
 
 
-def _buckets(bag: np.ndarray, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _buckets(bag: np.ndarray, parts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The buckets of a text and their weights in its mean."""
     if not len(bag):
         return np.zeros(0, np.int32), np.zeros(0)
-    own = [parts[w] for w in bag]
+    buckets, ends = parts
+    own = [buckets[a:b] for a, b in zip(ends[bag], ends[bag + 1])]
     shares = np.repeat([1 / len(p) / (len(bag) + PAD) for p in own], [len(p) for p in own])
     there, inverse = np.unique(np.concatenate(own), return_inverse=True)
     return there, np.bincount(inverse, shares, len(there))
 
 
-def fit(texts: list[str], toxic: np.ndarray, steps: int = STEPS, stands_for: tuple[float, float] = (1.0, 1.0)) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def fit(texts: Iterable[str], toxic: np.ndarray, steps: int = STEPS, stands_for: tuple[float, float] = (1.0, 1.0)) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Buckets with a vector, their vectors, softmax weights and biases.
 
+    Texts are read once, one after the other, and not kept.
     A text of class c weighs ``stands_for[c]`` in the loss and in the class shares.
 
     An n-gram that is about as frequent in both classes keeps the zero vector.
@@ -126,20 +139,24 @@ def fit(texts: list[str], toxic: np.ndarray, steps: int = STEPS, stands_for: tup
     """
     bags, parts = _bags(texts)
     n = np.array([(toxic == 0).sum(), (toxic == 1).sum()])
-    seen = np.zeros((2, BUCKETS))
+    seen = np.zeros((2, BUCKETS), dtype=np.int32)
     for bag, label in zip(bags, toxic):
         seen[label, _buckets(bag, parts)[0]] += 1
-    both = seen.sum(axis=0) / len(texts)
+    there = np.flatnonzero(seen.any(axis=0))
+    seen = seen[:, there]
+    both = seen.sum(axis=0) / len(toxic)
     error = np.sqrt(np.maximum(both * (1 - both), 1e-9) * (1 / np.maximum(n, 1)).sum())
-    active = np.flatnonzero(np.abs(seen[1] / max(n[1], 1) - seen[0] / max(n[0], 1)) > SCREEN * error)
+    active = there[np.abs(seen[1] / max(n[1], 1) - seen[0] / max(n[0], 1)) > SCREEN * error]
     place = np.full(BUCKETS, -1, dtype=np.int32)
     place[active] = np.arange(len(active))
     cells = []
     for row, bag in enumerate(bags):
         there, weights = _buckets(bag, parts)
         kept = place[there] >= 0
-        cells.append((np.full(kept.sum(), row), place[there[kept]], weights[kept]))
-    means = _Sums(*(np.concatenate(c) for c in zip(*cells)), (len(texts), len(active)))
+        cells.append((np.full(kept.sum(), row, np.int32), place[there[kept]], weights[kept].astype(np.float32)))
+    del bags, parts, place, seen  # the rounds need the cells only
+    means = _Sums(*(np.concatenate(c) for c in zip(*cells)), (len(toxic), len(active)))
+    del cells
     rng = np.random.default_rng(1)
     params = [np.zeros((len(active), WIDTH), np.float32), rng.normal(0, 1, (WIDTH, 2)).astype(np.float32)]
     shares = n * np.array(stands_for)
@@ -162,11 +179,14 @@ def fit(texts: list[str], toxic: np.ndarray, steps: int = STEPS, stands_for: tup
 
 def _train(totals: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((r["doc_id"], r["toxic"], r["text"]) for batch in batches for r in batch.to_pylist())
+        # Texts stay as bytes: a Python text with one far character takes four bytes a letter. There is one row per doc_id.
+        rows = sorted(row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "toxic")), batch.column("text").cast(pa.binary()).to_pylist()))
         if rows:
             toxic = np.array([r[1] for r in rows])
             stands_for = tuple(totals.get(c, 0) / max(1, int((toxic == c).sum())) for c in (0, 1))
-            active, vectors, weights, bias = fit([r[2] for r in rows], toxic, stands_for=stands_for)
+            texts = (rows.pop()[2].decode() for _ in range(len(rows)))
+            rows.reverse()  # so that each text goes once it is read
+            active, vectors, weights, bias = fit(texts, toxic, stands_for=stands_for)
             # Two classes: only the difference of their logits counts, and it is linear in the n-grams.
             shares = (vectors @ (weights[:, 1] - weights[:, 0])).astype(float)
             yield pa.RecordBatch.from_pylist([{"buckets": active.tolist(), "shares": shares.tolist(), "bias": float(bias[1] - bias[0])}])

@@ -220,3 +220,32 @@ def test_toxicity_scores_are_the_networks(spark):
         of_word = [sum(vectors[place[b]] if b in place else 0 for b in toxicity.grams(w)) / len(toxicity.grams(w)) for w in words]
         odds = np.exp(sum(of_word, np.zeros(toxicity.WIDTH)) / (len(words) + toxicity.PAD) @ weights + bias)
         assert found[ident] == pytest.approx(odds[1] / odds.sum(), abs=1e-5)
+
+
+def test_training_holds_neither_texts_nor_all_products(monkeypatch):
+    """Texts are read once, and a product is made of a few cells at a time, with the same sums."""
+    rng = np.random.default_rng(2)
+    rows, columns = (rng.integers(0, n, 900) for n in (40, 30))
+    rows[:200] = 7  # one row beyond the bound
+    values, dense, back = rng.random(900), *(rng.random((n, 8)).astype(np.float32) for n in (30, 40))
+    whole = toxicity._Sums(rows, columns, values, (40, 30))
+    sizes = []
+    real = np.add
+
+    class Add:
+        @staticmethod
+        def reduceat(products, *args, **kwargs):
+            sizes.append(len(products))
+            return real.reduceat(products, *args, **kwargs)
+
+    expected = whole.dot(dense), whole.dot(back, transposed=True)
+    monkeypatch.setattr(toxicity, "CELLS", 50)
+    parts = toxicity._Sums(rows, columns, values, (40, 30))
+    monkeypatch.setattr(toxicity, "np", SimpleNamespace(**{**vars(np), "add": Add}))
+    assert np.array_equal(parts.dot(dense), expected[0]) and np.array_equal(parts.dot(back, transposed=True), expected[1])
+    assert len(sizes) > 20 and sorted(sizes)[-2] <= 50
+    assert toxicity._Sums(rows[:0], columns[:0], values[:0], (3, 2)).dot(dense[:2]).tolist() == [[0.0] * 8] * 3
+    monkeypatch.undo()
+    texts, toxic = [f"some plain words {'blorg' * (i % 2)}" for i in range(60)], np.arange(60) % 2
+    once = toxicity.fit(iter(texts), toxic, steps=3)
+    assert all(np.array_equal(a, b) for a, b in zip(once, toxicity.fit(texts, toxic, steps=3)))

@@ -3,7 +3,9 @@
 import random
 import re
 import zlib
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from hypothesis import given, settings
@@ -144,3 +146,16 @@ def test_trees_run_together_merge_as_one_by_one(monkeypatch):
     monkeypatch.setattr(bpe, "CELLS", 64)
     model.learn(words)
     assert {w: model.words[w] for w in words} == expected
+
+
+def test_ids_go_out_a_few_megabytes_at_a_time(own):
+    """Encoded texts must not pile up until a whole Arrow batch is done."""
+    texts = [f"alpha beta gamma {i}. " * 4000 for i in range(60)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(60)), "text": texts})
+    sizes, found, ids = [], [], []
+    for part in bpe._encode(SimpleNamespace(value=bpe.load()))(iter([batch])):
+        sizes.append(len(part.column("ids").values) * 4)
+        found += part.column("doc_id").to_pylist()
+        ids += part.column("ids").to_pylist()
+    assert found == list(range(60)) and all(ids[i] == [x for w in texts[i].split() for x in own.encode(w)] for i in (0, 7, 59))
+    assert max(sizes) < 4 << 20 < sum(sizes)
