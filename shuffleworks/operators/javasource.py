@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from shuffleworks.constants import MAIN_METHOD
 from shuffleworks.functions.javascan import File
 from shuffleworks.operators.corpus import classify_role
-from shuffleworks.session import durable
+from shuffleworks.session import arrow_batches, durable
 
 _FILES = 64  # files that are held as Python objects at once
+BATCH_BYTES = "2m"  # of texts that a worker gets at once, where the scan is run here; Spark sends up to 64 MB otherwise
 
 _TERMS = pa.list_(pa.struct([("text", pa.string()), ("name", pa.string())]))
 _SCHEMA = pa.schema(
@@ -92,6 +93,12 @@ def scan(files: DataFrame, path: str = "path", content: str = "content") -> Data
     return files.select(F.col(path).alias("file_path"), marks.alias("marks"), text).mapInArrow(_scan, _DDL)
 
 
+def scan_once(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """``scan``, run now in small batches and kept, for results that are read several times."""
+    with arrow_batches(files.sparkSession, BATCH_BYTES):
+        return durable(scan(files, path, content))
+
+
 def scan_classes(scanned: DataFrame) -> DataFrame:
     """One row per class, in the order in which they begin: the columns of ``extract_classes``, and
 

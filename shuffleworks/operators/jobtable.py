@@ -17,7 +17,7 @@ from shuffleworks.constants import (
     MISSING_JOBS_ERROR,
 )
 from shuffleworks.operators import javasource
-from shuffleworks.session import durable
+from shuffleworks.session import arrow_batches, durable
 
 _CLASS = "struct<class_name:string,role:string>"
 _GRAPH_SCHEMA = "jobs array<string>, chain_count int, complexity string"
@@ -139,7 +139,8 @@ def assemble_jobs(files: DataFrame, classes: DataFrame, path: str = "path", cont
     ``files`` by ``javasource.scan``; the files are not read again then. Paths of files are not null.
     """
     found = scanned if scanned is not None else javasource.scan(files.where(F.col(content).rlike(_SETTER)), path, content)
-    settings = durable(_settings(found))  # small: file texts are gone
+    with arrow_batches(files.sparkSession, javasource.BATCH_BYTES):
+        settings = durable(_settings(found))  # small: file texts are gone
     jobs = settings.where(F.col("slot").isin(_SLOTS)).select(*_JOB).distinct()
     settings = settings.join(jobs, _JOB, "left_semi")
 
@@ -166,7 +167,8 @@ def assemble_jobs(files: DataFrame, classes: DataFrame, path: str = "path", cont
     # Paths and titles: texts, in the order of the calls.
     told = settings.where(F.col("slot").isin("input_path", "output_path", "title"))
     if constants is None and not told.where(javasource.names_left(F.col("terms"))).isEmpty():
-        everything = scanned if scanned is not None else durable(javasource.scan(files, path, content).select("file_path", "package", "imports", "fields"))
+        with arrow_batches(files.sparkSession, javasource.BATCH_BYTES):
+            everything = scanned if scanned is not None else durable(javasource.scan(files, path, content).select("file_path", "package", "imports", "fields"))
         constants = javasource.resolve_constants(everything)
     values = javasource.texts(told, constants, [*_JOB, "slot", "call", "at", "arg"])
     # One call may name several paths, and one that sets them drops those before it.

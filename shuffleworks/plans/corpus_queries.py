@@ -13,7 +13,7 @@ from shuffleworks import testkit
 from shuffleworks.functions.text import split_top_level
 from shuffleworks.operators import corpus, deps, javasource, jobtable, payloads, schemas
 from shuffleworks.plans.registry import Registry
-from shuffleworks.session import durable, scratch_path
+from shuffleworks.session import arrow_batches, durable, scratch_path
 from shuffleworks.sources import files
 from shuffleworks.sources.tree import address
 from shuffleworks.testkit import table
@@ -443,7 +443,7 @@ def _paths(column: str) -> Column:
 )
 def assembled_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = testkit.driver_files(spark, sf_dir)
-    scanned = durable(javasource.scan(files))
+    scanned = javasource.scan_once(files)
     jobs = jobtable.assemble_jobs(files, javasource.scan_classes(scanned), scanned=scanned)
     return jobs.withColumns({c: _paths(c) for c in ("input_paths", "output_paths")})
 
@@ -458,7 +458,7 @@ def assembled_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT file_path, c[1] AS qualified, c[2] AS outer_class, c[3] AS role, c[4] AS methods, CAST(c[5] AS BIGINT) AS n_fields FROM c"
 )
 def nested_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scanned = durable(javasource.scan(testkit.driver_files(spark, sf_dir)))
+    scanned = javasource.scan_once(testkit.driver_files(spark, sf_dir))
     classes = javasource.scan_classes(scanned)
     methods = javasource.scan_methods(scanned).groupBy("file_path", F.col("class").alias("qualified")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "method"))), lambda m: m["method"]), ";").alias("methods")
@@ -476,7 +476,9 @@ def nested_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     "FROM d, (SELECT unnest([0, 1]) AS pos) WHERE lang = 'de'"
 )
 def own_key_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schemas.own_key_fields(javasource.scan(testkit.driver_files(spark, sf_dir)))
+    files = testkit.driver_files(spark, sf_dir)
+    with arrow_batches(spark, javasource.BATCH_BYTES):
+        return durable(schemas.own_key_fields(javasource.scan(files)))
 
 
 _CHAIN = (

@@ -37,7 +37,7 @@ def analyse_project(
     scanned = scan_files(spark, root, skip_build_dirs)
     files, errors = corpus.split_good_bad(scanned)
     sources = files.where(F.col("kind") == "source")
-    parsed = durable(javasource.scan(sources))
+    parsed = javasource.scan_once(sources)
     classes = durable(javasource.scan_classes(parsed))
     fields, unresolved = schemas.resolve_schemas(classes, sources, scan_schemas(spark, root))
     risks = deps.scan_risks(classes, files.where(F.col("kind") == "build"), prefixes)

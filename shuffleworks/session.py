@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def get_session(
@@ -81,3 +84,18 @@ def durable(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+@contextmanager
+def arrow_batches(spark: SparkSession, size: str) -> Iterator[None]:
+    """Jobs that run in here send Arrow batches of about ``size`` bytes to Python, a row at least.
+
+    A worker holds a batch until it has the next one. The setting is read when a job runs and is the session's, so what
+    has to keep to it must be run in here (``durable``); jobs of other threads only get smaller batches meanwhile.
+    """
+    before = spark.conf.get(BATCH_CONF)
+    spark.conf.set(BATCH_CONF, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_CONF, before)

@@ -1,10 +1,16 @@
 """One scan of Java source: scopes, members, extents; constants and jobs over several files."""
 
+import uuid
+
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from shuffleworks import testkit
 from shuffleworks.functions.javascan import File
 from shuffleworks.operators import javasource, jobtable, schemas
+from shuffleworks.plans import corpus_queries
+from shuffleworks.session import BATCH_CONF
 
 HADOOP = '''package org.apache.demo;
 import java.util.*;
@@ -146,3 +152,30 @@ def test_files_of_a_batch_go_out_a_few_at_a_time():
         sizes.append(part.num_rows)
         found += part.column("file_path").to_pylist()
     assert found == names and max(sizes) <= 64
+
+
+@pytest.mark.parametrize("name", ["assembled_drivers", "nested_classes", "own_key_fields", "assemble_jobs"])
+def test_texts_reach_a_worker_in_small_batches(spark, monkeypatch, tmp_path, name):
+    """A worker holds two batches of texts, so what it gets at once must not grow with its task."""
+    scan, folder = javasource._scan, str(tmp_path)
+
+    def noted(batches):
+        for batch in batches:
+            with open(f"{folder}/{uuid.uuid4()}", "w") as file:
+                file.write(f"{batch.num_rows} {batch.nbytes}")
+            yield from scan(iter([batch]))
+
+    content = F.concat(F.lit(HADOOP + "/*"), F.repeat(F.lit("x"), 100_000), F.lit("*/"))
+    files = spark.range(0, 120, 1, 1).select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("path"), content.alias("content"))
+    monkeypatch.setattr(javasource, "_scan", noted)
+    monkeypatch.setattr(testkit, "driver_files", lambda *_: files)
+    before = spark.conf.get(BATCH_CONF)
+    if name == "assemble_jobs":
+        classes = spark.createDataFrame([], "class_name string, file_path string, package string")
+        jobs = jobtable.assemble_jobs(files, classes)
+        assert jobs.count() == 240
+    else:
+        corpus_queries.REGISTRY.queries[name](spark, "").collect()
+    seen = [tuple(map(int, note.read_text().split())) for note in tmp_path.iterdir()]
+    assert sum(rows for rows, _ in seen) % 120 == 0 and max(size for _, size in seen) < 3 << 20
+    assert spark.conf.get(BATCH_CONF) == before
