@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shuffleworks.session import scratch_path
+from shuffleworks.session import scratch_path, shuffles_removed
 
 #: What the contracts call white space: ``[\x20\x09-\x0D]``.
 SPACE = b" \t\n\x0b\x0c\r"
@@ -27,6 +29,32 @@ def cut(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables between steps like those of ``cut``, which go as soon as no later step reads them.
+
+    A step's shuffle files go when its table is written, not when the driver collects its garbage.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def cut(self, name: str, *parts: DataFrame | Iterable[DataFrame]) -> DataFrame:
+        """The rows of all parts, written one after the other; a part is made when its turn comes."""
+        path = self.paths[name] = scratch_path(self.spark, name)
+        schema = None
+        with shuffles_removed(self.spark):
+            for part in (x for p in parts for x in ([p] if isinstance(p, DataFrame) else p)):
+                part.write.mode("append").parquet(path)
+                schema = part.schema
+        return self.spark.read.schema(schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Delete tables. No frame that is still to be run may read them."""
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}

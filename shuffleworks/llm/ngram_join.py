@@ -10,12 +10,18 @@ grows with the set, so that a chance match is not enough.
    only groups are joined.
 2. Group pairs: the groups with a shingle in their prefix, in pairs of fitting
    sizes, counted over all shingles. A list of more than ``LIST`` groups, and that
-   of a very common shingle, is not paired: it only says that its groups may match.
-3. Pairs with enough common shingles, and such lists, tie groups to clusters.
+   of a very common shingle, is not paired; each group counts the shingles that it
+   has in such lists. A pair needs so many less in common as its group with fewer
+   of them has; without any other in common, both groups have as many as it needs.
+3. Pairs with enough common shingles tie groups to clusters, and so do the rarest
+   such lists of the groups that have enough of them: all but ``l - 1``, since two
+   groups that match by lists alone are together in ``l`` of them.
 4. Groups are expanded to classes. A cluster is cut into blocks of bounded size,
    and each pair of blocks is verified exactly, by products of 0/1 matrices. A
    block pair gives a spanning forest of its links and their number per class,
-   never the links one by one.
+   never the links one by one. Block pairs go out in rounds that shuffle about
+   twice the sets (``ROUND`` bytes at least), so that a cluster of many blocks
+   takes more rounds and not more disk.
 5. Links give components; classes are expanded to documents.
 
 The order only decides how much work there is; every pair that could match meets
@@ -36,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shuffleworks.llm.common import cut, keep_rows, whole_text
+from shuffleworks.llm.common import Scratch, cut, keep_rows, whole_text
 from shuffleworks.llm.components import components
 
 HEAVY = 1 << 18  # shingles whose counts decide the order: two numbers each are sent to all tasks
@@ -45,7 +51,8 @@ STAR = 256  # texts from which a shingle's groups are tied without a list
 LIST = 64  # groups of a shingle that are paired one by one
 BLOCK = 512  # classes of a block
 BLOCK_SHINGLES = 400_000  # and their shingles together
-BUCKETS = 1 << 19  # of ids, to leave out texts that are not wanted before they are shuffled
+ROUND = 256 << 20  # bytes of sets that a round of verification may shuffle, however few there are
+WORDS = 1 << 18  # rows of a bitmap, of 64 bits each, that are sent to all tasks
 FLUSH = 6_000_000  # shingles that a task counts at once
 PORTION = 4 << 20  # bytes of text that a task hashes at once; a longer text is alone
 CHUNKED = 64  # bytes of a word up to which it is hashed together with others
@@ -189,12 +196,26 @@ def _digests(sets: list[np.ndarray]) -> np.ndarray:
 _ROW = [("tag", "long"), ("doc_id", "long"), ("text_key", "long"), ("n_chars", "long")]
 _SET = [("n", "long"), ("s1", "long"), ("s2", "long"), ("p1", "long"), ("p2", "long")]
 _MEMBER = ["rep", "cluster", "band", "n_blocks", "n_below", "n_above", "size"]
-_ROWS = ", ".join(f"{a} {b}" for a, b in _ROW + _SET) + ", prefix array<long>"
+_ROWS = ", ".join(f"{a} {b}" for a, b in _ROW + _SET) + ", few long, prefix array<long>, stars array<long>"
+LISTS = -(1 << 62)  # nodes of long lists are below, those of stars above, rarest first, so that nodes ascend in the common order
+STARS = -(1 << 40)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays), pa.int64()))
+
+
+def fewest_common(n: int, num: int, den: int) -> int:
+    """The least that ``least_common`` is of a set of ``n`` or of any set that matches it."""
+    return least_common(needed(n, num, den))
 
 
 def _prefixes(width: int, num: int, den: int, heavy):
+    """Texts -> their sets' digests and prefixes; stars, which are last in a prefix, apart and as nodes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, ranks = heavy.value
+        known, ranks, first_star = heavy.value
         likely = np.zeros(1 << 22, dtype=bool)  # by a shingle's upper bits: few others need the search
         likely[known >> np.uint64(42)] = True
 
@@ -209,30 +230,43 @@ def _prefixes(width: int, num: int, den: int, heavy):
         for batch in batches:
             for rows, values, bounds in _sets(batch, width):
                 rank = ranked(values)
-                sets, prefixes = [], []
+                sets, prefixes, plain, stars = [], [], [], []
                 places = bounds.tolist()
                 for a, b in zip(places[:-1], places[1:]):
                     found, n = values[a:b], b - a
                     sets.append(found)
                     length = n - needed(n, num, den) + least_common(n) if n else 0
-                    # Sorted by hash already, so a stable sort by rank gives the common order.
-                    prefixes.append(found[np.argsort(rank[a:b], kind="stable")[:length]] if rank[a:b].any() else found[:length])
-                offsets = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefixes).view(np.int64)))
-                keys = np.hstack([np.diff(bounds)[:, None], _digests(sets), _digests(prefixes)])
+                    if rank[a:b].any():
+                        # Sorted by hash already, so a stable sort by rank gives the common order.
+                        order = np.argsort(rank[a:b], kind="stable")[:length]
+                        sorted_ranks = rank[a:b][order]
+                        split = int(np.searchsorted(sorted_ranks, first_star))
+                        prefixes.append(found[order])
+                        stars.append(STARS + sorted_ranks[split:])
+                    else:
+                        split = length
+                        prefixes.append(found[:length])
+                        stars.append(rank[:0])
+                    plain.append(prefixes[-1][:split].view(np.int64))
+                few = [fewest_common(n, num, den) for n in np.diff(bounds).tolist()]
+                keys = np.hstack([np.diff(bounds)[:, None], _digests(sets), _digests(prefixes), np.array(few)[:, None]])
                 columns = [pa.array(np.ascontiguousarray(c), pa.int64()) for c in keys.T]
                 yield pa.RecordBatch.from_arrays(
-                    [*(rows.column(n) for n, _ in _ROW), *columns, lists], names=[n for n, _ in _ROW + _SET] + ["prefix"]
+                    [*(rows.column(n) for n, _ in _ROW), *columns, _lists(plain), _lists(stars)],
+                    names=[n for n, _ in _ROW + _SET] + ["few", "prefix", "stars"],
                 )
 
     return run
 
 
 def _pairs(num: int, den: int):
-    """Rows (token, gid, n) sorted by token -> (u, v, need): pairs of fitting sizes, or need 0 for a list that is not paired."""
+    """Rows (token, gid, n) sorted by token -> (u, v, need): pairs of fitting sizes.
+
+    A list that is not paired gives its groups with its node as v and less than 0 as need, minus ``fewest_common``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, held, leader, long = None, [], None, False
+        token, held, node, long = None, [], 0, False
         out: list[tuple[int, int, int]] = []
 
         def close() -> None:
@@ -255,13 +289,12 @@ def _pairs(num: int, den: int):
             for t, g, n in zip(tokens[near].tolist(), gids[near].tolist(), sizes[near].tolist()):
                 if t != token:
                     close()
-                    token, held, leader, long = t, [], g, False
-                if not long and len(held) < LIST:
-                    held.append((g, n))
+                    token, held, node, long = t, [], LISTS - ((t & (1 << 64) - 1) >> 2), False
+                held.append((g, n))
+                if not long and len(held) <= LIST:
                     continue
-                # Too long to be paired: tie all to the first, and go on without holding them.
-                out.extend((min(leader, x), max(leader, x), 0) for x, _ in held[1:])
-                out.append((min(leader, g), max(leader, g), 0))
+                # Too long to be paired: go on without holding it.
+                out.extend((x, node, -fewest_common(m, num, den)) for x, m in held)
                 held, long = [], True
                 if len(out) >= 200_000:
                     yield flushed()
@@ -365,6 +398,19 @@ def _verify(num: int, den: int):
     return run
 
 
+def bitmap(df: DataFrame, number: Column) -> DataFrame:
+    """The numbers that ``df`` has, 64 to a row."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(number, F.lit(64)).cast("int"))
+    return df.groupBy(F.shiftright(number, 6).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+
+
+def marked(df: DataFrame, number: str, bits: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose number is in the bitmap, which is sent to all tasks if it has ``WORDS`` rows at most."""
+    bits = F.broadcast(bits) if bits.count() <= WORDS else bits
+    found = df.join(bits, F.shiftright(number, 6) == F.col("_word"))
+    return found.where(F.getbit("_bits", F.pmod(number, F.lit(64)).cast("int")) == 1).select(*df.columns)
+
+
 def near_duplicates(docs: DataFrame, width: int, num: int, den: int = 100) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, n_links, kept, text_key, n_chars.
 
@@ -379,54 +425,73 @@ def near_duplicates(docs: DataFrame, width: int, num: int, den: int = 100) -> Da
         F.length(whole_text()).cast("long").alias("n_chars"),
         whole_text().alias("text"),
     )
+    scratch = Scratch(spark)
     known, ranks, counts = heavy_shingles(texts, width)
-    sent = spark.sparkContext.broadcast((known, ranks))
-    sets = cut(texts.mapInArrow(_prefixes(width, num, den, sent), _ROWS), "sets")
+    first_star = int(np.count_nonzero(counts < STAR)) + 1  # ranks go by count
+    sent = spark.sparkContext.broadcast((known, ranks, first_star))
+    sets = scratch.cut("sets", texts.mapInArrow(_prefixes(width, num, den, sent), _ROWS))
+    keys = scratch.cut("keys", sets.select("tag", "doc_id", "text_key", "n_chars", "n", "s1", "s2"))
 
     classes = sets.where("n > 0").groupBy("s1", "s2", "n").agg(
         F.min("tag").alias("rep"), F.min("p1").alias("p1"), F.min("p2").alias("p2"), F.min("doc_id").alias("low_id"), F.count(F.lit(1)).alias("size")
     )
-    classes = cut(classes, "classes")
-    groups = cut(classes.groupBy("p1", "p2", "n").agg(F.min("rep").alias("gid"), F.count(F.lit(1)).alias("n_classes")), "groups")
-
-    # Group pairs.
-    leaders = sets.join(groups.select(F.col("gid").alias("tag")), "tag", "left_semi")
-    tokens = leaders.select(F.explode("prefix").alias("token"), F.col("tag").alias("gid"), "n")
-    starred = [(int(t), -1 - int(r)) for t, r, n in zip(known.view(np.int64), ranks, counts) if n >= STAR]
-    ranked = F.broadcast(spark.createDataFrame(starred, "token long, node long"))  # at most HEAVY rows
-    marked = tokens.join(ranked, "token", "left")
-    stars = marked.where("node is not null").select(F.col("gid").alias("u"), F.col("node").alias("v"), F.lit(0).cast("long").alias("need"))
-    lists = marked.where("node is null").select("token", "gid", "n").repartition("token").sortWithinPartitions("token")
+    classes = scratch.cut("classes", classes)
+    groups = scratch.cut("groups", classes.groupBy("p1", "p2", "n").agg(F.min("rep").alias("gid"), F.count(F.lit(1)).alias("n_classes")))
+
+    # Group pairs, and the nodes of stars and long lists that each group is in.
+    leaders = marked(sets, "tag", scratch.cut("leaders", bitmap(groups, F.col("gid")))).withColumnRenamed("tag", "gid")
+    lists = leaders.select(F.explode("prefix").alias("token"), "gid", "n").repartition("token").sortWithinPartitions("token")
     met = lists.mapInArrow(_pairs(num, den), "u long, v long, need long").groupBy("u", "v").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need"))
-    tied = met.where("n >= need").select("u", "v").unionByName(stars.select("u", "v").distinct())
+    met = scratch.cut("met", met)
+    in_lists = met.where("need < 0").select(F.col("u").alias("gid"), F.col("v").alias("node"), (-F.col("need")).alias("few"))
+    in_stars = leaders.where(F.size("stars") > 0).select("gid", F.explode("stars").alias("node"), "few")
+    held = in_lists.unionByName(in_stars).groupBy("gid").agg(F.array_sort(F.collect_list("node")).alias("nodes"), F.max("few").alias("few"))
+    held = scratch.cut("held", held.withColumn("n_nodes", F.size("nodes").cast("long")))
+    scratch.drop("sets", "leaders")
+
+    rarest = F.slice("nodes", F.lit(1), (F.col("n_nodes") - F.col("few") + 1).cast("int"))
+    by_node = held.where("n_nodes >= few").select(F.col("gid").alias("u"), F.explode(rarest).alias("v"))
+    by_pair = met.where("need > 0 and n >= need").select("u", "v")
+    short = met.where("need > 0 and n < need")
+    for end in ("u", "v"):
+        short = short.join(held.select(F.col("gid").alias(end), F.col("n_nodes").alias(f"nodes_{end}")), end)
+    by_both = short.where("n + least(nodes_u, nodes_v) >= need").select("u", "v")
+    tied = scratch.cut("tied", by_pair.unionByName(by_both).unionByName(by_node))
+    scratch.drop("met", "held")
     clustered = components(tied).withColumnsRenamed({"node": "gid", "component": "cluster"})
 
     # Groups to classes, and clusters of two or more classes to blocks.
-    named = groups.join(clustered, "gid", "left").select("p1", "p2", "n", F.coalesce("cluster", "gid").alias("cluster"))
-    placed = cut(classes.join(cut(named, "named"), ["p1", "p2", "n"]).select("rep", "s1", "s2", "n", "size", "cluster"), "placed")
+    named = scratch.cut("named", groups.join(clustered, "gid", "left").select("p1", "p2", "n", F.coalesce("cluster", "gid").alias("cluster")))
+    placed = scratch.cut("placed", classes.join(named, ["p1", "p2", "n"]).select("rep", "s1", "s2", "n", "size", "cluster"))
+    scratch.drop("tied", "groups", "named")
     total = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles")).where("members > 1")
     large = (F.col("members") > BLOCK) | (F.col("shingles") > BLOCK_SHINGLES)
-    wanted = placed.join(cut(total.select("cluster", large.alias("large")), "clusters"), "cluster")
+    wanted = placed.join(scratch.cut("clusters", total.select("cluster", large.alias("large"))), "cluster")
     # Sets of a ratio below the similarity cannot match: a large cluster is cut into bands of sizes first.
     band = F.when(F.col("large"), F.floor(F.log(F.col("n").cast("double")) / (math.log(den / num) * (1 + 1e-9)))).otherwise(0).cast("int")
-    wanted = cut(wanted.withColumn("band", band), "banded")
+    wanted = scratch.cut("banded", wanted.withColumn("band", band))
+    scratch.drop("placed", "clusters")
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("n_blocks")
-    bands = cut(wanted.groupBy("cluster", "band").agg(blocks), "bands")
+    bands = scratch.cut("bands", wanted.groupBy("cluster", "band").agg(blocks))
     beside = bands.select("cluster", (F.col("band") + 1).alias("band"), F.col("n_blocks").alias("n_below"))
     above = bands.select("cluster", (F.col("band") - 1).alias("band"), F.col("n_blocks").alias("n_above"))
-    bands = cut(bands.join(beside, ["cluster", "band"], "left").join(above, ["cluster", "band"], "left").na.fill(0), "beside")
+    bands = scratch.cut("beside", bands.join(beside, ["cluster", "band"], "left").join(above, ["cluster", "band"], "left").na.fill(0))
     wanted = wanted.drop("large").join(bands, ["cluster", "band"])
-    wanted = cut(wanted.join(sets.select(F.col("tag").alias("rep"), "doc_id", "text_key"), "rep"), "wanted")
+    wanted = scratch.cut("wanted", wanted.join(keys.select(F.col("tag").alias("rep"), "doc_id", "text_key"), "rep"))
 
     # Only texts that may be wanted are shuffled: a hash of their id and text is among those of the wanted ones.
-    hashed = F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(BUCKETS))
-    buckets = F.broadcast(wanted.select(hashed.alias("bucket")).distinct())  # at most BUCKETS rows
-    likely = texts.select("doc_id", "text_key", "text").withColumn("bucket", hashed).join(buckets, "bucket", "left_semi")
+    hashed = F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(64 * WORDS))
+    bits = scratch.cut("bits", bitmap(wanted, hashed))
+    likely = marked(texts.select("doc_id", "text_key", "text").withColumn("bucket", hashed), "bucket", bits)
     likely = likely.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "text")
     found = likely.join(wanted, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("text_key")))
     members = found.select("text", "s1", "s2", *_MEMBER).mapInArrow(
         _members(width), "rep long, cluster long, band int, n_blocks int, n_below int, n_above int, size long, shingles binary"
     )
+    members = scratch.cut("members", members)
+    weight = F.octet_length("shingles").cast("long")
+    once, dealt = members.agg(F.sum(weight), F.sum(weight * (F.col("n_blocks") + F.col("n_below") + F.col("n_above")))).first()
+    rounds = max(1, -(-(dealt or 0) // max(2 * (once or 0), ROUND)))
 
     def block(bands: str) -> Column:
         return F.sequence(F.lit(0), F.col(bands) - 1)
@@ -441,28 +506,40 @@ def near_duplicates(docs: DataFrame, width: int, num: int, den: int = 100) -> Da
         F.when(F.col("n_above") > 0, F.transform(block("n_above"), lambda x: cells(here, own, here + 1, x))).otherwise(none),
         F.when(F.col("n_below") > 0, F.transform(block("n_below"), lambda x: cells(here - 1, x, here, own))).otherwise(none),
     )
-    dealt = members.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int")).withColumn("cell", F.explode(met))
-    dealt = dealt.select("cluster", "cell.*", "rep", (here * (1 << 20) + own).alias("side"), "size", "shingles")
     # A cell of a block and itself verifies the block, another one the pairs between its two blocks.
     cell = ["cluster", "low", "i", "high", "j"]
-    links = cut(dealt.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_verify(num, den), "u long, v long, w long"), "links")
+
+    def verified(turn: int) -> DataFrame:
+        def due(c: Column) -> Column:
+            return F.pmod(F.xxhash64("cluster", *(c[n] for n in cell[1:])), F.lit(rounds)) == turn
+
+        placed = members.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"))
+        placed = placed.withColumn("cell", F.explode(F.filter(met, due) if rounds > 1 else met))
+        placed = placed.select("cluster", "cell.*", "rep", (here * (1 << 20) + own).alias("side"), "size", "shingles")
+        return placed.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_verify(num, den), "u long, v long, w long")
+
+    links = scratch.cut("links", map(verified, range(rounds)))
+    scratch.drop("banded", "bands", "beside", "wanted", "bits", "members")
 
     # Components, back to documents.
     degrees = links.where("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("w").alias("partners"))
     joined = components(links.where("v is not null").select("u", "v")).withColumnRenamed("node", "rep")
     full = classes.join(joined, "rep", "left").withColumn("component", F.coalesce("component", "rep")).join(degrees, "rep", "left")
-    full = cut(full.select("s1", "s2", "n", "component", "size", F.coalesce("partners", F.lit(0)).alias("partners"), "low_id"), "full")
+    full = scratch.cut("full", full.select("s1", "s2", "n", "component", "size", F.coalesce("partners", F.lit(0)).alias("partners"), "low_id"))
     lowest = full.groupBy("component").agg(F.min("low_id").alias("component_id"))
-    full = cut(full.join(lowest, "component"), "labelled")
+    full = scratch.cut("labelled", full.join(lowest, "component"))
+    scratch.drop("classes", "links", "full")
     plain = ["tag", "doc_id", "text_key", "n_chars", "n"]
-    linked = sets.where("n > 0").select(*plain, "s1", "s2").join(full, ["s1", "s2", "n"])
+    linked = keys.where("n > 0").select(*plain, "s1", "s2").join(full, ["s1", "s2", "n"])
     linked = linked.select(*plain, "component", "component_id", (F.col("partners") + F.col("size") - 1).alias("n_links"))
-    empty = sets.where("n = 0").select(*plain, F.col("tag").alias("component"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    rows = cut(linked.unionByName(empty), "rows")
+    empty = keys.where("n = 0").select(*plain, F.col("tag").alias("component"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    rows = scratch.cut("rows", linked.unionByName(empty))
     # The first row with the component's id; by its tag, so that repeated rows leave one.
     firsts = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("component").alias("_c")).agg(F.min("tag").alias("_t"))
-    marked = rows.join(cut(firsts, "firsts"), (F.col("component") == F.col("_c")) & (F.col("tag") == F.col("_t")), "left")
-    return marked.select(
+    firsts = scratch.cut("firsts", firsts)
+    scratch.drop("keys", "labelled")
+    kept = rows.join(firsts, (F.col("component") == F.col("_c")) & (F.col("tag") == F.col("_t")), "left")
+    return kept.select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links", F.col("_t").isNotNull().alias("kept"), "text_key", "n_chars"
     )
 

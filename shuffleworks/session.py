@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+SHUFFLE_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def get_session(
@@ -99,3 +100,17 @@ def arrow_batches(spark: SparkSession, size: str) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(BATCH_CONF, before)
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries that run in here remove their shuffle files when they end; a frame that is run again shuffles again."""
+    before = spark.conf.get(SHUFFLE_CONF, None)
+    spark.conf.set(SHUFFLE_CONF, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CONF)
+        else:
+            spark.conf.set(SHUFFLE_CONF, before)

@@ -1,10 +1,13 @@
+import os
 import random
 
 import numpy as np
 import pytest
 
 from shuffleworks.llm import ngram_join as nj
+from shuffleworks.llm.common import Scratch
 from shuffleworks.llm.components import components
+from shuffleworks.session import SHUFFLE_CONF, shared_dir, shuffles_removed
 
 
 def sets_of(rows, width):
@@ -104,3 +107,72 @@ def test_components_of_a_path_and_a_star(spark):
 def test_empty_table(no_docs):
     assert nj.near_duplicates(no_docs, 5, 80).count() == 0
     assert nj.drop_near_copies(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("limits", [{"STAR": 8, "COMMON": 2}, {"STAR": 10**6, "COMMON": 2, "LIST": 4}])
+def test_a_template_alone_ties_no_texts(spark, monkeypatch, limits):
+    """81 of 97 shingles are the template's, two of them in each prefix, where a match by them alone needs four."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    template = [word() for _ in range(84)]
+    rows = [(k, " ".join(template + [word() for _ in range(16)])) for k in range(100)]
+    rows += [(100 + k, f"{rows[k][1][:-7]} {word()}") for k in range(10)]
+    clusters = []
+
+    def kept(edges):
+        clusters.append(found := components(edges))
+        return found
+
+    for name, value in limits.items():
+        monkeypatch.setattr(nj, name, value)
+    monkeypatch.setattr(nj, "components", kept)
+    assert result(spark, rows, 4, 85) == brute(rows, 4, 85)
+    largest = clusters[0].groupBy("component").count().agg({"count": "max"}).first()[0]
+    assert largest == 2
+
+
+def test_rounds_of_verification_leave_no_link_out(spark, monkeypatch):
+    rows = mutated(5, 150)
+    for name, value in {"BLOCK": 3, "STAR": 4, "COMMON": 2, "ROUND": 1}.items():
+        monkeypatch.setattr(nj, name, value)
+    cut, rounds = Scratch.cut, []
+
+    def counted(self, name, *parts):
+        if name == "links":
+            parts = [list(parts[0])]
+            rounds.append(len(parts[0]))
+        return cut(self, name, *parts)
+
+    monkeypatch.setattr(Scratch, "cut", counted)
+    assert result(spark, rows, 4, 85) == brute(rows, 4, 85)
+    assert rounds[0] > 1
+
+
+def test_tables_between_steps_are_gone_when_the_result_is_there(spark):
+    folder = shared_dir(spark).removeprefix("file:") + "/shuffleworks"
+    names = ("sets", "classes", "met", "members", "links", "full")
+
+    def there():
+        return {p for p in (os.listdir(folder) if os.path.isdir(folder) else []) if p.startswith(tuple(f"{n}-" for n in names))}
+
+    before, rows = there(), mutated(7, 40)
+    found = nj.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85)
+    assert there() == before
+    got = [sorted([(r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in found.collect()], key=repr) for _ in range(2)]
+    assert got[0] == got[1] == brute(rows, 4, 85)
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    before = spark.conf.get(SHUFFLE_CONF, None)
+    with shuffles_removed(spark):
+        assert spark.conf.get(SHUFFLE_CONF) == "true"
+    assert spark.conf.get(SHUFFLE_CONF, None) == before
+
+
+def test_bitmap_marks_its_numbers(spark, monkeypatch):
+    numbers = [0, 1, 63, 64, 65, 127, 128, (5 << 33) + 63, (5 << 33) + 64, None]
+    df = spark.createDataFrame([(n,) for n in numbers + [2, 62, 66, 5 << 33]], "x long")
+    bits = nj.bitmap(spark.createDataFrame([(n,) for n in numbers], "y long"), nj.F.col("y"))
+    for words in (nj.WORDS, 1):
+        monkeypatch.setattr(nj, "WORDS", words)
+        assert sorted(r.x for r in nj.marked(df, "x", bits).collect()) == sorted(n for n in numbers if n is not None)
